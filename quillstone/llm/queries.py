@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
-from .common import narrow, table
+from . import bpe, chat_format, decontaminate, line_dedup, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from .common import table
 
 
 def vocabulary() -> str:
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
 
@@ -56,7 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_quality_classifier, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
 
