@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, line_dedup, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from . import bpe, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -60,7 +64,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_pii, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
 
 ORACLE_SQL: dict[str, str] = {}
 
