@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, narrow
 
-LONG, GRAM, BLOCK = 400, 64, 1_900_000
+LONG, GRAM, BLOCK = 400, 64, 700_000
 SPAN = LONG - GRAM + 1
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
@@ -126,12 +126,12 @@ def suffix_order(text: np.ndarray, wide: int) -> tuple[np.ndarray, list[tuple[in
         key = np.sort((key << bits) | at)
         order = (key & mask).astype(np.int64)
         key >>= bits
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))).astype(np.uint64)
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
         if rank[order[-1]] == n - 1:
             return order, levels
         levels.append((length, rank))
-        key = rank << bits
+        key = rank.astype(np.uint64) << bits
         key[: n - length] |= rank[length:]
         length *= 2
 
