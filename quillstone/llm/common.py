@@ -5,14 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import quillstone
 
-# Executors need not have this repository on their path: what they run travels with the task.
-cloudpickle.register_pickle_by_value(quillstone)
 
 #: Output rows and bytes after which a text kernel hands over an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
