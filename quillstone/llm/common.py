@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-
 #: Output rows and bytes after which a text kernel hands over an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -69,6 +68,17 @@ def map_texts(docs: DataFrame, make_kernel: Callable[[], Callable[[bytes | None]
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type}, {ddl}")
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go.
+
+    Spark's cleaner drops them once both Python and the driver's JVM have let go of the DataFrames that
+    used them; a JVM with much memory may not look for long, so it is asked to. Nothing that is still
+    referenced is touched.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: What a kernel of replace_texts() returns for a row that goes.
 DROP = b"\xff<drop>"
 
@@ -91,6 +101,16 @@ def replace_texts(docs: DataFrame, text_col: str, make_kernel: Callable[[], Call
     return docs.mapInArrow(run, docs.schema)
 
 
+def sealed(df: DataFrame, *columns: str) -> DataFrame:
+    """df with columns passed through a generator of one row.
+
+    Filters on them stay above it; else the optimizer copies the computations behind them into each
+    filter, and into the bodies of lambdas, where they would run once per element.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline_outer(F.array(F.struct(*columns))))
+
+
 def fixed_array(values: DataFrame, size: int) -> DataFrame:
     """One row: an array of size longs from rows (slot, v), 0 where there is none."""
     full = values.sparkSession.range(size, numPartitions=1).select(F.col("id").alias("slot")).join(values, "slot", "left")

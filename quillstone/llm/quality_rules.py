@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow
+from .common import narrow, sealed
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -87,4 +87,5 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tab
         (F.col("n_dup_lines") / lines).alias("dup_line_ratio"), (F.col("n_list_lines") / lines).alias("list_line_ratio"), (F.col("n_cut_lines") / lines).alias("cut_line_ratio"),
         ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))).alias("base_failed"),
     )
-    return out.withColumn("kept", ~F.col("base_failed") & verdict(TABLE if table is None else table))
+    out = out.withColumn("kept", ~F.col("base_failed") & verdict(TABLE if table is None else table))
+    return sealed(out, *out.columns[1:])
