@@ -50,6 +50,11 @@ def ladder(cases: Iterable[tuple[Column, object]], default: object) -> Column:
     return F.lit(default) if out is None else out.otherwise(default)
 
 
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.trim(_c(c), F.lit(" \t\n\x0b\x0c\r"))
+
+
 def terms(c: Column | str) -> Column:
     """Lower-case words of letters, digits and underscores, repeats included."""
     return F.filter(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
@@ -69,7 +74,7 @@ def ascii_terms(c: Column | str) -> Column:
 
 def name_tokens(c: Column | str) -> Column:
     """Stem, its parts and the extension of a file name (F2)."""
-    name = F.lower(F.trim(_c(c)))
+    name = F.lower(strip(_c(c)))
     ext = F.regexp_extract(name, r"\.([^.]+)$", 1)
     stem = F.regexp_replace(name, r"\.[^.]+$", "")
     return F.array_distinct(F.filter(F.concat(F.array(stem), F.split(stem, r"[\s_.\-]+"), F.array(ext)), lambda x: x != ""))
@@ -77,7 +82,7 @@ def name_tokens(c: Column | str) -> Column:
 
 def normalize_token(c: Column | str) -> Column:
     """Lower-case letters and digits of a token."""
-    return F.regexp_replace(F.lower(F.trim(_c(c))), r"[^\p{L}\p{N}]", "")
+    return F.regexp_replace(F.lower(strip(_c(c))), r"[^\p{L}\p{N}]", "")
 
 
 def escape_term(c: Column | str) -> Column:
@@ -107,8 +112,8 @@ def simplified(c: Column | str) -> Column:
 
 def normalize_query(c: Column | str) -> Column:
     """Trimmed, lower-case, simplified, half-width marks, single spaces."""
-    q = F.translate(simplified(F.lower(F.trim(_c(c)))), FULL_WIDTH, HALF_WIDTH)
-    return F.trim(F.regexp_replace(q, r"\s+", " "))
+    q = F.translate(simplified(F.lower(strip(_c(c)))), FULL_WIDTH, HALF_WIDTH)
+    return strip(F.regexp_replace(q, r"\s+", " "))
 
 
 def variants(c: Column | str, pairs: list[tuple[str, str]]) -> Column:
@@ -143,7 +148,7 @@ def byte_tokens(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     """Words between white space."""
-    t = F.trim(F.regexp_replace(_c(c), r"\s+", " "))
+    t = strip(F.regexp_replace(_c(c), r"\s+", " "))
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
 
 
@@ -152,7 +157,7 @@ def clean_for_search(c: Column | str) -> Column:
     t = F.regexp_replace(_c(c), "[\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}\\r]", "\n")
     t = F.regexp_replace(t, r"[^\S\n]+", " ")
     t = F.regexp_replace(F.regexp_replace(t, "\n +", "\n"), "\n+", "\n")
-    return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+    return strip(F.regexp_replace(t, r"^\s+|\s+$", ""))
 
 
 def text_quality(c: Column | str) -> Column:
@@ -180,7 +185,7 @@ def slugify_path(s: pd.Series) -> pd.Series:
 
 def slugify_for_match(c: Column | str) -> Column:
     """Lower-case with hyphens for spaces and underscores."""
-    return F.regexp_replace(F.lower(F.trim(_c(c))), "[ _]+", "-")
+    return F.regexp_replace(F.lower(strip(_c(c))), "[ _]+", "-")
 
 
 def content_hash(*columns: Column | str) -> Column:
@@ -203,7 +208,7 @@ def row_text(sheet: Column | str, headers: Column | str, row_json: Column | str)
 
 def name_for_match(c: Column | str) -> Column:
     """A file name without an extension of up to ten characters; hidden names stay whole."""
-    return F.regexp_replace(F.lower(F.trim(_c(c))), r"^(.+)\.[^.]{0,10}$", "$1")
+    return F.regexp_replace(F.lower(strip(_c(c))), r"^(.+)\.[^.]{0,10}$", "$1")
 
 
 def is_exact_lookup(c: Column | str) -> Column:
@@ -300,7 +305,7 @@ def html_meta(html: Column | str, name: str) -> Column:
 
 
 def strip_tags(html: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(_c(html), "(?s)<[^>]+>", " "), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(_c(html), "(?s)<[^>]+>", " "), r"\s+", " "))
 
 
 def sanitize_prompt(c: Column | str, most: int = 500) -> Column:
@@ -308,12 +313,12 @@ def sanitize_prompt(c: Column | str, most: int = 500) -> Column:
     q = F.left(_c(c), F.lit(most))
     q = F.regexp_replace(F.regexp_replace(q, r"```[\s\S]*?```", " "), r"</?[a-zA-Z][^>]*>", " ")
     q = F.regexp_replace(q, r"(?i)^(\s*(ignore|forget|disregard|override|system|assistant|human)[\s:]+)+", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(q, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(q, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\s+", " "))
 
 
 def sanitize_expansions(c: Column | str, most: int = 2) -> Column:
     """Cleaned alternatives, without repeats in either case, at most so many."""
-    clean = F.filter(F.transform(_c(c), sanitize_prompt), lambda x: x != "")
+    clean = F.filter(F.transform(_c(c), lambda x: sanitize_prompt(x)), lambda x: x != "")
     lows = F.transform(clean, F.lower)
     return F.slice(F.filter(clean, lambda x, i: F.array_position(lows, F.lower(x)) == i + 1), 1, most)
 

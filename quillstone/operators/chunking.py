@@ -165,7 +165,7 @@ def adaptive_chunks(docs: DataFrame, ext: str, text: str, *keep: str) -> DataFra
 def sentences(c: Column | str) -> Column:
     """Sentences; a dot between digits ends none."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.transform(F.split(c, r"(?<=[。！？；!?])|(?<=(?<![0-9])\.)|(?<=[0-9]\.)(?![0-9])"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[。！？；!?])|(?<=(?<![0-9])\.)|(?<=[0-9]\.)(?![0-9])"), lambda x: X.strip(x)), lambda x: x != "")
 
 
 def window_passages(nodes: DataFrame, key: str, text: str) -> DataFrame:
@@ -196,11 +196,11 @@ def atomic_passages(nodes: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(key, F.posexplode(F.filter(F.split(text, "\n+"), lambda p: F.trim(p) != "")).alias("i", "paragraph"))
+    return docs.select(key, F.posexplode(F.filter(F.split(text, "\n+"), lambda p: X.strip(p) != "")).alias("i", "paragraph"))
 
 
 def heading_level(c: str) -> Column:
-    return F.length(F.regexp_extract(F.trim(F.col(c)), "^(#*)", 1))
+    return F.length(F.regexp_extract(X.strip(F.col(c)), "^(#*)", 1))
 
 
 def boundary_signals(parts: DataFrame, key: str) -> DataFrame:
@@ -219,8 +219,8 @@ def boundary_signals(parts: DataFrame, key: str) -> DataFrame:
         F.when(F.col("next").startswith("#"), 0.8).otherwise(0.0)
         + F.when((there > 0) & (there < here), 0.6).when((there > 0) & (here == 0), 0.4).otherwise(0.0)
         + F.when((size > 0) & (size_next > 0) & (F.greatest(size / size_next, size_next / size) > 3.0), 0.3).otherwise(0.0)
-        + F.when((F.trim("paragraph") == "") | (dashes > 5), 0.2).otherwise(0.0)
-        + F.when(F.trim("next").startswith("- ") | F.trim("next").startswith("* "), 0.2).otherwise(0.0)
+        + F.when((X.strip("paragraph") == "") | (dashes > 5), 0.2).otherwise(0.0)
+        + F.when(X.strip("next").startswith("- ") | X.strip("next").startswith("* "), 0.2).otherwise(0.0)
     )
     p = p.withColumn("signal", signal)
     total, weight = F.lit(0.0), F.lit(0.0)
@@ -262,12 +262,12 @@ def timeline_entries(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line, date, summary of lines ``- DATE | text`` in three forms; indented lines carry on."""
     lines = docs.select(key, F.posexplode(F.split(text, "\r?\n")).alias("line", "raw"))
     bold, dash, colon = r"-\s*\*\*(\d{4}-\d{2}-\d{2})\*\*\s*[|\-–—]*\s*(.+)", r"-\s*(\d{4}-\d{2}-\d{2})\s*[|\-–—]+\s*(.+)", r"-\s*(\d{4}-\d{2}-\d{2})\s*:\s*(.+)"
-    found = [F.struct(F.regexp_extract("raw", p, 1).alias("date"), F.trim(F.regexp_extract("raw", p, 2)).alias("summary")) for p in (bold, dash, colon)]
+    found = [F.struct(F.regexp_extract("raw", p, 1).alias("date"), X.strip(F.regexp_extract("raw", p, 2)).alias("summary")) for p in (bold, dash, colon)]
     entry = F.get(F.filter(F.array(*found), lambda e: X.is_date(e["date"]) & (e["summary"] != "")), F.lit(0))
     lines = lines.withColumn("e", entry)
     upto = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("first", F.last(F.when(F.col("e").isNotNull(), F.col("line")), ignorenulls=True).over(upto)).where("first is not null")
-    more = F.when(F.col("e").isNull() & F.col("raw").rlike(r"^[ \t]"), F.trim("raw"))
+    more = F.when(F.col("e").isNull() & F.col("raw").rlike(r"^[ \t]"), X.strip("raw"))
     g = lines.groupBy(key, "first").agg(F.min_by("e", "line").alias("e"), F.sort_array(F.collect_list(F.when(more != "", F.struct("line", more.alias("t"))))).alias("more"))
     return g.select(key, F.col("first").alias("line"), "e.date", F.array_join(F.concat(F.array("e.summary"), F.transform("more", lambda m: m["t"])), " ").alias("summary"))
 

@@ -167,7 +167,7 @@ def call_edges(files: DataFrame, found: DataFrame, key: str, code: str) -> DataF
 
 def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None) -> DataFrame:
     """key, rule, severity, line of six rules."""
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("i", "raw")).withColumn("t", F.trim("raw")).withColumn("line", F.col("i") + 1)
+    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("i", "raw")).withColumn("t", X.strip("raw")).withColumn("line", F.col("i") + 1)
     low = F.lower("t")
     starts = F.lit(False)
     for p in PREAMBLES:
@@ -176,7 +176,7 @@ def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None)
     out = issue(lines.where(starts), "llm-preamble", "warning")
     out = out.union(issue(lines.where(F.col("raw").contains("YYYY-MM-DD")), "placeholder-date", "error"))
     out = out.union(issue(lines.where(F.col("raw").contains("[DATE]") | F.col("raw").contains("{{DATE}}")), "placeholder-date", "error"))
-    bare = pages.where(~F.ltrim(text).startswith("---") & (F.trim(text) != "") & (F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")) > 2))
+    bare = pages.where(~X.strip(text).startswith("---") & (X.strip(text) != "") & (F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")) > 2))
     out = out.union(issue(bare.withColumn("line", F.lit(1)), "missing-frontmatter", "info"))
     w = Window.partitionBy(key).orderBy("i")
     following = lines.where("t <> '' or t like '## %'").withColumn("next", F.lead("t").over(w))
@@ -184,7 +184,7 @@ def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None)
     fences = lines.where(F.col("t").startswith("```")).groupBy(key).agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n % 2 = 1")
     out = out.union(issue(fences, "code-fence-residue", "error"))
     if slugs is not None:
-        cites = lines.select(key, "line", F.explode(F.regexp_extract_all("raw", F.lit(r"\[Source:([^\]]+)\]"), F.lit(1))).alias("s")).withColumn("slug", F.trim("s")).where("slug <> ''")
+        cites = lines.select(key, "line", F.explode(F.regexp_extract_all("raw", F.lit(r"\[Source:([^\]]+)\]"), F.lit(1))).alias("s")).withColumn("slug", X.strip("s")).where("slug <> ''")
         out = out.union(issue(cites.join(slugs.select("slug"), "slug", "left_anti"), "broken-citation", "warning"))
     return out
 
@@ -192,7 +192,7 @@ def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None)
 def fix_lint(c: Column | str) -> Column:
     """Preamble lines at the top removed and an open fence closed."""
     c = F.col(c) if isinstance(c, str) else c
-    fixed = F.array_join(F.filter(F.split(c, "\n"), lambda line: ~F.exists(F.array(*map(F.lit, PREAMBLES)), lambda p: F.startswith(F.lower(F.trim(line)), p))), "\n")
+    fixed = F.array_join(F.filter(F.split(c, "\n"), lambda line: ~F.exists(F.array(*map(F.lit, PREAMBLES)), lambda p: F.startswith(F.lower(X.strip(line)), p))), "\n")
     odd = F.size(F.regexp_extract_all(fixed, F.lit(r"(?m)^\s*```"), F.lit(0))) % 2 == 1
     return F.when(odd, F.concat(fixed, F.lit("\n```"))).otherwise(fixed)
 
@@ -213,13 +213,13 @@ def completeness(page_type: Column, title: Column, body: Column, timeline: Colum
     """Weighted score of a page against its type's rubric, to three places."""
     count = lambda p: F.size(F.regexp_extract_all(body, F.lit(p), F.lit(0)))
     urls = count(r"\]\(\s*https?://")
-    entries = F.size(F.filter(F.split(F.coalesce(timeline, F.lit("")), "\n"), lambda x: F.trim(x).startswith("-")))
+    entries = F.size(F.filter(F.split(F.coalesce(timeline, F.lit("")), "\n"), lambda x: X.strip(x).startswith("-")))
     fm = F.coalesce(frontmatter, F.lit(""))
     measures = {
         "urls": X.ladder([(urls == 0, 0.0), (urls == 1, 0.6)], 1.0),
         "citations": F.least(F.lit(1.0), count(r"\[Source:\s*\S[^\]]*\]|\]\(\s*https?://[^)]+\)") / 3.0),
-        "title": F.when(F.trim(title) == "", 0.0).otherwise(1.0),
-        "body": F.when(F.octet_length(F.trim(body)) > 50, 1.0).otherwise(0.0),
+        "title": F.when(X.strip(title) == "", 0.0).otherwise(1.0),
+        "body": F.when(F.octet_length(X.strip(body)) > 50, 1.0).otherwise(0.0),
         "timeline": X.ladder([(entries == 0, 0.0), (entries < 3, 0.5)], 1.0),
         "recency": X.recency(updated, as_of), "none": F.lit(0.0), "all": F.lit(1.0),
     }

@@ -77,7 +77,7 @@ def needs_ocr(chars: Column, image_area: Column, images: Column, density: int =
 def merge_recognised(native: Column, recognised: Column, alike: float = 0.8) -> Column:
     """The recognised text, the native one, or both, by how alike they are."""
     similarity = X.jaccard(X.unpadded_trigrams(native), X.unpadded_trigrams(recognised))
-    return F.when(F.coalesce(F.trim(native), F.lit("")) == "", recognised).when(F.coalesce(F.trim(recognised), F.lit("")) == "", native).when(similarity >= alike, F.when(F.length(native) >= F.length(recognised), native).otherwise(recognised)).otherwise(F.concat_ws("\n", native, recognised))
+    return F.when(F.coalesce(X.strip(native), F.lit("")) == "", recognised).when(F.coalesce(X.strip(recognised), F.lit("")) == "", native).when(similarity >= alike, F.when(F.length(native) >= F.length(recognised), native).otherwise(recognised)).otherwise(F.concat_ws("\n", native, recognised))
 
 
 def granularity(ext: Column, chars: Column, pages: Column) -> Column:

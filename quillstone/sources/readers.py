@@ -61,7 +61,7 @@ def rows_as_text(rows: DataFrame, sheet: str = "sheet") -> DataFrame:
 def html_documents(pages: DataFrame, key: str, html: str) -> DataFrame:
     """key, title, description, headings, links, text of web pages."""
     body = F.regexp_replace(F.regexp_replace(html, HIDDEN_BLOCKS, " "), "(?s)<!--.*?-->", " ")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    title = X.strip(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
     heads = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)), X.strip_tags)
     links = F.regexp_extract_all(body, F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"']"), F.lit(1))
     lined = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|section|article|table|ul|ol)\s*>|<br\s*/?>", "\n")
@@ -78,8 +78,8 @@ def markdown_pages(pages: DataFrame, key: str, content: str) -> DataFrame:
     mark = r"(?s)^(.*?)(?:\r?\n|^)(?:<!--\s*timeline\s*-->|---\s*timeline\s*---|---\s*(?=\r?\n+##\s+(?:Timeline|History)))(.*)$"
     body = F.when(rest.rlike(mark), F.regexp_extract(rest, mark, 1)).otherwise(rest)
     pairs = F.filter(F.split(head, r"\r?\n"), lambda line: line.rlike(r"^[A-Za-z_][\w-]*\s*:"))
-    fields = F.map_from_entries(F.transform(pairs, lambda line: F.struct(F.trim(F.regexp_extract(line, "^([^:]+):", 1)), F.regexp_replace(F.trim(F.regexp_extract(line, "^[^:]+:(.*)$", 1)), "^[\"']|[\"']$", ""))))
-    return pages.select(key, F.when(F.size(pairs) > 0, fields).otherwise(F.create_map().cast("map<string,string>")).alias("frontmatter"), F.trim(body).alias("body"), F.trim(F.regexp_extract(rest, mark, 2)).alias("timeline"))
+    fields = F.map_from_entries(F.transform(pairs, lambda line: F.struct(X.strip(F.regexp_extract(line, "^([^:]+):", 1)), F.regexp_replace(X.strip(F.regexp_extract(line, "^[^:]+:(.*)$", 1)), "^[\"']|[\"']$", ""))))
+    return pages.select(key, F.when(F.size(pairs) > 0, fields).otherwise(F.create_map().cast("map<string,string>")).alias("frontmatter"), X.strip(body).alias("body"), X.strip(F.regexp_extract(rest, mark, 2)).alias("timeline"))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -144,9 +144,9 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 def pair_file(spark: SparkSession, path: str) -> DataFrame:
     """a, b of lines ``a,b``; blank lines and # comments are skipped."""
-    line = F.trim("value")
+    line = X.strip("value")
     p = F.split(line, ",", 2)
-    return spark.read.text(path).where((line != "") & ~line.startswith("#") & (F.size(p) == 2)).select(F.trim(p[0]).alias("a"), F.trim(p[1]).alias("b"))
+    return spark.read.text(path).where((line != "") & ~line.startswith("#") & (F.size(p) == 2)).select(X.strip(p[0]).alias("a"), X.strip(p[1]).alias("b"))
 
 
 def by_key(rows: DataFrame, key: str, value: object) -> DataFrame:
