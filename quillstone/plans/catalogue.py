@@ -254,7 +254,7 @@ has = lambda words: " OR ".join(f"contains(q, '{w}')" for w in words)  # noqa: E
 @query(f"""WITH {ASKED_SQL}, l AS (SELECT conv_id, turn, lower(trim(text)) AS q FROM asked),
 t AS (SELECT conv_id, turn, CASE WHEN {has(Q.TABLE_WORDS)} THEN 'table_lookup' WHEN {has(Q.HOW_WORDS)} THEN 'how_to' WHEN {has(Q.TIME_WORDS)} THEN 'recent_or_timebound' WHEN {has(Q.FACT_WORDS)} OR ends_with(q, '?') OR ends_with(q, '？') THEN 'fact_lookup'
   WHEN regexp_matches(q, '\\.[A-Za-z]{{2,5}}$') OR regexp_matches(q, '[/\\\\]') OR (regexp_matches(q, '^[A-Za-z0-9_#-]*$') AND regexp_matches(q, '[0-9]')) OR regexp_matches(q, '^v[0-9.]{{2,}}$') THEN 'exact_lookup' ELSE 'conceptual' END AS query_type FROM l)
-SELECT conv_id, turn, query_type, retriever, weight FROM t JOIN (VALUES {PLAN_SQL}) AS p(query_type, retriever, weight) USING (query_type)""")
+SELECT conv_id, turn, query_type, retriever, weight::DOUBLE AS weight FROM t JOIN (VALUES {PLAN_SQL}) AS p(query_type, retriever, weight) USING (query_type)""")
 def q14_query_type_plan(spark, d):
     return Q.retrievers(asked(spark, d)).select("conv_id", "turn", "query_type", "retriever", "weight")
 
@@ -313,7 +313,7 @@ s AS (SELECT doc_id, i, CASE WHEN starts_with(next, '#') THEN 0.8 ELSE 0 END
   + CASE WHEN length(paragraph) - length(replace(paragraph, '-', '')) > 5 THEN 0.2 ELSE 0 END
   + CASE WHEN starts_with(trim(next), '- ') OR starts_with(trim(next), '* ') THEN 0.2 ELSE 0 END AS signal FROM n WHERE next IS NOT NULL),
 l AS (SELECT *, lag(signal, 2) OVER w AS a, lag(signal) OVER w AS b, lead(signal) OVER w AS c, lead(signal, 2) OVER w AS e FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i))
-SELECT doc_id, i, round(signal, 6) AS signal, round((coalesce(-3 * a, 0) + coalesce(12 * b, 0) + 17 * signal + coalesce(12 * c, 0) + coalesce(-3 * e, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE -3 END + CASE WHEN b IS NULL THEN 0 ELSE 12 END + 17 + CASE WHEN c IS NULL THEN 0 ELSE 12 END + CASE WHEN e IS NULL THEN 0 ELSE -3 END), 6) AS smooth FROM l""")
+SELECT doc_id, i, round(signal::DOUBLE, 6) AS signal, round((coalesce(-3 * a, 0) + coalesce(12 * b, 0) + 17 * signal + coalesce(12 * c, 0) + coalesce(-3 * e, 0)) / (CASE WHEN a IS NULL THEN 0 ELSE -3 END + CASE WHEN b IS NULL THEN 0 ELSE 12 END + 17 + CASE WHEN c IS NULL THEN 0 ELSE 12 END + CASE WHEN e IS NULL THEN 0 ELSE -3 END), 6) AS smooth FROM l""")
 def q22_semantic_boundaries(spark, d):
     b = C.boundary_signals(C.paragraphs(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
     return b.select("doc_id", "i", F.round("signal", 6).alias("signal"), F.round("smooth", 6).alias("smooth"))
