@@ -131,7 +131,9 @@ def suggested_links(docs: DataFrame, key: str, text: str, most: int = 20) -> Dat
 def keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, term, n, rank: the most frequent words, 5 and one more per 5,000 characters, 15 at most."""
     size = F.least(F.lit(15), F.lit(5) + F.floor(F.length(text) / 5000))
-    w = docs.select(key, size.alias("most"), F.explode(X.ascii_terms(text)).alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
+    # One generated row per text holds its size and words, so the size is not computed again for each word.
+    sized = docs.select(key, F.inline_outer(F.array(F.struct(size.alias("most"), X.ascii_terms(text).alias("words")))))
+    w = sized.select(key, "most", F.explode("words").alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
     counted = w.groupBy(key, "most", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     return counted.withColumn("rank", rank).where("rank <= most").select(key, "term", "n", "rank")

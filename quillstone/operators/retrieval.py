@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillstone.functions import text as X
+from quillstone.session import checkpointed
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Score factors by slug prefix; the longest prefix counts.
@@ -64,10 +65,10 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, prefix: bool = F
     else:
         hits = q.select("q").distinct().join(posts.withColumnRenamed("term", "q"), "q")
     df = hits.groupBy("q").agg(F.count("*").alias("df"))
-    stats = lens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    stats = lens.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("stats")).scalar()
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = hits.join(df, "q").join(lens, "doc_id").withColumn("stats", F.struct(stats.select("n").scalar().alias("n"), stats.select("avgdl").scalar().alias("avgdl")))
-    scored = scored.select("q", "doc_id", "tf", "dl", "df", F.col("stats.n").alias("n"), F.col("stats.avgdl").alias("avgdl"))
+    scored = hits.join(df, "q").join(lens, "doc_id").withColumn("stats", stats)
+    scored = scored.select("q", "doc_id", "tf", "dl", "df", "stats.n", "stats.avgdl")
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return q.join(scored.select("q", "doc_id", part.alias("part")), "q").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
@@ -296,7 +297,7 @@ def layered_dedup(hits: DataFrame, limit: int, per_page: int = 2, ratio: float =
     """All layers in their order, then the limit."""
     pool = top_chunks_per_page(hits)
     alike = greedy_text_dedup(pool, most)
-    capped = cap_per(diversify(alike, ratio, tie="chunk_id"), "slug", per_page, tie="chunk_id")
+    capped = checkpointed(cap_per(diversify(alike, ratio, tie="chunk_id"), "slug", per_page, tie="chunk_id"))
     return top_k(guarantee_truth(capped, hits), limit, tie="chunk_id")
 
 
