@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from quillstone.plans import catalogue
+from quillstone.plans import catalogue, catalogue_state
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +24,7 @@ def plain(v):
     return str(v)[:10] if type(v).__name__ in ("datetime", "date", "Timestamp") else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue_state.QUERIES))
 def test_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
