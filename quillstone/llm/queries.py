@@ -85,3 +85,38 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for s in quality_rules.STOP_WORDS for w in (s, s.capitalize())}))
+
+ORACLE_SQL["op1_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+p AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM l),
+g AS (SELECT doc_id, i, t || ' ' || lead(t) OVER x || ' ' || lead(t, 2) OVER x AS g FROM p WINDOW x AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g WHERE g IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM c, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT l.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, greatest(len(w), 1)::DOUBLE AS nw, greatest(len(lines), 1)::DOUBLE AS nl,
+  len(list_filter(w, lambda x: x IN ({STOPS}))) AS stops, len(list_filter(lines, lambda x: regexp_matches(x, '^\s*([-*•]|[0-9]+[.)])\s'))) AS listed, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS cut
+  FROM l LEFT JOIN r USING (doc_id)),
+v AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, word_chars / nw AS mean_word_chars, n_symbols / nw AS symbols_per_word, stops / nw AS stop_word_ratio,
+  n_dup_lines / nl AS dup_line_ratio, listed / nl AS list_line_ratio, cut / nl AS cut_line_ratio, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND mean_word_chars >= 2 AND mean_word_chars <= 14 AND symbols_per_word <= 0.2 AND stop_word_ratio >= 0.02 AND dup_line_ratio <= 0.5 AND list_line_ratio <= 0.9 AND cut_line_ratio <= 0.5 AS kept FROM v
+"""
+
+
+def item_words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+ORACLE_SQL["op10_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {item_words('text')} AS w FROM documents),
+b AS (SELECT item_id, {item_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+s AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
+k AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS key FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM s)),
+x AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS key FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM s) WHERE len(w) >= size)),
+h AS (SELECT doc_id, item_id, i, x.size FROM x JOIN k ON x.size = k.size AND x.key = k.key),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM h) GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
