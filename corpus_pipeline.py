@@ -54,11 +54,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what is written lies in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; their tables lie in the shared checkpoint folder, of which the last stays."""
+    docs, last = table(spark, sf_dir, "documents"), None
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         at = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            remove(spark, last)
+        last = at
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """A stage's table goes once the next one is written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
