@@ -46,9 +46,15 @@ def fingerprint_of(text: bytes | None) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (long)."""
-    return map_texts(narrow(docs, id_col, text_col), lambda: lambda b: (fingerprint_of(b),), [pa.field("fp", pa.int64())], "fp long")
+def text_hash(text: bytes | None) -> int:
+    """What Spark's xxhash64 gives for the text."""
+    return SEED if text is None else int(np.uint64(xxhash.xxh64_intdigest(text, SEED)).astype(np.int64))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """doc_id, fp (long), and th, the text's hash (long), if hashed."""
+    kernel = (lambda b: (fingerprint_of(b), text_hash(b))) if hashed else (lambda b: (fingerprint_of(b),))
+    return map_texts(narrow(docs, id_col, text_col), lambda: kernel, [pa.field("fp", pa.int64())] + [pa.field("th", pa.int64())] * hashed, "fp long" + ", th long" * hashed)
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -63,25 +69,30 @@ def links(fps: DataFrame) -> DataFrame:
     return hit.select(F.greatest("p", "fp").alias("a"), F.least("p", "fp").alias("b"))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    f = checkpointed(fingerprints(docs, id_col, text_col))
+def rooted(docs: DataFrame, id_col: str, text_col: str, hashed: bool = False) -> DataFrame:
+    """fingerprints() with root (the group's smallest fingerprint) and component_id."""
+    f = checkpointed(fingerprints(docs, id_col, text_col, hashed))
     reps = f.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     roots = components(links(reps.select("fp")))
     named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_fp = named.join(ids, "root").select("fp", "component_id")
-    out = f.join(of_fp, "fp")
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return f.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+    return rooted(docs, id_col, text_col).select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without all but one row of each group: the row whose id names the component stays.
+    """docs without all but one row of each group: a row whose id names the component stays.
 
-    Groups of null ids only keep one row; of repeated rows with the naming id one stays.
+    Of several such rows, as of a group of null ids only, the one with the least text hash stays. Rows are
+    told apart by id and text hash, so an id (or null) that stands in several groups can stay in each.
     """
-    g = groups(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = g.select(F.col("doc_id").alias("__qs_keep")).distinct()
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__qs_keep")), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col)
-    return kept.withColumn("__qs_n", F.row_number().over(one)).where("__qs_n = 1").drop("__qs_n")
+    named = rooted(docs, id_col, text_col, hashed=True).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = named.groupBy("root").agg(F.min("th").alias("__qs_th"), F.first("component_id").alias("__qs_keep")).drop("root")
+    hashed = docs.withColumn("__qs_of", F.xxhash64(text_col))
+    kept = hashed.join(keep, F.col(id_col).eqNullSafe(F.col("__qs_keep")) & (F.col("__qs_of") == F.col("__qs_th")), "left_semi")
+    one = Window.partitionBy(id_col, "__qs_of").orderBy(text_col)
+    return kept.withColumn("__qs_n", F.row_number().over(one)).where("__qs_n = 1").drop("__qs_n", "__qs_of")

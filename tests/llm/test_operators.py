@@ -187,6 +187,18 @@ def test_simhash_null_ids_and_keep_one(hard):
     assert ids.count(1) == 1 and 2 not in ids and ids.count(None) == 1
 
 
+def test_keep_one_keeps_a_row_of_each_group_whatever_its_id(spark):
+    r = random.Random(8)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (5, d), (5, b), (7, d), (7, "é " + c), (1, None), (None, "")]
+    out = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = B.simhash_groups(list(enumerate(t for _, t in rows)))
+    want = Counter(min((i for k, (i, _) in enumerate(rows) if groups[k][1] == g and i is not None), default=None) for g in {g for _, g in groups.values()})
+    assert Counter(x.doc_id for x in out) == want
+    of = {t: groups[k][1] for k, (_, t) in enumerate(rows)}
+    assert sorted(of[x.text] for x in out) == sorted(set(of.values()))
+
+
 def test_fingerprints_within_radius_are_all_linked(spark):
     r = random.Random(4)
     base = [r.getrandbits(64) for _ in range(40)]
