@@ -1,17 +1,20 @@
 """Secret scans: fixed shapes, and a battery of randomness tests for the rest.
 
 Base kinds (leftmost, non-overlapping per kind): assign, access, hex. Every other run of 20 or more
-encoding characters is a candidate. Its encoding is inferred from the characters it has (hex, base32,
-base64), and three tests ask whether it could be random text of that encoding:
+encoding characters is a candidate, unless it is a number: plain text has digits as random as any. Its encoding is the smallest alphabet that has its characters
+(hex, letters of one case, base32, base36, letters, base62, base64), and two nulls are tested:
 
-* chi-squared uniformity of the alphabet, over bins wide enough for the length,
-* Wald-Wolfowitz runs above and below the alphabet's middle,
-* serial correlation of neighbouring symbols.
+* Plain text: a chain over character classes and, within words, over pairs of letters. What is tested
+  is the likelihood of the candidate as random text of its encoding over that as plain text: the
+  frequencies of symbols, the runs of classes and the dependence of neighbours at once. Under the chain
+  the ratio is over 1 / p with a chance of p at most, so p_plain is its inverse, times the encodings.
+* Random text: chi-squared uniformity of the alphabet, over bins wide enough for the length,
+  Wald-Wolfowitz runs about the alphabet's middle, and serial correlation of neighbouring symbols, joined
+  to p_random by Fisher's method. It tells repeats and sequences, which are neither plain nor secret.
 
-Fisher's method joins them to p_random. A word-like candidate is also given p_plain, the chance that
-ordinary text of its length changes character class as often. Within a document the candidates'
-p_plain, weighted by length (longer strings carry more evidence), go through the Benjamini-Hochberg
-step-up at FDR; what is discovered there and keeps p_random over ALPHA is a secret.
+Within a document the candidates' p_plain, weighted by length (longer strings carry more evidence), go
+through the Benjamini-Hochberg step-up at FDR; what is discovered there and keeps p_random over ALPHA is
+a secret. p_random has no part in the step-up: that it is large is no evidence against plain text.
 
 Defined cases: null is the empty text; repeated rows each come back; an empty table gives no rows;
 positions are code points, ends exclusive; candidates that touch a base span are left out.
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 
 from .common import map_texts, narrow
 
-FDR, ALPHA, LEAST, PLAIN_CHANGE = 0.01, 0.001, 20, 0.22
+FDR, ALPHA, LEAST = 0.01, 0.001, 20
 #: The base kinds, in their order.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -37,14 +40,61 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST)
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+UPPER = LOWER.upper()
+#: By size: name, shape, alphabet. Those of one case are read in lower case.
 ENCODINGS = (
     ("hex", re.compile(r"[0-9A-F]+|[0-9a-f]+"), "0123456789abcdef"),
-    ("base32", re.compile(r"[A-Z2-7]+"), "abcdefghijklmnopqrstuvwxyz234567"),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("letters26", re.compile(r"[A-Z]+|[a-z]+"), LOWER),
+    ("base32", re.compile(r"[A-Z2-7]+|[a-z2-7]+"), LOWER + "234567"),
+    ("base36", re.compile(r"[A-Z0-9]+|[a-z0-9]+"), LOWER + "0123456789"),
+    ("letters52", re.compile(r"[A-Za-z]+"), UPPER + LOWER),
+    ("base62", re.compile(r"[A-Za-z0-9]+"), UPPER + LOWER + "0123456789"),
+    ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), UPPER + LOWER + "0123456789+/"),
 )
+MIXED = ("letters52", "base62", "base64")
 #: Strings of the URL-safe alphabet share the last two places.
 VALUES = {name: {c: i for i, c in enumerate(a)} for name, _, a in ENCODINGS}
 VALUES["base64"] |= {"-": 62, "_": 63}
+#: Fixed values of plain text, from the identifiers, paths and words of Python's standard library: half bits of a word's first
+#: letter, of a letter after each letter (rows a to z; 0-9, a-z stand for 0-35), and chances of a class at first and after each class.
+FIRST = "997999ab9eda99a8e976bcbcee"
+PAIRS = (
+    "c988edaeafb688faf676bbdcce 5b8c8dee89e6dd8ae9ad7fef8d 7ecc7de7af78ce5deac6adefdf 8cc93cde5ee9dd7dfa9b8eeecf 9d88cbceefeaa7dac648ecc9cf "
+    "7dba86ce5ef8ed6ef8aa9fefcf 9ecd3da88fe9c8bef87b9defed 4edd4eee7eeccd5ef8c9aeefdf bb8abbafeee8947afa77fbfcfb 8dcd4edcad9dee79edac5fdede "
+    "9dbb3dbe7ee8eadceb7cce8fce 7dda4dee5fe7ee6cfea9aeefae 5aec4eee8febad76feacafffcf 7e877a6e9eccdb7cee86abefdf cb88eccfcfc985a9f6998badee "
+    "6ecc6eec9fe7ee79e6b7bdef7f cdeddfeddfcadceddabe1eddee 7ebb4caf7fccab7df988acdfaf bebe6eda8fdcdeaaee839eefbf 8ecc3df86fecce9cf89abedeae "
+    "b9ac7bbfaff785c8f786eefeff 4eee2dee7efebdcefedeeedfee 6edb8ee94efbc87ef69eedccff ad5c7bed7eecadd6edc5eee99e ccacadeeaeea97c4ec75ebadbc 8edc2ddd6eecbe9deddeeecbca"
+)
+CLASS_FIRST = (0.035, 0.649, 0.219, 0.097)
+CLASS_NEXT = ((0.713, 0.186, 0.041, 0.06), (0.011, 0.87, 0.025, 0.094), (0.019, 0.316, 0.594, 0.071), (0.046, 0.82, 0.111, 0.023))
+MARKS = {"_": 0.83, "-": 0.09, "/": 0.06, "+": 0.02}
+
+
+def chain() -> tuple[dict[str, float], dict[tuple[str, str], float]]:
+    """Natural logarithms of a character's chance at first, and after each character; each sums to 1."""
+    share = lambda row: [x / sum(w) for w in [[2.0 ** (-int(c, 36) / 2) for c in row]] for x in w]
+    first, after = dict(zip(LOWER, share(FIRST))), {a: dict(zip(LOWER, share(row))) for a, row in zip(LOWER, PAIRS.split())}
+
+    def emitted(c: str, prev: str | None) -> float:
+        if c.isdigit():
+            return 0.1
+        if c in MARKS:
+            return MARKS[c]
+        word = prev is None or not prev.isalpha() or prev.islower() and c.isupper()
+        return (first if word else after[prev.lower()])[c.lower()]
+
+    every = [*VALUES["base64"]]
+    scale = [sum(row) for row in (CLASS_FIRST, *CLASS_NEXT)]
+    starts = {c: math.log(CLASS_FIRST[kind(c)] / scale[0] * emitted(c, None)) for c in every}
+    return starts, {(a, b): math.log(CLASS_NEXT[kind(a)][kind(b)] / scale[1 + kind(a)] * emitted(b, a)) for a in every for b in every}
+
+
+def kind(c: str) -> int:
+    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+
+
+STARTS, STEPS = chain()
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -70,7 +120,7 @@ def battery(s: str) -> tuple[str, float, float]:
     body = s.rstrip("=")
     name, alphabet = next((n, a) for n, shape, a in ENCODINGS if shape.fullmatch(body))
     own = VALUES[name]
-    v = [own[c if name == "base64" else c.lower()] for c in body]
+    v = [own[c if name in MIXED else c.lower()] for c in body]
     n, size = len(v), len(alphabet)
     # Uniformity: at least 5 expected in each bin.
     bins = max(2, min(size, n // 5, 16))
@@ -99,19 +149,10 @@ def battery(s: str) -> tuple[str, float, float]:
     else:
         p_serial = 0.0
     p_random = chi2_tail(-2 * sum(math.log(max(p, 1e-300)) for p in (p_uniform, p_runs, p_serial)), 6)
-    # Ordinary strings keep to one class of characters for a while.
-    kinds = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in body]
-    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
-    return name, p_random, binomial_tail(changes, n - 1, PLAIN_CHANGE)
-
-
-def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X >= k)."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs)) if top > -700 else 0.0
+    # Plain text against random text of the encoding.
+    plain = STARTS[body[0]] + sum(map(STEPS.__getitem__, zip(body, body[1:])))
+    ratio = plain + n * math.log(size) + math.log(len(ENCODINGS))
+    return name, p_random, math.exp(min(0.0, ratio))
 
 
 def discoveries(tests: list[tuple[int, float]]) -> list[bool]:
@@ -149,7 +190,7 @@ def random_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str
         a, b = m.span()
         s = m[0]
         k = bisect.bisect_left(starts, b) - 1
-        if k >= 0 and merged[k][1] > a or s.isalpha() or s.rstrip("=").isdigit():
+        if k >= 0 and merged[k][1] > a or s.rstrip("=").isdigit():
             continue
         name, p_random, p_plain = battery(s)
         found.append((name, a, b, p_random, p_plain))

@@ -71,6 +71,17 @@ def test_random_strings_are_secrets_and_words_are_not(spark):
     assert sum(out[i] for i, _ in keys) >= 57 and all(out[i] == 0 for i, _ in plain)
 
 
+@pytest.mark.parametrize("length", [20, 32, 64])
+def test_lone_secrets_of_each_encoding_are_found(length):
+    r = random.Random(length)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for letters in (lower.upper() + "234567", digits + "ABCDEF", lower + lower.upper(), lower, lower.upper(), lower + digits, lower + lower.upper() + digits + "+/"):
+        texts = [("key " + "".join(r.choice(letters) for _ in range(length))).encode() for _ in range(100)]
+        assert sum(secret_scan.scan(t)[3] for t in texts) >= 94
+    plain = ["Verkehrsinfrastrukturfinanzierungsgesellschaft", "anticonstitutionnellement", "electroencefalografista", "CONFIGURATION_SETTINGS_DEFAULT", "abstractSingletonProxyFactoryBean", "0123456789" * 3, "4938210475610293847561"]
+    assert all(secret_scan.scan(w.encode())[3] == 0 for w in plain)
+
+
 @pytest.mark.parametrize("which", ["docs", "hard", "empty"])
 def test_personal_data(request, which):
     df = request.getfixturevalue(which)
