@@ -6,10 +6,11 @@ the lengths of the matches and of the pieces between them, so nothing but built-
 Around each match, the NEAR nearest words before and after are its context. Over the whole corpus, a
 word's occurrences next to an entity against all its occurrences estimate how surely the word names the
 entity (posterior), and the logarithm of posterior over the entity's share of all entities is what it
-reveals in bits. A word met in at least LEAST different contexts of an entity is removed from them if
-its posterior is REMOVE or more, generalised if it is GENERALISE or more, and always only if it reveals
-BITS or more. Words are pre-aggregated before each shuffle; words that are in no candidate pair are
-left out of the corpus count by a bitmap of fixed size before they are aggregated.
+reveals in bits. A word met in at least LEAST different contexts of an entity is removed if its posterior
+is REMOVE or more and generalised to its initial if it is GENERALISE or more; that holds for entities of
+any share, and for every occurrence of the word in any text. Words are pre-aggregated before each
+shuffle; words that are in no candidate pair are left out of the corpus count by a bitmap of fixed size
+before they are aggregated, and occurrences are found by another such bitmap of the disclosing terms.
 
 Defined cases: null is the empty text; repeated rows each come back; positions are code points, ends
 exclusive; an empty table gives no rows; without entities there are no terms.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import checkpointed, fixed_array, narrow
+from .common import checkpointed, fixed_array, narrow, sealed
 
 #: The base kinds in their order. Possessive forms and look-behinds only spare backtracking.
 KINDS = {
@@ -30,9 +31,11 @@ KINDS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-NEAR, REACH, LEAST, GENERALISE, REMOVE, BITS = 4, 120, 3, 0.5, 0.8, 6.0
+NEAR, REACH, LEAST, GENERALISE, REMOVE = 4, 120, 3, 0.5, 0.8
 WORD = r"[\p{L}\p{M}]{3,}+"
 SLOT_BITS = 1 << 20
+#: Span kinds of terms, in their order after the base kinds: those removed, and those generalised.
+TERMS = ("term", "term_generalised")
 
 
 def valid() -> Column:
@@ -82,32 +85,59 @@ def context(found: DataFrame) -> DataFrame:
     return rows[0].union(rows[1])
 
 
+def bitmap_of(terms: DataFrame) -> Column:
+    """The slots of the terms as an array of longs; marked() asks it."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(SLOT_BITS))
+    bits = terms.select(slot.alias("b")).groupBy(F.expr("b div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    return fixed_array(bits, SLOT_BITS // 64).scalar()
+
+
+def marked(term: str) -> str:
+    """SQL: whether the slot of term is set in the column bits."""
+    return f"(shiftrightunsigned(bits[pmod(xxhash64({term}), {SLOT_BITS}) div 64], cast(pmod(xxhash64({term}), {SLOT_BITS}) % 64 as int)) & 1) = 1"
+
+
 def disclosing(texts: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     """term, entity, posterior, bits, action of the pairs over the thresholds."""
     pairs = near.groupBy("term", "entity", "context").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
     pairs = checkpointed(pairs.where(F.col("contexts") >= LEAST))
-    slot = F.pmod(F.xxhash64("term"), F.lit(SLOT_BITS))
-    bits = pairs.select(slot.alias("b")).groupBy(F.expr("b div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    bitmap = fixed_array(bits, SLOT_BITS // 64)
-    words = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("term")).withColumn("bits", bitmap.scalar())
-    may = F.expr(f"(shiftrightunsigned(bits[pmod(xxhash64(term), {SLOT_BITS}) div 64], cast(pmod(xxhash64(term), {SLOT_BITS}) % 64 as int)) & 1) = 1")
-    total = words.where(may).groupBy("term").agg(F.count("*").alias("everywhere"))
+    words = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("term")).withColumn("bits", bitmap_of(pairs))
+    total = words.where(F.expr(marked("term"))).groupBy("term").agg(F.count("*").alias("everywhere"))
     entities = found.select(entity().alias("entity")).groupBy("entity").agg(F.count("*").alias("times"))
     all_ = entities.agg(F.sum("times").alias("all"))
     told = pairs.join(total, "term").join(entities, "entity").withColumn("all", all_.scalar())
     told = told.withColumn("posterior", F.least(F.lit(1.0), F.col("together") / F.col("everywhere"))).withColumn("bits", F.log2(F.col("posterior") / (F.col("times") / F.col("all"))))
-    told = told.where((F.col("posterior") >= GENERALISE) & (F.col("bits") >= BITS))
-    return told.select("term", "entity", "posterior", "bits", F.when(F.col("posterior") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+    return told.where(F.col("posterior") >= GENERALISE).select("term", "entity", "posterior", "bits", F.when(F.col("posterior") >= REMOVE, "remove").otherwise("generalise").alias("action"))
+
+
+def occurrences(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """doc_id, th, k, start, end, kind: every place of a disclosing term; terms has term and kind.
+
+    Words of unset slots are passed over in place; each of the rest carries the length of the text since the
+    one before, and a running sum over them gives the places.
+    """
+    w = sealed(texts.withColumn("w", F.regexp_extract_all("text", F.lit(r"[\p{L}\p{M}]++"), F.lit(0))).withColumn("bits", bitmap_of(terms)), "w")
+    w = w.withColumn("h", F.expr(f"filter(sequence(0, size(w)), i -> i < size(w) and coalesce({marked('lower(get(w, i))')}, false))"))
+    w = sealed(w.drop("bits"), "h").where("size(h) > 0").withColumn("lens", F.expr(r"zip_with(w, slice(split(text, '[\\p{L}\\p{M}]++', -1), 1, size(w)), (x, g) -> length(x) + length(g))"))
+    w = sealed(w.drop("text"), "lens")
+    size = "aggregate(slice(lens, if(n = 0, 0, h[n - 1] + 1) + 1, i - if(n = 0, -1, h[n - 1])), 0L, (a, x) -> a + x)"
+    rows = w.select("doc_id", "th", F.posexplode(F.expr(f"transform(h, (i, n) -> struct(w[i] as word, {size} as size))")).alias("i", "r"))
+    # Rows of one id and text have the same words: each is kept once. One shuffle serves this and the running sum.
+    rows = rows.select("doc_id", "th", "i", "r.word", "r.size").repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "i"])
+    upto = Window.partitionBy("doc_id", "th").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("end", F.sum("size").over(upto)).withColumn("term", F.lower("word")).join(terms, "term")
+    k = F.when(F.col("kind") == TERMS[0], len(KINDS)).otherwise(len(KINDS) + 1)
+    return rows.select("doc_id", "th", k.alias("k"), (F.col("end") - F.length("word")).alias("start"), "end", "kind")
 
 
 def spans_of(texts: DataFrame) -> DataFrame:
-    """doc_id, th, spans: per text with any, a sorted list of (k, start, end, kind); terms have k = 4."""
+    """doc_id, th, spans: per text with any, a sorted list of (k, start, end, kind); terms have k = 4, generalised ones 5."""
     found = checkpointed(matches(texts))
-    near = context(found)
-    flagged = near.join(disclosing(texts, near, found), ["term", "entity"])
+    told = disclosing(texts, context(found), found)
+    # A term that names several entities is removed if it is to be removed for one.
+    terms = checkpointed(told.groupBy("term").agg(F.when(F.max("posterior") >= REMOVE, TERMS[0]).otherwise(TERMS[1]).alias("kind")))
     every = found.select("doc_id", "th", "k", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "kind")
-    terms = flagged.select("doc_id", "th", F.lit(len(KINDS)).alias("k"), "start", "end", F.lit("term").alias("kind")).distinct()
-    every = every.unionByName(terms)
+    every = every.unionByName(occurrences(texts, terms))
     return every.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("k", "start", "end", "kind"))).alias("found"))
 
 
@@ -122,17 +152,20 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     out = texts.select("doc_id", "th").join(s, F.col("doc_id").eqNullSafe(F.col("__qs_id")) & (F.col("th") == F.col("__qs_th")), "left")
     out = out.select("doc_id", F.coalesce("found", F.array().cast("array<struct<k:int,start:bigint,end:bigint,kind:string>>")).alias("found"))
     told = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.expr(f"size(filter(found, s -> s.kind = '{kind}'))").cast("long").alias(f"n_{kind}") for kind in (*KINDS, "term")]
+    counts = [F.expr(f"size(filter(found, s -> s.kind like '{kind}%'))").cast("long").alias(f"n_{kind}") for kind in (*KINDS, "term")]
     return out.select("doc_id", *counts, F.sha2(told(F.filter("found", lambda s: s["k"] < len(KINDS))), 256).alias("base_sha256"), told("found").alias("spans"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with <EMAIL>, <IP>, <CARD>, <PHONE> and <TERM> in place of what was found."""
+    """docs, all columns, with <EMAIL>, <IP>, <CARD>, <PHONE> and <TERM> in place of what was found.
+
+    Of a generalised term its initial and * stay, which all words of that initial have in common.
+    """
     texts = ready(docs, id_col, text_col)
     s = spans_of(texts).select(F.col("doc_id").alias("__qs_id"), F.col("th").alias("__qs_th"), F.expr("array_sort(transform(found, s -> struct(s.start as start, s.end as end, s.kind as kind)))").alias("__qs_found"))
     out = docs.join(s, F.col(id_col).eqNullSafe(F.col("__qs_id")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__qs_th")), "left")
     # Spans that overlap one already written only move the end.
     written = f"""aggregate(__qs_found, struct(0L as at, '' as out),
-        (a, s) -> if(s.start >= a.at, struct(s.end as at, concat(a.out, substring(`{text_col}`, int(a.at + 1), int(s.start - a.at)), '<', upper(s.kind), '>') as out), struct(greatest(a.at, s.end) as at, a.out as out)),
+        (a, s) -> if(s.start >= a.at, struct(s.end as at, concat(a.out, substring(`{text_col}`, int(a.at + 1), int(s.start - a.at)), if(s.kind = '{TERMS[1]}', concat(substring(`{text_col}`, int(s.start + 1), 1), '*'), concat('<', upper(s.kind), '>'))) as out), struct(greatest(a.at, s.end) as at, a.out as out)),
         a -> concat(a.out, substring(`{text_col}`, int(a.at + 1))))"""
     return out.withColumn(text_col, F.when(F.col("__qs_found").isNull(), F.col(text_col)).otherwise(F.expr(written))).select(*docs.columns)

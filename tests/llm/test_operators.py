@@ -101,6 +101,31 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert "zeb@" not in clean[0] and "Zebulon" not in clean[0] and "<EMAIL>" in clean[0] and clean[12] == data[8][1]
 
 
+def test_terms_of_an_entity_of_any_share_are_found_everywhere(spark):
+    data = [(i, f"call Zebulon near quarry {i} zeb@example.org") for i in range(6)]
+    data += [(10 + i, f"x {i} u{i}@example.org") for i in range(12)]  # a third of all matches are one entity
+    data += [(30, "é QUARRY, then: Quarry.\nquarryman Zebulon\U0001f600"), (31, "Zebulon"), (32, "quarry"), (33, None), (34, "nothing here"), (None, "zebulon"), (31, "Zebulon")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    found = {(r.doc_id, t): r for r, (_, t) in ((r, x) for r in pii.find(df).collect() for x in data if x[0] == r.doc_id)}
+    want = Counter()
+    for i, t in data:
+        for m in re.finditer(r"[^\W\d_]+", t or ""):
+            want[i, m[0].lower(), m.start(), m.end()] += m[0].lower() in ("zebulon", "quarry")
+    got = Counter()
+    for r in pii.find(df).collect():
+        text = next(t for i, t in data if i == r.doc_id)
+        for kind, a, b in (x.split(":") for x in r.spans.split(",") if x.startswith("term")):
+            word = text[int(a) : int(b)].lower()
+            if word in ("zebulon", "quarry"):
+                got[r.doc_id, word, int(a), int(b)] += 1
+                assert kind == "term_generalised"
+    assert +want == +got and found[34, "nothing here"].n_term == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[34] == "nothing here" and clean[33] is None
+    # zebulon: 6 of 10 occurrences stand next to the entity, quarry: 6 of 9; both are in the middle band.
+    assert clean[31] == "Z*" and clean[30] == "é Q*, then: Q*.\nquarryman Z*\U0001f600" and clean[0] == "<TERM> Z* <TERM> q* 0 <EMAIL>"
+
+
 def test_classifier(spark, sf_dir, hard, empty):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     net = quality_classifier.train(docs, labels)
