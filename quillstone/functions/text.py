@@ -60,11 +60,12 @@ def terms(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
-def tokens(c: Column | str, cap: int = 10_000) -> Column:
-    """Distinct words in order of first occurrence; runs of CJK give characters and pairs (F1)."""
+def tokens(c: Column | str, cap: int | None = None) -> Column:
+    """Distinct words in order of first occurrence, the first cap of them if one is given; runs of CJK give characters and pairs (F1)."""
     text = F.lower(_c(c))
     pairs = F.regexp_extract_all(text, F.lit(f"(?=([{CJK}]{{2}}))"), F.lit(1))
-    return F.slice(F.array_distinct(F.concat(terms(text), F.when(has_cjk(text), pairs).otherwise(F.array().cast("array<string>")))), 1, cap)
+    found = F.array_distinct(F.concat(terms(text), F.when(has_cjk(text), pairs).otherwise(F.array().cast("array<string>"))))
+    return found if cap is None else F.slice(found, 1, cap)
 
 
 def ascii_terms(c: Column | str) -> Column:

@@ -8,11 +8,12 @@ Ties are broken by id throughout. Query sides are joined as shuffles decide; onl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -90,16 +91,23 @@ def all_terms(queries: DataFrame, posts: DataFrame) -> DataFrame:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine neighbours.
 
-    queries (query_id, embedding) is collected after its size is checked and goes to each task, which
-    multiplies it with a batch of vectors and hands on only each batch's k best per query, so what is
-    shuffled is bounded by batches times k. Beyond MAX_QUERIES the queries are run in slices.
+    queries (query_id, embedding) is fetched by id in slices of MAX_QUERIES, of which the driver holds one
+    at a time. A slice goes to each task of its own pass over the vectors, which multiplies it with a batch,
+    block * 1024 scores at a time, and hands on only each batch's k best per query, so what is shuffled is
+    bounded by batches times k.
     """
-    spark = vectors.sparkSession
-    rows = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries in one call; split them")
-    if not rows:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
+    near = None
+    while part := list(islice(rows, MAX_QUERIES)):
+        found = vector_slice(part, vectors, k, block)
+        near = found if near is None else near.union(found)
+    if near is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    return top_k(near, k, tie="vec_id")
+
+
+def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of each batch of vectors for each of the queries."""
     width = max(len(r.embedding) for r in rows)
     unit = np.zeros((len(rows), width))
     for i, r in enumerate(rows):
@@ -107,7 +115,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 40
         n = np.sqrt((v * v).sum())
         unit[i, : len(v)] = v / n if n else 0
     ids = np.array([r.query_id for r in rows])
-    shared = spark.sparkContext.broadcast((ids, unit, [len(r.embedding) for r in rows]))
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit, [len(r.embedding) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, q, sizes = shared.value
@@ -119,16 +127,18 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 40
                 if x and len(x) <= q.shape[1]:
                     m[i, : len(x)] = x
             norm = np.sqrt((m * m).sum(1))
-            s = np.clip(q @ (m / np.where(norm == 0, 1, norm)[:, None]).T, -1, 1)
-            s[sizes[:, None] != have[None, :]] = 0
+            m = (m / np.where(norm == 0, 1, norm)[:, None]).T
             best = min(k, len(v))
             if not best:
                 continue
-            order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, best)), pa.array(vid[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "vec_id", "score"])
-
-    near = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
-    return top_k(near, k, tie="vec_id")
+            step = max(1, block * 1024 // len(v))
+            for at in range(0, len(q), step):
+                s = np.clip(q[at : at + step] @ m, -1, 1)
+                s[sizes[at : at + step, None] != have[None, :]] = 0
+                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at : at + step], best)), pa.array(vid[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 MAX_QUERIES = 10_000

@@ -58,6 +58,15 @@ def test_vector_top_k_ties_and_shapes(spark):
     assert [r.vec_id for r in R.vector_top_k(q, v, 2).orderBy("rank").collect()] == [1, 2]
 
 
+def test_vector_top_k_takes_queries_in_slices(spark, sf_dir, monkeypatch):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").limit(45)
+    q = e.select((F.col("vec_id").cast("long") / 2).cast("long").alias("query_id"), "embedding")  # ids come twice
+    rows = lambda **b: sorted((r.query_id, r.vec_id, round(r.score, 6)) for r in R.vector_top_k(q, e, 5, **b).collect())
+    whole = rows()
+    monkeypatch.setattr(R, "MAX_QUERIES", 7)
+    assert whole == rows() == rows(block=0) and len({r[0] for r in whole}) > 7
+
+
 def test_partition_count_does_not_matter(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")

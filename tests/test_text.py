@@ -24,6 +24,12 @@ def test_query_type(spark, q, want):
     assert one(spark, Q.query_type("q"), q=q) == want
 
 
+def test_tokens_are_all_of_a_text(spark):
+    words = [f"w{i}" for i in range(12_000)]
+    assert one(spark, X.tokens("t"), t=" ".join(words)) == words
+    assert one(spark, X.tokens("t", 2), t="a b a c") == ["a", "b"]
+
+
 def test_trigrams(spark):
     assert len(one(spark, X.trigrams("t"), t="abc")) == 5
     assert len(one(spark, X.trigrams("t"), t="a")) == 3
