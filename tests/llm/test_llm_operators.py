@@ -27,7 +27,9 @@ def rows(df, *columns):
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").cache()
+    df = table(spark, sf_dir, "documents").cache()
+    yield df
+    df.unpersist(blocking=True)
 
 
 @pytest.mark.parametrize("which", ["docs", "hard", "empty"])

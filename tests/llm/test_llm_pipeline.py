@@ -35,4 +35,6 @@ def test_run(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert out.count() == len(clean)
     assert out.agg(F.min("n_tokens")).first()[0] >= 0
+    lined.unpersist()
+    one.unpersist()
     assert P.ORACLE_SQL is None and [n for n, _ in P.STAGES] == ["quality_classifier", "line_dedup", "simhash_near_dedup", "decontamination", "bpe"]
