@@ -45,5 +45,6 @@ def test_entry(spark):
 
 
 def test_no_cartesian_and_pruned_scan(spark, sf_dir):
+    spark.catalog.clearCache()
     plan = catalogue.q01_keyword_search(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "n_chars" not in plan
