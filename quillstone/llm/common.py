@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Only where that setting is absent (tests, one machine) is a folder chosen here.
+    Where that setting is absent a local folder serves on a local master; on a cluster it is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/quillstone"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/checkpoints/quillstone"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -33,6 +36,36 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Spark's own setting by which a query's shuffle files go as soon as the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """Tables of one job in the shared checkpoint folder: each cuts the lineage, survives lost executors, and
+    is dropped by its owner once later ones stand. The shuffle files behind a table go when it is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, f"{self.folder}/{name}")
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id and text alone, so that no other column of the input can clash with what is added."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -68,17 +101,6 @@ def map_texts(docs: DataFrame, make_kernel: Callable[[], Callable[[bytes | None]
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {id_type}, {ddl}")
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of finished steps go.
-
-    Spark's cleaner drops them once both Python and the driver's JVM have let go of the DataFrames that
-    used them; a JVM with much memory may not look for long, so it is asked to. Nothing that is still
-    referenced is touched.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 #: What a kernel of replace_texts() returns for a row that goes.
 DROP = b"\xff<drop>"
 
@@ -111,11 +133,12 @@ def sealed(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*rest, F.inline_outer(F.array(F.struct(*columns))))
 
 
-def fixed_array(values: DataFrame, size: int) -> DataFrame:
-    """One row: an array of size longs from rows (slot, v), 0 where there is none."""
-    full = values.sparkSession.range(size, numPartitions=1).select(F.col("id").alias("slot")).join(values, "slot", "left")
-    packed = full.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("v", F.lit(0)).alias("v")))).alias("a"))
-    return checkpointed(packed.select(F.expr("transform(a, x -> x.v)").alias("a")))
+def fixed_array(values: DataFrame, size: int, kind: str = "bigint", chunk: int = 1 << 14) -> DataFrame:
+    """One row: an array of size numbers from rows (slot, v), 0 where there is none; put together by chunks."""
+    full = values.sparkSession.range(size).select(F.col("id").alias("slot")).join(values, "slot", "left")
+    rows = full.select((F.col("slot") / chunk).cast("long").alias("c"), F.struct("slot", F.coalesce("v", F.lit(0)).cast(kind).alias("v")).alias("x"))
+    parts = rows.groupBy("c").agg(F.expr("transform(array_sort(collect_list(x)), x -> x.v)").alias("a"))
+    return checkpointed(parts.agg(F.expr("flatten(transform(array_sort(collect_list(struct(c, a))), x -> x.a))").alias("a")))
 
 
 def components(edges: DataFrame) -> DataFrame:
