@@ -294,8 +294,8 @@ def test_suffix_dedup_hot_passage(spark):
     data = [(i, letters(r.randint(0, 300)) + passage[r.randint(0, 40) :] + letters(r.randint(0, 300))) for i in range(60)] + [(99, "ab" * 900), (100, "z" * 2000)]
     df = spark.createDataFrame(data, "doc_id long, text string")
     want = Counter((i, *x) for (i, _), x in zip(data, B.repeats([t for _, t in data])))
-    for block in (suffix_dedup.BLOCK, 3000):
-        assert rows(suffix_dedup.remove_repeats(df, block=block), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+    for block, hot in ((suffix_dedup.BLOCK, suffix_dedup.HOT), (3000, suffix_dedup.HOT), (3000, 3000)):
+        assert rows(suffix_dedup.remove_repeats(df, block=block, hot=hot), "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
 
 
 def test_run_length_index():
@@ -312,8 +312,60 @@ def test_run_length_index():
             if len(b) >= 400:
                 bodies.append(bytes(b))
         count = Counter(b[i : i + 400] for b in bodies for i in range(len(b) - 399))
-        for b, marks in zip(bodies, suffix_dedup.repeats_in(bodies) if bodies else []):
-            assert marks.tolist() == [count[b[i : i + 400]] > 1 for i in range(len(b) - 399)]
+        index = suffix_dedup.RunLengthIndex(bodies)
+        assert index.lengths.sum() == len(index.text) and (index.heads[1:] != index.heads[:-1]).all()
+        for b, (first, last, _, _) in zip(bodies, index.marks([(len(b) - 399, False, True) for b in bodies])):
+            marked = {k for x, y in zip(first.tolist(), last.tolist()) for k in range(x, y + 1)}
+            assert marked == {i for i in range(len(b) - 399) if count[b[i : i + 400]] > 1}
+
+
+def test_matching_statistics():
+    r = random.Random(13)
+    for _ in range(30):
+        bodies = ["".join(r.choice("ab") for _ in range(r.randint(1, 30))).encode() for _ in range(r.randint(1, 6))]
+        index = suffix_dedup.RunLengthIndex(bodies)
+        text = index.text.tolist()
+        agree = lambda i, j: next(k for k in range(len(text) + 1) if max(i, j) + k >= len(text) or text[i + k] != text[j + k])
+        want = [max((agree(i, j) for j in range(len(text)) if j != i), default=0) for i in range(len(text))]
+        assert index.matching_statistics().tolist() == want
+
+
+def plain_passages(texts):
+    """Runs of bytes in repeated strings of 400 bytes or in repeated passages: 50 words and the space behind them, 240 to 399 bytes."""
+    raw = [(t or "").encode() for t in texts]
+    count = Counter(b[i : i + 400] for b in raw for i in range(len(b) - 399))
+    starts = [[m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)] for b in raw]
+    passages = [[(x, y) for x, y in zip(at, at[50:]) if 240 <= y - x < 400] for at in starts]
+    again = Counter(b[x:y] for b, own in zip(raw, passages) for x, y in own)
+    out = []
+    for b, own in zip(raw, passages):
+        hit = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if count[b[i : i + 400]] > 1:
+                hit[i : i + 400] = b"\1" * 400
+        for x, y in own:
+            if again[b[x:y]] > 1:
+                hit[x:y] = b"\1" * (y - x)
+        out.append(len(re.findall(b"\1+", bytes(hit))))
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "hard", "empty"])
+def test_repeated_passages(request, which):
+    df = request.getfixturevalue(which)
+    data = pairs(df)
+    want = Counter((i, n) for (i, _), n in zip(data, plain_passages([t for _, t in data])))
+    assert rows(suffix_dedup.remove_repeats(df), "n_passages") == want
+
+
+def test_passage_of_sixty_words_in_two_texts(spark):
+    own = lambda seed, n: " ".join(f"{w}{k}" for k, w in enumerate(random.Random(seed).choices(["lorem", "ips", "dol", "am"], k=n)))
+    passage = " ".join(random.Random(7).choices(["alpha", "beta", "gamma", "delta", "eps"], k=60))
+    data = [(1, f"{own(1, 80)} {passage} {own(2, 30)}"), (2, f"{own(3, 20)} {passage}"), (3, own(4, 150)), (4, f"{own(5, 40)} {passage[:220]}")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for hot in (suffix_dedup.HOT, 300):
+        got = {r.doc_id: (r.n_removed, r.n_passages) for r in suffix_dedup.remove_repeats(df, hot=hot).collect()}
+        assert got == {1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0)}
 
 
 ITEMS = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "short item"), (3, None), (4, "..."), (None, "one two"), (1, "again other words for item one"), (5, "word1 word2")]
