@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Size of a bitmap of documents.
+DOC_BITS = 1 << 23
 #: Output rows and bytes after which a text kernel hands over an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
@@ -141,6 +143,18 @@ def fixed_array(values: DataFrame, size: int, kind: str = "bigint", chunk: int =
     return checkpointed(parts.agg(F.expr("flatten(transform(array_sort(collect_list(struct(c, a))), x -> x.a))").alias("a")))
 
 
+def doc_bitmap(rows: DataFrame) -> Column:
+    """A bitmap of the rows' doc_id and th, as an array of longs."""
+    b = rows.select(F.xxhash64("doc_id", "th").bitwiseAND(F.lit(DOC_BITS - 1)).alias("b"))
+    return fixed_array(b.groupBy(F.expr("b div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")), DOC_BITS // 64).scalar()
+
+
+def marked_by(texts: DataFrame, bits: Column) -> DataFrame:
+    """texts with maybe: whether the bitmap has them."""
+    t = texts.withColumn("bits", bits).withColumn("b", F.xxhash64("doc_id", "th").bitwiseAND(F.lit(DOC_BITS - 1)))
+    return t.withColumn("maybe", F.expr("(shiftrightunsigned(bits[b div 64], cast(b % 64 as int)) & 1) = 1")).drop("bits", "b")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node of node's connected component; edges has long a, b.
 

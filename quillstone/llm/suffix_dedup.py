@@ -36,18 +36,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fixed_array, narrow
+from .common import Scratch, doc_bitmap, marked_by, narrow
 
-LONG, FIND, WORDS, GRAM, BLOCK = 400, 240, 50, 32, 700_000
+LONG, FIND, WORDS, GRAM, BLOCK = 400, 240, 50, 64, 700_000
 #: Bytes of one anchor's classes up to which it is indexed, and places that are compared at a time: both bound a task's memory.
 HOT, LANES = 3_000_000, 1 << 17
 SPAN = FIND - GRAM + 1
 PIECE = 1 << 20
 PLACE = np.uint64((1 << 21) - 1)
-DOC_BITS = 1 << 23
 SPACES = np.zeros(257, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Symbols that are compared at a time.
@@ -215,27 +214,35 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     n = len(text)
     bits = np.uint64(max(1, (n - 1).bit_length()))
     mask = np.uint64((1 << int(bits)) - 1)
-    length = min(n, (64 - int(bits)) // 9)
     inside = text < 256
-    own = np.where(inside, text + 1, 0).astype(np.uint64)
+    # 255 is no byte of UTF-8 and can stand for 0, so that 0 is free for end symbols.
+    wide = 8 if not (text == 255).any() else 9
+    own = np.where(inside, text + 1 if wide == 9 else np.where(text == 0, 255, text), 0).astype(np.uint64)
+    length = min(n, (64 - int(bits)) // wide)
     key, at, going = np.zeros(n, np.uint64), np.arange(n, dtype=np.uint64), np.ones(n, bool)
     for j in range(length):
-        key <<= np.uint64(9)
-        key[: n - j] |= np.where(going[: n - j], own[j:], np.uint64(0))
+        key <<= np.uint64(wide)
+        key[: n - j] |= own[j:] * going[: n - j]
         going[: n - j] &= inside[j:]
     alone = ~going
+    rank, new = np.empty(n, np.uint32), np.empty(n, bool)
     while True:
-        key = np.sort((key << bits) | at)
+        key <<= bits
+        key |= at
+        key.sort()
         order = (key & mask).astype(np.int64)
         key >>= bits
-        new = np.empty(n, np.uint32)
-        new[0], new[1:] = 0, (key[1:] != key[:-1]) | alone[order[1:]]
+        new[0] = False
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        if alone is not None:
+            new[1:] |= alone[order[1:]]
+            alone = None
         place = np.cumsum(new, dtype=np.uint32)
         if place[-1] == n - 1:
             return order
-        rank = np.empty(n, np.uint32)
         rank[order] = place
-        key = rank.astype(np.uint64) << bits
+        key = rank.astype(np.uint64)
+        key <<= bits
         key[: n - length] |= rank[length:]
         length *= 2
 
@@ -353,18 +360,6 @@ def single_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, STRINGS)], names=[c for c, _ in STRINGS])
 
 
-def bitmap(rows: DataFrame) -> Column:
-    """A bitmap of the rows' doc_id and th, as an array of longs."""
-    b = rows.select(F.xxhash64("doc_id", "th").bitwiseAND(F.lit(DOC_BITS - 1)).alias("b"))
-    return fixed_array(b.groupBy(F.expr("b div 64").alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v")), DOC_BITS // 64).scalar()
-
-
-def marked_by(texts: DataFrame, bits: Column) -> DataFrame:
-    """texts with maybe: whether the bitmap has them."""
-    t = texts.withColumn("bits", bits).withColumn("b", F.xxhash64("doc_id", "th").bitwiseAND(F.lit(DOC_BITS - 1)))
-    return t.withColumn("maybe", F.expr("(shiftrightunsigned(bits[b div 64], cast(b % 64 as int)) & 1) = 1")).drop("bits", "b")
-
-
 def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """(doc_id, th, first, last, word_first, word_last): per text the runs of repeated starts, of strings and of passages."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -386,7 +381,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, block: int = BLOCK, hot: i
     places = open_.join(sizes, "a").groupBy("one.doc_id", "one.th").agg(F.collect_list(F.struct("a", "s", "n", (F.col("times") > 1).alias("copied"), "hot", "one.at")).alias("spans"))
     places = scratch.put("places", places)
     near = (F.col("t.doc_id").eqNullSafe(F.col("p.doc_id"))) & (F.col("t.th") == F.col("p.th"))
-    held = marked_by(texts, bitmap(places)).where("maybe").drop("maybe")
+    held = marked_by(texts, doc_bitmap(places)).where("maybe").drop("maybe")
     bodies = held.alias("t").join(places.alias("p"), near).select("text", "spans").mapInArrow(cut_spans, BODY_DDL)
     bodies = scratch.put("bodies", bodies)
     scratch.drop("places")
@@ -416,7 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = narrow(docs, id_col, text_col)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     runs = repeated_spans(docs, Scratch(docs.sparkSession, "repeats"), block, hot)
-    texts = marked_by(keyed(docs), bitmap(runs))
+    texts = marked_by(keyed(docs), doc_bitmap(runs))
     near = (F.col("t.doc_id").eqNullSafe(F.col("r.doc_id"))) & (F.col("t.th") == F.col("r.th"))
     lists = ("first", "last", "word_first", "word_last")
     joined = texts.where("maybe").alias("t").join(runs.alias("r"), near, "left").select("t.doc_id", "text", *lists)
