@@ -54,22 +54,23 @@ def entity() -> Column:
 
 
 def matches(texts: DataFrame) -> DataFrame:
-    """doc_id, th, k (place of the kind), kind, start, end, match, before and after (neighbouring text), cut_before, cut_after."""
+    """doc_id, th, k (place of the kind), kind, start, end, match, before and after (neighbouring text), cut_before, cut_after, rows (that have it)."""
     may = {"email": F.col("text").contains("@"), "phone": F.col("text").contains("+")}
     found = texts.select("doc_id", "th", "text", *(F.when(may.get(kind, F.lit(True)), F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(F.array().cast("array<string>")).alias(kind) for kind, p in KINDS.items()))
     kinds = [F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), F.col(kind).alias("m"), F.when(F.size(kind) > 0, F.split("text", p, -1)).alias("gaps")) for k, (kind, p) in enumerate(KINDS.items())]
     some = found.where(" or ".join(f"size({kind}) > 0" for kind in KINDS)).select("doc_id", "th", F.explode(F.array(*kinds)).alias("x")).where("size(x.m) > 0")
     rows = some.select("doc_id", "th", "x.k", "x.kind", F.posexplode(F.arrays_zip("x.m", F.expr("slice(x.gaps, 1, size(x.m))").alias("gap"), F.expr("slice(x.gaps, 2, size(x.m))").alias("next"))).alias("i", "r"))
     rows = rows.select("doc_id", "th", "k", "kind", "i", F.col("r.m").alias("match"), (F.length("r.gap") + F.length("r.m")).cast("long").alias("size"), F.right("r.gap", F.lit(REACH)).alias("before"), F.left("r.next", F.lit(REACH)).alias("after"), (F.length("r.gap") > REACH).alias("cut_before"), (F.length("r.next") > REACH).alias("cut_after"))
-    # Rows of one id and text have the same matches: each is kept once. One shuffle serves this and the running sum.
-    rows = rows.repartition("doc_id", "th").dropDuplicates(["doc_id", "th", "k", "i"])
+    # Rows of one id and text have the same matches: each is kept once, with their number. One shuffle serves this and the running sum.
+    rest = [c for c in rows.columns if c not in ("doc_id", "th", "k", "i")]
+    rows = rows.repartition("doc_id", "th").groupBy("doc_id", "th", "k", "i").agg(*(F.first(c).alias(c) for c in rest), F.count("*").alias("rows"))
     upto = Window.partitionBy("doc_id", "th", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum("size").over(upto)).withColumn("start", F.col("end") - F.length("match"))
     return rows.where(valid()).drop("i", "size")
 
 
 def context(found: DataFrame) -> DataFrame:
-    """doc_id, th, entity, context, start, end, term: the NEAR words on either side of each match."""
+    """doc_id, th, entity, start, end, term, context, rows: the NEAR words on either side of each match."""
     placed = "transform(filter(sequence(1, greatest(1, size(w))), k -> k <= size(w)), k -> struct(get(w, k - 1) as word, length(array_join(slice(g, 1, k), '')) + length(array_join(slice(w, 1, k - 1), '')) as at))"
     rows = []
     for side in ("before", "after"):
@@ -81,8 +82,9 @@ def context(found: DataFrame) -> DataFrame:
             r = r.withColumn("p", F.expr(f"slice(filter(p, e -> not (cut_after and e.at + length(e.word) = {REACH})), 1, {NEAR})"))
             start = F.col("end") + F.col("e.at")
         r = r.withColumn("e", F.explode("p"))
-        rows.append(r.select("doc_id", "th", entity().alias("entity"), F.xxhash64("before", "after").alias("context"), start.cast("long").alias("start"), (start + F.length("e.word")).cast("long").alias("end"), F.lower("e.word").alias("term")))
-    return rows[0].union(rows[1])
+        rows.append(r.select("doc_id", "th", entity().alias("entity"), F.struct(F.lit(side), F.xxhash64("before", "after").alias("h")).alias("context"), start.cast("long").alias("start"), (start + F.length("e.word")).cast("long").alias("end"), F.lower("e.word").alias("term"), "rows"))
+    # A word between two matches of one entity is one occurrence, in the context of the first.
+    return rows[0].union(rows[1]).groupBy("doc_id", "th", "entity", "start", "end", "term").agg(F.min("context")["h"].alias("context"), F.first("rows").alias("rows"))
 
 
 def bitmap_of(terms: DataFrame) -> Column:
@@ -99,14 +101,14 @@ def marked(term: str) -> str:
 
 def disclosing(texts: DataFrame, near: DataFrame, found: DataFrame) -> DataFrame:
     """term, entity, posterior, bits, action of the pairs over the thresholds."""
-    pairs = near.groupBy("term", "entity", "context").agg(F.count("*").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
+    pairs = near.groupBy("term", "entity", "context").agg(F.sum("rows").alias("n")).groupBy("term", "entity").agg(F.sum("n").alias("together"), F.count("*").alias("contexts"))
     pairs = checkpointed(pairs.where(F.col("contexts") >= LEAST))
     words = texts.select(F.explode(F.split(F.lower("text"), r"[^\p{L}\p{M}]+")).alias("term")).withColumn("bits", bitmap_of(pairs))
     total = words.where(F.expr(marked("term"))).groupBy("term").agg(F.count("*").alias("everywhere"))
-    entities = found.select(entity().alias("entity")).groupBy("entity").agg(F.count("*").alias("times"))
+    entities = found.select(entity().alias("entity"), "rows").groupBy("entity").agg(F.sum("rows").alias("times"))
     all_ = entities.agg(F.sum("times").alias("all"))
     told = pairs.join(total, "term").join(entities, "entity").withColumn("all", all_.scalar())
-    told = told.withColumn("posterior", F.least(F.lit(1.0), F.col("together") / F.col("everywhere"))).withColumn("bits", F.log2(F.col("posterior") / (F.col("times") / F.col("all"))))
+    told = told.withColumn("posterior", F.col("together") / F.col("everywhere")).withColumn("bits", F.log2(F.col("posterior") / (F.col("times") / F.col("all"))))
     return told.where(F.col("posterior") >= GENERALISE).select("term", "entity", "posterior", "bits", F.when(F.col("posterior") >= REMOVE, "remove").otherwise("generalise").alias("action"))
 
 
