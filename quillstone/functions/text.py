@@ -27,8 +27,17 @@ REDACTIONS = [
     ("[API_KEY]", r"\b(sk-[a-zA-Z0-9]{20,}|pk-[a-zA-Z0-9]{20,}|[a-zA-Z0-9]{32,})\b"),
     ("[BANK_CARD]", r"\b\d{16,19}\b"),
 ]
-#: Local paths, file addresses and bearer tokens, as stored diagnostics must not show them.
-DIAGNOSTIC_REDACTIONS = [("[PATH]", r"(?i)[A-Z]:[\\/][^\s'\"]+"), ("[PATH]", r"(?i)file:/+[^\s'\"]+"), ("$1[REDACTED]", r"(?i)(Bearer\s+)\S+")]
+#: What stored diagnostics must not show, in the order in which it is applied.
+DIAGNOSTIC_REDACTIONS = [
+    ("$1***REDACTED***", r"(?i)(Bearer\s+)\S+"),
+    ("$1***REDACTED***", r"""(?i)(api[_-]?key|token|secret|authorization)["'\s:=]+["']?([a-zA-Z0-9_\-]{20,})"""),
+    ("***PATH***", r"(?i)[A-Z]:[\\/][^\s'\"]+"),
+    ("***FILE_URL***", r"(?i)file:/+[^\s'\"]+"),
+    ("***INTERNAL_URL***", r"""(?i)https?://(127\.\d{1,3}\.\d{1,3}\.\d{1,3}|\[::1\]|\[fe[89ab][0-9a-f:.]+\]|\[f[cd][0-9a-f]{2}[0-9a-f:.]+\]|localhost|10\.\d{1,3}\.\d{1,3}\.\d{1,3}|192\.168\.\d{1,3}\.\d{1,3}|172\.(1[6-9]|2\d|3[01])\.\d{1,3}\.\d{1,3}|169\.254\.\d{1,3}\.\d{1,3})(:\d+)?(/[^\s'"<>]*)?"""),
+    ("***UNC_PATH***", r"""\\\\[a-zA-Z0-9_.$-]+(\\[^\s'"<>]*)+"""),
+    ("$1***POSIX_PATH***", r"""(?m)(^|[\s=(:\x60'"<>])(/([a-zA-Z0-9_.-]+/)+[a-zA-Z0-9_.-]+)"""),
+    ("$1***POSIX_PATH***", r"""(?m)(^|[\s=(:\x60'"<>])(/([a-zA-Z0-9_.-]+\.(?:pdf|png|jpe?g|gif|bmp|svg|webp|tiff?|json|xml|csv|txt|log|tmp|dat|bin|html?|css|js|py|rs|go|java|md|zip|tar|gz|bz2|xz|7z|docx?|xlsx?|pptx?)))"""),
+]
 #: Media types by extension.
 MEDIA_TYPES = {"txt": "text/plain", "md": "text/markdown", "html": "text/html", "htm": "text/html", "csv": "text/csv", "json": "application/json", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "svg": "image/svg+xml", "mp3": "audio/mpeg", "wav": "audio/wav", "mp4": "video/mp4"}
 #: Slug prefixes and the page type each names.
@@ -60,6 +69,13 @@ def terms(c: Column | str) -> Column:
     return F.filter(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
 
 
+def words(c: Column | str) -> Column:
+    """Words of letters, digits and underscores in their own case, repeats included; runs of CJK give pairs of characters."""
+    found = F.filter(F.split(_c(c), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    pairs = F.regexp_extract_all(_c(c), F.lit(f"(?=([{CJK}]{{2}}))"), F.lit(1))
+    return F.when(has_cjk(c), F.concat(F.filter(found, lambda x: ~x.rlike(f"[{CJK}]")), pairs)).otherwise(found)
+
+
 def tokens(c: Column | str, cap: int | None = None) -> Column:
     """Distinct words in order of first occurrence, the first cap of them if one is given; runs of CJK give characters and pairs (F1)."""
     text = F.lower(_c(c))
@@ -291,7 +307,7 @@ def redact(c: Column | str) -> Column:
 
 
 def redact_diagnostic(c: Column | str) -> Column:
-    """Paths and bearer tokens replaced (F32)."""
+    """Keys, tokens, paths and internal addresses replaced (F32)."""
     return redact_with(c, DIAGNOSTIC_REDACTIONS)
 
 

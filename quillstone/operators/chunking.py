@@ -238,6 +238,27 @@ def semantic_breaks(similarities: DataFrame, key: str, share: float = 0.6) -> Da
     return similarities.join(limit, key).where("similarity < limit").select(key, "i")
 
 
+def neighbour_similarity(sentences: DataFrame, key: str) -> DataFrame:
+    """key, i, similarity of each sentence (key, i, embedding) to the next."""
+    nxt = F.lead("embedding").over(Window.partitionBy(key).orderBy("i"))
+    return sentences.withColumn("__n", nxt).where("__n is not null").select(key, "i", F.round(X.cosine("embedding", "__n"), 9).alias("similarity"))
+
+
+def embedded_chunks(sentences: DataFrame, key: str, share: float = 0.6) -> DataFrame:
+    """sentences (key, i, embedding, ...) plus chunk: a new one begins behind each break (E5)."""
+    cuts = semantic_breaks(neighbour_similarity(sentences, key), key, share).select(key, (F.col("i") + 1).alias("i"), F.lit(1).alias("__cut"))
+    upto = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return sentences.join(cuts, [key, "i"], "left").withColumn("chunk", F.coalesce(F.sum("__cut").over(upto), F.lit(0))).drop("__cut")
+
+
+def checked_chunks(docs: DataFrame, text: str, offered: str, fallback: Callable[..., Column]) -> DataFrame:
+    """docs plus chunks and accepted: a provider's chunks are taken if, white space aside, they give the text back in order; else the fallback splitter's."""
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    good = F.coalesce((F.size(offered) > 0) & (bare(F.array_join(offered, "")) == bare(F.col(text))), F.lit(False))
+    out = docs.withColumn("accepted", good)
+    return out.withColumn("chunks", F.when(F.col("accepted"), F.col(offered)).otherwise(fallback(F.when(~F.col("accepted"), F.col(text)))))
+
+
 def locate_chunks(most_overlap: int = 400):
     """(full text, chunks) to each chunk's start and end, looked for from where the last one began."""
 

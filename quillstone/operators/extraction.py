@@ -10,17 +10,17 @@ from quillstone.functions import text as X
 
 #: Directories a slug may begin with.
 SLUG_DIRS = "people|companies|deals|topics|concepts|projects|entities|tech|finance|personal|openclaw|wiki|writing|meetings|deal|civic|project|source|media|yc"
-#: Phrases that tell the kind of a link.
+#: Phrases that tell the kind of a link; they are held against lower-cased text, so those with capitals never match.
 FOUNDED = r"\b(?:founded|co-?founded|started the company|incorporated|founders?\b|founder of|founders? (?:include|are)|the founder|is a co-?founder|is one of the founders)\b"
-INVESTED = r"\b(?:invested in|invests in|investing in|invest in|investment in|investments in|backed by|funding from|funded by|raised from|led the (?:seed|series|round|investment|round)|participated in (?:the )?(?:seed|series|round)|wrote (?:a |the )?check|first check|early investor|portfolio (?:company|includes)|board seat (?:at|in|on)|term sheet for)\b"
+INVESTED = r"\b(?:invested in|invests in|investing in|invest in|investment in|investments in|backed by|funding from|funded by|raised from|led the (?:seed|Series|round|investment|round)|led .{0,30}(?:Series [A-Z]|seed|round|investment)|participated in (?:the )?(?:seed|Series|round)|wrote (?:a |the )?check|first check|early investor|portfolio (?:company|includes)|board seat (?:at|in|on)|term sheet for)\b"
 ADVISES = r"\b(?:advises|advised|advisor (?:to|at|for|of)|advisory (?:board|role|position)|board advisor|on .{0,20} advisory board|joined .{0,20} advisory board)\b"
-WORKS_AT = r"\b(?:vp at|vp of|works at|worked at|working at|employed by|employed at|joined as|joined the team|engineer at|engineer for|director at|director of|head of|leads engineering|leads product|currently at|previously at|previously worked at|stint at|tenure at)\b"
-PARTNER = r"\b(?:partner at|partner of|venture partner|invested early|investor at|investor in|portfolio|venture capital|early-stage investor|seed investor|invests across|backs companies)\b"
+WORKS_AT = r"\b(?:CEO of|CTO of|COO of|CFO of|CMO of|CRO of|VP at|VP of|VPs? Engineering|VPs? Product|works at|worked at|working at|employed by|employed at|joined as|joined the team|engineer at|engineer for|director at|director of|head of|leads engineering|leads product|currently at|previously at|previously worked at|spent .* (?:years|months) at|stint at|tenure at)\b"
+PARTNER = r"\b(?:partner at|partner of|venture partner|VC partner|invested early|investor at|investor in|portfolio|venture capital|early-stage investor|seed investor|fund [A-Z]|invests across|backs companies)\b"
 ADVISOR = r"\b(?:full-time advisor|professional advisor|advises (?:multiple|several|various))\b"
 #: Openings of machine-written answers.
 PREAMBLES = ["of course,", "certainly,", "here is", "here's", "i've created", "i have created", "sure!", "absolutely!", "let me", "as an ai", "as a language model", "i'd be happy to", "i would be happy to", "i can help", "great question"]
 #: Words that are never keywords.
-STOP_WORDS = "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during and but or nor not so yet both either".split()
+STOP_WORDS = "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它 们 那 些".split() + "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during and but or nor not so yet both either".split()
 COMPANY_WORDS = r"(?i)\b(Inc|Corp|Ltd|LLC|Labs?|Tech|AI|Capital|Ventures?|Fund)\b"
 #: Per page type the dimensions and their weights; a field:a|b dimension is 1 if frontmatter has a or b.
 RUBRICS: dict[str, list[tuple[str, float]]] = {
@@ -129,11 +129,14 @@ def suggested_links(docs: DataFrame, key: str, text: str, most: int = 20) -> Dat
 
 
 def keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, n, rank: the most frequent words, 5 and one more per 5,000 characters, 15 at most."""
+    """key, term, n, rank: the most frequent words, 5 and one more per 5,000 characters, 15 at most.
+
+    Words keep their case and have two bytes or more; runs of CJK count as pairs of characters.
+    """
     size = F.least(F.lit(15), F.lit(5) + F.floor(F.length(text) / 5000))
     # One generated row per text holds its size and words, so the size is not computed again for each word.
-    sized = docs.select(key, F.inline_outer(F.array(F.struct(size.alias("most"), X.ascii_terms(text).alias("words")))))
-    w = sized.select(key, "most", F.explode("words").alias("term")).where((F.length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
+    sized = docs.select(key, F.inline_outer(F.array(F.struct(size.alias("most"), X.words(text).alias("words")))))
+    w = sized.select(key, "most", F.explode("words").alias("term")).where((F.octet_length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
     counted = w.groupBy(key, "most", "term").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     return counted.withColumn("rank", rank).where("rank <= most").select(key, "term", "n", "rank")
@@ -168,26 +171,31 @@ def call_edges(files: DataFrame, found: DataFrame, key: str, code: str) -> DataF
 
 
 def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None) -> DataFrame:
-    """key, rule, severity, line of six rules."""
-    lines = pages.select(key, F.posexplode(F.split(text, "\n")).alias("i", "raw")).withColumn("t", X.strip("raw")).withColumn("line", F.col("i") + 1)
-    low = F.lower("t")
-    starts = F.lit(False)
-    for p in PREAMBLES:
-        starts = starts | low.startswith(p)
-    issue = lambda df, rule, severity: df.select(key, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("line").cast("int").alias("line"))
-    out = issue(lines.where(starts), "llm-preamble", "warning")
-    out = out.union(issue(lines.where(F.col("raw").contains("YYYY-MM-DD")), "placeholder-date", "error"))
-    out = out.union(issue(lines.where(F.col("raw").contains("[DATE]") | F.col("raw").contains("{{DATE}}")), "placeholder-date", "error"))
-    bare = pages.where(~X.strip(text).startswith("---") & (X.strip(text) != "") & (F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n")) > 2))
-    out = out.union(issue(bare.withColumn("line", F.lit(1)), "missing-frontmatter", "info"))
-    w = Window.partitionBy(key).orderBy("i")
-    following = lines.where("t <> '' or t like '## %'").withColumn("next", F.lead("t").over(w))
-    out = out.union(issue(following.where("t like '## %' and (next is null or next like '#%')"), "empty-section", "info"))
-    fences = lines.where(F.col("t").startswith("```")).groupBy(key).agg(F.count("*").alias("n"), F.max("line").alias("line")).where("n % 2 = 1")
-    out = out.union(issue(fences, "code-fence-residue", "error"))
+    """key, rule, severity, line of six rules, found in one pass; only citations are joined with slugs."""
+    issue = lambda rule, severity, line, cited=None: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), line.cast("int").alias("line"), F.lit(cited).cast("string").alias("cited") if cited is None else cited.alias("cited"))
+    numbered = F.transform(F.split(text, "\n"), lambda raw, i: F.struct(raw.alias("raw"), X.strip(raw).alias("t"), (i + 1).alias("line")))
+    one = pages.select(key, F.col(text).alias("__text"), F.filter(numbered, lambda x: x["t"] != "").alias("full"))
+
+    def of_line(x: Column, i: Column) -> Column:
+        low, after = F.lower(x["t"]), F.get("full", i + 1)["t"]
+        opens = F.lit(False)
+        for p in PREAMBLES:
+            opens = opens | low.startswith(p)
+        dated = x["raw"].contains("[DATE]") | x["raw"].contains("{{DATE}}")
+        found = F.array(
+            F.when(opens, issue("llm-preamble", "warning", x["line"])), F.when(x["raw"].contains("YYYY-MM-DD"), issue("placeholder-date", "error", x["line"])), F.when(dated, issue("placeholder-date", "error", x["line"])),
+            F.when(x["t"].startswith("## ") & (after.isNull() | after.startswith("#")), issue("empty-section", "info", x["line"])),
+        )
+        cites = F.filter(F.transform(F.regexp_extract_all(x["raw"], F.lit(r"\[Source:([^\]]+)\]"), F.lit(1)), X.strip), lambda c: c != "")
+        return F.concat(F.array_compact(found), F.transform(cites, lambda c: issue("broken-citation", "warning", x["line"], c)))
+
+    fences = F.filter("full", lambda x: x["t"].startswith("```"))
+    bare = ~X.strip("__text").startswith("---") & (X.strip("__text") != "") & (F.size(F.split(F.regexp_replace("__text", "\n$", ""), "\n")) > 2)
+    whole = F.array_compact(F.array(F.when(bare, issue("missing-frontmatter", "info", F.lit(1))), F.when(F.size(fences) % 2 == 1, issue("code-fence-residue", "error", F.element_at(fences, -1)["line"]))))
+    found = one.select(key, F.inline(F.concat(whole, F.flatten(F.transform("full", of_line)))))
+    out = found.where("cited is null").drop("cited")
     if slugs is not None:
-        cites = lines.select(key, "line", F.explode(F.regexp_extract_all("raw", F.lit(r"\[Source:([^\]]+)\]"), F.lit(1))).alias("s")).withColumn("slug", X.strip("s")).where("slug <> ''")
-        out = out.union(issue(cites.join(slugs.select("slug"), "slug", "left_anti"), "broken-citation", "warning"))
+        out = out.union(found.where("cited is not null").join(slugs.select(F.col("slug").alias("cited")), "cited", "left_anti").select(*out.columns))
     return out
 
 

@@ -7,6 +7,7 @@ the changes; logs are append-only with views of their latest state.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -109,21 +110,25 @@ def after_failure(attempts: Column, most: Column) -> Column:
 
 
 def admit(events: DataFrame, cap: float) -> DataFrame:
-    """scope, day, id, amount, admitted: reservations in order while the sum stays within the cap.
+    """scope, day, id, amount, admitted: reservations in order of id while the sum stays within the cap.
 
-    A refused reservation does not count, so each decision needs the one before: one group per scope
-    and day, streamed in order.
+    A refused reservation does not count, so each decision needs the one before: rows are dealt by scope and
+    day, sorted (with spill) and streamed, and a day of any size needs the memory of one batch.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        total, out = 0.0, []
-        for x in pdf["amount"]:
-            out.append(total + x <= cap)
-            total += x if out[-1] else 0.0
-        return pdf.assign(admitted=out)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, 0.0
+        for pdf in batches:
+            out = []
+            for scope, day, x in zip(pdf["scope"], pdf["day"], pdf["amount"]):
+                if (scope, day) != key:
+                    key, total = (scope, day), 0.0
+                out.append(total + x <= cap)
+                total += x if out[-1] else 0.0
+            yield pdf.assign(admitted=out)
 
-    return events.select("scope", "day", "id", "amount").groupBy("scope", "day").applyInPandas(run, "scope string, day date, id long, amount double, admitted boolean")
+    rows = events.select("scope", "day", "id", "amount").repartition("scope", "day").sortWithinPartitions("scope", "day", "id")
+    return rows.mapInPandas(run, "scope string, day date, id long, amount double, admitted boolean")
 
 
 def fingerprint(*parts: Column) -> Column:
@@ -172,7 +177,7 @@ def restore_staled(projections: DataFrame, artifact_ids: DataFrame, reason: str)
     """Only what that delete made stale comes back."""
     back = projections.join(artifact_ids.withColumn("__back", F.lit(True)), "artifact_id", "left")
     hit = F.coalesce("__back", F.lit(False)) & (F.col("status") == "stale") & F.coalesce(F.col("stale_reason") == reason, F.lit(False))
-    return back.withColumn("status", F.when(hit, "active").otherwise(F.col("status"))).withColumn("stale_reason", F.when(hit, F.lit(None)).otherwise(F.col("stale_reason"))).drop("__back")
+    return back.withColumns({"status": F.when(hit, "active").otherwise(F.col("status")), "stale_reason": F.when(hit, F.lit(None)).otherwise(F.col("stale_reason"))}).drop("__back")
 
 
 def feedback(rows: DataFrame) -> DataFrame:

@@ -74,6 +74,44 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, prefix: bool = F
     return q.join(scored.select("q", "doc_id", part.alias("part")), "q").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
+def token_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc_id, term, dl): distinct tokens of each text and their number; nothing is shuffled.
+
+    Written to the shared folder once, the table serves every retriever that searches the field.
+    """
+    one = docs.select(F.col(key).alias("doc_id"), F.inline_outer(F.array(F.struct(X.tokens(text).alias("t")))))
+    return checkpointed(one.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")))
+
+
+def prefix_bm25(queries: DataFrame, posts: DataFrame, terms: str | None = None, every: bool = False) -> DataFrame:
+    """(query_id, doc_id, score): BM25 of escaped query terms, each a prefix of tokens and all joined by OR.
+
+    queries: query_id, text, or an array column of terms; posts: of token_postings. A term stands for all tokens that
+    begin with it, which count together; with every, texts must hold all of a query's terms (R2). Terms of three
+    characters or more meet tokens on the first three, shorter ones on as many as they have, so each is an
+    equi-join with a filter. Texts without tokens count towards no average.
+    """
+    q = queries.select("query_id", F.explode(X.match_terms("text") if terms is None else F.transform(terms, X.escape_term)).alias("q"))
+    asked = q.select("q").distinct().withColumn("n", F.least(F.length("q"), F.lit(3)))
+    heads = posts.select("doc_id", "dl", "term")
+    met = None
+    for n in (1, 2, 3):
+        own = asked.where(F.col("n") == n).select("q", F.left("q", F.lit(n)).alias("h"))
+        hit = heads.withColumn("h", F.left("term", F.lit(n))).join(own, "h").where(F.col("term").startswith(F.col("q"))).select("q", "doc_id", "dl")
+        met = hit if met is None else met.union(hit)
+    hits = met.groupBy("q", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    df = hits.groupBy("q").agg(F.count("*").alias("df"))
+    # Each text has dl rows, so sums of 1 / dl and of 1 over rows give the number of texts and of tokens.
+    stats = posts.agg(F.struct(F.round(F.sum(1 / F.col("dl"))).alias("n"), F.count("*").alias("tokens")).alias("stats")).scalar()
+    s = hits.join(df, "q").withColumn("stats", stats).select("q", "doc_id", "tf", "dl", "df", F.col("stats.n").alias("n"), (F.col("stats.tokens") / F.col("stats.n")).alias("avgdl"))
+    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = q.join(s.select("q", "doc_id", part.alias("part")), "q").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"), F.count("*").alias("terms"))
+    if every:
+        scored = scored.join(q.groupBy("query_id").agg(F.count("*").alias("need")), "query_id").where("terms = need")
+    return scored.select("query_id", "doc_id", "score")
+
+
 def top_k(hits: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), score: str = "score", tie: str = "doc_id", rank: str = "rank") -> DataFrame:
     """The k best per key with a rank from 1 (T1-T3, W10); partial limits run before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), F.asc(tie))
@@ -96,17 +134,18 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 40
     block * 1024 scores at a time, and hands on only each batch's k best per query, so what is shuffled is
     bounded by batches times k.
     """
-    rows = queries.select("query_id", "embedding").orderBy("query_id").toLocalIterator()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").toLocalIterator()
     near = None
     while part := list(islice(rows, MAX_QUERIES)):
-        found = vector_slice(part, vectors, k, block)
+        found = vector_slice(part, vectors, k, block, kind)
         near = found if near is None else near.union(found)
     if near is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], f"query_id {kind}, vec_id long, score double, rank int")
     return top_k(near, k, tie="vec_id")
 
 
-def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int) -> DataFrame:
+def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int, kind: str = "long") -> DataFrame:
     """(query_id, vec_id, score): the k best of each batch of vectors for each of the queries."""
     width = max(len(r.embedding) for r in rows)
     unit = np.zeros((len(rows), width))
@@ -114,7 +153,7 @@ def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int) -> Dat
         v = np.asarray(r.embedding, float)
         n = np.sqrt((v * v).sum())
         unit[i, : len(v)] = v / n if n else 0
-    ids = np.array([r.query_id for r in rows])
+    ids = np.array([r.query_id for r in rows], dtype=object if kind == "string" else None)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, unit, [len(r.embedding) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +177,7 @@ def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int) -> Dat
                 order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :best]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at : at + step], best)), pa.array(vid[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel())], names=["query_id", "vec_id", "score"])
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+    return vectors.select("vec_id", "embedding").mapInArrow(run, f"query_id {kind}, vec_id long, score double")
 
 
 MAX_QUERIES = 10_000
@@ -209,7 +248,7 @@ def min_max_normalised(c: str, keys: tuple[str, ...] = ("query_id",)) -> Column:
 
 def truth_boost(factor: float = 2.0, detail: Column | None = None) -> Column:
     """Compiled-truth chunks count double unless detail is high."""
-    high = (detail == "high") if detail is not None else F.lit(False)
+    high = F.coalesce(detail == "high", F.lit(False)) if detail is not None else F.lit(False)
     return F.when((F.col("source") == "compiled_truth") & ~high, F.col("score") * factor).otherwise(F.col("score"))
 
 
@@ -376,9 +415,22 @@ def open_target(doc: Column, page: Column) -> Column:
     return F.when(page.isNotNull(), F.format_string("kb://document/%d#page=%d", doc, page)).otherwise(F.format_string("kb://document/%d", doc))
 
 
-def evidence_plan(c: Column, weak: tuple[str, ...] = ("the", "a", "an", "of", "and", "or", "to", "in", "is", "are", "what", "how", "who", "when", "where", "why")) -> Column:
-    """Core terms of a query."""
-    return F.array_distinct(F.filter(X.terms(c), lambda t: ~t.isin(*weak) & (F.length(t) >= 2)))
+#: Words of a query that are no core terms.
+WEAK_TERMS = ("请", "告诉", "告诉我", "我", "你", "一下", "相关", "逻辑", "相关逻辑", "请问", "什么", "怎么", "怎样", "如何", "是否", "有关", "内容", "信息", "的", "是", "和", "与", "及")
+
+
+def query_terms(c: Column) -> Column:
+    """Distinct normalised tokens of a query."""
+    return F.array_distinct(F.filter(F.transform(X.tokens(c), X.normalize_token), lambda t: t != ""))
+
+
+def evidence_plan(c: Column, weak: tuple[str, ...] = WEAK_TERMS) -> Column:
+    """Core terms of a query: two characters or more, not weak, and as they stand in it."""
+    return F.filter(query_terms(c), lambda t: ~t.isin(*weak) & (F.length(t) >= 2) & F.contains(F.lower(c), t))
+
+
+def weak_terms(c: Column, weak: tuple[str, ...] = WEAK_TERMS) -> Column:
+    return F.filter(query_terms(c), lambda t: t.isin(*weak))
 
 
 def coverage(content: Column, core: Column) -> Column:
@@ -387,12 +439,24 @@ def coverage(content: Column, core: Column) -> Column:
     return F.when(F.size(core) == 0, 0.0).otherwise(F.size(F.filter(core, lambda t: F.contains(low, t))) / F.size(core))
 
 
-def evidence_score(content: Column, core: Column, view: Column, level: Column) -> Column:
-    """Coverage, nearness of the terms, kind of view, level and length."""
-    low = F.lower(content)
-    found = F.filter(F.transform(core, lambda t: F.instr(low, t)), lambda i: i > 0)
-    near = F.when(F.size(found) < 2, 0.0).otherwise(1 / (1 + (F.array_max(found) - F.array_min(found)) / 100.0))
-    return 0.6 * coverage(content, core) + 0.2 * near + 0.1 * (view == "atomic").cast("double") + 0.05 * (level == 0).cast("double") + 0.05 * F.when(F.length(content).between(40, 1200), 1.0).otherwise(0.0)
+#: What a view of a text adds to a score.
+VIEW_SCORES = {"atomic": 1.4, "window": 1.0, "clean": 0.8, "node": 0.2}
+
+
+def evidence_score(content: Column, title: Column, route: Column, core: Column, weak: Column, view: Column, level: Column) -> Column:
+    """How well a candidate answers: route, covered core terms, their nearness in bytes, weak terms, view, level, length."""
+    low, head = F.lower(content), F.lower(F.coalesce(title, F.lit("")))
+    covered = F.filter(core, lambda t: F.contains(low, t) | F.contains(head, t))
+    n, total = F.size(covered), F.size(core)
+    terms = F.aggregate(covered, F.lit(0.0), lambda s, t: s + 2.5 + F.least(F.lit(0.8), F.length(t) * 0.15) + F.when(F.contains(head, t), 1.0).otherwise(0.0))
+    at = F.transform(F.filter(core, lambda t: F.contains(low, t)), lambda t: F.octet_length(F.left(low, F.instr(low, t) - 1)))
+    span = F.when(F.size(at) >= 2, F.array_max(at) - F.array_min(at))
+    near = F.when(span <= 120, 3.0).when(span <= 300, 1.5).otherwise(0.0)
+    small = F.size(F.filter(weak, lambda t: F.contains(low, t) | F.contains(head, t))) * 0.15
+    size = F.length(content)
+    score = 5 * route + terms + F.when(total > 0, 4.0 * n / total).otherwise(0.0) + F.when(n >= 2, 2.5).otherwise(0.0) + F.when((n == total) & (n > 0), 2.0).otherwise(0.0) + near + small
+    score = score + X.ladder([(view == k, v) for k, v in VIEW_SCORES.items()], 0.5) + 1.0 / (level + 1.0) + F.when(size > 2500, -1.5).when(size <= 900, 0.8).otherwise(0.0)
+    return F.greatest(F.lit(0.0), score)
 
 
 def merge_routes(routes: DataFrame) -> DataFrame:

@@ -45,6 +45,14 @@ def tok(x: str) -> str:
     return f"list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda t: t <> '')"
 
 
+def words(x: str) -> str:
+    """SQL: lower-case words of letters, digits and underscores."""
+    return f"list_filter(string_split_regex(lower({x}), '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')"
+
+
+WEAK = ", ".join(f"'{w}'" for w in R.WEAK_TERMS)
+
+
 def grams(x: str) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) + 3), lambda i: substr('  ' || lower({x}) || '  ', i, 3)))"
 
@@ -79,15 +87,17 @@ def q01_keyword_search(spark, d):
 
 
 @query(f"""
-WITH q AS (SELECT item_id AS query_id, unnest(list_distinct({tok('text')}[1:3])) AS term FROM benchmark),
+WITH c AS (SELECT item_id AS query_id, list_filter({words('text')}, lambda t: length(t) >= 2 AND t NOT IN ({WEAK})) AS w FROM benchmark),
+q AS (SELECT query_id, unnest(list_filter(w, lambda t, i: list_position(w, t) = i)[1:5]) AS term FROM c),
 n AS (SELECT query_id, count(*) AS need FROM q GROUP BY 1),
-p AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS term FROM documents)
+p AS (SELECT DISTINCT doc_id, unnest({words('text')}) AS term FROM documents)
 SELECT query_id, doc_id FROM q JOIN p USING (term) JOIN n USING (query_id) GROUP BY query_id, doc_id, need HAVING count(*) = need
 """)
 def q02_strict_and_match(spark, d):
+    """The first five core terms of each whole query, all of which a text must hold."""
     docs = table(spark, d, "documents")
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(X.ascii_terms("text"), 1, 3)).alias("term"))
-    return R.all_terms(q, R.postings(docs, "doc_id", {"text": (X.ascii_terms("text"), 1.0)}))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(R.evidence_plan(F.col("text")), 1, 5)).alias("term"))
+    return R.all_terms(q, docs.select("doc_id", F.explode(X.tokens("text")).alias("term")))
 
 
 @query("""
@@ -206,7 +216,7 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_numb
 """)
 def q11_trigram_fuzzy(spark, d):
     p = table(spark, d, "part")
-    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("x"), F.substring("p_name", 2, 1000)).alias("text"))
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.concat(F.lit("x"), F.expr("substr(p_name, 2)")).alias("text"))
     return R.fuzzy(q, p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), 0.3, 10).withColumn("score", F.round("score", 6))
 
 
@@ -330,8 +340,8 @@ def q23_token_stats(spark, d):
 STOPS = ", ".join(f"'{w}'" for w in E.STOP_WORDS)
 
 
-@query(f"""WITH w AS (SELECT doc_id, least(15, 5 + length(text) // 5000) AS most, unnest({tok('text')}) AS term FROM documents),
-c AS (SELECT doc_id, most, term, count(*) AS n FROM w WHERE length(term) >= 2 AND term NOT IN ({STOPS}) GROUP BY ALL),
+@query(f"""WITH w AS (SELECT doc_id, least(15, 5 + length(text) // 5000) AS most, unnest(list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}_]+'), lambda t: t <> '')) AS term FROM documents),
+c AS (SELECT doc_id, most, term, count(*) AS n FROM w WHERE strlen(term) >= 2 AND term NOT IN ({STOPS}) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM c)
 SELECT doc_id, term, n, rank FROM r WHERE rank <= most""")
 def q24_keywords(spark, d):
@@ -402,16 +412,16 @@ def q29_degrees(spark, d):
     return G.degrees(edges(spark, d))
 
 
-@query("SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query(f"WITH {EDGES}, n AS (SELECT 'c' || c_custkey AS node FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier UNION ALL SELECT 'n' || n_nationkey FROM nation) SELECT node FROM n WHERE node NOT IN (SELECT src FROM e) AND node NOT IN (SELECT dst FROM e)")
 def q29b_orphans(spark, d):
-    e = edges(spark, d).where("link_type = 'placed_by'")
-    return G.orphans(table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node")), e)
+    named = lambda t, p, c: table(spark, d, t).select(F.concat(F.lit(p), F.col(c).cast("string")).alias("node"))
+    return G.orphans(named("customer", "c", "c_custkey").union(named("supplier", "s", "s_suppkey")).union(named("nation", "n", "n_nationkey")), edges(spark, d))
 
 
-@query(f"WITH {EDGES} SELECT src, dst FROM e WHERE link_type = 'placed_by' AND dst NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
+@query(f"WITH {EDGES} SELECT src, dst FROM e WHERE dst NOT IN (SELECT 'c' || c_custkey FROM customer WHERE c_custkey % 5 <> 0)")
 def q29c_dead_links(spark, d):
     nodes = table(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node"))
-    return G.dead_links(nodes, edges(spark, d).where("link_type = 'placed_by'"))
+    return G.dead_links(nodes, edges(spark, d))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT sha256(text)) AS texts FROM documents GROUP BY ALL")
@@ -484,9 +494,9 @@ def q34_incremental_diff(spark, d):
     return L.snapshot_diff(now, was)
 
 
-@query("SELECT doc_id, version_id, coalesce(lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_id), -1) AS superseded_by, CASE WHEN lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_id) IS NULL THEN 'ready' ELSE 'retired' END AS status FROM (SELECT user_id AS doc_id, event_id AS version_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT doc_id, version_id, coalesce(lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_id), -1) AS superseded_by, CASE WHEN lead(version_id) OVER (PARTITION BY doc_id ORDER BY version_id) IS NULL THEN 'ready' ELSE 'retired' END AS status FROM (SELECT user_id AS doc_id, event_id AS version_id FROM events)")
 def q35_version_activation(spark, d):
-    v = L.activate(table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version_id")))
+    v = L.activate(table(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version_id")))
     return v.withColumn("superseded_by", F.coalesce("superseded_by", F.lit(-1)))
 
 
@@ -501,7 +511,10 @@ def q36b_job_counts(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("job_type"), L.after_failure(F.col("event_id") % 4, F.lit(3)).alias("status")).groupBy("job_type", "status").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS scope, ts::DATE AS day, event_id AS id, coalesce(value, 0.0)::DOUBLE AS amount, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY event_id) AS n FROM events),
+r AS (SELECT scope, day, id, amount, n, amount <= 500 AS admitted, CASE WHEN amount <= 500 THEN amount ELSE 0.0 END AS total FROM e WHERE n = 1
+  UNION ALL SELECT e.scope, e.day, e.id, e.amount, e.n, total + e.amount <= 500, CASE WHEN total + e.amount <= 500 THEN total + e.amount ELSE total END FROM r JOIN e ON e.scope = r.scope AND e.day = r.day AND e.n = r.n + 1)
+SELECT scope, day, id, amount, admitted FROM r""")
 def q37_budget_ledger(spark, d):
     e = table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("ts").cast("date").alias("day"), F.col("event_id").alias("id"), F.coalesce("value", F.lit(0.0)).alias("amount"))
     return L.admit(e, 500.0)
@@ -565,12 +578,17 @@ def q43_exact_dup_docs(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-SNIPPETS = [(1, "rust", "pub fn alpha() {\n    beta();\n}\nfn beta() {}\n"), (2, "python", "class A:\n    def run(self):\n        helper()\n\ndef helper():\n    pass\n"), (3, "go", "type T struct {}\nfunc (t T) Go() { Do() }\nfunc Do() {}\n")]
+CODE = "class P{}:\n    def run(self):\n        helper_{}()\n\ndef helper_{}():\n    pass\n"
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey AS file_id, 'P' || p_partkey AS c, 'helper_' || p_size AS h FROM part)
+SELECT file_id, 'class' AS kind, c AS name, '' AS calls FROM p UNION ALL SELECT file_id, 'function', 'run', '' FROM p UNION ALL SELECT file_id, 'function', h, '' FROM p UNION ALL SELECT file_id, 'call', 'run', h FROM p""")
 def q44_code_symbols(spark, d):
-    files = spark.createDataFrame(SNIPPETS, "file_id long, language string, code string")
+    """Declarations and calls of a file per part."""
+    head, a, b, tail = CODE.split("{}")
+    size = F.col("p_size").cast("string")
+    code = F.concat(F.lit(head), F.col("p_partkey").cast("string"), F.lit(a), size, F.lit(b), size, F.lit(tail))
+    files = table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
     found = E.symbols(files, "file_id", "code", "language")
     calls = E.call_edges(files, found, "file_id", "code")
     return found.select("file_id", "kind", "name", F.lit("").alias("calls")).union(calls.select("file_id", F.lit("call"), "from_symbol", "to_symbol"))
@@ -598,8 +616,53 @@ def search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, Da
     return b, chunks, s.select("slug", (F.col("doc_id") % 7).alias("backlinks"))
 
 
-@query()
+def prefix_bm25(name: str, source: str, queries: str, k: int, terms: str | None = None) -> str:
+    """SQL: the tables {name}_t (distinct tokens of source: id, text) and {name} (query_id, id, score, rank: the k best by BM25 of escaped prefixes).
+
+    terms: rows (query_id, w) in place of the words of queries; then texts must hold all of them.
+    """
+    asked = terms or f"SELECT query_id, unnest({words('text')}) AS w FROM ({queries})"
+    return f"""{name}_t AS (SELECT id, unnest(list_distinct({words('text')})) AS term FROM ({source})),
+{name}_l AS (SELECT id, count(*) AS dl FROM {name}_t GROUP BY 1), {name}_s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM {name}_l),
+{name}_q AS (SELECT DISTINCT query_id, CASE WHEN w IN ('and', 'or', 'not', 'near') THEN '_' || w ELSE w END AS q FROM ({asked})),
+{name}_h AS (SELECT q, id, count(*)::DOUBLE AS tf FROM (SELECT DISTINCT q FROM {name}_q) JOIN {name}_t ON starts_with(term, q) GROUP BY ALL),
+{name}_d AS (SELECT q, count(*) AS df FROM {name}_h GROUP BY 1), {name}_n AS (SELECT query_id, count(*) AS need FROM {name}_q GROUP BY 1),
+{name}_r AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score
+  FROM {name}_q JOIN {name}_h USING (q) JOIN {name}_d USING (q) JOIN {name}_l USING (id) JOIN {name}_n USING (query_id), {name}_s GROUP BY query_id, id, need {'HAVING count(*) = need' if terms else ''}),
+{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_r) WHERE rank <= {k})"""
+
+
+def nearest(name: str, source: str, queries: str, k: int) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
+  (SELECT query_id, id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM ({queries}) a, ({source}) b)) WHERE rank <= {k})"""
+
+
+SEARCHED = f"""b AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS e FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
+c AS (SELECT doc_id AS id, text, {DIR_SQL}[doc_id % 12 + 1] || doc_id AS slug, doc_id % 3 = 0 AS truth, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
+HYBRID_SQL = f"""WITH {SEARCHED}, v AS (SELECT * FROM c WHERE NOT starts_with(slug, 'archive/')),
+{prefix_bm25("k", "SELECT id, text FROM v", "SELECT query_id, text FROM b", 20)},
+{nearest("x", "SELECT id, e FROM v WHERE e IS NOT NULL", "SELECT query_id, e FROM b WHERE e IS NOT NULL", 20)},
+i AS (SELECT query_id, {INTENT_SQL} AS intent, e AS qe FROM b),
+l AS (SELECT u.query_id, list, id, slug, CASE WHEN intent IN ('temporal', 'event') THEN score ELSE score * {BOOST_SQL} END AS score FROM (SELECT query_id, id, score, 'keyword' AS list FROM k UNION ALL SELECT query_id, id, score, 'vector' FROM x) u JOIN v USING (id) JOIN i USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, list ORDER BY score DESC, id) AS rank FROM l),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank - 1)) AS s FROM r GROUP BY ALL),
+n AS (SELECT f.query_id, id, s / max(s) OVER (PARTITION BY f.query_id) AS s FROM f),
+t AS (SELECT n.query_id, id, slug, truth, intent, 0.7 * (CASE WHEN truth AND intent NOT IN ('temporal', 'event') THEN 2 * s ELSE s END) + 0.3 * coalesce(greatest(0, least(1, list_cosine_similarity(v.e, i.qe))), 0) AS s FROM n JOIN v USING (id) JOIN i USING (query_id)),
+z AS (SELECT query_id, id AS chunk_id, slug, round(s * (1 + 0.05 * ln(1 + id % 7)) + 0.05 / (1 + date_diff('day', DATE '2024-01-01' + (id % 500)::INT, DATE '2025-06-01') / 365.0)
+  + CASE WHEN intent = 'entity' AND (starts_with(slug, 'people/') OR starts_with(slug, 'companies/')) OR intent IN ('temporal', 'event') AND NOT truth THEN 0.1 ELSE 0 END, 9) AS s FROM t)
+"""
+
+
+@query(HYBRID_SQL + "SELECT query_id, rank, chunk_id, slug, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM z) WHERE rank <= 10")
 def q46_hybrid_search(spark, d):
+    """Both lists fused and boosted; the layers against alike hits are q46b."""
+    q, chunks, links = search_inputs(spark, d)
+    return P.hybrid_search(q, chunks, links, F.lit("2025-06-01").cast("timestamp"), P.SearchOptions(dedup=False)).select("query_id", "rank", "chunk_id", "slug", F.round("score", 6).alias("score"))
+
+
+@query()
+def q46b_hybrid_dedup(spark, d):
+    """The same with all layers of de-duplication, whose greedy one is beyond SQL."""
     q, chunks, links = search_inputs(spark, d)
     return P.hybrid_search(q, chunks, links, F.lit("2025-06-01").cast("timestamp")).select("query_id", "rank", "chunk_id", "slug", F.round("score", 6).alias("score"))
 
@@ -608,21 +671,71 @@ def node_inputs(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("node_id"), (F.col("chunk_id") % 200).alias("document_id"), F.concat(F.lit("doc-"), (F.col("chunk_id") % 200).cast("string"), F.lit(".md")).alias("name"), F.col("chunk_text").alias("content"), F.get(F.split("chunk_text", "\n"), F.lit(0)).alias("summary"), "embedding")
 
 
-@query()
+NORMAL_SQL = f"trim(regexp_replace(translate(translate(lower(trim(text)), '{X.TRADITIONAL}', '{X.SIMPLIFIED}'), '{X.FULL_WIDTH}', '{X.HALF_WIDTH}'), '\\s+', ' ', 'g'))"
+TYPE_SQL = f"""CASE WHEN {has(Q.TABLE_WORDS)} THEN 'table_lookup' WHEN {has(Q.HOW_WORDS)} THEN 'how_to' WHEN {has(Q.TIME_WORDS)} THEN 'recent_or_timebound' WHEN {has(Q.FACT_WORDS)} OR ends_with(q, '?') OR ends_with(q, '？') THEN 'fact_lookup'
+  WHEN regexp_matches(q, '\\.[A-Za-z]{{2,5}}$') OR regexp_matches(q, '[/\\\\]') OR (regexp_matches(q, '^[A-Za-z0-9_#-]*$') AND regexp_matches(q, '[0-9]')) OR regexp_matches(q, '^v[0-9.]{{2,}}$') THEN 'exact_lookup' ELSE 'conceptual' END"""
+FIRST_SQL = "first_ AS (SELECT id % 200 AS document_id, min(id) AS id, 'doc-' || (id % 200) || '.md' AS name FROM c GROUP BY 1, 3), own AS (SELECT f.*, string_split(text, chr(10))[1] AS summary FROM first_ f JOIN c USING (id))"
+
+
+def picked(name: str, columns: str = "query_id, text") -> str:
+    return f"SELECT {columns} FROM a JOIN p USING (query_id) WHERE retriever = '{name}'"
+
+
+@query(f"""WITH {SEARCHED}, a AS (SELECT query_id, {NORMAL_SQL} AS text, e FROM b), {FIRST_SQL},
+p AS (SELECT query_id, retriever FROM (SELECT query_id, {TYPE_SQL} AS query_type FROM (SELECT query_id, lower(trim(text)) AS q FROM a)) JOIN (VALUES {PLAN_SQL}) AS w(query_type, retriever, weight) USING (query_type)),
+{prefix_bm25("nf", "SELECT id, text FROM c", picked("node_fts"), 30)},
+{prefix_bm25("tn", "SELECT id, name AS text FROM own", picked("title_name"), 30)},
+{prefix_bm25("sm", "SELECT id, summary AS text FROM own", picked("summary"), 30)},
+{nearest("vx", "SELECT id, e FROM c WHERE e IS NOT NULL", picked("vector", "query_id, e") + " AND e IS NOT NULL", 30)},
+u AS (SELECT query_id, id, score, rank, 'node_fts' AS list, score / max(score) OVER (PARTITION BY query_id) AS fts, NULL AS vec, NULL AS summ, false AS exact FROM nf
+  UNION ALL SELECT query_id, id, score, rank, 'vector', NULL, score, NULL, false FROM vx
+  UNION ALL SELECT query_id, id, score, rank, 'summary', NULL, NULL, score / max(score) OVER (PARTITION BY query_id), false FROM sm
+  UNION ALL SELECT tn.query_id, id, score, rank, 'title', NULL, NULL, NULL, 'doc-' || (id % 200) = regexp_replace(lower(trim(a.text)), '^(.+)\\.[^.]{{0,10}}$', '\\1') FROM tn JOIN a USING (query_id)),
+g AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS fused, max(score) AS own, max(fts) AS fts, max(vec) AS vec, max(summ) AS summ, bool_or(exact) AS exact, count(DISTINCT list) AS n FROM u GROUP BY ALL),
+o AS (SELECT g.query_id, id, id % 200 AS document_id, CASE WHEN lists = 1 THEN own ELSE fused END AS score, fts, vec, summ, exact FROM g JOIN (SELECT query_id, count(DISTINCT list) AS lists FROM u GROUP BY 1) USING (query_id)
+  WHERE exact OR n >= 2 OR coalesce(vec >= 0.55, false) OR coalesce(fts >= 0.18, false) OR coalesce(summ >= 0.2, false)),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, id) AS k FROM o) WHERE k <= 3),
+s AS (SELECT query_id, document_id, id, round(CASE WHEN count(*) OVER (PARTITION BY query_id) <= 50 THEN 0.30 * coalesce(fts, 0) + 0.25 * coalesce(vec, 0) + 0.05 * coalesce(summ, 0) + 0.10 * exact::INT ELSE score END, 9) AS score FROM m),
+d AS (SELECT query_id, document_id, arg_max(id, score * 1e6 - id / 1e9) AS node_id, max(score) AS score, count(*) - 1 AS others FROM s GROUP BY ALL)
+SELECT query_id, rank, document_id, node_id, round(score, 6) AS score, others FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM d) WHERE rank <= 10""")
 def q47_kb_search(spark, d):
+    """The retrievers of each query's kind, fused, gated, re-ranked and grouped by document."""
     q, chunks, _ = search_inputs(spark, d)
     return P.document_search(q, node_inputs(chunks)).select("query_id", "rank", "document_id", "node_id", F.round("score", 6).alias("score"), F.size("group_hits").alias("others"))
 
 
-@query()
+ASKED_TEXT = "(['who is ', 'when was ', ''])[query_id % 3 + 1] || text"
+
+
+@query(f"""WITH {SEARCHED}, a AS (SELECT query_id, text, {ASKED_TEXT} AS asked FROM b),
+core AS (SELECT query_id, list_filter(w, lambda t, i: list_position(w, t) = i AND length(t) >= 2) AS core FROM (SELECT query_id, {words('asked')} AS w FROM a)),
+{prefix_bm25("pg", "SELECT id, text FROM c", "SELECT query_id, text FROM a", 10)},
+ps AS (SELECT id * 1000 + o AS id, id AS document_id, substr(text, (o * 600 + 1)::BIGINT, 720) AS text FROM (SELECT id, text, unnest(range(0, greatest(0, ceil((length(text) - 120) / 600.0)::BIGINT - 1) + 1)) AS o FROM c WHERE length(text) > 0) WHERE length(trim(regexp_replace(substr(text, (o * 600 + 1)::BIGINT, 720), '\\s+', ' ', 'g'))) >= 24),
+{prefix_bm25("rl", "SELECT id, text FROM ps", "SELECT query_id, asked AS text FROM a", 80)},
+{prefix_bm25("st", "SELECT id, text FROM ps", "", 80, "SELECT query_id, unnest(core[1:5]) AS w FROM core WHERE len(core) >= 2")},
+rt AS (SELECT query_id, id, sum(w / (60 + rank)) AS route FROM (SELECT query_id, id, rank, 1.0::DOUBLE AS w FROM rl UNION ALL SELECT query_id, id, rank, 1.6 FROM st) GROUP BY ALL),
+cv AS (SELECT query_id, id, document_id, route, core, lower(text) AS low, length(text) AS size, list_filter(core, lambda t: contains(lower(text), t)) AS cov FROM rt JOIN ps USING (id) JOIN core USING (query_id)),
+sp AS (SELECT *, list_transform(cov, lambda t: strlen(left(low, strpos(low, t) - 1))) AS pl, len(cov) AS n FROM cv),
+ev AS (SELECT query_id, id, document_id, n, len(core) AS total, round(10 * route + coalesce(list_sum(list_transform(cov, lambda t: 2.5 + least(0.8, length(t) * 0.15))), 0) + CASE WHEN len(core) > 0 THEN 4.0 * n / len(core) ELSE 0 END + CASE WHEN n >= 2 THEN 2.5 ELSE 0 END
+  + CASE WHEN n = len(core) AND n > 0 THEN 2 ELSE 0 END + CASE WHEN n < 2 THEN 0 WHEN list_max(pl) - list_min(pl) <= 120 THEN 3 WHEN list_max(pl) - list_min(pl) <= 300 THEN 1.5 ELSE 0 END + 1.0 + 1.0 + CASE WHEN size > 2500 THEN -1.5 WHEN size <= 900 THEN 0.8 ELSE 0 END, 9)::DOUBLE AS score FROM sp),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, count(*) OVER (PARTITION BY query_id) AS many FROM ev),
+gd AS (SELECT query_id, min(rank) FILTER (rank > 1 AND n >= least(2, total)) AS best, bool_or(rank = 1 AND n >= least(2, total)) AS fine FROM rk GROUP BY 1),
+sw AS (SELECT rk.*, CASE WHEN total < 2 OR many < 2 OR fine OR best IS NULL THEN rank WHEN rank = 1 THEN best WHEN rank = best THEN 1 ELSE rank END AS r FROM rk JOIN gd USING (query_id)),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY r, id) AS k FROM sw) WHERE k <= 3),
+fe AS (SELECT query_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, id) AS z FROM kp) WHERE z <= 10),
+tl AS (SELECT query_id, ref, score FROM (SELECT event_id % 40 AS query_id, event_id::VARCHAR AS ref, value AS score, row_number() OVER (PARTITION BY event_id % 40 ORDER BY value DESC, event_id::VARCHAR) AS k FROM events WHERE value IS NOT NULL) WHERE k <= 5),
+al AS (SELECT query_id, id::VARCHAR AS ref, round(score, 6) AS score, 'brain' AS route FROM pg UNION ALL SELECT query_id, id::VARCHAR, round(score, 6), 'evidence' FROM fe UNION ALL SELECT query_id, ref, round(score, 6), 'timeline' FROM tl),
+i AS (SELECT query_id, {INTENT_SQL} AS intent FROM (SELECT query_id, asked AS text FROM a)), s AS (SELECT query_id, CASE WHEN intent IN ('temporal', 'event') THEN 'timeline_first' WHEN intent = 'entity' THEN 'brain_first' ELSE 'evidence_first' END AS strategy FROM i)
+SELECT query_id, ref, score, route, strategy, row_number() OVER (PARTITION BY query_id ORDER BY (strategy = route || '_first') DESC, score DESC, route, ref) AS rank FROM al JOIN s USING (query_id)""")
 def q48_unified_query(spark, d):
+    """Pages, evidence and events, in the order that each query's strategy asks for."""
     q, chunks, _ = search_inputs(spark, d)
     asked_ = q.select("query_id", F.concat(F.element_at(F.array(F.lit("who is "), F.lit("when was "), F.lit("")), (F.col("query_id") % 3 + 1).cast("int")), "text").alias("text"))
     k = F.round("score", 6).alias("score")
-    pages = R.top_k(P.keyword_list(q, chunks, 10), 10).select("query_id", F.col("doc_id").cast("string").alias("ref"), k)
-    p = C.window_passages(chunks, "chunk_id", "chunk_text").select(F.xxhash64("chunk_id", "passage_order").alias("passage_id"), F.col("chunk_id").alias("document_id"), "content", F.lit("window").alias("view_type"))
-    evidence = P.evidence_search(asked_, p).select("query_id", F.col("node_id").cast("string").alias("ref"), k)
-    e = table(spark, d, "events").where("event_type = 'purchase'").select((F.col("event_id") % 40).alias("query_id"), F.col("event_id").cast("string").alias("ref"), F.col("value").alias("score"))
+    pages = P.keyword_list(q, R.token_postings(chunks, "chunk_id", "chunk_text"), 10).select("query_id", F.col("doc_id").cast("string").alias("ref"), k)
+    p = C.window_passages(chunks, "chunk_id", "chunk_text").select((F.col("chunk_id") * 1000 + F.col("passage_order")).alias("passage_id"), F.col("chunk_id").alias("document_id"), F.lit("").alias("title"), "content", F.lit("window").alias("view_type"), F.lit(0).alias("level"))
+    evidence = P.evidence_search(asked_, p.withColumn("node_id", F.col("passage_id"))).select("query_id", F.col("node_id").cast("string").alias("ref"), k)
+    e = table(spark, d, "events").select((F.col("event_id") % 40).alias("query_id"), F.col("event_id").cast("string").alias("ref"), F.col("value").alias("score"))
     events = R.top_k(e.where("score is not null"), 5, tie="ref").select("query_id", "ref", k)
     return P.unified_query(asked_, pages, evidence, events)
 

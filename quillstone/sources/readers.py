@@ -64,7 +64,7 @@ def html_documents(pages: DataFrame, key: str, html: str) -> DataFrame:
     title = X.strip(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
     heads = F.transform(F.regexp_extract_all(body, F.lit(r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)), X.strip_tags)
     links = F.regexp_extract_all(body, F.lit(r"(?is)<a\s[^>]*href=[\"']([^\"']+)[\"']"), F.lit(1))
-    lined = F.regexp_replace(body, r"(?i)</(p|div|li|tr|h[1-6]|section|article|table|ul|ol)\s*>|<br\s*/?>", "\n")
+    lined = F.regexp_replace(F.regexp_replace(body, r"(?is)<title\b[^>]*>.*?</title\s*>", " "), r"(?i)</(p|div|li|tr|h[1-6]|section|article|table|ul|ol)\s*>|<br\s*/?>", "\n")
     plain = F.regexp_replace(lined, "(?s)<[^>]+>", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         plain = F.replace(plain, F.lit(name), F.lit(char))
@@ -82,6 +82,20 @@ def markdown_pages(pages: DataFrame, key: str, content: str) -> DataFrame:
     return pages.select(key, F.when(F.size(pairs) > 0, fields).otherwise(F.create_map().cast("map<string,string>")).alias("frontmatter"), X.strip(body).alias("body"), X.strip(F.regexp_extract(rest, mark, 2)).alias("timeline"))
 
 
+def parse_files(files: DataFrame) -> DataFrame:
+    """path, parser, text of scanned files (path, ext, content), each by the parser of its extension.
+
+    Web pages, markdown, tables and plain text are read by expressions; office files by a map of their own.
+    A PDF has no text here.
+    """
+    f = files.withColumn("parser", parser_of("ext"))
+    plain = f.where("parser in ('text', 'csv', 'markdown', 'pdf')").select("path", "parser", F.when(F.col("parser") != "pdf", X.strip(F.decode("content", "UTF-8"))).alias("text"))
+    pages = html_documents(f.where("parser = 'html'").select("path", F.decode("content", "UTF-8").alias("html")), "path", "html").select("path", F.lit("html").alias("parser"), "text")
+    docs = docx_texts(f.where("parser = 'docx'")).select("path", F.lit("docx").alias("parser"), "text")
+    sheets = xlsx_rows(f.where("parser = 'xlsx'")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sheet", "row", F.array_join("cells", "\t").alias("t")))).alias("r"))
+    return plain.union(pages).union(docs).union(sheets.select("path", F.lit("xlsx").alias("parser"), F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("text")))
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """path, text of whole files."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
@@ -134,9 +148,9 @@ def xlsx_rows(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row int, cells array<string>")
 
 
-def qrels(spark: SparkSession, path: str) -> DataFrame:
-    """query_id, query, doc, relevant of a JSON list of judged queries."""
-    raw = spark.read.option("multiLine", "true").schema("query string, relevant array<string>, irrelevant array<string>").json(path)
+def qrels(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """query_id, query, doc, relevant of judged queries: a JSON list, or one object per line if lines."""
+    raw = spark.read.option("multiLine", str(not lines).lower()).schema("query string, relevant array<string>, irrelevant array<string>").json(path)
     raw = raw.withColumn("query_id", F.xxhash64("query"))
     good = raw.select("query_id", "query", F.explode_outer("relevant").alias("doc"), F.lit(True).alias("relevant"))
     return good.union(raw.select("query_id", "query", F.explode("irrelevant").alias("doc"), F.lit(False)))

@@ -7,7 +7,9 @@ import os
 import duckdb
 import pytest
 
-from quillstone.plans import catalogue, catalogue_state
+from quillstone.plans import catalogue, catalogue_facade, catalogue_state, catalogue_text
+
+assert all(more.QUERIES is catalogue.QUERIES for more in (catalogue_facade, catalogue_state, catalogue_text))
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +26,7 @@ def plain(v):
     return str(v)[:10] if type(v).__name__ in ("datetime", "date", "Timestamp") else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue_state.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_query(spark, sf_dir, duck, name):
     df = catalogue.QUERIES[name](spark, sf_dir)
     columns = sorted(df.columns)
