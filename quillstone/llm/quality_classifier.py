@@ -26,7 +26,8 @@ from .common import DROP, map_texts, narrow, replace_texts
 CHUNK, STEP, WIDTH, STRIDE = 512, 504, 8, 4
 DIM, FILTERS, BLANK = 8, 32, 256
 BLOCK, BATCH, EPOCHS, RATE = 128, 48, 12, 0.02
-MAX_TRAIN, MAX_BYTES = 4_000, 1 << 18
+#: Bounds of the labelled sample: texts, and bytes of each. Together at most 256 MB reach the driver.
+MAX_TRAIN, MAX_BYTES = 4_000, 1 << 16
 
 
 def chunks_of(text: bytes) -> np.ndarray:
