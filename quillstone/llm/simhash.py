@@ -61,7 +61,9 @@ def links(fps: DataFrame) -> DataFrame:
     """(a, b): pairs of different fingerprints (column fp, distinct) at RADIUS bits or fewer."""
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     seg = F.array(F.shiftrightunsigned("fp", 32), low("fp"))
-    entries = fps.select("fp", F.posexplode(seg).alias("k", "value"))
+    # Each fingerprint becomes 66 rows, so they are spread before they are laid out.
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    entries = spread.select("fp", F.posexplode(seg).alias("k", "value"))
     flips = F.expr("array_distinct(transform(sequence(-1, 31), b -> if(b < 0, value, value | shiftleft(1L, b))))")
     probes = entries.select(F.col("fp").alias("p"), "k", F.explode(flips).alias("value"))
     near = F.bit_count(F.col("p").bitwiseXOR(F.col("fp"))) <= RADIUS
