@@ -37,6 +37,8 @@ ESCAPED_IN_NAMES = ESCAPED.copy()
 ESCAPED_IN_NAMES[0x3A] = True
 NAME = re.compile(rb"((?:[^\\:]|\\.)*):\n", re.DOTALL)
 TRAINED = "assistant"
+#: Bytes of roles and texts that are formatted at once.
+MOST = 1 << 28
 COLUMNS = "formatted string, loss_start long, loss_chars long"
 
 
@@ -81,8 +83,6 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     total = len(OPEN) + name + len(NAMED) + body + len(CLOSE)
     ends = np.cumsum(total)
     start = ends - total
-    if n and ends[-1] > np.iinfo(np.int32).max:
-        raise OverflowError("a batch of turns is over 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
     out = np.empty(int(ends[-1]) if n else 0, np.uint8)
     at = start
     for piece in (OPEN, (role, role_at, name), NAMED, (text, text_at, body), CLOSE):
@@ -99,6 +99,16 @@ def assemble(roles: pa.Array, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np
     return column, points[begin] - points[start], points[begin + body] - points[begin]
 
 
+def halved(batch: pa.RecordBatch, most: int = MOST) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most so many bytes, or of one turn: escapes at most double them, and offsets have 32 bits."""
+    if batch.num_rows < 2 or sum(c.nbytes for c in batch.columns[-2:]) <= most:
+        yield batch
+    else:
+        middle = batch.num_rows // 2
+        yield from halved(batch.slice(0, middle), most)
+        yield from halved(batch.slice(middle), most)
+
+
 def format_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text", trained: str = TRAINED) -> DataFrame:
     """turns plus formatted, loss_start and loss_chars (0, 0 where nothing is trained on); columns of those names are replaced."""
     rest = [c for c in turns.columns if c.lower() not in ("formatted", "loss_start", "loss_chars")]
@@ -106,7 +116,7 @@ def format_turns(turns: DataFrame, role_col: str = "role", text_col: str = "text
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.select(*rest).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in halved(whole)):
             *kept, roles, texts = batch.columns
             column, start, size = assemble(roles, texts)
             on = np.array([r == trained.encode() for r in roles.to_pylist()], bool)
