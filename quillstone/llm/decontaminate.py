@@ -5,12 +5,12 @@ is 10 consecutive words of an item; an item of fewer words, but not none, is one
 training text's words become numbers of the benchmark's vocabulary; windows of known words are
 hashed by one vectorised polynomial, looked up, and verified word by word. Spans are then cut.
 
-The set is broadcast only if it has at most max_windows windows. Beyond that the windows of both
-sides meet in a join on their words' hash, followed by the same verification, so no benchmark is too
-large.
+A set that may have more than max_windows windows is dealt by hash to shards that have no more, a
+long item in pieces that share what a window needs. Each shard is a broadcast set of its own for a
+pass over the texts, of which only hits remain; so no benchmark is too large.
 
-Defined cases: null text has no words; items with a null id or no words are left out, items that
-repeat an id count once; repeated documents each come back; empty tables give no rows or no hits.
+Defined cases: null text has no words; items without words are left out, items that repeat an id count
+once; a null id is no item of the list, but its windows hit; repeated documents each come back; empty tables give no rows or no hits.
 """
 
 from __future__ import annotations
@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, DROP, map_texts, narrow, replace_texts
+from .common import DROP, Scratch, doc_bitmap, map_texts, marked_by, narrow, replace_texts
 
 WINDOW, MAX_WINDOWS = 10, 1_000_000
 #: Byte to byte: lower case, and a space for all that is in no word.
@@ -106,13 +105,13 @@ def cut(text: bytes, hit: np.ndarray) -> bytes:
 
 
 def result(text: bytes | None, words: list[bytes], hit: np.ndarray, items: set, with_text: bool) -> tuple:
-    ids = sorted(map(str, items))
-    row = len(words), int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(items)
-    return row if not with_text else (*row, None if text is None else (cut(text, hit) if items else text).decode("utf-8", "replace"))
+    ids = sorted(str(i) for i in items if i is not None)
+    row = len(words), int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit.any())
+    return row if not with_text else (*row, None if text is None else (cut(text, hit) if hit.any() else text).decode("utf-8", "replace"))
 
 
 def usable(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("item is not null and text is not null")
+    return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text")).where("text is not null")
 
 
 def too_large(items: DataFrame, max_windows: int) -> bool:
@@ -133,7 +132,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = usable(benchmark, item_col, item_text_col)
     docs = narrow(docs, id_col, text_col)
     if too_large(items, max_windows):
-        return joined(docs, items, with_text).drop("of")
+        return sharded(docs, items, with_text, max_windows).drop("th")
     index = broadcast_index(docs, items)
 
     def make():
@@ -148,55 +147,102 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return map_texts(docs, make, FIELDS + [pa.field("clean_text", pa.string())] * with_text, DDL + ", clean_text string" * with_text)
 
 
-def joined(docs: DataFrame, items: DataFrame, with_text: bool) -> DataFrame:
-    """The same for a benchmark that is too large to broadcast.
+#: Words of an item's piece.
+PIECE_WORDS = 5_000
 
-    Hashes of document windows meet those of items; what is left per document is the list of its
-    own items that may occur, and a second pass verifies them against the whole text.
-    """
-    sizes = sorted(r[0] for r in items.mapInArrow(sizes_of, "size long").distinct().collect())  # at most WINDOW values
-    keys = items.mapInArrow(keys_of(sizes, own=True), "item string, key long, size long").join(items.withColumnRenamed("text", "item_text"), "item")
-    seen = docs.select(F.col("doc_id").cast("string").alias("item"), F.xxhash64("text").alias("same"), F.col("text").cast("binary").alias("text"))
-    spotted = seen.select(F.struct("item", "same").cast("string").alias("item"), "text").where("text is not null").mapInArrow(keys_of(sizes), "item string, key long, size long")
-    found = spotted.withColumnRenamed("item", "doc").join(keys, ["key", "size"]).select("doc", "item", "item_text").distinct()
-    rows = found.groupBy("doc").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-    ready = docs.withColumn("doc", F.struct(F.col("doc_id").cast("string"), F.xxhash64("text")).cast("string")).join(rows, "doc", "left")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item, text) of pieces of PIECE_WORDS words, which share all but one word of a window."""
+    for batch in batches:
+        names, texts = [], []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            w = words_of(text)
+            for k in range(0, max(1, len(w) - WINDOW + 1), PIECE_WORDS - WINDOW + 1):
+                names.append(item)
+                texts.append(b" ".join(w[k : k + PIECE_WORDS]))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["item", "text"])
+
+
+def dealt(items: DataFrame, max_windows: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Pieces with their shard, and the number of shards; each shard has at most max_windows windows, or is one piece's."""
+    parts = scratch.put("pieces", items.mapInArrow(pieces, "item string, text binary").where("octet_length(text) > 0"))
+    size = parts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    most = max(2 * max_windows, 12 * PIECE_WORDS)
+    shards = max(1, -(-2 * size // most))
+    while True:
+        told = parts.withColumn("shard", F.expr(f"pmod(xxhash64(item, text), {shards})"))
+        held = told.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.count("*").alias("k")).where(F.col("k") > 1)
+        if (held.agg(F.max("n")).first()[0] or 0) <= most or shards > size:
+            return told, shards
+        shards *= 2
+
+
+def hits_of(index, id_type: str):
+    """(doc_id, th, text) to doc_id, th, first and last of the runs of hit words, items: texts with hits alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = index.value
         for batch in batches:
+            keep, firsts, lasts, names = [], [], [], []
             for i in range(batch.num_rows):
-                text, listed = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
-                words = words_of(text)
-                row = result(text, words, *Index([(x["item"], x["item_text"]) for x in listed or []]).scan(words), with_text)
-                fields = FIELDS + [pa.field("clean_text", pa.string())] * with_text
-                cols = [pa.array([v], f.type) for v, f in zip(row, fields)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *cols, batch.column(3).slice(i, 1)], names=["doc_id", *(f.name for f in fields), "of"])
+                hit, items = own.scan(words_of(batch.column(2)[i].as_py()))
+                if hit.any():
+                    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.astype(np.int8), [0]))))
+                    keep.append(i)
+                    firsts.append(edge[::2].tolist())
+                    lasts.append((edge[1::2] - 1).tolist())
+                    names.append([None if x is None else str(x) for x in items])
+            part = batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "th", "first", "last", "items"])
 
-    return ready.select("doc_id", F.col("text").cast("binary").alias("text"), "items", F.xxhash64("text").alias("of")).mapInArrow(verify, f"doc_id {id_type}, {DDL}" + ", clean_text string" * with_text + ", of long")
+    return run, f"doc_id {id_type}, th long, first array<int>, last array<int>, items array<string>"
 
 
-def sizes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = {min(WINDOW, len(words_of(t))) for t in batch.column(1).to_pylist()} - {0}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(sizes), pa.int64())], names=["size"])
+def sharded(docs: DataFrame, items: DataFrame, with_text: bool, max_windows: int) -> DataFrame:
+    """The same for a benchmark of any size, plus th (the text's hash): a pass per shard, whose hits are then put together.
 
+    Only texts with hits meet them in a join; a bitmap of fixed size tells which those may be.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    scratch = Scratch(docs.sparkSession, "shards")
+    told, shards = dealt(items, max_windows, scratch)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
+    sc, found = docs.sparkSession.sparkContext, None
+    for k in range(shards):
+        index = sc.broadcast(Index([(r.item, bytes(r.text)) for r in told.where(F.col("shard") == k).select("item", "text").collect()]))
+        run, ddl = hits_of(index, id_type)
+        own = scratch.put(f"hits{k}", texts.mapInArrow(run, ddl))
+        index.unpersist()
+        found = own if found is None else found.union(own)
+    found = scratch.put("hits", merged(found))
+    scratch.drop("pieces", *(f"hits{k}" for k in range(shards)))
+    seen = marked_by(texts, doc_bitmap(found))
+    near = (F.col("t.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("t.th") == F.col("f.th"))
+    lists = ("first", "last", "items")
+    ready = seen.where("maybe").alias("t").join(found.alias("f"), near, "left").select("t.doc_id", "text", *lists, "t.th")
+    ready = ready.union(seen.where("not maybe").select("doc_id", "text", *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in lists), "th"))
+    fields = FIELDS + [pa.field("clean_text", pa.string())] * with_text
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text, first, last, names in zip(*(batch.columns[1:5])):
+                text = text.as_py()
+                words = words_of(text)
+                hit = np.zeros(len(words), bool)
+                for a, b in zip(first.as_py() or [], last.as_py() or []):
+                    hit[a : b + 1] = True
+                rows.append(result(text, words, hit, set(names.as_py() or []), with_text))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows), fields)), batch.column(5)], names=["doc_id", *(f.name for f in fields), "th"])
 
-def keys_of(sizes: list[int], own: bool = False):
-    """(item, key, size): hashes of a text's windows of the sizes that items have, or of its own size as an item."""
+    return ready.mapInArrow(tell, f"doc_id {id_type}, {DDL}" + ", clean_text string" * with_text + ", th long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name, words = batch.column(0)[i].as_py(), words_of(batch.column(1)[i].as_py())
-                for size in [min(WINDOW, len(words))] if own else sizes:
-                    keys = {xxhash.xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(len(words) - size + 1)}
-                    found = np.fromiter(keys, np.uint64, len(keys)).view(np.int64)
-                    for k in range(0, len(found), BATCH_BYTES >> 6):
-                        part = found[k : k + (BATCH_BYTES >> 6)]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), pa.string()), pa.array(part), pa.array(np.full(len(part), size))], names=["item", "key", "size"])
 
-    return run
+def merged(found: DataFrame) -> DataFrame:
+    """Hits of all shards by text; a row's lists belong together, so they are gathered as one."""
+    rows = found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "items")).alias("m"))
+    return rows.select("doc_id", "th", *(F.expr(f"flatten(transform(m, x -> x.{c}))").alias(c) for c in ("first", "last", "items")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_windows: int = MAX_WINDOWS) -> DataFrame:
@@ -206,9 +252,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
     """
     items = usable(benchmark, "item_id", "text")
     if too_large(items, max_windows):
-        found = joined(narrow(docs, id_col, text_col), items, True).where("contaminated")
-        found = found.withColumn("__qs_gone", F.col("n_hit") == F.col("n_words"))
-        found = found.select(F.col("doc_id").alias("__qs_id"), F.col("clean_text").alias("__qs_text"), "__qs_gone", F.col("of").alias("__qs_of")).distinct()
+        found = sharded(narrow(docs, id_col, text_col), items, True, max_windows).where("contaminated")
+        found = found.select(F.col("doc_id").alias("__qs_id"), F.col("clean_text").alias("__qs_text"), (F.col("n_hit") == F.col("n_words")).alias("__qs_gone"), F.col("th").alias("__qs_of")).distinct()
         out = docs.join(found, F.col(id_col).eqNullSafe(F.col("__qs_id")) & (F.xxhash64(text_col) == F.col("__qs_of")), "left").where("__qs_gone is null or not __qs_gone")
         return out.withColumn(text_col, F.when(F.col("__qs_gone").isNotNull(), F.col("__qs_text")).otherwise(F.col(text_col))).select(*docs.columns)
     index = broadcast_index(docs, items)
@@ -218,8 +263,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col:
 
         def kernel(text: bytes | None) -> bytes | None:
             words = words_of(text)
-            hit, found = own.scan(words)
-            return text if not found else DROP if hit.all() else cut(text, hit)
+            hit, _ = own.scan(words)
+            return text if not hit.any() else DROP if hit.all() else cut(text, hit)
 
         return kernel
 

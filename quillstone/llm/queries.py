@@ -111,12 +111,12 @@ def item_words(text: str) -> str:
 
 ORACLE_SQL["op10_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, {item_words('text')} AS w FROM documents),
-b AS (SELECT item_id, {item_words('text')} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {item_words('text')} AS w FROM benchmark),
 s AS (SELECT item_id, w, least(10, len(w)) AS size FROM b WHERE len(w) > 0),
 k AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS key FROM (SELECT item_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM s)),
 x AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS key FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM s) WHERE len(w) >= size)),
 h AS (SELECT doc_id, item_id, i, x.size FROM x JOIN k ON x.size = k.size AND x.key = k.key),
 n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM h) GROUP BY doc_id),
-f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h) GROUP BY doc_id)
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
 """
