@@ -113,7 +113,7 @@ def contamination(texts: list[str | None], items: list[tuple[object, str | None]
         w = word.findall(a_to_z(t or ""))
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            of[tuple(w[k : k + n])].add(str(i))
+            of[tuple(w[k : k + n])].add(i)
     sizes, out = {len(k) for k in of}, []
     for t in texts:
         w = word.findall(a_to_z(t or ""))
@@ -123,5 +123,6 @@ def contamination(texts: list[str | None], items: list[tuple[object, str | None]
                 if (x := of.get(tuple(w[k : k + n]))) is not None:
                     hit[k : k + n] = [True] * n
                     found |= x
-        out.append((len(w), sum(hit), len(found), sha(",".join(sorted(found))), bool(found)))
+        ids = sorted(str(i) for i in found if i is not None)
+        out.append((len(w), sum(hit), len(ids), sha(",".join(ids)), any(hit)))
     return out

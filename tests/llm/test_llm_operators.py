@@ -73,6 +73,30 @@ def test_random_strings_are_secrets_and_words_are_not(spark):
     assert sum(out[i] for i, _ in keys) >= 57 and all(out[i] == 0 for i, _ in plain)
 
 
+def test_step_up_is_the_largest_that_holds():
+    r = random.Random(17)
+    for _ in range(200):
+        tests = [(r.randint(20, 80), r.choice([r.random() ** 6, 1e-9, 1.0])) for _ in range(r.randint(0, 9))]
+        mean = sum(n for n, _ in tests) / max(1, len(tests))
+        q = [p * mean / n for n, p in tests]
+        good = [k for k in range(1, len(q) + 1) if sorted(q)[k - 1] <= secret_scan.FDR * k / len(q)]
+        line = sorted(q)[max(good) - 1] if good else -1
+        got = secret_scan.discoveries(tests)
+        assert sum(got) == (max(good) if good else 0) and all(x <= line for x, yes in zip(q, got) if yes)
+
+
+def test_plain_candidates_are_left_alone():
+    r = random.Random(23)
+    words = ["commons", "lang", "builder", "version", "session", "factory", "handler", "config", "default", "user", "account", "server", "import", "export", "legacy", "internal"]
+    shapes = [
+        lambda: "_".join(r.choices(words, k=4)), lambda: "/".join(r.choices(words, k=4)), lambda: "".join(w.title() for w in r.choices(words, k=4)),
+        lambda: "-".join([*(w.title() for w in r.choices(words, k=4)), f"V{r.randint(1, 99)}"]), lambda: "_".join(w.upper() for w in r.choices(words, k=4)), lambda: "".join(r.choices(words, k=4)),
+    ]
+    for shape in shapes:
+        found = sum(secret_scan.scan(f"see {shape()} there".encode())[3] for _ in range(300))
+        assert found <= 6, shape()
+
+
 @pytest.mark.parametrize("length", [20, 32, 64])
 def test_lone_secrets_of_each_encoding_are_found(length):
     r = random.Random(length)
@@ -103,6 +127,54 @@ def test_disclosing_terms_and_sanitised_text(spark):
     assert "zeb@" not in clean[0] and "Zebulon" not in clean[0] and "<EMAIL>" in clean[0] and clean[12] == data[8][1]
 
 
+def plain_terms(data):
+    """(doc_id, kind, start, end) of disclosing terms of every row, from counted co-occurrences; emails only."""
+    word = re.compile(r"[^\W\d_]{3,}")
+    near, contexts, everywhere = Counter(), defaultdict(set), Counter()
+    for _, t in data:
+        everywhere.update(w.lower() for w in re.findall(r"[^\W\d_]+", t or ""))
+        own = {}
+        found = list(re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t or ""))
+        for k, m in enumerate(found):
+            start = found[k - 1].end() if k else 0
+            left, right = t[start : m.start()], t[m.end() : found[k + 1].start() if k + 1 < len(found) else len(t)]
+            pick = [(start + a.start(), a[0]) for a in word.finditer(left)][-pii.NEAR :] + [(m.end() + a.start(), a[0]) for a in word.finditer(right)][: pii.NEAR]
+            for at, w in pick:
+                own.setdefault((w.lower(), m[0].lower(), at), (left, right))
+        for (w, e, _), context in own.items():
+            near[w, e] += 1
+            contexts[w, e].add(context)
+    level = {}
+    for (w, e), n in near.items():
+        if len(contexts[w, e]) >= pii.LEAST and n / everywhere[w] >= pii.GENERALISE:
+            level[w] = max(level.get(w, 0), n / everywhere[w])
+    out = Counter()
+    for i, t in data:
+        for m in re.finditer(r"[^\W\d_]+", t or ""):
+            if m[0].lower() in level:
+                out[i, "term" if level[m[0].lower()] >= pii.REMOVE else "term_generalised", m.start(), m.end()] += 1
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_terms_as_counted_plainly_however_often_rows_repeat(spark, times):
+    r, names = random.Random(21), ["Zebulon", "Quarrel", "Ottoline", "Marzipan"]
+    data = []
+    for i in range(60):
+        who = r.choice(names)
+        mail = f"{who.lower()[:3]}@ex.org"
+        parts = [r.choice(["call", "write", "ask", who, "über", "note", str(i), mail, who, mail]) for _ in range(9)]
+        data.append((i, " ".join(parts)))
+    data += [(100 + i, " ".join(r.choice(["call", "note", "Zebulon", "tree", "Ottoline"]) for _ in range(6))) for i in range(20)]
+    data = data * times
+    got = Counter()
+    for row in pii.find(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        for kind, a, b in (x.split(":") for x in row.spans.split(",") if x.startswith("term")):
+            got[row.doc_id, kind, int(a), int(b)] += 1
+    want = plain_terms(data)
+    assert got == want and len(want) > 20 and {k[1] for k in want} == {"term", "term_generalised"}
+
+
 def test_terms_of_an_entity_of_any_share_are_found_everywhere(spark):
     data = [(i, f"call Zebulon near quarry {i} zeb@example.org") for i in range(6)]
     data += [(10 + i, f"x {i} u{i}@example.org") for i in range(12)]  # a third of all matches are one entity
@@ -141,6 +213,26 @@ def test_classifier(spark, sf_dir, hard, empty):
     assert quality_classifier.train(empty, labels).score(b"") == pytest.approx(0.5, abs=0.2)
 
 
+def test_classifier_scores_by_a_plain_forward_pass():
+    r, net = np.random.default_rng(5), quality_classifier.Net()
+    for name, v in net.p.items():
+        net.p[name] = (v + r.normal(0, 0.2, v.shape)).astype(np.float32)
+    C = quality_classifier
+    for text in (b"", b"a", b"some words " * 60, bytes(range(97, 123)) * 41):
+        chunks = []
+        at = 0
+        while text and (at == 0 or at + C.CHUNK - C.STEP < len(text)):
+            chunks.append([*text[at : at + C.CHUNK]] + [C.BLANK] * (C.CHUNK - len(text[at : at + C.CHUNK])))
+            at += C.STEP
+        tops = []
+        for c in chunks:
+            x = [net.p["embed"][b].astype(float) for b in c]
+            seen = [np.concatenate(x[i : i + C.WIDTH]) @ net.p["filters"] for i in range(0, C.CHUNK - C.WIDTH + 1, C.STRIDE)]
+            tops.append(np.maximum(np.max(seen, 0) + net.p["bias"], 0))
+        features = np.concatenate([np.max(tops, 0), np.mean(tops, 0)]) if tops else np.zeros(2 * C.FILTERS)
+        assert net.score(text) == pytest.approx(1 / (1 + np.exp(-(features @ net.p["out"] + net.p["out_bias"][0]))), abs=1e-4)
+
+
 def test_classifier_gradient():
     r, net = np.random.default_rng(3), quality_classifier.Net()
     texts, y = [r.integers(97, 123, n, np.uint8).tobytes() for n in (700, 90)], np.array([1.0, 0.0])
@@ -271,6 +363,15 @@ def test_chat_format(spark, sf_dir):
     assert chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
 
 
+def test_large_batches_are_halved():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4, 5]), pa.array([b"r"] * 5), pa.array([b"x" * n for n in (5, 900, 3, 700, 1)])], names=["a", "r", "t"])
+    parts = list(chat_format.halved(batch, 300))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) or pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert all(p.num_rows == 1 or sum(c.nbytes for c in p.columns[-2:]) <= 300 for p in parts) and len(parts) > 2
+
+
 def test_escapes_are_undone():
     r = random.Random(9)
     for _ in range(500):
@@ -377,7 +478,7 @@ def test_decontamination(request, spark, sf_dir, which, most):
     df = request.getfixturevalue(which)
     items = table(spark, sf_dir, "benchmark").union(spark.createDataFrame([(None if i is None else i + 1000, t) for i, t in ITEMS], "item_id long, text string"))
     data = pairs(df)
-    want = Counter((i, *x) for (i, _), x in zip(data, B.contamination([t for _, t in data], [(r.item_id, r.text) for r in items.collect() if r.item_id is not None])))
+    want = Counter((i, *x) for (i, _), x in zip(data, B.contamination([t for _, t in data], [(r.item_id, r.text) for r in items.collect()])))
     assert rows(decontaminate.decontaminate(df, items, max_windows=most), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
 
 
