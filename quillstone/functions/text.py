@@ -122,6 +122,19 @@ def cjk_of(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), f"[^{CJK}]", "")
 
 
+def pinyin_tokens(c: Column | str, readings: dict[str, str], most: int = 200) -> Column:
+    """Of the CJK characters that have a reading, the readings joined and their first letters joined.
+
+    readings maps characters to plain syllables; no such table is installed, so it is a parameter. More than
+    most CJK characters have no such tokens.
+    """
+    table = F.create_map(*(F.lit(x) for pair in readings.items() for x in pair)) if readings else F.create_map().cast("map<string,string>")
+    own = cjk_of(c)
+    read = F.filter(F.transform(F.filter(F.split(own, ""), lambda x: x != ""), lambda x: F.try_element_at(table, x)), lambda x: x.isNotNull())
+    made = F.array(F.array_join(read, ""), F.array_join(F.transform(read, lambda x: F.left(x, F.lit(1))), ""))
+    return F.when((F.length(own) <= most) & (F.size(read) > 0), made).otherwise(F.array().cast("array<string>"))
+
+
 def simplified(c: Column | str) -> Column:
     """Traditional characters in their simplified form (F8)."""
     return F.translate(_c(c), TRADITIONAL, SIMPLIFIED)

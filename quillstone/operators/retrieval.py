@@ -320,26 +320,36 @@ def guarantee_truth(kept: DataFrame, pool: DataFrame) -> DataFrame:
     return kept.join(gone, ["query_id", "slug", "chunk_id"], "left_anti").unionByName(swap.select("__new.*"))
 
 
-def greedy_text_dedup(hits: DataFrame, most: float = 0.85, text: str = "chunk_text", tie: str = "chunk_id", same: str | None = None) -> DataFrame:
-    """A hit goes if its word set is over most alike to a kept, better one of its query (W11; W12 with same).
+def greedy_text_dedup(hits: DataFrame, most: float = 0.85, text: str = "chunk_text", tie: str = "chunk_id") -> DataFrame:
+    """A hit goes if its word set is over most alike to a kept, better one of its query.
 
     The order of decisions matters, so each query's hits are one group; a search's pool has at most 400.
     """
+    return greedy(hits, ["query_id"], ["score", tie], [False, True], most, text)
+
+
+def cross_source_dedup(hits: DataFrame, most: float = 0.85, text: str = "chunk_text", tie: str = "chunk_id") -> DataFrame:
+    """Of alike hits of one page, compiled truth stays, else the better one (W12); a page's hits are one group."""
+    ranked = hits.withColumn("__truth", (F.col("source") == "compiled_truth").cast("int"))
+    return greedy(ranked, ["query_id", "slug"], ["__truth", "score", tie], [False, False, True], most, text).drop("__truth")
+
+
+def greedy(hits: DataFrame, keys: list[str], order: list[str], ascending: list[bool], most: float, text: str) -> DataFrame:
     columns = hits.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", tie], ascending=[False, True], kind="stable")
-        kept: list[tuple[object, set]] = []
+        pdf = pdf.sort_values(order, ascending=ascending, kind="stable")
+        kept: list[set] = []
         keep = []
-        for t, group in zip(pdf[text], pdf[same] if same else [None] * len(pdf)):
+        for t in pdf[text]:
             own = {w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()}
-            near = any(g == group and (len(own & k) / len(own | k) if own | k else 0.0) > most for g, k in kept)
+            near = any((len(own & k) / len(own | k) if own | k else 0.0) > most for k in kept)
             keep.append(not near)
             if not near:
-                kept.append((group, own))
+                kept.append(own)
         return pdf[keep][columns]
 
-    return hits.groupBy("query_id").applyInPandas(run, hits.schema)
+    return hits.groupBy(*keys).applyInPandas(run, hits.schema)
 
 
 def layered_dedup(hits: DataFrame, limit: int, per_page: int = 2, ratio: float = 0.6, most: float = 0.85) -> DataFrame:

@@ -516,6 +516,7 @@ r AS (SELECT scope, day, id, amount, n, amount <= 500 AS admitted, CASE WHEN amo
   UNION ALL SELECT e.scope, e.day, e.id, e.amount, e.n, total + e.amount <= 500, CASE WHEN total + e.amount <= 500 THEN total + e.amount ELSE total END FROM r JOIN e ON e.scope = r.scope AND e.day = r.day AND e.n = r.n + 1)
 SELECT scope, day, id, amount, admitted FROM r""")
 def q37_budget_ledger(spark, d):
+    """Reservations of each scope and day while they stay within the cap."""
     e = table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("ts").cast("date").alias("day"), F.col("event_id").alias("id"), F.coalesce("value", F.lit(0.0)).alias("amount"))
     return L.admit(e, 500.0)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillstone.functions import text as X
+from quillstone.operators import chunking as C
 from quillstone.operators import clustering as K
 from quillstone.operators import evaluation as V
 from quillstone.operators import facade as A
@@ -526,3 +527,119 @@ def q135_provider_hooks(spark, d):
     provider = lambda p: p.select("document_id", "page", say("read ", F.col("content")).alias("text"), F.when(F.col("document_id") % 4 == 0, 0.9).otherwise(0.1).alias("confidence"))
     out = A.recognised(pages, provider).withColumn("id", F.col("document_id"))
     return A.counted(out, "id", lambda c: c + 2).select("document_id", "text", "n_tokens")
+
+
+@query("""WITH h AS (SELECT doc_id, doc_id // 2 AS page, doc_id % 2 = 0 AS truth, n_chars FROM documents),
+p AS (SELECT a.doc_id AS truth_id, b.doc_id AS other_id, a.page % 3 <> 0 AS alike FROM h a JOIN h b ON a.page = b.page AND a.truth AND NOT b.truth)
+SELECT page AS slug, doc_id AS chunk_id FROM h WHERE doc_id NOT IN (SELECT other_id FROM p WHERE alike)""")
+def q136_cross_source_dedup(spark, d):
+    """Of alike hits of one page the compiled truth stays, whatever its score."""
+    k = F.col("doc_id")
+    page = F.floor(k / 2)
+    text = F.when((k % 2 == 0) | (page % 3 != 0), say("one two three four five six seven eight nine ten ", page)).otherwise(say("eleven twelve ", page))
+    t = table(spark, d, "documents")
+    hits = t.select((k % 5 * 0).alias("query_id"), page.alias("slug"), k.alias("chunk_id"), F.when(k % 2 == 0, "compiled_truth").otherwise("timeline").alias("source"), F.col("n_chars").cast("double").alias("score"), text.alias("chunk_text"))
+    return R.cross_source_dedup(hits).select("slug", "chunk_id")
+
+
+PART_SQL = "SELECT p_partkey, rpad('a' || p_name || p_partkey, 300, 'x') AS a, rpad('b' || p_partkey, 300, 'y') AS b, rpad('c' || p_type, 300, 'z') AS c, rpad('d' || p_brand, 300, 'w') AS d, rpad('e' || p_size, 300, 'v') AS e FROM part"
+
+
+@query(f"""WITH p AS ({PART_SQL}), f AS (SELECT *, a || chr(10) || chr(10) || b || chr(10) || chr(10) || c AS one FROM p)
+SELECT p_partkey, 0 AS chunk_index, sha256(one) AS digest FROM f UNION ALL SELECT p_partkey, 1, sha256(right(one, 200) || d || chr(10) || chr(10) || e) FROM f""")
+def q137_character_splitter(spark, d):
+    """Parts joined up to the size; the next chunk begins with the end of the last."""
+    pad = lambda c, x: F.rpad(c, 300, x)
+    parts = [pad(say("a", F.col("p_name"), F.col("p_partkey")), "x"), pad(say("b", F.col("p_partkey")), "y"), pad(say("c", F.col("p_type")), "z"), pad(say("d", F.col("p_brand")), "w"), pad(say("e", F.col("p_size")), "v")]
+    docs = table(spark, d, "part").select("p_partkey", F.concat_ws("\n\n", *parts).alias("t"))
+    return C.exploded(docs, C.character_splitter(1000, 200)("t"), "p_partkey").select("p_partkey", "chunk_index", F.sha2("chunk_text", 256).alias("digest"))
+
+
+@query("""WITH w AS (SELECT p_partkey, array_to_string(list_transform(range(200), lambda i: 'a' || i || p_partkey), ' ') AS a, array_to_string(list_transform(range(200), lambda i: 'b' || i || p_partkey), ' ') AS b, array_to_string(list_transform(range(200), lambda i: 'c' || i || p_partkey), ' ') AS c FROM part)
+SELECT p_partkey, 0 AS chunk_index, sha256(a || chr(10) || b) AS digest FROM w UNION ALL SELECT p_partkey, 1, sha256(right(a || chr(10) || b, 250) || chr(10) || c) FROM w""")
+def q138_word_splitter(spark, d):
+    """Paragraphs joined within one and a half sizes; a chunk begins with the end of the one before."""
+    k = F.col("p_partkey").cast("string")
+    run = lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: F.concat(F.lit(x), i.cast("string"), k)), " ")
+    docs = table(spark, d, "part").select("p_partkey", F.concat_ws("\n\n", run("a"), run("b"), run("c")).alias("t"))
+    return C.exploded(docs, C.word_splitter()("t"), "p_partkey").select("p_partkey", "chunk_index", F.sha2("chunk_text", 256).alias("digest"))
+
+
+def corners(key: Column, n: int) -> Column:
+    """A vector near one of n corners that lie far apart."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.when(key % n == i, 100.0).otherwise(0.0) + (key % 3) / 100.0).cast("float"))
+
+
+@query("SELECT p_partkey AS vec_id, p_partkey % 4 AS first FROM part")
+def q139_kmeans_corners(spark, d):
+    """Vectors about four corners fall into four clusters, here named by their least id."""
+    v = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"), corners(F.col("p_partkey"), 4).alias("embedding"))
+    c = K.kmeans(v, 4)
+    return c.select("vec_id", F.min("vec_id").over(Window.partitionBy("cluster")).alias("first"))
+
+
+@query("""WITH n AS (SELECT s_nationkey AS document_id, s_suppkey AS node, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) % 2 AS side FROM (SELECT p_partkey AS s_suppkey, p_size AS s_nationkey FROM part)), k AS (SELECT document_id FROM n GROUP BY 1 HAVING count(*) BETWEEN 3 AND 44)
+SELECT document_id, 0 AS level, 'n' || node AS content FROM n WHERE document_id IN (SELECT document_id FROM k) UNION ALL SELECT document_id, 1, string_agg('n' || node, chr(10) || chr(10) ORDER BY node) FROM n WHERE document_id IN (SELECT document_id FROM k) GROUP BY document_id, side""")
+def q140_summary_tree_corners(spark, d):
+    """Nodes about two corners make two parents, whose texts join their children's."""
+    p = table(spark, d, "part").select(F.col("p_size").cast("long").alias("document_id"), F.col("p_partkey").alias("node"))
+    w = Window.partitionBy("document_id")
+    p = p.withColumn("side", F.row_number().over(w.orderBy("node")) % 2).withColumn("many", F.count("*").over(w)).where("many between 3 and 44")
+    t = K.summary_tree(p.select("document_id", "node", say("n", F.col("node")).alias("content"), corners(F.col("side"), 2).alias("embedding")))
+    return t.select("document_id", "level", "content")
+
+
+@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN '' ELSE 'zhongguo,zg' END AS tokens FROM supplier""")
+def q141_pinyin(spark, d):
+    """readings of CJK characters from a table that is given."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 3 == 0, "中国 x").when(k % 3 == 1, say("a中b", k, "国")).otherwise("latin")
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(X.pinyin_tokens(text, {"中": "zhong", "国": "guo", "人": "ren"}), ",").alias("tokens"))
+
+
+def pdf_of(pages: list[str], deflate: bool) -> bytes:
+    """A PDF file with a page per text, its lines shown one by one."""
+    import zlib
+
+    out = [b"%PDF-1.4"]
+    for k, text in enumerate(pages):
+        body = b"BT " + b" T* ".join(b"(" + line.replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)").encode("cp1252") + b") Tj" for line in text.split("\n")) + b" ET"
+        data = zlib.compress(body) if deflate else body
+        out.append(b"%d 0 obj << /Type /Page /Contents %d 0 R >> endobj" % (2 * k + 1, 2 * k + 2))
+        out.append(b"%d 0 obj << /Length %d%s >> stream\n" % (2 * k + 2, len(data), b" /Filter /FlateDecode" if deflate else b"") + data + b"\nendstream endobj")
+    return b"\n".join([*out, b"%%EOF"])
+
+
+@query("SELECT 'n' || n_nationkey || '.pdf' AS path, '[PAGE:1]' || chr(10) || 'Name (' || n_name || ')' || chr(10) || 'second line' || chr(10) || chr(10) || '[PAGE:2]' || chr(10) || 'back\\slash' AS text FROM nation UNION ALL SELECT 'bad', NULL FROM region WHERE r_regionkey = 0")
+def q142_pdf(spark, d):
+    """Text of PDF pages behind their marks; what is no PDF has none."""
+
+    def make(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame({"path": [f"n{k}.pdf" for k in pdf["k"]], "content": [pdf_of([f"Name ({v})\nsecond line", "back\\slash"], k % 2 == 0) for k, v in zip(pdf["k"], pdf["v"])]})
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    files = n.mapInPandas(make, "path string, content binary").union(spark.range(1).select(F.lit("bad"), F.lit(b"no pdf")))
+    return files.select("path").join(I.pdf_texts(files), "path", "left").select("path", "text")
+
+
+@query("SELECT s_suppkey::VARCHAR AS path, CASE WHEN s_suppkey % 2 = 0 THEN 'said ' || s_suppkey END AS text FROM supplier")
+def q143_transcription(spark, d):
+    """Texts of audio files from a provider of one's own."""
+    files = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("path"), F.col("s_name").cast("binary").alias("content"))
+    return I.transcribed(files, lambda f: f.where("cast(path as int) % 2 = 0").select("path", say(" said ", F.col("path"), " ").alias("text")))
+
+
+@query("SELECT * FROM (VALUES (0, 'made'), (1, 'held'), (2, 'made'), (3, 'made'), (4, 'made'), (5, 'made')) AS v(step, outcome)")
+def q144_result_cache(spark, d):
+    """Results held by key; the least lately used goes first, and none is served past its time."""
+    now, seen = [0.0], []
+    cache = A.ResultCache(most=2, ttl=30.0, clock=lambda: now[0])
+    for step, (key, wait) in enumerate((("a", 0), ("a", 10), ("b", 0), ("c", 0), ("a", 0), ("a", 31))):
+        now[0] += wait
+        made: list[bool] = []
+        cache.get(key, lambda made=made: made.append(True) or table(spark, d, "region"))
+        seen.append((step, "made" if made else "held"))
+    return spark.createDataFrame(seen, "step int, outcome string")

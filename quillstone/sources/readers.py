@@ -5,7 +5,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -85,15 +86,15 @@ def markdown_pages(pages: DataFrame, key: str, content: str) -> DataFrame:
 def parse_files(files: DataFrame) -> DataFrame:
     """path, parser, text of scanned files (path, ext, content), each by the parser of its extension.
 
-    Web pages, markdown, tables and plain text are read by expressions; office files by a map of their own.
-    A PDF has no text here.
+    Web pages, markdown, tables and plain text are read by expressions; office files and PDFs by maps of their own.
     """
     f = files.withColumn("parser", parser_of("ext"))
-    plain = f.where("parser in ('text', 'csv', 'markdown', 'pdf')").select("path", "parser", F.when(F.col("parser") != "pdf", X.strip(F.decode("content", "UTF-8"))).alias("text"))
+    plain = f.where("parser in ('text', 'csv', 'markdown')").select("path", "parser", X.strip(F.decode("content", "UTF-8")).alias("text"))
     pages = html_documents(f.where("parser = 'html'").select("path", F.decode("content", "UTF-8").alias("html")), "path", "html").select("path", F.lit("html").alias("parser"), "text")
     docs = docx_texts(f.where("parser = 'docx'")).select("path", F.lit("docx").alias("parser"), "text")
     sheets = xlsx_rows(f.where("parser = 'xlsx'")).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("sheet", "row", F.array_join("cells", "\t").alias("t")))).alias("r"))
-    return plain.union(pages).union(docs).union(sheets.select("path", F.lit("xlsx").alias("parser"), F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("text")))
+    pdfs = pdf_texts(f.where("parser = 'pdf'")).select("path", F.lit("pdf").alias("parser"), "text")
+    return plain.union(pages).union(docs).union(pdfs).union(sheets.select("path", F.lit("xlsx").alias("parser"), F.array_join(F.transform("r", lambda x: x["t"]), "\n").alias("text")))
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -119,6 +120,84 @@ def docx_texts(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
+#: What shows text in a page's content: a string or an array of strings, or a move to another line.
+SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:[^\]\\(]|\((?:\\.|[^\\()])*\))*\]\s*TJ|<[0-9A-Fa-f\s]*>\s*Tj|\bT(?:\*|[dDm]\b)|\bBT\b", re.DOTALL)
+LITERAL = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>|(-?[0-9.]+)", re.DOTALL)
+ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_string(raw: bytes) -> str:
+    if raw.startswith(b"<"):
+        data = bytes.fromhex(re.sub(rb"[^0-9A-Fa-f]", b"", raw).decode() + "0" * (len(re.sub(rb"[^0-9A-Fa-f]", b"", raw)) % 2))
+    else:
+        data = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else ESCAPES.get(m[1], b"" if m[1].strip() == b"" else m[1]), raw[1:-1], flags=re.DOTALL)
+    return data[2:].decode("utf-16-be", "replace") if data.startswith(b"\xfe\xff") else data.decode("cp1252", "replace")
+
+
+def pdf_text(raw: bytes) -> list[tuple[str, int]] | None:
+    """Text and number of images of each page in the order of the objects; None for what is no PDF.
+
+    Streams are plain or deflated, fonts have a Latin encoding: what needs more comes out empty, and a page
+    with little text is one that needs recognition.
+    """
+    if not raw.startswith(b"%PDF"):
+        return None
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", raw, re.DOTALL)}
+
+    def stream(number: int) -> bytes:
+        m = re.search(rb"(.*?)stream\r?\n(.*?)\r?\n?endstream", objects.get(number, b""), re.DOTALL)
+        if m is None:
+            return b""
+        try:
+            return zlib.decompressobj().decompress(m[2]) if b"FlateDecode" in m[1] else m[2]
+        except zlib.error:
+            return b""
+
+    pages = []
+    for number, body in sorted(objects.items()):
+        if not re.search(rb"/Type\s*/Page\b", body):
+            continue
+        m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", body)
+        content = b"\n".join(stream(int(x)) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else b""
+        out: list[str] = []
+        for op in SHOWN.findall(content):
+            if op[:1] in b"T*B" and not op.startswith((b"(", b"[", b"<")):
+                out.append("\n")
+                continue
+            for lit in LITERAL.finditer(op):
+                if lit[1] is None:
+                    out.append(pdf_string(lit[0]))
+                elif float(lit[1] or 0) < -200:
+                    out.append(" ")
+        text = "\n".join(line for line in (x.strip() for x in "".join(out).split("\n")) if line)
+        pages.append((text, len(re.findall(rb"/\w+\s+Do\b", content))))
+    return pages
+
+
+def pdf_pages(files: DataFrame) -> DataFrame:
+    """path, page, text, images of PDF files, a row per page."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(path, k, text, images) for path, raw in zip(pdf["path"], pdf["content"]) for k, (text, images) in enumerate(pdf_text(raw) or [], 1)]
+            yield pd.DataFrame(rows, columns=["path", "page", "text", "images"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, images int")
+
+
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """path, text of PDF files: pages in order, each behind its mark."""
+    marked = F.concat(F.lit("[PAGE:"), F.col("page").cast("string"), F.lit("]\n"), F.col("text"))
+    pages = pdf_pages(files).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page", marked.alias("t")))).alias("p"))
+    return pages.select("path", F.array_join(F.transform("p", lambda x: x["t"]), "\n\n").alias("text"))
+
+
+def transcribed(files: DataFrame, provider: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """path, text of audio files: the provider gets path and content and returns path, text; files it leaves out have none."""
+    said = provider(files.select("path", "content")).select("path", F.col("text").alias("__text"))
+    return files.select("path").join(said, "path", "left").select("path", X.strip("__text").alias("text"))
+
+
 def xlsx_rows(files: DataFrame) -> DataFrame:
     """path, sheet, row, cells of workbooks (S3), from their zipped XML."""
 
