@@ -7,7 +7,7 @@ Ties are broken by id throughout. Query sides are joined as shuffles decide; onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -74,28 +74,31 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, prefix: bool = F
     return q.join(scored.select("q", "doc_id", part.alias("part")), "q").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def token_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, term, dl): distinct tokens of each text and their number; nothing is shuffled.
+def token_postings(docs: DataFrame, key: str, text: str, tokens: Callable[[str], Column] = X.tokens) -> DataFrame:
+    """(doc_id, term, dl): the tokens of each text and their number; nothing is shuffled.
 
-    Written to the shared folder once, the table serves every retriever that searches the field.
+    Tokens are distinct, as the stored columns are, unless another function is given; then repeats are rows of
+    their own. Written to the shared folder once, the table serves every retriever that searches the field.
     """
-    one = docs.select(F.col(key).alias("doc_id"), F.inline_outer(F.array(F.struct(X.tokens(text).alias("t")))))
+    one = docs.select(F.col(key).alias("doc_id"), F.inline_outer(F.array(F.struct(tokens(text).alias("t")))))
     return checkpointed(one.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")))
 
 
-def prefix_bm25(queries: DataFrame, posts: DataFrame, terms: str | None = None, every: bool = False) -> DataFrame:
+def prefix_bm25(queries: DataFrame, posts: DataFrame, terms: str | None = None, every: bool = False, prefix: bool = True) -> DataFrame:
     """(query_id, doc_id, score): BM25 of escaped query terms, each a prefix of tokens and all joined by OR.
 
     queries: query_id, text, or an array column of terms; posts: of token_postings. A term stands for all tokens that
     begin with it, which count together; with every, texts must hold all of a query's terms (R2). Terms of three
     characters or more meet tokens on the first three, shorter ones on as many as they have, so each is an
-    equi-join with a filter. Texts without tokens count towards no average.
+    equi-join with a filter. Without prefix, terms are whole tokens and stay as they are. Only tokens that are asked
+    for are grouped. Texts without tokens count towards no average.
     """
-    q = queries.select("query_id", F.explode(X.match_terms("text") if terms is None else F.transform(terms, X.escape_term)).alias("q"))
+    plain = X.match_terms("text") if terms is None else F.transform(terms, X.escape_term) if prefix else F.array_distinct(terms)
+    q = queries.select("query_id", F.explode(plain).alias("q"))
     asked = q.select("q").distinct().withColumn("n", F.least(F.length("q"), F.lit(3)))
     heads = posts.select("doc_id", "dl", "term")
-    met = None
-    for n in (1, 2, 3):
+    met = None if prefix else heads.join(asked.select(F.col("q").alias("term")), "term").select(F.col("term").alias("q"), "doc_id", "dl")
+    for n in (1, 2, 3) if prefix else ():
         own = asked.where(F.col("n") == n).select("q", F.left("q", F.lit(n)).alias("h"))
         hit = heads.withColumn("h", F.left("term", F.lit(n))).join(own, "h").where(F.col("term").startswith(F.col("q"))).select("q", "doc_id", "dl")
         met = hit if met is None else met.union(hit)

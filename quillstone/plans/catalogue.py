@@ -70,15 +70,10 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 """
 
 
-def benchmark_terms(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(X.ascii_terms("text")).alias("term"))
-
-
 def keyword(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
-    docs = table(spark, d, "documents")
-    fields = {"text": (X.ascii_terms("text"), 1.0)}
-    hits = R.bm25(benchmark_terms(spark, d), R.postings(docs, "doc_id", fields), R.lengths(docs, "doc_id", fields))
-    return R.top_k(hits.withColumn("score", F.round("score", 6)), k)
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), X.ascii_terms("text").alias("terms"))
+    posts = R.token_postings(table(spark, d, "documents"), "doc_id", "text", X.ascii_terms)
+    return R.top_k(R.prefix_bm25(q, posts, "terms", prefix=False).withColumn("score", F.round("score", 6)), k)
 
 
 @query(BM25 + "SELECT query_id, doc_id, score, rank FROM ranked WHERE rank <= 10")

@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Where tables between steps lie on a local master that names no folder.
+LOCAL_FOLDER = "/tmp/checkpoints/quillstone"
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that setting is absent."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/checkpoints/quillstone"
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where that setting is absent a local folder serves on a local master; on a cluster it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or LOCAL_FOLDER
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
