@@ -9,35 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.session import checkpoint_folder, checkpointed, table  # noqa: F401
+
 #: Size of a bitmap of documents.
 DOC_BITS = 1 << 23
 #: Output rows and bytes after which a text kernel hands over an Arrow batch.
 BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share.
-
-    Where that setting is absent a local folder serves on a local master; on a cluster it is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return folder or "/tmp/checkpoints/quillstone"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 #: Spark's own setting by which a query's shuffle files go as soon as the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
