@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, decontaminate, line_dedup, quality_classifier, simhash
-from quillstone.llm.common import checkpoint_folder, table
+from quillstone.llm.common import checkpoint_folder, remove, table
 from quillstone.llm.queries import vocabulary
 
 
@@ -65,9 +65,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             remove(spark, last)
         last = at
     return docs
-
-
-def remove(spark: SparkSession, folder: str) -> None:
-    """A stage's table goes once the next one is written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
