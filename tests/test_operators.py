@@ -258,3 +258,58 @@ def test_escalation(spark):
     low = spark.createDataFrame([(1, 1)], "query_id int, doc_id int")
     high = spark.createDataFrame([(1, 1), (1, 2), (2, 5)], "query_id int, doc_id int")
     assert {(r.query_id, r.doc_id) for r in P.escalated(low, high).collect()} == {(1, 1), (1, 2), (2, 5)}
+
+
+def test_vector_search_with_null_and_string_queries(spark):
+    from quillstone.operators import retrieval as R
+
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.1]), ("b", None), ("c", [0.0, 2.0])], "query_id string, embedding array<float>")
+    got = {(r.query_id, r.rank): r.vec_id for r in R.vector_top_k(q, v, 2).collect()}
+    assert got == {("a", 1): 1, ("a", 2): 3, ("c", 1): 2, ("c", 2): 3}
+    assert R.vector_top_k(q.where("query_id = 'b'"), v, 2).count() == 0
+
+
+def test_searches_find_accented_and_cjk_words_by_prefix(spark):
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import retrieval as R
+
+    texts = [(1, "Éléphant dans la forêt"), (2, "数据库管理系统 v2"), (3, "plain elephants"), (4, "über uns"), (5, ""), (6, None)]
+    posts = R.token_postings(spark.createDataFrame(texts, "id long, text string"), "id", "text")
+    asked = spark.createDataFrame([(1, "élé"), (2, "数据"), (3, "ELEPH"), (4, "Ü"), (5, "nothing"), (6, "la forêt"), (7, ""), (8, "and")], "query_id long, text string")
+    got = {}
+    for r in R.prefix_bm25(asked, posts).collect():
+        got.setdefault(r.query_id, set()).add(r.doc_id)
+    assert got == {1: {1}, 2: {2}, 3: {3}, 4: {4}, 6: {1}}
+    both = R.prefix_bm25(asked.where("query_id = 6").select("query_id", F.array(F.lit("la"), F.lit("über")).alias("t")), posts, "t", every=True)
+    assert both.count() == 0
+
+
+def test_hooks_of_the_searches(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from quillstone.plans import catalogue as C
+    from quillstone.plans import search as P
+
+    q, chunks, links = C.search_inputs(spark, sf_dir)
+    turned = lambda h: h.withColumn("score", -F.col("score"))
+    opts = P.SearchOptions(dedup=False)
+    as_of = F.lit("2025-06-01").cast("timestamp")
+    a = P.hybrid_search(q, chunks, links, as_of, opts, reranker=turned).where("rank = 1").collect()
+    assert a and all(r.score <= 0 for r in a)
+    d = P.document_search(q, C.node_inputs(chunks), reranker=turned).where("rank = 1").collect()
+    assert d and all(r.score <= 0 for r in d)
+
+
+def test_evidence_over_all_routes(spark):
+    from quillstone.plans import search as P
+
+    rows = [(10, 1, 1, "T", "alpha beta near each other", "window", 0), (11, 1, 1, "T", "alpha only here", "atomic", 0), (20, 2, 1, "T", "beta far " + "x " * 300 + " alpha", "window", 0), (30, 3, 2, "T", "nothing at all", "window", 0)]
+    passages = spark.createDataFrame(rows, "passage_id long, node_id long, document_id long, title string, content string, view_type string, level int")
+    nodes = spark.createDataFrame([(1, 1, "T", "alpha beta near each other. alpha only here", 0), (2, 1, "T", "beta alpha", 0), (3, 2, "T", "nothing", 0)], "node_id long, document_id long, title string, content string, level int")
+    hybrid = spark.createDataFrame([(1, 3, 1)], "query_id long, node_id long, rank int")
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "的")], "query_id long, text string")
+    got = [(r.query_id, r.rank, r.node_id) for r in P.evidence_search(asked, passages, 10, nodes, hybrid).orderBy("query_id", "rank").collect()]
+    # Of a node's passages the shortest stays, so the first node covers one term and the second both.
+    assert got == [(1, 1, 2), (1, 2, 1), (1, 3, 3)]
