@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillstone.functions import text as X
-from quillstone.session import checkpointed
+from quillstone.session import checkpointed, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Score factors by slug prefix; the longest prefix counts.
@@ -75,12 +75,13 @@ def bm25(queries: DataFrame, posts: DataFrame, lens: DataFrame, prefix: bool = F
 
 
 def token_postings(docs: DataFrame, key: str, text: str, tokens: Callable[[str], Column] = X.tokens) -> DataFrame:
-    """(doc_id, term, dl): the tokens of each text and their number; nothing is shuffled.
+    """(doc_id, term, dl): the tokens of each text and their number; nothing is shuffled but a table of few partitions.
 
     Tokens are distinct, as the stored columns are, unless another function is given; then repeats are rows of
     their own. Written to the shared folder once, the table serves every retriever that searches the field.
     """
-    one = docs.select(F.col(key).alias("doc_id"), F.inline_outer(F.array(F.struct(tokens(text).alias("t")))))
+    rows = spread(docs.select(key, text), key)
+    one = rows.select(F.col(key).alias("doc_id"), F.inline_outer(F.array(F.struct(tokens(text).alias("t")))))
     return checkpointed(one.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")))
 
 
@@ -103,7 +104,8 @@ def prefix_bm25(queries: DataFrame, posts: DataFrame, terms: str | None = None,
         hit = heads.withColumn("h", F.left("term", F.lit(n))).join(own, "h").where(F.col("term").startswith(F.col("q"))).select("q", "doc_id", "dl")
         met = hit if met is None else met.union(hit)
     hits = met.groupBy("q", "doc_id", "dl").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("q").agg(F.count("*").alias("df"))
+    # Counted from tf, so that both uses of hits are one exchange.
+    df = hits.groupBy("q").agg(F.count_if(F.col("tf") > 0).alias("df"))
     # Each text has dl rows, so sums of 1 / dl and of 1 over rows give the number of texts and of tokens.
     stats = posts.agg(F.struct(F.round(F.sum(1 / F.col("dl"))).alias("n"), F.count("*").alias("tokens")).alias("stats")).scalar()
     s = hits.join(df, "q").withColumn("stats", stats).select("q", "doc_id", "tf", "dl", "df", F.col("stats.n").alias("n"), (F.col("stats.tokens") / F.col("stats.n")).alias("avgdl"))
