@@ -149,14 +149,29 @@ def pattern_entities(c: Column | str, most: int = 5) -> Column:
     return F.concat(take(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?", "DATE:"), take(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "EMAIL:"))
 
 
+#: Kinds of declarations that hold others.
+CONTAINERS = ("class", "struct", "enum", "trait", "interface")
+
+
 def symbols(files: DataFrame, key: str, code: str, language: str) -> DataFrame:
-    """key, line, kind, name of declarations (E24, E25); end_line is the line before the next one."""
+    """key, line, kind, name, end_line, parent, qualified of declarations.
+
+    end_line is the line of the next declaration; parent is the nearest container declared before with less
+    indentation, if no line in between went back to it; qualified is parent.name.
+    """
     lines = files.select(key, language, F.posexplode(F.split(code, "\n")).alias("line", "raw"))
     cases = [(F.col(language) == lang) & F.col("raw").rlike(p) for lang, rules in SYMBOLS.items() for _, p in rules]
     values = [F.struct(F.lit(k).alias("kind"), F.regexp_extract("raw", p, 1).alias("name")) for rules in SYMBOLS.values() for k, p in rules]
     found = lines.withColumn("s", F.coalesce(*(F.when(c, v) for c, v in zip(cases, values)))).where("s is not null")
-    nxt = F.lead("line").over(Window.partitionBy(key).orderBy("line"))
-    return found.select(key, (F.col("line") + 1).alias("line"), "s.kind", "s.name", nxt.alias("end_line"))
+    found = found.withColumn("indent", F.length(F.regexp_extract("raw", r"^(\s*)", 1)))
+    w = Window.partitionBy(key).orderBy("line")
+    before = F.collect_list(F.struct("line", "indent", "s")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    nxt = F.lead("line").over(w)
+    found = found.withColumn("before", before).withColumn("end_line", nxt)
+    # Of the declarations with less indentation the last is the one that this stands in, if it holds others.
+    outer = F.try_element_at(F.filter("before", lambda b: b["indent"] < F.col("indent")), F.lit(-1))
+    found = found.withColumn("parent", F.when(outer["s"]["kind"].isin(*CONTAINERS), outer["s"]["name"]))
+    return found.select(key, (F.col("line") + 1).alias("line"), "s.kind", "s.name", "end_line", "parent", F.concat_ws(".", "parent", "s.name").alias("qualified"))
 
 
 def call_edges(files: DataFrame, found: DataFrame, key: str, code: str) -> DataFrame:

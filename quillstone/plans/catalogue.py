@@ -578,7 +578,7 @@ CODE = "class P{}:\n    def run(self):\n        helper_{}()\n\ndef helper_{}():\
 
 
 @query("""WITH p AS (SELECT p_partkey AS file_id, 'P' || p_partkey AS c, 'helper_' || p_size AS h FROM part)
-SELECT file_id, 'class' AS kind, c AS name, '' AS calls FROM p UNION ALL SELECT file_id, 'function', 'run', '' FROM p UNION ALL SELECT file_id, 'function', h, '' FROM p UNION ALL SELECT file_id, 'call', 'run', h FROM p""")
+SELECT file_id, 'class' AS kind, c AS name, '' AS calls FROM p UNION ALL SELECT file_id, 'function', c || '.run', '' FROM p UNION ALL SELECT file_id, 'function', h, '' FROM p UNION ALL SELECT file_id, 'call', 'run', h FROM p""")
 def q44_code_symbols(spark, d):
     """Declarations and calls of a file per part."""
     head, a, b, tail = CODE.split("{}")
@@ -587,21 +587,7 @@ def q44_code_symbols(spark, d):
     files = table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
     found = E.symbols(files, "file_id", "code", "language")
     calls = E.call_edges(files, found, "file_id", "code")
-    return found.select("file_id", "kind", "name", F.lit("").alias("calls")).union(calls.select("file_id", F.lit("call"), "from_symbol", "to_symbol"))
-
-
-@query(f"""WITH r AS (SELECT p_partkey AS row_id, p_brand AS table_id, p_name || ' ' || p_brand || ' ' || p_type AS t FROM part),
-q AS (SELECT DISTINCT p_partkey AS query_id, unnest({tok('p_type')}) AS term FROM part WHERE p_partkey % 100 = 0),
-p AS (SELECT row_id, term, count(*)::DOUBLE AS tf FROM (SELECT row_id, unnest({tok('t')}) AS term FROM r) GROUP BY ALL), l AS (SELECT row_id, len({tok('t')}) AS dl FROM r), s AS (SELECT count(*) AS n, avg(dl) AS a FROM l), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-x AS (SELECT query_id, row_id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term) JOIN l USING (row_id), s GROUP BY ALL),
-y AS (SELECT x.*, table_id, row_number() OVER (PARTITION BY query_id, table_id ORDER BY score DESC, row_id) AS k FROM x JOIN r USING (row_id))
-SELECT query_id, table_id, row_id AS doc_id, score FROM y WHERE k = 1""")
-def q45_table_retrieval(spark, d):
-    rows = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("table_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("t"), "p_type")
-    fields = {"t": (X.ascii_terms("t"), 1.0)}
-    q = rows.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.explode(X.ascii_terms("p_type")).alias("term"))
-    hits = R.bm25(q, R.postings(rows, "row_id", fields), R.lengths(rows, "row_id", fields)).withColumn("score", F.round("score", 6))
-    return R.cap_per(hits.join(rows.select(F.col("row_id").alias("doc_id"), "table_id"), "doc_id"), "table_id", 1).select("query_id", "table_id", "doc_id", "score")
+    return found.select("file_id", "kind", F.col("qualified").alias("name"), F.lit("").alias("calls")).union(calls.select("file_id", F.lit("call"), "from_symbol", "to_symbol"))
 
 
 def search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -628,6 +614,20 @@ def prefix_bm25(name: str, source: str, queries: str, k: int, terms: str | None
 {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {name}_r) WHERE rank <= {k})"""
 
 
+ROWS_SQL = "SELECT p_partkey AS id, p_brand AS table_id, p_name || ' ' || p_brand || ' ' || p_type AS text FROM part"
+
+
+@query(f"""WITH r AS ({ROWS_SQL}), {prefix_bm25("k", "SELECT id, text FROM r", "SELECT p_partkey AS query_id, p_type AS text FROM part WHERE p_partkey % 100 = 0", 1 << 30)},
+b AS (SELECT * FROM (SELECT query_id, table_id, id, score, row_number() OVER (PARTITION BY query_id, table_id ORDER BY score DESC, id) AS n FROM k JOIN r USING (id)) WHERE n = 1)
+SELECT query_id, table_id, id AS row_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 10""")
+def q45_table_retrieval(spark, d):
+    """The best row of each table, the ten best tables of a query."""
+    p = table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("table_id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("text"))
+    return R.table_hits(q, rows).withColumn("score", F.round("score", 6))
+
+
 def nearest(name: str, source: str, queries: str, k: int) -> str:
     return f"""{name} AS (SELECT * FROM (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM
   (SELECT query_id, id, round(list_cosine_similarity(a.e, b.e), 9) AS score FROM ({queries}) a, ({source}) b)) WHERE rank <= {k})"""
