@@ -643,3 +643,12 @@ def q144_result_cache(spark, d):
         cache.get(key, lambda made=made: made.append(True) or table(spark, d, "region"))
         seen.append((step, "made" if made else "held"))
     return spark.createDataFrame(seen, "step int, outcome string")
+
+
+@query("SELECT doc_id, 64 AS size, true AS same, length(trim(text)) = 0 AS blank FROM documents")
+def q145_offline_embedding(spark, d):
+    """The stand-in for a model gives a text one vector, whatever its white space, and none but an empty text a blank one's."""
+    t = table(spark, d, "documents").select("doc_id", "text")
+    a = K.hash_embedding(t, "doc_id", "text")
+    b = K.hash_embedding(t.select("doc_id", F.concat(F.lit(" \n"), "text", F.lit("\t")).alias("text")), "doc_id", "text").select("doc_id", F.col("embedding").alias("other"))
+    return a.join(b, "doc_id").join(t, "doc_id").select("doc_id", F.size("embedding").alias("size"), (F.col("embedding") == F.col("other")).alias("same"), (F.length(F.trim("text")) == 0).alias("blank"))
