@@ -22,7 +22,7 @@ from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
 from quillstone.plans import queries as Q
 from quillstone.plans import search as P
-from quillstone.session import table
+from quillstone.session import spread, table
 from quillstone.sources import readers as I
 from quillstone.streaming import events as Z
 
@@ -299,7 +299,7 @@ w AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((n - 120) / 600.0)::BIGINT
 SELECT doc_id, passage_order, passage_order * 600 AS source_start, least(n, passage_order * 600 + 720) AS source_end, sha256(substr(text, (passage_order * 600 + 1)::BIGINT, 720)) AS digest FROM w
 WHERE length(trim(regexp_replace(substr(text, (passage_order * 600 + 1)::BIGINT, 720), '\\s+', ' ', 'g'))) >= 24""")
 def q20_passages(spark, d):
-    p = C.window_passages(table(spark, d, "documents"), "doc_id", "text")
+    p = C.window_passages(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text")
     return p.select("doc_id", "passage_order", "source_start", "source_end", F.sha2("content", 256).alias("digest"))
 
 
@@ -340,7 +340,7 @@ c AS (SELECT doc_id, most, term, count(*) AS n FROM w WHERE strlen(term) >= 2 AN
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, term) AS rank FROM c)
 SELECT doc_id, term, n, rank FROM r WHERE rank <= most""")
 def q24_keywords(spark, d):
-    return E.keywords(table(spark, d, "documents"), "doc_id", "text")
+    return E.keywords(spread(table(spark, d, "documents"), "doc_id"), "doc_id", "text")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT doc_id, unnest({tok('text')}) AS term FROM documents)
@@ -558,7 +558,7 @@ UNION ALL SELECT doc_id, 'empty-section', line FROM f WHERE starts_with(trim(raw
 UNION ALL SELECT doc_id, 'code-fence-residue', max(line) FROM l WHERE starts_with(trim(raw), '```') GROUP BY doc_id HAVING count(*) % 2 = 1
 UNION ALL SELECT doc_id, 'broken-citation', line FROM (SELECT doc_id, line, unnest(regexp_extract_all(raw, '\\[Source:([^\\]]+)\\]', 1)) AS s FROM l)""")
 def q41_lint(spark, d):
-    docs = table(spark, d, "documents").withColumn("body", F.concat(F.when(F.col("doc_id") % 5 == 0, "\n".join(MADE) + "\n").otherwise(""), "text"))
+    docs = spread(table(spark, d, "documents"), "doc_id").withColumn("body", F.concat(F.when(F.col("doc_id") % 5 == 0, "\n".join(MADE) + "\n").otherwise(""), "text"))
     slugs = docs.select(F.concat(F.lit("documents/"), F.col("doc_id")).alias("slug"))
     return E.lint(docs, "doc_id", "body", slugs).select("doc_id", "rule", "line")
 
