@@ -28,7 +28,7 @@ from .common import map_texts, narrow
 
 #: Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHORT, CACHE, MAX_MERGES = 128, 400_000, 2_000_000
+SHORT, CACHE, MAX_MERGES = 128, 200_000, 2_000_000
 NONE = 1 << 60
 
 
