@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.session import checkpoint_folder, checkpointed, table  # noqa: F401
+from quillstone.session import checkpoint_folder, checkpointed, spread, table  # noqa: F401
 
 #: Size of a bitmap of documents.
 DOC_BITS = 1 << 23

@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
-from .common import table
+from .common import spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; one of fewer partitions than cores is dealt over them first, a larger one stays as it lies."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def vocabulary() -> str:
@@ -16,34 +21,34 @@ def vocabulary() -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.measure(table(spark, sf_dir, "documents"))
+    return quality_rules.measure(documents(spark, sf_dir))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    return secret_scan.find_secrets(documents(spark, sf_dir))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(table(spark, sf_dir, "documents"))
+    return pii.find(documents(spark, sf_dir))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     net = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
     scored = quality_classifier.score(docs, net)
     return scored.select("doc_id", quality_classifier.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(documents(spark, sf_dir))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), vocabulary(), with_ids=False)
+    return bpe.encode(documents(spark, sf_dir), vocabulary(), with_ids=False)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+    return simhash.groups(documents(spark, sf_dir)).select("doc_id", "fingerprint", "component_id")
 
 
 #: The conversation that op8 adds: (conv_id, turn, role, text).
@@ -57,11 +62,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_pii, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
