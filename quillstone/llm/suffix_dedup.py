@@ -51,6 +51,8 @@ SPACES = np.zeros(257, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 #: Symbols that are compared at a time.
 STRIDE = 16
+#: Bits of a place of which three fit into 64: texts of more symbols cannot carry two ranks and a place in one key.
+PACKED = 21
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -210,6 +212,9 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
 
     As many symbols as fit are packed first, up to an end symbol. Suffixes that agree up to an end symbol
     follow by place, as end symbols do, so they have ranks of their own from the first round on.
+
+    Two ranks and a place fill one sorted key up to 1 << PACKED symbols; of longer texts the two ranks are
+    sorted by their order.
     """
     n = len(text)
     bits = np.uint64(max(1, (n - 1).bit_length()))
@@ -225,13 +230,18 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         key[: n - j] |= own[j:] * going[: n - j]
         going[: n - j] &= inside[j:]
     alone = ~going
-    rank, new = np.empty(n, np.uint32), np.empty(n, bool)
+    rank, new, packed = np.empty(n, np.uint32), np.empty(n, bool), True
     while True:
-        key <<= bits
-        key |= at
-        key.sort()
-        order = (key & mask).astype(np.int64)
-        key >>= bits
+        if packed:
+            key <<= bits
+            key |= at
+            key.sort()
+            order = (key & mask).astype(np.int64)
+            key >>= bits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        packed = int(bits) <= PACKED
         new[0] = False
         np.not_equal(key[1:], key[:-1], out=new[1:])
         if alone is not None:

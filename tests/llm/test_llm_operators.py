@@ -420,6 +420,22 @@ def test_run_length_index():
             assert marked == {i for i in range(len(b) - 399) if count[b[i : i + 400]] > 1}
 
 
+def test_index_of_more_symbols_than_pack_into_one_key():
+    r = random.Random(21)
+    bodies = []
+    while sum(map(len, bodies)) <= 1 << suffix_dedup.PACKED:
+        words = [r.choice(["the", "in", "of", f"w{r.randrange(9000)}"]) for _ in range(12)]
+        bodies.append(" ".join([*words, *[r.choice(["the", "in"])] * r.randint(60, 130), *words])[: r.randint(401, 440)].ljust(401, "x").encode())
+    count = Counter(b[i : i + 400] for b in bodies for i in range(len(b) - 399))
+    index = suffix_dedup.RunLengthIndex(bodies)
+    missed = more = 0
+    for b, (first, last, _, _) in zip(bodies, index.marks([(len(b) - 399, False, True) for b in bodies])):
+        marked = {k for x, y in zip(first.tolist(), last.tolist()) for k in range(x, y + 1)}
+        want = {i for i in range(len(b) - 399) if count[b[i : i + 400]] > 1}
+        missed, more = missed + len(want - marked), more + len(marked - want)
+    assert (missed, more) == (0, 0) and max(count.values()) > 1
+
+
 def test_matching_statistics():
     r = random.Random(13)
     for _ in range(30):
