@@ -275,6 +275,21 @@ def test_line_dedup_texts(hard):
     assert [r.text for r in out.where("doc_id = 15").collect()] == ["Line\n"]
 
 
+def test_line_dedup_cuts_texts_once(hard):
+    lines = line_dedup.lines_of(hard.select("doc_id", "text"))
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS cut#") == 1 and "size(split(" not in plan
+    table = line_dedup.rarity(hard.select("doc_id", "text"))
+    assert line_dedup.keyed(lines, table).schema["keys"].dataType.containsNull is False
+
+
+@pytest.mark.parametrize("counted", [1, 1 << 40])
+def test_line_dedup_whichever_texts_are_counted(hard, monkeypatch, counted):
+    want = rows(line_dedup.report(hard), "n_lines", "removed", "kept_sha256")
+    monkeypatch.setattr(line_dedup, "COUNTED", counted)
+    assert rows(line_dedup.report(hard), "n_lines", "removed", "kept_sha256") == want
+
+
 @pytest.mark.parametrize("which", ["docs", "hard", "empty"])
 def test_bpe(request, which):
     from tokenizers import Tokenizer
