@@ -283,6 +283,39 @@ def test_line_dedup_cuts_texts_once(hard):
     assert line_dedup.keyed(lines, table).schema["keys"].dataType.containsNull is False
 
 
+def test_line_dedup_of_long_lines(spark):
+    """Lines about as long as bitmaps change at, with copies whose similarity is around the limit."""
+    r, data = random.Random(23), []
+    for n in (8, 60, 64, 66, 72, 90, 175, 180, 183, 200, 400):
+        for _ in range(6):
+            line = r.sample(range(2000), n)
+            data.append(" ".join(f"v{w}" for w in line))
+            for gone in (n // 10, n // 9, n // 9 + 1, n // 8, n // 5, n // 5 + 1):
+                data.append(" ".join(f"v{w}" for w in line[gone:]))
+                data.append(" ".join(f"v{w}" for w in line[gone:] + r.sample(range(2000, 4000), gone)))
+    r.shuffle(data)
+    texts = [(i, "\n".join(data[i : i + 7])) for i in range(0, len(data), 7)]
+    got = rows(line_dedup.report(spark.createDataFrame(texts, "doc_id long, text string")), "removed")
+    assert got == plain_line_dedup(texts) and sum(bool(x) for _, x in got) > 50
+
+
+def test_line_dedup_reads_unlike_long_lines_once(spark, monkeypatch):
+    """Long lines that share prefix words but are not similar are no candidates."""
+    r, put, seen = random.Random(29), line_dedup.Scratch.put, {}
+
+    def counted(self, name, df):
+        out = put(self, name, df)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "put", counted)
+    lines = [r.sample(range(1000), n) for n in (90, 120, 150, 175, 200, 260) for _ in range(30)]
+    texts = [(i, " ".join(f"v{w}" for w in line)) for i, line in enumerate(lines + [lines[0][3:], lines[-1][3:]])]
+    got = rows(line_dedup.report(spark.createDataFrame(texts, "doc_id long, text string")), "removed")
+    assert got == plain_line_dedup(texts) and sum(bool(x) for _, x in got) == 2
+    assert 4 <= seen["first"] <= 12
+
+
 @pytest.mark.parametrize("counted", [1, 1 << 40])
 def test_line_dedup_whichever_texts_are_counted(hard, monkeypatch, counted):
     want = rows(line_dedup.report(hard), "n_lines", "removed", "kept_sha256")
