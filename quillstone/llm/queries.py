@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, decontaminate, line_dedup, pii, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup
+from . import bpe, byte_bpe, chat_format, decontaminate, filter_audit, line_dedup, pii, quality_classifier, quality_rules, secret_scan, simhash, source_divergence, suffix_dedup
 from .common import spread, table
 
 
@@ -69,7 +69,26 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_pii, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(documents(spark, sf_dir))
+
+
+def ranks() -> tuple[str, str]:
+    """The rank file and the pattern that splits texts before it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir), *ranks(), with_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_pii, op4_quality_classifier, op5_line_dedup, op6_bpe, op7_simhash, op8_chat_format, op9_suffix_dedup, op10_decontaminate, op11_filter_audit, op12_source_divergence, op13_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -125,3 +144,41 @@ n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(
 f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN f USING (doc_id)
 """
+
+ORACLE_SQL["op11_filter_audit"] = r"""
+WITH l AS (SELECT doc_id, max(coalesce(quality = 1, false)::INT) AS good, max(coalesce(toxic = 1, false)::INT) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM w),
+f AS (SELECT part, coalesce(good, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w),
+  100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(m.doc_id > first, false)] AS fails FROM m LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+v AS (SELECT unnest(range(1, 6)) AS k),
+o AS (SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM v a, v b, v c, v d, v e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+x AS (SELECT c.*, o, coalesce(list_position(list_transform(o, lambda i: fails[i]), true), 6) AS first FROM c, o),
+s AS (SELECT part, list_aggregate(list_transform(o, lambda i: substr('ABCDE', i, 1)), 'string_agg', '') AS filter_order, k AS step, o[k] AS i,
+  sum(n) FILTER (first > k) AS kept, sum(n) FILTER (first = k) AS removed, sum(n) FILTER (first < k AND fails[o[k]]) AS redundant,
+  sum(n) FILTER (fails[o[k]] AND len(list_filter(fails, lambda y: y)) = 1) AS unique_fails, sum(n) FILTER (first = k AND good) AS good_lost, sum(n) FILTER (first = k AND toxic) AS toxic_lost
+  FROM x, v GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, i), 0)::BIGINT AS shapley FROM s
+"""
+
+ORACLE_SQL["op12_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT doc, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, v FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v) AS p FROM grid),
+every AS (SELECT lang, term, sum(n) AS n, any_value(v) AS v FROM grid GROUP BY ALL),
+q AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q FROM every),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+u AS (SELECT lang, source, 'pair' AS part, item, coalesce(value, 0)::BIGINT AS value FROM pairs LEFT JOIN s USING (lang, source, item)
+  UNION ALL SELECT p.lang, p.source, 'term', p.term, (((p - q) * (p - q)) // (p + q))::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 10
+"""
