@@ -19,6 +19,9 @@ from pyspark.sql import Window
 from quillstone.functions import text as X
 from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
+from quillstone.operators.cascade import union
+from quillstone.operators.substring import containing
+from quillstone.session import checkpointed
 
 #: Fixed value: how a projection names its document.
 DOCUMENT_REF = "kb_document:"
@@ -190,20 +193,25 @@ def missing_links(named: DataFrame, links: DataFrame) -> DataFrame:
     return named.select("from_slug", "to_slug").distinct().join(links, ["from_slug", "to_slug"], "left_anti")
 
 
-def timeline_hits(queries: DataFrame, candidates: DataFrame, documents: DataFrame, k: int = 20) -> DataFrame:
+def timeline_hits(queries: DataFrame, candidates: DataFrame, documents: DataFrame, k: int = 20, projections: DataFrame | None = None) -> DataFrame:
     """query_id, rank, candidate_id, date, summary, source: accepted events whose payload, or whose document's
-    name or title, holds the query (J10, R52).
+    name or title, holds the query anywhere, parts of words included, in either case (J10, R52).
 
-    A query is held word by word: its first word must stand in the text as a word, which is an equi-join,
-    and the whole of it as a string, which filters.
+    With projections (artifact_id, projection_type, projection_ref, status), a query whose slug is not null sees
+    only events of artifacts that have an active page of that slug; candidates then need an artifact_id.
     """
     live = candidates.where("candidate_type = 'timeline_event' and status in ('accepted', 'applied')").join(documents.select("document_id", "title", "name"), "document_id", "left")
-    text = F.lower(F.concat_ws("\n", "payload", "name", "title"))
-    c = live.select("candidate_id", "payload", "created_at", F.coalesce("title", "name").alias("source"), text.alias("t"))
-    q = queries.select("query_id", F.lower(X.strip("text")).alias("q")).where("q <> ''")
-    words = c.select("candidate_id", F.explode(F.array_distinct(X.terms("t"))).alias("w"))
-    met = words.join(q.select("query_id", "q", F.get(X.terms("q"), F.lit(0)).alias("w")), "w").select("query_id", "q", "candidate_id")
-    hit = met.join(c, "candidate_id").where(F.contains("t", "q"))
+    c = checkpointed(live.withColumn("source", F.coalesce("title", "name")))
+    fields = [c.select(F.struct("candidate_id", F.lit(f).alias("f")).alias("doc_id"), F.col(f).alias("text")) for f in ("payload", "name", "title")]
+    asks = queries.select("query_id", X.strip("text").alias("pattern"))
+    met = containing(asks, union(fields)).select("query_id", "doc_id.candidate_id").distinct()
+    hit = met.join(c, "candidate_id")
+    if projections is not None:
+        pages = projections.where("projection_type = 'brain_shadow_page' and status = 'active'").select("artifact_id", F.regexp_replace("projection_ref", "^slug:", "").alias("slug")).distinct()
+        wanted = queries.where("slug is not null").select("query_id", F.explode(S.slug_variants(F.col("slug"))).alias("slug"))
+        free = queries.where("slug is null").select("query_id")
+        inside = hit.join(wanted.join(pages, "slug").select("query_id", "artifact_id").distinct(), ["query_id", "artifact_id"], "left_semi")
+        hit = inside.unionByName(hit.join(free, "query_id", "left_semi").select(inside.columns))
     hit = hit.withColumn("p", X.timeline_payload("payload"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("created_at"), "candidate_id"))
     return hit.withColumn("rank", n).where(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "p.date", "p.summary", "source")
@@ -238,15 +246,23 @@ def title_candidates(queries: DataFrame, artifacts: DataFrame, projections: Data
     """query_id, rank, artifact_uid, title, score: artifacts whose slug, names or title hold enough core terms, two
     of three or more, else one (R61).
 
-    Terms meet names by equal words, an equi-join; there is no bound on the artifacts that are looked at.
+    A term is held as a substring, part of a word or not; there is no bound on the artifacts that are looked at.
+    A query whose slug is not null, if queries have one, sees only artifacts of that slug.
     """
     docs = projected_documents(projections, documents)
-    a = artifacts.where("status = 'active'").join(docs, "artifact_id", "left").select("artifact_uid", F.concat_ws(" ", "slug", artifacts["name"], "title", docs["name"]).alias("t"), F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.when(F.trim(docs["name"]) != "", docs["name"]), artifacts["name"]).alias("title")).distinct()
-    q = queries.select("query_id", R.evidence_plan(F.col("text")).alias("core"))
-    words = a.select("artifact_uid", "title", F.explode(F.array_distinct(X.terms("t"))).alias("w"))
-    met = q.select("query_id", F.size("core").alias("n"), F.explode("core").alias("w")).join(words, "w").groupBy("query_id", "artifact_uid", "title", "n").agg(F.count_distinct("w").alias("c"))
-    good = met.where(F.col("c") >= F.when(F.col("n") >= 3, 2).otherwise(1)).select("query_id", "artifact_uid", "title", F.round(F.col("c") / F.col("n"), 9).alias("score"))
-    return R.top_k(good, k, tie="artifact_uid")
+    a = artifacts.where("status = 'active'").join(docs, "artifact_id", "left").select("artifact_uid", "slug", F.concat_ws(" ", "slug", artifacts["name"], "title", docs["name"]).alias("text"), F.coalesce(F.when(F.trim("title") != "", F.col("title")), F.when(F.trim(docs["name"]) != "", docs["name"]), artifacts["name"]).alias("title"))
+    rows = checkpointed(a.distinct().select(F.struct("artifact_uid", "title", "slug", F.md5("text").alias("h")).alias("doc_id"), "text"))
+    q = checkpointed(queries.select(*queries.columns, R.evidence_plan(F.col("text")).alias("core")))
+    asks = q.select(F.struct("query_id", F.size("core").alias("n")).alias("query_id"), F.explode("core").alias("pattern"))
+    # Each term is a query of its own; a text counts by how many of a query's distinct terms it holds.
+    met = containing(asks, rows).groupBy("query_id", "doc_id").agg(F.count("*").alias("c")).select("query_id.*", "doc_id.*", "c")
+    good = met.where(F.col("c") >= F.when(F.col("n") >= 3, 2).otherwise(1))
+    if "slug" in queries.columns:
+        wanted = queries.where("slug is not null").select("query_id", F.explode(S.slug_variants(F.col("slug"))).alias("slug"))
+        good = good.join(wanted, ["query_id", "slug"], "left_semi").unionByName(good.join(queries.where("slug is null"), "query_id", "left_semi").select("query_id", "slug", "n", "artifact_uid", "title", "h", "c"))
+    best = good.groupBy("query_id", "artifact_uid", "title").agg(F.max(F.round(F.col("c") / F.col("n"), 9)).alias("score"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "artifact_uid", "title"))
+    return best.withColumn("rank", n).where(F.col("rank") <= k)
 
 
 def provenance(records: DataFrame, slug: str | None = None, field: str | None = None, artifact_id: int | None = None, document_id: int | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillstone.functions import text as X
+from quillstone.operators.cascade import cascade
+from quillstone.operators.substring import alike, containing
 from quillstone.session import checkpointed, spread
 
 K1, B, RRF_K = 1.2, 0.75, 60
@@ -384,43 +386,79 @@ def group_by_document(hits: DataFrame) -> DataFrame:
 
 
 def fuzzy(queries: DataFrame, names: DataFrame, least: float = 0.55, k: int = 10) -> DataFrame:
-    """(query_id, doc_id, score, rank) by trigram Jaccard, over shared trigrams only."""
-    grams = lambda df, i, t: df.select(i, F.explode(X.trigrams(t)).alias("g"))
-    q, n = grams(queries, "query_id", "text"), grams(names, "doc_id", "text")
-    shared = q.join(n, "g").groupBy("query_id", "doc_id").agg(F.count("*").alias("both"))
-    size = lambda df, i, t, c: df.select(i, F.size(X.trigrams(t)).alias(c))
-    scored = shared.join(size(queries, "query_id", "text", "nq"), "query_id").join(size(names, "doc_id", "text", "nn"), "doc_id")
-    scored = scored.select("query_id", "doc_id", (F.col("both") / (F.col("nq") + F.col("nn") - F.col("both"))).alias("score"))
-    return top_k(scored.where(F.col("score") >= least), k)
+    """(query_id, doc_id, score, rank) by trigram Jaccard."""
+    return top_k(alike(queries, names, least), k)
+
+
+def fuzzy_pages(queries: DataFrame, pages: DataFrame, least: float = 0.55, k: int = 10, head: int = 500) -> DataFrame:
+    """(query_id, slug, score, rank): pages by the better of the likeness of their title and of their text's first characters.
+
+    queries: query_id, text and, if given, directory: then only slugs in that directory count. pages: slug, title, body.
+    """
+    fields = pages.select(F.struct("slug", F.lit(0).alias("f")).alias("doc_id"), F.col("title").alias("text")).union(pages.select(F.struct("slug", F.lit(1).alias("f")), F.left("body", F.lit(head))))
+    found = alike(queries, fields.where("text <> ''"), least).groupBy("query_id", F.col("doc_id.slug").alias("slug")).agg(F.max("score").alias("score"))
+    if "directory" in queries.columns:
+        inside = F.col("directory").isNull() | F.col("slug").startswith(F.concat(F.rtrim(F.col("directory"), F.lit("/")), F.lit("/")))
+        found = found.join(queries.select("query_id", "directory"), "query_id").where(inside).drop("directory")
+    return top_k(found, k, tie="slug")
+
+
+def starting(queries: DataFrame, names: DataFrame, text: str, name: str) -> DataFrame:
+    """Rows of queries and names whose name begins with the query's text; they meet on as many characters as the text has, three at most."""
+    met = None
+    for n in (1, 2, 3):
+        own = queries.where(F.length(text) == n if n < 3 else F.length(text) >= n).withColumn("__h", F.left(text, F.lit(n)))
+        hit = own.join(names.withColumn("__h", F.left(name, F.lit(n))), "__h").drop("__h").where(F.startswith(F.col(name), F.col(text)))
+        met = hit if met is None else met.union(hit)
+    return met
 
 
 def resolve(queries: DataFrame, pages: DataFrame, least: float = 0.55, k: int = 10) -> DataFrame:
-    """(query_id, slug, stage): exact slug, slugified, prefix, trigram, substring; the first stage with a hit."""
-    exact = queries.join(pages, F.col("text") == F.col("slug")).select("query_id", "slug", F.lit(1).alias("stage"))
-    own = queries.withColumn("s", X.slugify_for_match("text"))
-    slugged = own.join(pages.withColumn("s", X.slugify_for_match("slug")), "s").select("query_id", "slug", F.lit(2).alias("stage"))
-    head = lambda c: F.left(F.col(c), F.lit(3))
-    near = own.withColumn("h", head("s")).join(pages.withColumn("t", X.slugify_for_match("slug")).withColumn("h", head("t")), "h").where(F.col("t").startswith(F.col("s")))
-    prefix = near.select("query_id", "slug", F.lit(3).alias("stage"))
-    alike = fuzzy(queries, pages.select(F.col("slug").alias("doc_id"), F.col("slug").alias("text")), least, k).select("query_id", F.col("doc_id").alias("slug"), F.lit(4).alias("stage"))
-    every = exact.union(slugged).union(prefix).union(alike)
-    first = F.min("stage").over(Window.partitionBy("query_id"))
-    return every.withColumn("__first", first).where("stage = __first").drop("__first").distinct()
+    """(query_id, slug, stage): exact slug, slugified, prefix, trigrams, substring; only queries without a hit go on to the next.
+
+    Texts of any length take part: prefixes of one or two characters, and substrings of them. Null and empty
+    texts find nothing.
+    """
+    named = checkpointed(pages.select("slug", X.slugify_for_match("slug").alias("s")).distinct())
+    slugs = named.select(F.col("slug").alias("doc_id"), F.col("slug").alias("text"))
+    own = queries.select("query_id", "text", X.slugify_for_match("text").alias("q")).where("text <> ''")
+    stages = [
+        ("exact", lambda q: q.join(named, F.col("text") == F.col("slug")).select("query_id", "slug")),
+        ("slugified", lambda q: q.join(named, F.col("q") == F.col("s")).select("query_id", "slug")),
+        ("prefix", lambda q: starting(q.where("q <> ''"), named, "q", "s").select("query_id", "slug")),
+        ("trigrams", lambda q: fuzzy(q, slugs, least, k).select("query_id", F.col("doc_id").alias("slug"))),
+        ("substring", lambda q: containing(q.select("query_id", F.col("text").alias("pattern")), slugs).select("query_id", F.col("doc_id").alias("slug"))),
+    ]
+    return cascade(own, stages)[0].select("query_id", "slug", "stage").distinct()
 
 
 def first_stage(staged: DataFrame, keys: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """Of a chain of fallbacks the rows of the first stage that has any."""
+    """Of ready rows of several stages those of the first stage that has any; `cascade` runs stages only as they are needed."""
     return staged.withColumn("__first", F.min("stage").over(Window.partitionBy(*keys))).where("stage = __first").drop("__first")
 
 
 def contains_any(fields: tuple[str, ...], query: Column) -> Column:
-    """Case-insensitive substring test over several fields."""
+    """Case-insensitive substring test over several fields, row by row."""
     out = F.lit(False)
     for f in fields:
         out = out | F.coalesce(F.contains(F.lower(f), F.lower(query)), F.lit(False))
     return out
 
 
+def field_hits(queries: DataFrame, documents: DataFrame, fields: tuple[str, ...], k: int) -> DataFrame:
+    """(query_id, doc_id, rank, score): the first k documents, by id, of which a field holds the query's text.
+
+    Such hits are not ranked by merit, so the score is 1 / rank. documents: doc_id and the fields.
+    """
+    each = [documents.select(F.struct("doc_id", F.lit(f).alias("f")).alias("doc_id"), F.col(f).alias("text")) for f in fields]
+    rows = each[0]
+    for one in each[1:]:
+        rows = rows.union(one)
+    found = containing(queries.select("query_id", F.col("text").alias("pattern")), rows).select("query_id", "doc_id.doc_id").distinct()
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id"))
+    return found.withColumn("rank", n).where(F.col("rank") <= k).withColumn("score", 1 / F.col("rank"))
+
+
 def highlights(content: Column, query_terms: Column) -> Column:
     """Code point spans of query terms of two bytes or more in the content."""
     low = F.lower(content)

@@ -217,18 +217,22 @@ def q11_trigram_fuzzy(spark, d):
 
 @query(f"""
 WITH p AS (SELECT lower(replace(s_name, '#', '-')) AS slug FROM supplier),
-q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN lower(replace(s_name, '#', '-')) WHEN 1 THEN upper(replace(s_name, '#', ' ')) ELSE left(lower(replace(s_name, '#', '-')), 16) END AS text FROM supplier),
+q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 8 WHEN 0 THEN lower(replace(s_name, '#', '-')) WHEN 1 THEN upper(replace(s_name, '#', ' ')) WHEN 2 THEN left(lower(replace(s_name, '#', '-')), 16) WHEN 3 THEN left(s_name, 2) WHEN 4 THEN left(s_name, 1)
+  WHEN 5 THEN substr(s_name, 3, 3) WHEN 6 THEN right(s_name, 2) ELSE right(s_name, 1) END AS text FROM supplier),
 own AS (SELECT *, regexp_replace(lower(trim(text)), '[ _]+', '-', 'g') AS s FROM q),
 e AS (SELECT query_id, slug, 1 AS stage FROM q JOIN p ON text = slug UNION ALL SELECT query_id, slug, 2 FROM own JOIN p ON s = slug UNION ALL SELECT query_id, slug, 3 FROM own JOIN p ON starts_with(slug, s)
   UNION ALL SELECT query_id, slug, 4 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM
-    (SELECT query_id, slug, len(list_intersect({grams('text')}, {grams('slug')})) / (len({grams('text')}) + len({grams('slug')}) - len(list_intersect({grams('text')}, {grams('slug')}))) AS score FROM q, p) WHERE score >= 0.55) WHERE rank <= 10)
+    (SELECT query_id, slug, len(list_intersect({grams('text')}, {grams('slug')})) / (len({grams('text')}) + len({grams('slug')}) - len(list_intersect({grams('text')}, {grams('slug')}))) AS score FROM q, p) WHERE score >= 0.55) WHERE rank <= 10
+  UNION ALL SELECT query_id, slug, 5 FROM q JOIN p ON contains(slug, lower(text)))
 SELECT DISTINCT query_id, slug, stage FROM (SELECT *, min(stage) OVER (PARTITION BY query_id) AS m FROM e) WHERE stage = m
 """)
 def q12_resolve_slugs(spark, d):
+    """Whole slugs, other spellings, beginnings of one, two and more characters, parts inside."""
     s = table(spark, d, "supplier")
     slug = F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit("-")))
-    k = F.col("s_suppkey") % 3
-    text = F.when(k == 0, slug).when(k == 1, F.upper(F.replace(F.col("s_name"), F.lit("#"), F.lit(" ")))).otherwise(F.left(slug, F.lit(16)))
+    k, name = F.col("s_suppkey") % 8, F.col("s_name")
+    forms = [slug, F.upper(F.replace(name, F.lit("#"), F.lit(" "))), F.left(slug, F.lit(16)), F.left(name, F.lit(2)), F.left(name, F.lit(1)), F.substring(name, 3, 3), F.right(name, F.lit(2))]
+    text = X.ladder([(k == i, f) for i, f in enumerate(forms)], F.right(name, F.lit(1)))
     return R.resolve(s.select(F.col("s_suppkey").alias("query_id"), text.alias("text")), s.select(slug.alias("slug")))
 
 
@@ -667,6 +671,11 @@ def node_inputs(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.col("chunk_id").alias("node_id"), (F.col("chunk_id") % 200).alias("document_id"), F.concat(F.lit("doc-"), (F.col("chunk_id") % 200).cast("string"), F.lit(".md")).alias("name"), F.col("chunk_text").alias("content"), F.get(F.split("chunk_text", "\n"), F.lit(0)).alias("summary"), "embedding")
 
 
+def held(name: str, source: str, queries: str, k: int) -> str:
+    """SQL: the table {name}: the first k texts, by id, that hold the query as a substring; the score is 1 / rank."""
+    return f"""{name} AS (SELECT *, 1.0::DOUBLE / rank AS score FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM (SELECT DISTINCT query_id, s.id FROM ({queries}) q JOIN ({source}) s ON contains(lower(s.text), lower(q.text)) WHERE q.text <> '')) WHERE rank <= {k})"""
+
+
 NORMAL_SQL = f"trim(regexp_replace(translate(translate(lower(trim(text)), '{X.TRADITIONAL}', '{X.SIMPLIFIED}'), '{X.FULL_WIDTH}', '{X.HALF_WIDTH}'), '\\s+', ' ', 'g'))"
 TYPE_SQL = f"""CASE WHEN {has(Q.TABLE_WORDS)} THEN 'table_lookup' WHEN {has(Q.HOW_WORDS)} THEN 'how_to' WHEN {has(Q.TIME_WORDS)} THEN 'recent_or_timebound' WHEN {has(Q.FACT_WORDS)} OR ends_with(q, '?') OR ends_with(q, '？') THEN 'fact_lookup'
   WHEN regexp_matches(q, '\\.[A-Za-z]{{2,5}}$') OR regexp_matches(q, '[/\\\\]') OR (regexp_matches(q, '^[A-Za-z0-9_#-]*$') AND regexp_matches(q, '[0-9]')) OR regexp_matches(q, '^v[0-9.]{{2,}}$') THEN 'exact_lookup' ELSE 'conceptual' END"""
@@ -681,17 +690,17 @@ def picked(name: str, columns: str = "query_id, text") -> str:
 p AS (SELECT query_id, retriever FROM (SELECT query_id, {TYPE_SQL} AS query_type FROM (SELECT query_id, lower(trim(text)) AS q FROM a)) JOIN (VALUES {PLAN_SQL}) AS w(query_type, retriever, weight) USING (query_type)),
 {prefix_bm25("nf", "SELECT id, text FROM c", picked("node_fts"), 30)},
 {prefix_bm25("tn", "SELECT id, name AS text FROM own", picked("title_name"), 30)},
-{prefix_bm25("sm", "SELECT id, summary AS text FROM own", picked("summary"), 30)},
+{held("sm", "SELECT id, summary AS text FROM own", picked("summary"), 30)}, {held("md", "SELECT id, name AS text FROM own", picked("metadata"), 30)},
 {nearest("vx", "SELECT id, e FROM c WHERE e IS NOT NULL", picked("vector", "query_id, e") + " AND e IS NOT NULL", 30)},
-u AS (SELECT query_id, id, score, rank, 'node_fts' AS list, score / max(score) OVER (PARTITION BY query_id) AS fts, NULL AS vec, NULL AS summ, false AS exact FROM nf
-  UNION ALL SELECT query_id, id, score, rank, 'vector', NULL, score, NULL, false FROM vx
-  UNION ALL SELECT query_id, id, score, rank, 'summary', NULL, NULL, score / max(score) OVER (PARTITION BY query_id), false FROM sm
-  UNION ALL SELECT tn.query_id, id, score, rank, 'title', NULL, NULL, NULL, 'doc-' || (id % 200) = regexp_replace(lower(trim(a.text)), '^(.+)\\.[^.]{{0,10}}$', '\\1') FROM tn JOIN a USING (query_id)),
-g AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS fused, max(score) AS own, max(fts) AS fts, max(vec) AS vec, max(summ) AS summ, bool_or(exact) AS exact, count(DISTINCT list) AS n FROM u GROUP BY ALL),
-o AS (SELECT g.query_id, id, id % 200 AS document_id, CASE WHEN lists = 1 THEN own ELSE fused END AS score, fts, vec, summ, exact FROM g JOIN (SELECT query_id, count(DISTINCT list) AS lists FROM u GROUP BY 1) USING (query_id)
-  WHERE exact OR n >= 2 OR coalesce(vec >= 0.55, false) OR coalesce(fts >= 0.18, false) OR coalesce(summ >= 0.2, false)),
+u AS (SELECT query_id, id, score, rank, 'node_fts' AS list, score / max(score) OVER (PARTITION BY query_id) AS fts, NULL AS vec, NULL AS summ, NULL AS meta, false AS exact FROM nf
+  UNION ALL SELECT query_id, id, score, rank, 'vector', NULL, score, NULL, NULL, false FROM vx
+  UNION ALL SELECT query_id, id, score, rank, 'summary', NULL, NULL, score, NULL, false FROM sm UNION ALL SELECT query_id, id, score, rank, 'metadata', NULL, NULL, NULL, score, false FROM md
+  UNION ALL SELECT tn.query_id, id, score, rank, 'title', NULL, NULL, NULL, NULL, 'doc-' || (id % 200) = regexp_replace(lower(trim(a.text)), '^(.+)\\.[^.]{{0,10}}$', '\\1') FROM tn JOIN a USING (query_id)),
+g AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS fused, max(score) AS own, max(fts) AS fts, max(vec) AS vec, max(summ) AS summ, max(meta) AS meta, bool_or(exact) AS exact, count(DISTINCT list) AS n FROM u GROUP BY ALL),
+o AS (SELECT g.query_id, id, id % 200 AS document_id, CASE WHEN lists = 1 THEN own ELSE fused END AS score, fts, vec, summ, meta, exact FROM g JOIN (SELECT query_id, count(DISTINCT list) AS lists FROM u GROUP BY 1) USING (query_id)
+  WHERE exact OR n >= 2 OR coalesce(vec >= 0.55, false) OR coalesce(fts >= 0.18, false) OR coalesce(summ >= 0.2, false) OR coalesce(meta >= 0.2, false)),
 m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, id) AS k FROM o) WHERE k <= 3),
-s AS (SELECT query_id, document_id, id, round(CASE WHEN count(*) OVER (PARTITION BY query_id) <= 50 THEN 0.30 * coalesce(fts, 0) + 0.25 * coalesce(vec, 0) + 0.05 * coalesce(summ, 0) + 0.10 * exact::INT ELSE score END, 9) AS score FROM m),
+s AS (SELECT query_id, document_id, id, round(CASE WHEN count(*) OVER (PARTITION BY query_id) <= 50 THEN 0.30 * coalesce(fts, 0) + 0.25 * coalesce(vec, 0) + 0.05 * coalesce(meta, 0) + 0.05 * coalesce(summ, 0) + 0.10 * exact::INT ELSE score END, 9) AS score FROM m),
 d AS (SELECT query_id, document_id, arg_max(id, score * 1e6 - id / 1e9) AS node_id, max(score) AS score, count(*) - 1 AS others FROM s GROUP BY ALL)
 SELECT query_id, rank, document_id, node_id, round(score, 6) AS score, others FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS rank FROM d) WHERE rank <= 10""")
 def q47_kb_search(spark, d):

@@ -20,7 +20,7 @@ from quillstone.operators import lifecycle as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
 from quillstone.plans import search as P
-from quillstone.plans.catalogue import EDGES, QUERIES, WEAK, edges, prefix_bm25, query, words
+from quillstone.plans.catalogue import EDGES, PLAN_SQL, QUERIES, TYPE_SQL, WEAK, edges, held, nearest, prefix_bm25, query, words
 from quillstone.session import checkpoint_folder, table
 from quillstone.sources import readers as I
 from quillstone.streaming import events as Z
@@ -88,7 +88,7 @@ def asks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {JOINED_SQL}, {ASK_SQL}, t AS (SELECT DISTINCT artifact_uid, slug || ' ' || a.name || coalesce(' ' || p.title || ' ' || p.name, '') AS t, CASE WHEN trim(p.title) <> '' THEN p.title WHEN trim(p.name) <> '' THEN p.name ELSE a.name END AS title FROM art a LEFT JOIN pd p USING (artifact_id) WHERE status = 'active'),
-s AS (SELECT query_id, artifact_uid, title, len(core) AS n, len(list_filter(core, lambda c: list_contains({words('t')}, c))) AS c FROM core, t),
+s AS (SELECT query_id, artifact_uid, title, len(core) AS n, len(list_filter(core, lambda c: contains(lower(t), c))) AS c FROM core, t),
 g AS (SELECT query_id, artifact_uid, title, max(round(c / n, 9)) AS score FROM s WHERE c >= CASE WHEN n >= 3 THEN 2 ELSE 1 END GROUP BY ALL)
 SELECT query_id, artifact_uid, title, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, artifact_uid, title) AS rank FROM g) WHERE rank <= 5""")
 def q98_title_candidates(spark, d):
@@ -96,10 +96,14 @@ def q98_title_candidates(spark, d):
     return A.title_candidates(asks(spark, d), artifacts(spark, d), projections(spark, d), kb_documents(spark, d)).select("query_id", "artifact_uid", "title", "score")
 
 
+#: Whole words, parts of words, one and two characters, marks that patterns of SQL give a meaning.
+TIMELINE_ASKS = [(1, "click of"), (2, "Purchase of 5"), (3, "supplier#"), (4, "none such"), (5, "lick"), (6, "urchase of 12"), (7, "f"), (8, "R#"), (9, " OF "), (10, "  "), (11, '"summary":"sig'), (12, "%"), (13, "_date")]
+
+
 @query("""WITH c AS (SELECT event_id, event_type || ' of ' || user_id AS summary, ts::DATE::VARCHAR AS day, ts, s_name, s_suppkey % 2 = 0 AS titled FROM events LEFT JOIN supplier ON s_suppkey = user_id WHERE event_id % 4 <> 0),
-q AS (SELECT * FROM (VALUES (1, 'click of'), (2, 'Purchase of 5'), (3, 'supplier#'), (4, 'none such')) AS v(query_id, q)),
+q AS (SELECT query_id, trim(q) AS q FROM (VALUES (1, 'click of'), (2, 'Purchase of 5'), (3, 'supplier#'), (4, 'none such'), (5, 'lick'), (6, 'urchase of 12'), (7, 'f'), (8, 'R#'), (9, ' OF '), (10, '  '), (11, '"summary":"sig'), (12, '%'), (13, '_date')) AS v(query_id, q) WHERE trim(q) <> ''),
 h AS (SELECT query_id, event_id AS candidate_id, day AS "date", summary, CASE WHEN titled THEN 'T ' || s_name ELSE s_name END AS source, row_number() OVER (PARTITION BY query_id ORDER BY ts DESC, event_id) AS rank FROM c, q
-  WHERE contains(lower('{"event_date":"' || day || '","summary":"' || summary || '"}' || coalesce(chr(10) || s_name, '') || coalesce(chr(10) || CASE WHEN titled THEN 'T ' || s_name END, '')), lower(q)))
+  WHERE contains(lower('{"event_date":"' || day || '","summary":"' || summary || '"}'), lower(q)) OR coalesce(contains(lower(s_name), lower(q)), false) OR coalesce(titled AND contains('t ' || lower(s_name), lower(q)), false))
 SELECT query_id, rank, candidate_id, "date", summary, source FROM h WHERE rank <= 20""")
 def q99_timeline_hits(spark, d):
     """Accepted events that hold the query in payload, name or title."""
@@ -107,7 +111,7 @@ def q99_timeline_hits(spark, d):
     payload = say('{"event_date":"', F.col("ts").cast("date"), '","summary":"', F.col("event_type"), " of ", F.col("user_id"), '"}')
     c = e.select(F.col("event_id").alias("candidate_id"), payload.alias("payload"), F.col("ts").alias("created_at"), F.col("user_id").alias("document_id"), F.lit("timeline_event").alias("candidate_type"), F.when(F.col("event_id") % 4 == 0, "pending").otherwise("accepted").alias("status"))
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("document_id"), F.when(F.col("s_suppkey") % 2 == 0, say("T ", F.col("s_name"))).alias("title"), F.col("s_name").alias("name"))
-    q = spark.createDataFrame([(1, "click of"), (2, "Purchase of 5"), (3, "supplier#"), (4, "none such")], "query_id int, text string")
+    q = spark.createDataFrame(TIMELINE_ASKS, "query_id int, text string")
     return A.timeline_hits(q, c, s)
 
 
@@ -652,3 +656,58 @@ def q145_offline_embedding(spark, d):
     a = K.hash_embedding(t, "doc_id", "text")
     b = K.hash_embedding(t.select("doc_id", F.concat(F.lit(" \n"), "text", F.lit("\t")).alias("text")), "doc_id", "text").select("doc_id", F.col("embedding").alias("other"))
     return a.join(b, "doc_id").join(t, "doc_id").select("doc_id", F.size("embedding").alias("size"), (F.col("embedding") == F.col("other")).alias("same"), (F.length(F.trim("text")) == 0).alias("blank"))
+
+
+#: Queries of every kind of fallback: (words of the query, stage that answers it).
+FALLBACK_ASKS = ["{}", "合同 zq", "zq nowhere", "zzname", "is it qsum?", "qq csv", "zzznothing", "ZZDB"]
+LIBRARY_SQL = """lib AS (SELECT p_partkey AS id, p_partkey // 2 AS document_id, 'zzname-' || (p_partkey % 90) || '.md' AS name, p_name || CASE WHEN p_partkey % 41 = 3 THEN ' 协议' WHEN p_partkey % 41 = 5 THEN ' zz数据库' ELSE '' END AS text,
+  CASE WHEN p_partkey % 60 < 2 THEN 'and so: Is it QSUM? yes' ELSE p_type END AS summary, embedding::DOUBLE[] AS e FROM part LEFT JOIN embeddings ON vec_id = p_partkey),
+own AS (SELECT min(id) AS id, arg_min(name, id) AS name, arg_min(summary, id) AS summary FROM lib GROUP BY document_id),
+ask AS (SELECT p_partkey AS query_id, (p_partkey // 50) % 8 AS kind, replace(""" + str(FALLBACK_ASKS) + """[((p_partkey // 50) % 8 + 1)::INT], '{}', p_name) AS text, e FROM (SELECT p_partkey, p_name, embedding::DOUBLE[] AS e FROM part LEFT JOIN embeddings ON vec_id = p_partkey + 1) WHERE p_partkey % 50 = 0),
+a AS (SELECT * REPLACE (lower(text) AS text) FROM ask)"""
+
+
+def library(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and nodes of small documents: names, contents, summaries and vectors that only some queries reach."""
+    k, e = F.col("p_partkey"), table(spark, d, "embeddings").select("vec_id", "embedding")
+    p = table(spark, d, "part")
+    mark = F.when(k % 41 == 3, " 协议").when(k % 41 == 5, " zz数据库").otherwise("")
+    nodes = p.join(e, k == F.col("vec_id"), "left").select(
+        k.alias("node_id"), F.expr("p_partkey div 2").alias("document_id"), say("zzname-", k % 90, ".md").alias("name"), say(F.col("p_name"), mark).alias("content"),
+        F.when(k % 60 < 2, "and so: Is it QSUM? yes").otherwise(F.col("p_type")).alias("summary"), "embedding",
+    )
+    form = F.element_at(F.array(*map(F.lit, FALLBACK_ASKS)), (F.expr("p_partkey div 50") % 8 + 1).cast("int"))
+    asked = p.where("p_partkey % 50 = 0").join(e, k + 1 == F.col("vec_id"), "left")
+    return asked.select(k.alias("query_id"), F.replace(form, F.lit("{}"), F.col("p_name")).alias("text"), "embedding"), nodes
+
+
+def of_kind(*kinds: int, text: str = "text") -> str:
+    return f"SELECT query_id, {text} AS text FROM a WHERE kind IN ({', '.join(map(str, kinds))})"
+
+
+@query(f"""WITH {LIBRARY_SQL},
+{prefix_bm25("nf", "SELECT id, text FROM lib", of_kind(0), 30)},
+{prefix_bm25("sy", "SELECT id, text FROM lib", of_kind(1, text="replace(text, '合同', '协议')") + " UNION ALL " + of_kind(7, text="replace(text, 'db', '数据库')"), 60)},
+{prefix_bm25("nm", "SELECT id, name AS text FROM own", of_kind(3), 90)},
+{held("sm", "SELECT id, summary AS text FROM own", of_kind(4), 90)},
+{nearest("nv", "SELECT id, e FROM lib WHERE e IS NOT NULL", "SELECT query_id, e FROM a WHERE e IS NOT NULL AND kind NOT IN (5)", 30)},
+{nearest("vx", "SELECT id, e FROM lib WHERE e IS NOT NULL", "SELECT query_id, e FROM a WHERE e IS NOT NULL AND kind = 5", 150)},
+typed AS (SELECT query_id, kind, text, {TYPE_SQL} AS query_type FROM (SELECT *, trim(text) AS q FROM a)),
+w AS (SELECT query_id, retriever FROM typed JOIN (VALUES {PLAN_SQL}) AS w(query_type, retriever, weight) USING (query_type)),
+{prefix_bm25("tn", "SELECT id, name AS text FROM own", "SELECT query_id, text FROM a JOIN w USING (query_id) WHERE retriever = 'title_name'", 30)},
+{held("s0", "SELECT id, summary AS text FROM own", "SELECT query_id, text FROM a JOIN w USING (query_id) WHERE retriever = 'summary'", 30)},
+{held("m0", "SELECT id, name AS text FROM own", "SELECT query_id, text FROM a JOIN w USING (query_id) WHERE retriever = 'metadata'", 30)},
+p0 AS (SELECT query_id, id, 'node_fts' AS list FROM nf UNION ALL SELECT query_id, id, 'vector' FROM nv SEMI JOIN (FROM w WHERE retriever = 'vector') USING (query_id) UNION ALL SELECT query_id, id, 'title' FROM tn
+  UNION ALL SELECT query_id, id, 'summary' FROM s0 UNION ALL SELECT query_id, id, 'metadata' FROM m0),
+later AS (SELECT query_id, id, 'node_fts' AS list, 1 AS stage FROM sy UNION ALL SELECT query_id, id, 'title', 4 FROM nm UNION ALL SELECT query_id, id, 'summary', 5 FROM sm UNION ALL SELECT query_id, id, 'vector', 6 FROM vx UNION ALL SELECT query_id, id, 'vector', 6 FROM nv),
+h AS (SELECT query_id, id, list, 0 AS stage FROM p0 UNION ALL FROM later ANTI JOIN p0 USING (query_id)),
+f AS (SELECT query_id, min(stage) AS stage FROM h GROUP BY 1),
+t AS (SELECT query_id, stage FROM h SEMI JOIN f USING (query_id, stage) GROUP BY ALL)
+SELECT h.query_id, id AS doc_id, list, h.stage, -1 AS attempts FROM h JOIN f ON h.query_id = f.query_id AND h.stage = f.stage
+UNION ALL SELECT query_id, NULL, NULL, NULL, coalesce(stage, 6) + 1 FROM a LEFT JOIN f USING (query_id)""")
+def q146_search_fallbacks(spark, d):
+    """The six steps for queries of which the planned retrievers find nothing, each asked only what is still open, and how many steps a query took."""
+    lists, attempts = P.document_candidates(*library(spark, d))
+    hits = lists.select("query_id", "doc_id", "list", "stage", F.lit(-1).cast("long").alias("attempts"))
+    none = F.lit(None)
+    return hits.union(attempts.groupBy("query_id").agg(F.count("*").alias("attempts")).select("query_id", none.cast("long"), none.cast("string"), none.cast("int"), "attempts"))
