@@ -31,11 +31,11 @@ from .common import map_texts, narrow
 
 MAX_RANKS = 2_000_000
 #: Bytes of pieces and ids that the cache of a task may hold, longest piece that it takes, and what an entry costs besides.
-CACHE_BYTES, CACHED, ENTRY = 24 << 20, 64, 160
+CACHE_BYTES, CACHED, ENTRY = 80 << 20, 64, 160
 #: Trees of more leaves than this are packed arrays instead of lists.
 PACKED = 1 << 12
 BITS = 32
-NONE = 1 << 62
+POSITION, NONE = (1 << BITS) - 1, 1 << 62
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -50,30 +50,14 @@ def load(path: str) -> dict[bytes, int]:
     return ranks
 
 
-class PairTree:
-    """Leaves are positions 0 to n - 1; a node is the least of its leaves."""
-
-    def __init__(self, leaves: list[int]):
-        self.size = 1 << max(0, len(leaves) - 1).bit_length()
-        nodes = [NONE] * self.size + leaves + [NONE] * (self.size - len(leaves))
-        for i in range(self.size - 1, 0, -1):
-            a, b = nodes[2 * i], nodes[2 * i + 1]
-            nodes[i] = a if a < b else b
-        self.nodes = array("q", nodes) if self.size > PACKED else nodes
-
-    def least(self) -> int:
-        return self.nodes[1]
-
-    def put(self, at: int, value: int) -> None:
-        nodes, i = self.nodes, self.size + at
-        nodes[i] = value
-        while i > 1:
-            other = nodes[i ^ 1]
-            i >>= 1
-            value = value if value < other else other
-            if nodes[i] == value:
-                break
-            nodes[i] = value
+def tree_over(leaves: list[int]) -> list[int] | array:
+    """Nodes of a complete binary tree: the root is 1, the children of i are 2i and 2i + 1, leaves come last; a node is the least of its leaves."""
+    size = 1 << max(0, len(leaves) - 1).bit_length()
+    nodes = [NONE] * size + leaves + [NONE] * (size - len(leaves))
+    for i in range(size - 1, 0, -1):
+        a, b = nodes[2 * i], nodes[2 * i + 1]
+        nodes[i] = a if a < b else b
+    return array("q", nodes) if size > PACKED else nodes
 
 
 class Codec:
@@ -82,6 +66,10 @@ class Codec:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.pairs = [NONE] * (1 << 16)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank << BITS
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -90,26 +78,37 @@ class Codec:
         get, n = self.ranks.get, len(piece)
         if n == 1:
             return [self.ranks[piece]]
+        # The part that begins at i ends where the next begins; n stands for the end, and -1 for no part before.
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def rank(i: int) -> int:
-            """The pair that begins at live position i, as the tree holds it."""
-            j = after[i]
-            r = get(piece[i : after[j]]) if j < n else None
-            return NONE if r is None else r << BITS | i
-
-        tree = PairTree([rank(i) for i in range(n - 1)])
-        put = tree.put
-        while (least := tree.least()) != NONE:
-            i = least & (1 << BITS) - 1
+        pairs = self.pairs
+        nodes = tree_over([r | i if (r := pairs[a << 8 | b]) != NONE else NONE for i, (a, b) in enumerate(zip(piece, piece[1:]))])
+        leaf = len(nodes) >> 1
+        while (least := nodes[1]) != NONE:
+            i = least & POSITION
             gone = after[i]
             after[i] = k = after[gone]
             if k < n:
                 before[k] = i
-                put(gone, NONE)
-            put(i, rank(i))
+                r = get(piece[i : after[k]])
+                changed = [(gone, NONE), (i, NONE if r is None else r << BITS | i)]
+            else:
+                changed = [(i, NONE)]
             if (h := before[i]) >= 0:
-                put(h, rank(h))
+                r = get(piece[h:k])
+                changed.append((h, NONE if r is None else r << BITS | h))
+            for at, value in changed:
+                at += leaf
+                if nodes[at] == value:
+                    continue
+                nodes[at] = value
+                while at > 1:
+                    other = nodes[at ^ 1]
+                    if other < value:
+                        value = other
+                    at >>= 1
+                    if nodes[at] == value:
+                        break
+                    nodes[at] = value
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i : after[i]]])

@@ -173,16 +173,13 @@ def test_byte_bpe_on_mixed_characters(library, monkeypatch):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode_ordinary(text)
 
 
-def test_pair_tree_holds_the_leftmost_least():
+def test_tree_holds_the_leftmost_least():
     r = random.Random(2)
     for n in (1, 2, 3, 17, 64, 65, 5000):
-        leaves = [r.randrange(50) << byte_bpe.BITS | i for i in range(n)]
-        tree = byte_bpe.PairTree(list(leaves))
-        for _ in range(200):
-            at = r.randrange(n)
-            leaves[at] = r.choice([byte_bpe.NONE, r.randrange(50) << byte_bpe.BITS | at])
-            tree.put(at, leaves[at])
-            assert tree.least() == min(leaves)
+        leaves = [r.choice([byte_bpe.NONE, r.randrange(50) << byte_bpe.BITS | i]) for i in range(n)]
+        nodes = byte_bpe.tree_over(list(leaves))
+        half = len(nodes) // 2
+        assert nodes[1] == min(leaves) and list(nodes[half : half + n]) == leaves and all(nodes[i] == min(nodes[2 * i], nodes[2 * i + 1]) for i in range(1, half))
 
 
 def test_rank_file_without_some_byte_is_refused(tmp_path):
