@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import isqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -185,4 +186,6 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     pairs = others.join(sums, ["lang", "source", "item"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0).cast("long")).alias("value"))
     foremost = found.where("part = 'term'").select("lang", "source", "part", "item", "value")
     rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return pairs.union(foremost).withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= TOP))
+    # Each shard has its own foremost terms; fewer, larger partitions rank theirs before the shuffle.
+    ranked = foremost.coalesce(max(1, isqrt(shards))).withColumn("rank", rank).where(F.col("rank") <= TOP)
+    return pairs.withColumn("rank", rank).union(ranked)
