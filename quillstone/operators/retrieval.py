@@ -496,6 +496,12 @@ def weak_terms(c: Column, weak: tuple[str, ...] = WEAK_TERMS) -> Column:
     return F.filter(query_terms(c), lambda t: t.isin(*weak))
 
 
+def matched(content: str, title: str, core: str) -> Column:
+    """The core terms that a hit's text or title holds, in either case."""
+    both = F.lower(F.concat_ws(" ", title, content))
+    return F.filter(core, lambda t: F.contains(both, F.lower(t)))
+
+
 def coverage(content: Column, core: Column) -> Column:
     """The share of core terms that the content holds."""
     low = F.lower(content)

@@ -711,3 +711,32 @@ def q146_search_fallbacks(spark, d):
     hits = lists.select("query_id", "doc_id", "list", "stage", F.lit(-1).cast("long").alias("attempts"))
     none = F.lit(None)
     return hits.union(attempts.groupBy("query_id").agg(F.count("*").alias("attempts")).select("query_id", none.cast("long"), none.cast("string"), none.cast("int"), "attempts"))
+
+
+FACADE_ASKS = ["small {}", "qqq {}", "zzz", "nosuch", "uildin", "what about {}"]
+
+
+@query(f"""WITH {JOINED_SQL}, a AS (SELECT s_suppkey AS query_id, s_suppkey % 6 AS kind, replace({FACADE_ASKS}[s_suppkey % 6 + 1], '{{}}', split_part(p_name, ' ', 2)) AS text FROM supplier JOIN part ON p_partkey = s_suppkey),
+{prefix_bm25("ev", "SELECT p_partkey AS id, p_name AS text FROM part", "SELECT query_id, CASE kind WHEN 2 THEN 'zzz ring' ELSE text END AS text FROM a WHERE kind NOT IN (3, 4)", 5)},
+h AS (SELECT query_id, count(*) AS hits, max(len(list_filter({words('text')}, lambda t: contains(lower(p_name), t)))) AS m FROM ev JOIN a USING (query_id) JOIN part ON p_partkey = id GROUP BY 1),
+t AS (SELECT count(*) AS hits FROM (SELECT DISTINCT artifact_uid, CASE WHEN trim(p.title) <> '' THEN p.title WHEN trim(p.name) <> '' THEN p.name ELSE a.name END FROM art a LEFT JOIN pd p USING (artifact_id) WHERE status = 'active' AND contains(lower(concat_ws(' ', slug, a.name, p.title, p.name)), 'uildin'))),
+z AS (SELECT query_id, kind, len({words('text')}) AS n, coalesce(h.hits, 0) AS hits, coalesce(m, 0) AS m FROM a LEFT JOIN h USING (query_id)),
+o AS (SELECT query_id, CASE WHEN kind = 2 THEN 'core_terms_or' WHEN kind = 3 THEN 'no_results' WHEN kind = 4 THEN 'title_slug' WHEN m >= 2 OR n < 2 AND hits > 0 THEN 'original_query' WHEN m > 0 THEN 'partial_results' ELSE 'no_results' END AS stage,
+  CASE WHEN kind = 4 THEN least(10, (SELECT hits FROM t)) ELSE hits END AS hits, n, m FROM z)
+SELECT query_id, stage, CASE WHEN stage = 'original_query' THEN NULL WHEN stage = 'partial_results' THEN 'primary_low_quality' ELSE 'primary_no_hits' END AS reason, CASE stage WHEN 'original_query' THEN 1 WHEN 'core_terms_or' THEN 3 ELSE 4 END AS attempts, hits,
+  CASE WHEN hits = 0 THEN 'none' WHEN stage = 'title_slug' THEN 'low' WHEN stage = 'original_query' AND m >= least(2, n) THEN 'high' ELSE 'medium' END AS confidence FROM o""")
+def q147_facade_fallbacks(spark, d):
+    """Queries that are of use as they are, by synonyms, in part, by names only, or not at all."""
+    p = table(spark, d, "part")
+    posts = R.token_postings(p, "p_partkey", "p_name")
+
+    def search(q: DataFrame) -> DataFrame:
+        hits = R.top_k(R.prefix_bm25(q, posts), 5).join(p.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("content")), "doc_id")
+        return hits.select("query_id", F.lit("evidence").alias("route"), F.col("doc_id").cast("string").alias("ref"), F.lit("").alias("title"), "content", "score")
+
+    form = F.element_at(F.array(*map(F.lit, FACADE_ASKS)), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    q = table(spark, d, "supplier").join(p, F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.replace(form, F.lit("{}"), word).alias("text"), F.lit("brain_first").alias("strategy"))
+    synonyms = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("zzz").alias("token"), F.lit("ring").alias("synonym"), F.lit(1.0).alias("score"))
+    _, outcomes, _ = P.facade_query(q, search, artifacts(spark, d), projections(spark, d), kb_documents(spark, d), synonyms)
+    return outcomes.select("query_id", "stage", "reason", "attempts", "hits", "confidence")

@@ -81,7 +81,7 @@ def test_cascade_asks_only_what_is_open(spark):
 
         return find
 
-    hits, attempts = cascade(queries, [("a", stage((0, 1), (0, 2), (3, 1))), ("b", stage()), ("c", stage((1, 9), (2, 9), (0, 9))), ("d", stage((4, 5))), ("e", stage((5, 6))), ("f", stage((0, 0)))])
+    hits, attempts, _ = cascade(queries, [("a", stage((0, 1), (0, 2), (3, 1))), ("b", stage()), ("c", stage((1, 9), (2, 9), (0, 9))), ("d", stage((4, 5))), ("e", stage((5, 6))), ("f", stage((0, 0)))])
     assert seen == [[0, 1, 2, 3, 4, 5], [1, 2, 4, 5], [1, 2, 4, 5], [4, 5], [5]]
     assert Counter((x.query_id, x.x, x.stage, x.stage_name) for x in hits.collect()) == Counter([(0, 1, 1, "a"), (0, 2, 1, "a"), (3, 1, 1, "a"), (1, 9, 3, "c"), (2, 9, 3, "c"), (4, 5, 4, "d"), (5, 6, 5, "e")])
     tried = {(x.query_id, x.stage): x.hits for x in attempts.collect()}
@@ -91,8 +91,8 @@ def test_cascade_asks_only_what_is_open(spark):
 def test_cascade_with_answers_of_its_own(spark):
     queries = spark.createDataFrame([(1,), (2,)], "query_id long")
     one = lambda x: lambda q: q.selectExpr("query_id", f"{x} * query_id as x")
-    hits, attempts = cascade(queries, [("weak", one(1)), ("strong", one(10))], answered=lambda df: df.where("x >= 2"))
-    assert sorted(map(tuple, hits.select("query_id", "x", "stage").collect())) == [(1, 10, 2), (2, 2, 1)] and attempts.count() == 3
+    hits, attempts, rest = cascade(queries, [("weak", one(1)), ("strong", one(10))], answered=lambda df: df.where("x >= 2"))
+    assert sorted(map(tuple, hits.select("query_id", "x", "stage").collect())) == [(1, 10, 2), (2, 2, 1)] and attempts.count() == 3 and [tuple(x) for x in rest.select("query_id", "x", "stage").collect()] == [(1, 1, 1)]
     assert cascade(queries.limit(0), [("weak", one(1)), ("strong", one(10))])[0].count() == 0
 
 
@@ -114,3 +114,31 @@ def test_title_candidates_of_parts_of_words_and_slugs(spark):
     q = spark.createDataFrame([(1, "payment", None), (2, "ear budg", None), (3, "payment", "plan"), (4, "payment", "docs/other"), (5, "zzz", None)], "query_id long, text string, slug string")
     got = sorted((x.query_id, x["rank"], x.artifact_uid, x.title, x.score) for x in A.title_candidates(q, arts, pro, docs).collect())
     assert got == [(1, 1, "u1", "Yearly", 1.0), (2, 1, "u1", "Yearly", 0.5), (2, 2, "u2", "budget", 0.5), (3, 1, "u1", "Yearly", 1.0)]
+
+
+def test_facade_takes_the_first_useful_attempt(spark):
+    from quillstone.plans import search as P
+
+    answers = {"alpha beta": [("evidence", "alpha only")], "alpha beta gamma": [("evidence", "ALPHA then beta"), ("evidence", "x")], "page": [("brain", "anything")], "half done": [("evidence", "half of it")], "one": [("evidence", "nothing of it")]}
+    seen = []
+
+    def search(q):
+        rows = [(x.query_id, route, "r", "", text, 1.0) for x in q.collect() for route, text in answers.get(x.text, [])]
+        seen.append(sorted((x.query_id, x.text, x.strategy) for x in q.collect()))
+        return spark.createDataFrame(rows, "query_id long, route string, ref string, title string, content string, score double")
+
+    q = spark.createDataFrame([(1, "alpha beta", "brain_first"), (2, "page", "brain_first"), (3, "half done", "timeline_first"), (4, "budget", "brain_first"), (5, "none such", "brain_first"), (6, "one", "brain_first"), (7, "", "brain_first")], "query_id long, text string, strategy string")
+    synonyms = spark.createDataFrame([("beta", "gamma", 0.9), ("other", "x", 1.0)], "token string, synonym string, score double")
+    arts = spark.createDataFrame([(1, "u1", "documents/plan", "budgets", "active")], "artifact_id long, artifact_uid string, slug string, name string, status string")
+    pro = spark.createDataFrame([], "artifact_id long, projection_ref string, status string")
+    docs = spark.createDataFrame([], "document_id long, title string, name string, deleted_at timestamp")
+    hits, outcomes, attempts = P.facade_query(q, search, arts, pro, docs, synonyms)
+    got = {x.query_id: (x.stage, x.reason, x.attempts, x.hits, x.confidence) for x in outcomes.collect()}
+    assert got == {
+        1: ("core_terms_or", "primary_low_quality", 3, 2, "medium"), 2: ("original_query", None, 1, 1, "medium"), 3: ("partial_results", "primary_low_quality", 4, 1, "medium"),
+        4: ("title_slug", "primary_no_hits", 4, 1, "low"), 5: ("no_results", "primary_no_hits", 4, 0, "none"), 6: ("original_query", None, 1, 1, "medium"), 7: ("no_results", "primary_no_hits", 4, 0, "none"),
+    }
+    assert [x.ref for x in hits.where("query_id = 4").collect()] == ["u1"] and hits.where("query_id = 1").count() == 2
+    later = [s for s in seen if s and s[0][1] != "alpha beta"]
+    assert all(all(i not in (2, 6) for i, *_ in s) for s in later) and (1, "alpha beta gamma", "brain_first") in [x for s in seen for x in s]
+    assert attempts.where("query_id = 2").count() == 1
