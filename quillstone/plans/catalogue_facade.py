@@ -15,12 +15,13 @@ from quillstone.operators import chunking as C
 from quillstone.operators import clustering as K
 from quillstone.operators import evaluation as V
 from quillstone.operators import facade as A
+from quillstone.operators import fields as FS
 from quillstone.operators import graph as G
 from quillstone.operators import lifecycle as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
 from quillstone.plans import search as P
-from quillstone.plans.catalogue import EDGES, PLAN_SQL, QUERIES, TYPE_SQL, WEAK, edges, held, nearest, prefix_bm25, query, words
+from quillstone.plans.catalogue import BOOST_SQL, DIR_SQL, EDGES, PLAN_SQL, QUERIES, TYPE_SQL, WEAK, edges, held, nearest, prefix_bm25, query, slugged, words
 from quillstone.session import checkpoint_folder, table
 from quillstone.sources import readers as I
 from quillstone.streaming import events as Z
@@ -740,3 +741,59 @@ def q147_facade_fallbacks(spark, d):
     synonyms = table(spark, d, "region").where("r_regionkey = 0").select(F.lit("zzz").alias("token"), F.lit("ring").alias("synonym"), F.lit(1.0).alias("score"))
     _, outcomes, _ = P.facade_query(q, search, artifacts(spark, d), projections(spark, d), kb_documents(spark, d), synonyms)
     return outcomes.select("query_id", "stage", "reason", "attempts", "hits", "confidence")
+
+
+def cased(x: str) -> str:
+    """SQL: words as they stand."""
+    return f"regexp_extract_all({x}, '[\\p{{L}}\\p{{N}}_]+')"
+
+
+def fielded(source: str, queries: str, fields: dict[str, tuple[str, float]], text: str, k: int) -> str:
+    """SQL: the table z (query_id, id, slug, score, rank, snippet): BM25 over weighted fields, and the shortest span of the
+    most of a query's first twelve terms. source: id, slug and the fields; fields: name to a list of words and a weight."""
+    rows = " UNION ALL ".join(f"SELECT id, '{n}' AS field, {w} AS weight, unnest({x}) AS term, generate_subscripts({x}, 1) - 1 AS place FROM src" for n, (x, w) in fields.items())
+    seen = ", ".join(f"max(place) FILTER (j = {j}) OVER w" for j in range(12))
+    return f"""src AS ({source}), t AS (SELECT id, field, weight, lower(term) AS term, place FROM ({rows})),
+l AS (SELECT id, count(*) AS dl FROM t GROUP BY 1), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a FROM l),
+q AS (SELECT query_id, j - 1 AS j, u[j] AS q FROM (SELECT query_id, u, unnest(range(1, len(u) + 1)) AS j FROM (SELECT query_id, list_filter(list_transform(w, lambda x: CASE WHEN x IN ('and', 'or', 'not', 'near') THEN '_' || x ELSE x END), lambda x, i: list_position(w, w[i]) = i) AS u FROM (SELECT query_id, {words('text')} AS w FROM ({queries}))))),
+p AS (SELECT q, id, field, weight, place FROM (SELECT DISTINCT q FROM q) JOIN t ON starts_with(term, q)),
+h AS (SELECT q, id, sum(weight)::DOUBLE AS tf FROM p GROUP BY ALL), d AS (SELECT q, count(*) AS df FROM h GROUP BY 1),
+r AS (SELECT query_id, id, round(sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score FROM q JOIN h USING (q) JOIN d USING (q) JOIN l USING (id), st GROUP BY ALL),
+b AS (SELECT query_id, id, slug, round(score * {BOOST_SQL}, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM r) JOIN src USING (id) WHERE k <= {k}),
+m AS (SELECT DISTINCT query_id, id, place, j FROM b JOIN q USING (query_id) JOIN p USING (q, id) WHERE field = '{text}'),
+e AS (SELECT query_id, id, place, list_filter([{seen}], lambda v: v > place - 64) AS near FROM m WINDOW w AS (PARTITION BY query_id, id ORDER BY place)),
+s AS (SELECT query_id, id, list_min(near) AS lo, place AS hi FROM e QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY len(near) DESC, place - list_min(near), list_min(near)) = 1),
+x AS (SELECT query_id, id, list(DISTINCT place) AS marks FROM m GROUP BY ALL),
+y AS (SELECT b.*, marks, coalesce({text}, '') AS whole, regexp_extract_all(coalesce({text}, ''), '([\\p{{L}}\\p{{N}}_]+)([^\\p{{L}}\\p{{N}}_]*)', 1) AS w, regexp_extract_all(coalesce({text}, ''), '([\\p{{L}}\\p{{N}}_]+)([^\\p{{L}}\\p{{N}}_]*)', 2) AS gap, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi
+  FROM b JOIN src USING (id) LEFT JOIN s USING (query_id, id) LEFT JOIN x USING (query_id, id)),
+c AS (SELECT *, greatest(0, least(lo - floor((64 - (hi - lo + 1)) / 2)::BIGINT, len(w) - 64)) AS low FROM y),
+f AS (SELECT *, least(low + 64, len(w)) AS upto FROM c),
+z AS (SELECT query_id, id, slug, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank, CASE WHEN len(w) = 0 THEN left(whole, 64) ELSE CASE WHEN low > 0 THEN '...' ELSE regexp_extract(whole, '^([^\\p{{L}}\\p{{N}}_]*)', 1) END
+  || array_to_string(list_transform(range(low, upto), lambda i: CASE WHEN list_contains(marks, i) THEN '<<' || w[i + 1] || '>>' ELSE w[i + 1] END || CASE WHEN i = upto - 1 AND upto < len(w) THEN '' ELSE gap[i + 1] END), '') || CASE WHEN upto < len(w) THEN '...' ELSE '' END END AS snippet FROM f)"""
+
+
+@query("WITH " + fielded(f"SELECT * FROM (SELECT doc_id AS id, {DIR_SQL}[doc_id % 12 + 1] || doc_id AS slug, text, lang, source FROM documents) WHERE NOT starts_with(slug, 'archive/')", "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM benchmark",
+    {"text": (cased("text"), 1.0), "tokens": (f"list_distinct({words('text')})", 1.0), "lang": (cased("lang"), 0.5), "source": (cased("source"), 3.0)}, "text", 20) + " SELECT query_id, rank, slug, id AS chunk_id, round(score, 6) AS score, snippet FROM z WHERE rank <= 20")
+def q148_field_search(spark, d):
+    """Chunks by weighted fields, with the shortest passage that holds the most of a query, marked."""
+    s = slugged(spark, d)
+    chunks = s.join(table(spark, d, "documents").select("doc_id", "lang", F.col("source").alias("symbol_name")), "doc_id").select(F.col("doc_id").alias("chunk_id"), "slug", F.col("text").alias("chunk_text"), F.col("source").alias("chunk_source"), F.col("lang").alias("language"), "symbol_name")
+    none = F.lit(None).cast("string")
+    pages = s.select("slug", F.col("slug").alias("title"), none.alias("compiled_truth"), none.alias("timeline"), "page_type", none.alias("deleted_at"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
+    return FS.keyword_search(q, chunks, pages).select("query_id", "rank", "slug", "chunk_id", F.round("score", 6).alias("score"), "snippet")
+
+
+TITLE_SQL = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+
+
+@query("WITH " + fielded(f"SELECT url AS id, url AS slug, {TITLE_SQL} AS title, trim(regexp_replace(regexp_replace(html, '(?s)<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS body FROM pages", f"SELECT page_id AS query_id, array_to_string(string_split({TITLE_SQL}, ' ')[1:3], ' ') AS text FROM pages WHERE page_id % 100 = 0",
+    {"slug": (cased("slug"), 1.0), "title": (cased("title"), 10.0), "tt": (f"list_distinct({words('title')})", 10.0), "body": (cased("body"), 5.0), "bt": (f"list_distinct({words('body')})", 5.0)}, "body", 20) + " SELECT query_id, rank, slug, round(score, 6) AS score, snippet FROM z WHERE rank <= 20")
+def q149_page_search(spark, d):
+    """Pages by weighted fields where there are no chunks: web pages by address, title and text."""
+    none = F.lit(None).cast("string")
+    title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)
+    pages = table(spark, d, "pages").select("page_id", F.col("url").alias("slug"), title.alias("title"), X.strip_tags("html").alias("compiled_truth"), none.alias("timeline"), F.lit("note").alias("page_type"), none.alias("deleted_at"))
+    q = pages.where("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), F.array_join(F.slice(F.split("title", " "), 1, 3), " ").alias("text"))
+    chunks = table(spark, d, "pages").where("false").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("slug"), F.col("html").alias("chunk_text"), none.alias("chunk_source"))
+    return FS.keyword_search(q, chunks, pages).select("query_id", "rank", "slug", F.round("score", 6).alias("score"), "snippet")
