@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import DROP, Scratch, doc_bitmap, map_texts, marked_by, narrow, replace_texts
 
@@ -163,18 +164,25 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.binary())], names=["item", "text"])
 
 
+#: Groups of pieces whose sizes are summed before each group's pieces are laid end to end.
+GROUPS = 1_024
+
+
 def dealt(items: DataFrame, max_windows: int, scratch: Scratch) -> tuple[DataFrame, int]:
-    """Pieces with their shard, and the number of shards; each shard has at most max_windows windows, or is one piece's."""
-    parts = scratch.put("pieces", items.mapInArrow(pieces, "item string, text binary").where("octet_length(text) > 0"))
-    size = parts.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    """Different pieces with their shard, and the number of shards.
+
+    Pieces are laid end to end and cut every so many bytes, so a shard has at most max_windows windows, or half
+    of that and a piece, and there are no more shards than twice the bytes need. Repeated rows are one piece.
+    """
+    parts = scratch.put("pieces", items.mapInArrow(pieces, "item string, text binary").where("octet_length(text) > 0").distinct())
     most = max(2 * max_windows, 12 * PIECE_WORDS)
-    shards = max(1, -(-2 * size // most))
-    while True:
-        told = parts.withColumn("shard", F.expr(f"pmod(xxhash64(item, text), {shards})"))
-        held = told.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.count("*").alias("k")).where(F.col("k") > 1)
-        if (held.agg(F.max("n")).first()[0] or 0) <= most or shards > size:
-            return told, shards
-        shards *= 2
+    told = parts.withColumn("h", F.xxhash64("item", "text")).withColumn("g", F.expr(f"pmod(h, {GROUPS})")).withColumn("size", F.octet_length("text") + 1)
+    sums = told.groupBy("g").agg(F.sum("size").alias("all"))
+    offsets = sums.select("g", (F.sum("all").over(Window.orderBy("g")) - F.col("all")).alias("offset"))
+    start = F.col("offset") + F.sum("size").over(Window.partitionBy("g").orderBy("h", "item", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    told = scratch.put("dealt", told.join(offsets, "g").withColumn("s", start).select("item", "text", F.expr(f"s div {most // 2}").alias("shard")))
+    scratch.drop("pieces")
+    return told, (told.agg(F.max("shard")).first()[0] or 0) + 1
 
 
 def hits_of(index, id_type: str):
@@ -215,7 +223,7 @@ def sharded(docs: DataFrame, items: DataFrame, with_text: bool, max_windows: int
         index.unpersist()
         found = own if found is None else found.union(own)
     found = scratch.put("hits", merged(found))
-    scratch.drop("pieces", *(f"hits{k}" for k in range(shards)))
+    scratch.drop("dealt", *(f"hits{k}" for k in range(shards)))
     seen = marked_by(texts, doc_bitmap(found))
     near = (F.col("t.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("t.th") == F.col("f.th"))
     lists = ("first", "last", "items")

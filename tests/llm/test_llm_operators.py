@@ -546,6 +546,28 @@ def test_decontamination(request, spark, sf_dir, which, most):
     assert rows(decontaminate.decontaminate(df, items, max_windows=most), "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
 
 
+def test_shards_of_repeated_and_large_items(spark):
+    """Equal rows are one piece; many different ones make no more shards than twice their bytes need."""
+    r = random.Random(12)
+    say = lambda seed, n: " ".join(f"w{random.Random(seed * 7919 + k).randrange(10**6)}" for k in range(n))
+    big = say(1, 300_000)
+    rows = [(1, big)] * 4 + [(2, say(2, 2500))] * 5 + [(10 + k, say(3 + k, r.randint(1, 4000))) for k in range(40)]
+    items = spark.createDataFrame(rows, "item string, text string").selectExpr("item", "cast(text as binary) as text")
+    for most in (1, 20_000, 2_000_000):
+        scratch = decontaminate.Scratch(spark, "test")
+        told, shards = decontaminate.dealt(items, most, scratch)
+        limit = max(2 * most, 12 * decontaminate.PIECE_WORDS)
+        size = {x.shard: (x.n, x.k) for x in told.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("n"), F.count("*").alias("k")).collect()}
+        largest = told.agg(F.max(F.octet_length("text") + 1)).first()[0]
+        assert shards <= 2 * sum(n for n, _ in size.values()) // limit + 1 and all(n <= limit // 2 + largest for n, _ in size.values())
+        scratch.drop("dealt")
+    words = big.split()
+    df = spark.createDataFrame([(1, " ".join(words[100_000:100_012])), (2, "clean text here"), (3, say(2, 2500)[:200])], "doc_id long, text string")
+    bench = spark.createDataFrame([(int(i), t) for i, t in rows], "item_id long, text string")
+    few = {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.decontaminate(df, bench, max_windows=400_000).collect()}
+    assert few == {x.doc_id: (x.n_hit, x.n_items) for x in decontaminate.decontaminate(df, bench).collect()} and few[1] == (12, 1) and few[2] == (0, 0) and few[3][0] > 0
+
+
 @pytest.mark.parametrize("most", [decontaminate.MAX_WINDOWS, 1])
 def test_decontaminated_texts(spark, most):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
