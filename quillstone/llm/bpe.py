@@ -28,7 +28,9 @@ from .common import map_texts, narrow
 
 #: Fixed value: the public pre-tokenization pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHORT, CACHE, MAX_MERGES = 128, 200_000, 2_000_000
+SHORT, MAX_MERGES = 128, 2_000_000
+#: Bytes that a task's cache of words may hold, and what an entry costs besides its word and ids.
+CACHE, ENTRY = 24 << 20, 160
 NONE = 1 << 60
 
 
@@ -70,6 +72,7 @@ class Codec:
         self.split = regex.compile(PATTERN)
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def merge_short(self, word: bytes) -> list[int]:
         get = self.pairs.get
@@ -113,9 +116,11 @@ class Codec:
         raw = piece.encode("utf-8")
         ids = np.array(self.merge_short(raw) if len(raw) <= SHORT else self.merge_long(raw), "<u4").tobytes()
         if len(piece) <= SHORT:
-            if len(self.cache) >= CACHE:
+            if self.held > CACHE:
                 self.cache.clear()
+                self.held = 0
             self.cache[piece] = ids
+            self.held += len(raw) + len(ids) + ENTRY
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -151,7 +156,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     fields = [pa.field("n_tokens", pa.int64()), *([pa.field("ids", pa.binary())] if with_ids else []), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     ddl = "n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return map_texts(narrow(docs, id_col, text_col), make, fields, ddl)
+    return map_texts(narrow(docs, id_col, text_col), make, fields, ddl, release=True)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

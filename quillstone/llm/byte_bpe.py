@@ -152,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
     fields = [pa.field("n_tokens", pa.int64()), *([pa.field("ids", pa.binary())] if with_ids else []), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
     ddl = "n_tokens long, " + "ids binary, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return map_texts(narrow(docs, id_col, text_col), make, fields, ddl)
+    return map_texts(narrow(docs, id_col, text_col), make, fields, ddl, release=True)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,11 +55,19 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def map_texts(docs: DataFrame, make_kernel: Callable[[], Callable[[bytes | None], tuple]], fields: list[pa.Field], ddl: str) -> DataFrame:
+def released() -> None:
+    """Give memory that a task's kernel has freed back to the system: workers live on, and the next stages share their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_texts(docs: DataFrame, make_kernel: Callable[[], Callable[[bytes | None], tuple]], fields: list[pa.Field], ddl: str, release: bool = False) -> DataFrame:
     """One output row per text: doc_id and what the kernel returns for the text's UTF-8 bytes.
 
     make_kernel runs once per task; rows go through one at a time, so memory holds one Arrow batch
-    and one text's working set whatever the partition's size.
+    and one text's working set whatever the partition's size. release gives a large kernel's memory back at its end.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -74,6 +85,9 @@ def map_texts(docs: DataFrame, make_kernel: Callable[[], Callable[[bytes | None]
                     start, held, rows = i + 1, 0, []
             if rows:
                 yield pack(ids.slice(start, len(rows)), rows)
+        if release:
+            kernel = batch = ids = texts = rows = s = None  # noqa: F841
+            released()
 
     def pack(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
         cols = [pa.array(col, f.type) for col, f in zip(zip(*rows), fields)]
@@ -100,6 +114,8 @@ def replace_texts(docs: DataFrame, text_col: str, make_kernel: Callable[[], Call
                 texts.append(t if t != DROP else None)
             column = pa.array(texts, pa.binary()).cast(pa.string())
             yield batch.set_column(at, batch.schema.field(at).with_type(pa.string()), column).filter(pa.array(keep))
+        kernel = batch = texts = column = None
+        released()
 
     return docs.mapInArrow(run, docs.schema)
 
