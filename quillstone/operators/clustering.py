@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillstone.operators.retrieval import vector_top_k
+from quillstone.operators.vectors import VectorIndex, exact_neighbours, search_index
 
 
 def mean_vector(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
@@ -74,10 +74,14 @@ def summary_tree(nodes: DataFrame, size: int = 5, least: int = 3, levels: int =
     return nodes.select("document_id", "node", "content", "embedding").groupBy("document_id").applyInPandas(run, "document_id long, level int, node long, parent long, content string")
 
 
-def similar_tokens(tokens: DataFrame, k: int = 6, least: float = 0.75) -> DataFrame:
-    """token, synonym, score: nearest other tokens that do not hold each other."""
-    t = tokens.select(F.col("vec_id").alias("query_id"), "embedding")
-    near = vector_top_k(t, tokens.select("vec_id", "embedding"), k + 1).where("query_id <> vec_id")
+def similar_tokens(tokens: DataFrame, k: int = 6, least: float = 0.75, index: VectorIndex | None = None) -> DataFrame:
+    """token, synonym, score: nearest other tokens that do not hold each other.
+
+    Every token is asked for, so neither side passes through the driver: blocks of both meet, or with an index of
+    the tokens' vectors only what lies in near cells.
+    """
+    t, v = tokens.select(F.col("vec_id").alias("query_id"), "embedding"), tokens.select("vec_id", "embedding")
+    near = (exact_neighbours(t, v, k + 1) if index is None else search_index(t, index, v, k + 1)).where("query_id <> vec_id")
     name = tokens.select("vec_id", "token")
     pairs = near.join(name.select(F.col("vec_id").alias("query_id"), F.col("token").alias("a")), "query_id").join(name.withColumnRenamed("token", "b"), "vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -8,7 +8,6 @@ Ties are broken by id throughout. Query sides are joined as shuffles decide; onl
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -146,20 +145,20 @@ def table_hits(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine neighbours.
 
-    queries (query_id, embedding) is fetched by id in slices of MAX_QUERIES, of which the driver holds one
-    at a time. A slice goes to each task of its own pass over the vectors, which multiplies it with a batch,
-    block * 1024 scores at a time, and hands on only each batch's k best per query, so what is shuffled is
-    bounded by batches times k.
+    Up to MAX_QUERIES queries (query_id, embedding) go to each task of one pass over the vectors, which multiplies
+    them with a batch, block * 1024 scores at a time, and hands on only each batch's k best per query, so what is
+    shuffled is bounded by batches times k. More queries than that meet the vectors in blocks instead.
     """
     kind = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.where("embedding is not null").select("query_id", "embedding").orderBy("query_id").toLocalIterator()
-    near = None
-    while part := list(islice(rows, MAX_QUERIES)):
-        found = vector_slice(part, vectors, k, block, kind)
-        near = found if near is None else near.union(found)
-    if near is None:
+    asked = queries.where("embedding is not null").select("query_id", "embedding")
+    rows = asked.limit(MAX_QUERIES + 1).collect()
+    if len(rows) > MAX_QUERIES:
+        from quillstone.operators.vectors import exact_neighbours  # which builds on this module
+
+        return exact_neighbours(asked, vectors, k)
+    if not rows:
         return vectors.sparkSession.createDataFrame([], f"query_id {kind}, vec_id long, score double, rank int")
-    return top_k(near, k, tie="vec_id")
+    return top_k(vector_slice(rows, vectors, k, block, kind), k, tie="vec_id")
 
 
 def vector_slice(rows: list[Row], vectors: DataFrame, k: int, block: int, kind: str = "long") -> DataFrame:

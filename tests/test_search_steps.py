@@ -142,3 +142,45 @@ def test_facade_takes_the_first_useful_attempt(spark):
     later = [s for s in seen if s and s[0][1] != "alpha beta"]
     assert all(all(i not in (2, 6) for i, *_ in s) for s in later) and (1, "alpha beta gamma", "brain_first") in [x for s in seen for x in s]
     assert attempts.where("query_id = 2").count() == 1
+
+
+def test_vector_index_and_exact_blocks(spark, sf_dir, tmp_path):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import vectors as V
+    from quillstone.session import table
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = e.orderBy("vec_id").collect()
+    m = V.unit(np.array([r.embedding for r in rows], float))
+    ids = np.array([r.vec_id for r in rows])
+    asked = np.flatnonzero(ids % 10 == 0)
+    want = {(int(ids[a]), int(i)) for a in asked for i in ids[np.lexsort((ids, -(m[a] @ m.T)))[:10]]}
+    found = lambda df: {(x.query_id, x.vec_id) for x in df.collect()}
+    assert found(V.exact_neighbours(q, e, 10)) == want == found(V.exact_neighbours(q, e, 10, slices=3))
+    index = V.build_index(e, str(tmp_path / "index"))
+    held = spark.read.parquet(f"{index.folder}/blocks").select(F.explode("ids").alias("i"))
+    assert held.count() == held.distinct().count() == len(rows)
+    again = V.open_index(spark, index.folder)
+    assert (again.model.centres == index.model.centres).all() and again.model.probes == index.model.probes < len(index.model.centres)
+    assert len(found(V.search_index(q, again, e, 10)) & want) >= 0.9 * len(want)
+    assert len(found(V.search_index(q, index, e, 10, probes=10**6)) & want) >= 0.99 * len(want)
+
+
+def test_vector_index_of_copies_odd_lengths_and_nothing(spark, tmp_path):
+    from quillstone.operators import vectors as V
+
+    rows = [(i, [1.0, float(i % 3), 0.5, 0.25, 0.1]) for i in range(3000)] + [(5000, [0.0] * 5), (5001, [1.0, 2.0]), (5002, None), (5003, [])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0, 0.5, 0.25, 0.1]), ("b", [2.0, 4.0]), ("c", None), ("d", [])], "query_id string, embedding array<float>")
+    exact = {}
+    for x in V.exact_neighbours(q, v, 5).collect():
+        exact.setdefault(x.query_id, []).append((x["rank"], x.vec_id, round(x.score, 6)))
+    assert sorted(exact["a"]) == [(k + 1, 3 * k, 1.0) for k in range(5)] and sorted(exact["b"])[0] == (1, 5001, 1.0) and "c" not in exact and sorted(exact["d"])[0] == (1, 0, 0.0)
+    index = V.build_index(v, str(tmp_path / "a"), cells=4)
+    got = [(x.query_id, x["rank"], round(x.score, 6)) for x in V.search_index(q, index, v, 5).collect()]
+    assert sorted(got) == [("a", k, 1.0) for k in range(1, 6)]
+    nothing = V.build_index(v.limit(0), str(tmp_path / "b"))
+    assert V.search_index(q, nothing, v.limit(0), 5).count() == 0 and V.exact_neighbours(q, v.limit(0), 5).count() == 0
