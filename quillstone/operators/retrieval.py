@@ -10,14 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quillstone.functions import text as X
-from quillstone.operators.cascade import cascade
+from quillstone.operators.cascade import cascade, union
 from quillstone.operators.substring import alike, containing
 from quillstone.session import checkpointed, spread
 
@@ -337,35 +336,56 @@ def guarantee_truth(kept: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def greedy_text_dedup(hits: DataFrame, most: float = 0.85, text: str = "chunk_text", tie: str = "chunk_id") -> DataFrame:
-    """A hit goes if its word set is over most alike to a kept, better one of its query.
-
-    The order of decisions matters, so each query's hits are one group; a search's pool has at most 400.
-    """
-    return greedy(hits, ["query_id"], ["score", tie], [False, True], most, text)
+    """A hit goes if its word set is over most alike to a kept, better one of its query."""
+    return greedy(hits, ["query_id"], [F.desc_nulls_last("score"), F.asc_nulls_last(tie)], most, text)
 
 
 def cross_source_dedup(hits: DataFrame, most: float = 0.85, text: str = "chunk_text", tie: str = "chunk_id") -> DataFrame:
-    """Of alike hits of one page, compiled truth stays, else the better one (W12); a page's hits are one group."""
-    ranked = hits.withColumn("__truth", (F.col("source") == "compiled_truth").cast("int"))
-    return greedy(ranked, ["query_id", "slug"], ["__truth", "score", tie], [False, False, True], most, text).drop("__truth")
-
-
-def greedy(hits: DataFrame, keys: list[str], order: list[str], ascending: list[bool], most: float, text: str) -> DataFrame:
-    columns = hits.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, ascending=ascending, kind="stable")
-        kept: list[set] = []
-        keep = []
-        for t in pdf[text]:
-            own = {w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()}
-            near = any((len(own & k) / len(own | k) if own | k else 0.0) > most for k in kept)
-            keep.append(not near)
-            if not near:
-                kept.append(own)
-        return pdf[keep][columns]
-
-    return hits.groupBy(*keys).applyInPandas(run, hits.schema)
+    """Of alike hits of one page, compiled truth stays, else the better one."""
+    truth = (F.col("source") == "compiled_truth").cast("int")
+    return greedy(hits, ["query_id", "slug"], [F.desc_nulls_last(truth), F.desc_nulls_last("score"), F.asc_nulls_last(tie)], most, text)
+
+
+def greedy(hits: DataFrame, keys: list[str], order: list[Column], most: float, text: str) -> DataFrame:
+    """hits without those that are over most alike to a kept one before them in their group's order.
+
+    What one pass in that order would keep is found in rounds over all groups at once: a hit that no open hit
+    before it is like stays, what is like a hit that stays goes, and both are no longer open. So a round decides
+    every hit whose better ones are decided, and groups of any size spread over all tasks. Hits of one word set
+    share a fate: after the first they go, and only firsts are compared. Hits without words are like nothing.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    own = F.sort_array(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
+    placed = checkpointed(hits.withColumn("__g", F.to_json(F.struct(*keys))).withColumn("__p", place).withColumn("__s", own))
+    worded = placed.where(F.size("__s") > 0).select(F.col("__g").alias("g"), F.col("__p").alias("p"), F.col("__s").alias("s"))
+    firsts = worded.groupBy("g", "s").agg(F.min("p").alias("p"))
+    copies = worded.join(firsts.withColumnRenamed("p", "first"), ["g", "s"]).where("p <> first").select("g", "p")
+    edges = checkpointed(alike_sets(checkpointed(firsts), most))
+    gone = [copies]
+    while not edges.isEmpty():
+        stay = edges.select("g", F.col("a").alias("n")).distinct().join(edges.select("g", F.col("b").alias("n")).distinct(), ["g", "n"], "left_anti")
+        out = checkpointed(edges.join(stay.withColumnRenamed("n", "a"), ["g", "a"], "left_semi").select("g", F.col("b").alias("p")).distinct())
+        gone.append(out)
+        edges = edges.join(out.withColumnRenamed("p", "b"), ["g", "b"], "left_anti")
+        edges = checkpointed(edges.join(out.withColumnRenamed("p", "a"), ["g", "a"], "left_anti"))
+    lost = union(gone).select(F.col("g").alias("__g"), F.col("p").alias("__p"))
+    return placed.join(lost, ["__g", "__p"], "left_anti").select(hits.columns)
+
+
+def alike_sets(sets: DataFrame, most: float) -> DataFrame:
+    """(g, a, b): places a < b of one group whose different word sets have a Jaccard over most; sets: g, p, s.
+
+    Sets that are so alike share one of their rarest words, and differ little in size; only those are compared.
+    """
+    words = sets.select("g", "p", F.size("s").alias("size"), F.explode("s").alias("w"))
+    rows = words.join(words.groupBy("g", "w").agg(F.count("*").alias("df")), ["g", "w"])
+    rank = F.row_number().over(Window.partitionBy("g", "p").orderBy("df", "w"))
+    rare = rows.withColumn("k", rank).where(F.col("k") <= F.col("size") - F.ceil(F.lit(most) * F.col("size") - 1e-9) + 1)
+    side = lambda p, n: rare.select("g", "w", F.col("p").alias(p), F.col("size").alias(n))
+    fits = (F.col("a") < F.col("b")) & (F.col("y") >= most * F.col("x") - 1e-9) & (F.col("x") >= most * F.col("y") - 1e-9)
+    met = side("a", "x").join(side("b", "y"), ["g", "w"]).where(fits).select("g", "a", "b").distinct()
+    of = lambda p, s: sets.select("g", F.col("p").alias(p), F.col("s").alias(s))
+    return met.join(of("a", "u"), ["g", "a"]).join(of("b", "v"), ["g", "b"]).where(X.jaccard(F.col("u"), F.col("v")) > most).select("g", "a", "b")
 
 
 def layered_dedup(hits: DataFrame, limit: int, per_page: int = 2, ratio: float = 0.6, most: float = 0.85) -> DataFrame:

@@ -195,10 +195,23 @@ def q09_ct_guarantee(spark, d):
     return R.guarantee_truth(R.cap_per(t, "slug", 2, tie="chunk_id"), t).select("query_id", "slug", "chunk_id", "score")
 
 
-@query()
+def kept_greedily(source: str) -> str:
+    """SQL: the table kept (query_id, chunk_id): what one pass over each query's hits (query_id, chunk_id, score, text), best first, keeps."""
+    return f"""gw AS MATERIALIZED (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS w FROM ({source})),
+gp AS MATERIALIZED (SELECT a.query_id, a.n AS a, b.n AS b, len(a.w) + len(b.w) AS total FROM gw a JOIN gw b ON a.query_id = b.query_id AND a.n < b.n AND len(a.w) >= 0.85 * len(b.w) AND len(b.w) >= 0.85 * len(a.w) AND len(b.w) > 0),
+gu AS MATERIALIZED (SELECT query_id, n, unnest(w) AS w FROM gw),
+gc AS MATERIALIZED (SELECT p.query_id, a, b, total, count(*) AS shared FROM gp p JOIN gu x ON x.query_id = p.query_id AND x.n = p.a JOIN gu y ON y.query_id = p.query_id AND y.n = p.b AND y.w = x.w GROUP BY ALL),
+ge AS MATERIALIZED (SELECT query_id, b AS n, list(a) AS better FROM gc WHERE shared / (total - shared) > 0.85 GROUP BY ALL),
+gs AS MATERIALIZED (SELECT query_id, max(n) AS size FROM gw GROUP BY 1),
+gr(query_id, n, kept) AS (SELECT query_id, 0::BIGINT, []::BIGINT[] FROM gs UNION ALL SELECT r.query_id, r.n + 1, CASE WHEN list_has_any(kept, coalesce(better, [])) THEN kept ELSE list_append(kept, r.n + 1) END
+  FROM gr r JOIN gs ON gs.query_id = r.query_id AND r.n < size LEFT JOIN ge ON ge.query_id = r.query_id AND ge.n = r.n + 1),
+kept AS (SELECT gw.query_id, chunk_id FROM (SELECT query_id, unnest(kept) AS n FROM gr JOIN gs USING (query_id) WHERE n = size) k JOIN gw ON gw.query_id = k.query_id AND gw.n = k.n)"""
+
+
+@query(CHUNKS.replace("WITH t", "WITH RECURSIVE t") + ", " + kept_greedily("SELECT query_id, chunk_id, score, text FROM t") + " SELECT query_id, chunk_id, slug, score FROM t SEMI JOIN kept USING (query_id, chunk_id)")
 def q10_greedy_jaccard_dedup(spark, d):
-    pool = R.top_k(chunk_hits(spark, d), 400, tie="chunk_id")
-    return R.greedy_text_dedup(pool).select("query_id", "chunk_id", "slug", "score")
+    """All texts of a language as one query's hits, the longest first."""
+    return R.greedy_text_dedup(chunk_hits(spark, d)).select("query_id", "chunk_id", "slug", "score")
 
 
 @query(f"""
@@ -639,6 +652,7 @@ def nearest(name: str, source: str, queries: str, k: int) -> str:
 
 SEARCHED = f"""b AS (SELECT item_id AS query_id, text, embedding::DOUBLE[] AS e FROM benchmark LEFT JOIN embeddings ON vec_id = item_id),
 c AS (SELECT doc_id AS id, text, {DIR_SQL}[doc_id % 12 + 1] || doc_id AS slug, doc_id % 3 = 0 AS truth, embedding::DOUBLE[] AS e FROM documents LEFT JOIN embeddings ON vec_id = doc_id)"""
+PAGE_KIND_SQL = "CASE " + " ".join(f"WHEN starts_with(slug, '{p}') THEN '{t}'" for p, t in X.PAGE_TYPES) + " ELSE 'note' END"
 HYBRID_SQL = f"""WITH {SEARCHED}, v AS (SELECT * FROM c WHERE NOT starts_with(slug, 'archive/')),
 {prefix_bm25("k", "SELECT id, text FROM v", "SELECT query_id, text FROM b", 20)},
 {nearest("x", "SELECT id, e FROM v WHERE e IS NOT NULL", "SELECT query_id, e FROM b WHERE e IS NOT NULL", 20)},
@@ -660,9 +674,22 @@ def q46_hybrid_search(spark, d):
     return P.hybrid_search(q, chunks, links, F.lit("2025-06-01").cast("timestamp"), P.SearchOptions(dedup=False)).select("query_id", "rank", "chunk_id", "slug", F.round("score", 6).alias("score"))
 
 
-@query()
+#: SQL: the layers of de-duplication over the hits h (query_id, chunk_id, slug, kind, truth, score, text), in their order.
+LAYERS_SQL = f"""w1 AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, slug ORDER BY truth DESC, score DESC, chunk_id) <= 3),
+{kept_greedily("SELECT query_id, chunk_id, score, text FROM w1")}, w2 AS (SELECT * FROM w1 SEMI JOIN kept USING (query_id, chunk_id)),
+w3 AS (SELECT * FROM w2 QUALIFY kind IS NULL OR row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, chunk_id) <= greatest(1, floor(0.6 * count(kind) OVER (PARTITION BY query_id)))),
+w4 AS (SELECT * FROM w3 QUALIFY row_number() OVER (PARTITION BY query_id, slug ORDER BY score DESC, chunk_id) <= 2),
+lack AS (SELECT query_id, slug FROM w4 GROUP BY ALL HAVING NOT bool_or(truth)),
+low AS (SELECT query_id, slug, chunk_id FROM w4 SEMI JOIN lack USING (query_id, slug) QUALIFY row_number() OVER (PARTITION BY query_id, slug ORDER BY score, chunk_id DESC) = 1),
+best AS (SELECT query_id, slug, chunk_id, score FROM h WHERE truth QUALIFY row_number() OVER (PARTITION BY query_id, slug ORDER BY score DESC, chunk_id) = 1),
+swap AS (SELECT low.query_id, low.slug, low.chunk_id AS gone, best.chunk_id, best.score FROM low JOIN best USING (query_id, slug)),
+w5 AS (SELECT query_id, slug, chunk_id, score FROM w4 WHERE (query_id, slug, chunk_id) NOT IN (SELECT (query_id, slug, gone) FROM swap) UNION ALL SELECT query_id, slug, chunk_id, score FROM swap)"""
+
+
+@query(HYBRID_SQL.replace("WITH b", "WITH RECURSIVE b", 1) + ", h AS (SELECT z.query_id, chunk_id, z.slug, " + PAGE_KIND_SQL.replace("slug", "z.slug") + " AS kind, chunk_id % 3 = 0 AS truth, s AS score, text FROM z JOIN c ON c.id = chunk_id), "
+    + LAYERS_SQL + " SELECT query_id, rank, chunk_id, slug, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM w5) WHERE rank <= 10")
 def q46b_hybrid_dedup(spark, d):
-    """The same with all layers of de-duplication, whose greedy one is beyond SQL."""
+    """The same with all layers of de-duplication."""
     q, chunks, links = search_inputs(spark, d)
     return P.hybrid_search(q, chunks, links, F.lit("2025-06-01").cast("timestamp")).select("query_id", "rank", "chunk_id", "slug", F.round("score", 6).alias("score"))
 

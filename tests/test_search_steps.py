@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.operators import facade as A
 from quillstone.operators import retrieval as R
@@ -184,3 +185,37 @@ def test_vector_index_of_copies_odd_lengths_and_nothing(spark, tmp_path):
     assert sorted(got) == [("a", k, 1.0) for k in range(1, 6)]
     nothing = V.build_index(v.limit(0), str(tmp_path / "b"))
     assert V.search_index(q, nothing, v.limit(0), 5).count() == 0 and V.exact_neighbours(q, v.limit(0), 5).count() == 0
+
+
+def test_greedy_rounds_keep_what_one_pass_keeps(spark):
+    import re
+
+    r = random.Random(31)
+    vocabulary = [f"w{k}" for k in range(40)]
+    base = [r.sample(vocabulary, r.randint(5, 25)) for _ in range(12)]
+    rows = []
+    for i in range(400):
+        words = list(r.choice(base))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            words[r.randrange(len(words))] = r.choice(vocabulary)
+        rows.append((r.choice([1, 2, 3, None]), i, r.choice(["s", "t"]), r.choice(["compiled_truth", "timeline", None]), r.choice(["Ä, ", "", "x-"]) + " ".join(words), float(r.randint(0, 20))))
+    rows += [(1, 900, "s", None, None, 5.0), (1, 901, "s", None, "", 5.0), (1, 902, "s", None, " - ", 5.0), (1, 903, "s", None, "one", None), (1, 904, "s", None, "ONE", None)]
+
+    def plain(keys, key):
+        kept = Counter()
+        groups = {}
+        for row in sorted(rows, key=key):
+            own = set(re.findall(r"[^\W_]+", (row[4] or "").lower()))
+            before = groups.setdefault(keys(row), [])
+            if not any(own | b and len(own & b) / len(own | b) > 0.85 for b in before):
+                before.append(own)
+                kept[row[1]] += 1
+        return kept
+
+    df = spark.createDataFrame(rows, "query_id int, chunk_id int, slug string, source string, chunk_text string, score double")
+    low = lambda x: (x is None, -(x or 0))
+    assert Counter(x.chunk_id for x in R.greedy_text_dedup(df).collect()) == plain(lambda x: x[0], lambda x: (low(x[5]), x[1]))
+    truth = lambda x: (x[3] is None, -(x[3] == "compiled_truth"))
+    assert Counter(x.chunk_id for x in R.cross_source_dedup(df).collect()) == plain(lambda x: (x[0], x[2]), lambda x: (truth(x), low(x[5]), x[1]))
+    out = R.greedy_text_dedup(df.withColumn("__p", F.lit(1)).drop("__p").limit(0))
+    assert out.count() == 0 and out.columns == df.columns
