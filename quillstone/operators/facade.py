@@ -7,14 +7,13 @@ title, name, deleted_at), nodes (node_id, document_id, version_id, chunk_order,
 
 from __future__ import annotations
 
-import time
-from collections import OrderedDict
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from quillstone.functions import text as X
 from quillstone.operators import retrieval as R
@@ -290,26 +289,37 @@ def throttled(calls: DataFrame, per_second: int) -> DataFrame:
     return calls.withColumn("allowed", n <= per_second)
 
 
-class ResultCache:
-    """Results by key on the driver, the least lately used going first and none older than ttl seconds.
+def remembered(queries: DataFrame, search: Callable[[DataFrame], DataFrame], folder: str, as_of: Column, ttl: float = 30.0) -> DataFrame:
+    """What search finds for queries, taken from the folder's table where it is known and no older than ttl seconds.
 
-    It holds DataFrames, that is plans, not rows; persist what is to be kept in memory before putting it.
+    queries: query_id, key and what search reads; queries of one key have one answer. search gets one open query of
+    each key and returns rows with query_id. Answers are appended with their key and as_of, those without rows as
+    well, so that they are not asked again; of several answers the newest counts. Returns query_id, fresh (asked now)
+    and the search's columns, all null for no rows.
     """
-
-    def __init__(self, most: int = 200, ttl: float = 30.0, clock: Callable[[], float] = time.monotonic):
-        self.most, self.ttl, self.clock = most, ttl, clock
-        self.held: OrderedDict[object, tuple[float, DataFrame]] = OrderedDict()
-
-    def get(self, key: object, make: Callable[[], DataFrame]) -> DataFrame:
-        now = self.clock()
-        if key in self.held and now - self.held[key][0] <= self.ttl:
-            self.held.move_to_end(key)
-            return self.held[key][1]
-        self.held[key] = (now, make())
-        self.held.move_to_end(key)
-        while len(self.held) > self.most:
-            self.held.popitem(last=False)
-        return self.held[key][1]
+    spark = queries.sparkSession
+    asked = checkpointed(queries)
+    shape = search(asked.limit(0)).drop("query_id").schema
+    stored = StructType([StructField("key", asked.schema["key"].dataType), StructField("made_at", TimestampType()), StructField("found", StructType(shape.fields))])
+    spark.createDataFrame([], stored).write.mode("append").parquet(folder)
+    known = spark.read.schema(stored).parquet(folder).where((F.col("made_at") <= as_of) & (F.unix_timestamp(as_of) - F.unix_timestamp("made_at") <= ttl))
+    newest = known.groupBy("key").agg(F.max("made_at").alias("made_at"))
+    held = checkpointed(known.join(newest, ["key", "made_at"]).join(asked.select("key").distinct(), "key", "left_semi").select("key", "found"))
+    n = F.row_number().over(Window.partitionBy("key").orderBy("query_id"))
+    one = asked.join(held.select("key").distinct(), "key", "left_anti").withColumn("__n", n).where("__n = 1").drop("__n")
+    one = checkpointed(one)
+    rows = search(one).withColumn("found", F.struct(*shape.names)).select("query_id", "found")
+    made = checkpointed(one.select("query_id", "key").join(rows, "query_id", "left").select("key", "found"))
+    made.select("key", as_of.cast("timestamp").alias("made_at"), "found").write.mode("append").parquet(folder)
+    every = held.withColumn("fresh", F.lit(False)).union(made.withColumn("fresh", F.lit(True)))
+    return asked.select("query_id", "key").join(every, "key").select("query_id", "fresh", "found.*")
+
+
+def forget(spark: SparkSession, folder: str, to: str, as_of: Column, ttl: float = 30.0, most: int = 200) -> None:
+    """Write what may still be asked for to another folder: answers no older than ttl seconds, of the newest so many keys."""
+    known = spark.read.parquet(folder).where(F.unix_timestamp(as_of) - F.unix_timestamp("made_at") <= ttl)
+    keys = known.groupBy("key").agg(F.max("made_at").alias("made_at")).orderBy(F.desc("made_at"), "key").limit(most)
+    known.join(keys, ["key", "made_at"], "left_semi").select(known.columns).write.parquet(to)
 
 
 def with_history(turns: DataFrame, window: int = 4) -> DataFrame:

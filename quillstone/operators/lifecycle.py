@@ -181,8 +181,8 @@ def restore_staled(projections: DataFrame, artifact_ids: DataFrame, reason: str)
 
 
 def feedback(rows: DataFrame) -> DataFrame:
-    """Ratings held within 0 and 5."""
-    return rows.withColumn("rating", F.least(F.lit(5), F.greatest(F.lit(0), F.col("rating"))))
+    """Ratings held within 0 and 5; none stays none."""
+    return rows.withColumn("rating", F.when(F.col("rating").isNotNull(), F.least(F.lit(5), F.greatest(F.lit(0), F.col("rating")))))
 
 
 def failure_patterns(log: DataFrame) -> DataFrame:
@@ -202,5 +202,10 @@ def backup(tables: dict[str, DataFrame], folder: str) -> str:
 
 
 def read_backup(spark, folder: str) -> dict[str, DataFrame]:
+    """The tables of a backup; an error if one is missing or has not the rows that the manifest counts."""
     counts = json.loads(spark.read.text(f"{folder}/manifest").first().value)
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in counts}
+    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in counts}
+    wrong = {name: n for name, df in tables.items() if (n := df.count()) != counts[name]}
+    if wrong:
+        raise ValueError(f"{folder} is not whole: rows {wrong}, of {({name: counts[name] for name in wrong})} in its manifest")
+    return tables

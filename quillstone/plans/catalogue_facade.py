@@ -20,6 +20,7 @@ from quillstone.operators import graph as G
 from quillstone.operators import lifecycle as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
+from quillstone.operators import vectors as VX
 from quillstone.plans import search as P
 from quillstone.plans.catalogue import BOOST_SQL, DIR_SQL, EDGES, PLAN_SQL, QUERIES, TYPE_SQL, WEAK, edges, held, nearest, prefix_bm25, query, slugged, words
 from quillstone.session import checkpoint_folder, table
@@ -221,7 +222,7 @@ def q109_quality_guard(spark, d):
     return A.guarded(h).select("query_id", "node_id", "rank")
 
 
-@query("""WITH a AS (SELECT user_id AS query_id, event_id % 50 AS node_id, round(max(value), 6) AS score FROM events WHERE event_type = 'click' AND value IS NOT NULL GROUP BY ALL), b AS (SELECT user_id AS query_id, event_id % 50 AS node_id, round(max(value) + 1, 6) AS score FROM events WHERE event_type = 'view' AND value IS NOT NULL GROUP BY ALL),
+@query("""WITH a AS (SELECT user_id AS query_id, event_id % 50 AS node_id, round(max(coalesce(value, 0)), 6) AS score FROM events WHERE event_type <> 'view' GROUP BY ALL), b AS (SELECT user_id AS query_id, event_id % 50 AS node_id, round(max(coalesce(value, 0)) + 1, 6) AS score FROM events WHERE event_type = 'view' GROUP BY ALL),
 u AS (SELECT query_id, node_id, score FROM a UNION ALL SELECT query_id, node_id, score FROM b WHERE (query_id, node_id) NOT IN (SELECT (query_id, node_id) FROM a)),
 m AS (SELECT 'union' AS kind, query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM u),
 s AS (SELECT query_id FROM a GROUP BY 1 HAVING count(*) >= 10), t AS (SELECT query_id, node_id, score FROM a UNION ALL SELECT query_id, node_id, score FROM b WHERE query_id NOT IN (SELECT query_id FROM s) AND (query_id, node_id) NOT IN (SELECT (query_id, node_id) FROM a)),
@@ -229,9 +230,9 @@ n AS (SELECT 'topped up' AS kind, query_id, node_id, score, row_number() OVER (P
 SELECT * FROM m WHERE rank <= 10 UNION ALL SELECT * FROM n WHERE rank <= 10""")
 def q110_index_lists(spark, d):
     """Lists of several indexes as one, and short lists topped up from a fallback."""
-    e = table(spark, d, "events").where("value is not null")
-    hits = lambda kind, more: e.where(F.col("event_type") == kind).groupBy(F.col("user_id").alias("query_id"), (F.col("event_id") % 50).alias("node_id")).agg(F.round(F.max("value") + more, 6).alias("score"))
-    a, b = hits("click", 0), hits("view", 1)
+    e = table(spark, d, "events").fillna(0.0, ["value"])
+    hits = lambda seen, more: e.where((F.col("event_type") == "view") == seen).groupBy(F.col("user_id").alias("query_id"), (F.col("event_id") % 50).alias("node_id")).agg(F.round(F.max("value") + more, 6).alias("score"))
+    a, b = hits(False, 0), hits(True, 1)
     tag = lambda df, kind: df.select(F.lit(kind).alias("kind"), "query_id", "node_id", "score", "rank")
     return tag(A.unioned_indexes(a, b), "union").union(tag(A.supplemented(a, b), "topped up"))
 
@@ -360,11 +361,12 @@ def q120_escalation_and_fallbacks(spark, d):
     return up.union(R.first_stage(o.select("query_id", "doc_id", "stage")).select(F.lit("stage"), "query_id", "doc_id"))
 
 
-@query("""SELECT p_partkey, regexp_matches(p_name, '(?i)ring') OR regexp_matches(p_type, '(?i)ring') AS held, CASE WHEN contains(p_name, 'ri') THEN (strpos(p_name, 'ri') - 1) || '-' || (strpos(p_name, 'ri') + 1) ELSE '' END AS marks,
-  round((CASE WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END) / 2.0, 6)::DOUBLE AS coverage FROM part WHERE length(p_name) - length(replace(p_name, 'ri', '')) <= 2""")
+@query("""SELECT p_partkey, regexp_matches(p_name, '(?i)ring') OR regexp_matches(p_type, '(?i)ring') AS held,
+  array_to_string(list_transform(list_filter(range(0, length(p_name)), lambda i: substr(lower(p_name), i + 1, 2) = 'ri'), lambda i: i || '-' || (i + 2)), ',') AS marks,
+  round((CASE WHEN contains(p_name, 'ring') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'red') THEN 1 ELSE 0 END) / 2.0, 6)::DOUBLE AS coverage FROM part""")
 def q121_substring_retrievers(spark, d):
     """Substrings of several fields, places of query terms, coverage of core terms."""
-    p = table(spark, d, "part").where("length(p_name) - length(replace(p_name, 'ri', '')) <= 2")
+    p = table(spark, d, "part")
     marks = F.array_join(F.transform(R.highlights(F.col("p_name"), F.array(F.lit("ri"), F.lit("r"))), lambda s: say(s["start"], "-", s["end"])), ",")
     return p.select("p_partkey", R.contains_any(("p_name", "p_type"), F.lit("RING")).alias("held"), marks.alias("marks"), F.round(R.coverage(F.col("p_name"), F.array(F.lit("ring"), F.lit("red"))), 6).alias("coverage"))
 
@@ -637,17 +639,17 @@ def q143_transcription(spark, d):
     return I.transcribed(files, lambda f: f.where("cast(path as int) % 2 = 0").select("path", say(" said ", F.col("path"), " ").alias("text")))
 
 
-@query("SELECT * FROM (VALUES (0, 'made'), (1, 'held'), (2, 'made'), (3, 'made'), (4, 'made'), (5, 'made')) AS v(step, outcome)")
-def q144_result_cache(spark, d):
-    """Results held by key; the least lately used goes first, and none is served past its time."""
-    now, seen = [0.0], []
-    cache = A.ResultCache(most=2, ttl=30.0, clock=lambda: now[0])
-    for step, (key, wait) in enumerate((("a", 0), ("a", 10), ("b", 0), ("c", 0), ("a", 0), ("a", 31))):
-        now[0] += wait
-        made: list[bool] = []
-        cache.get(key, lambda made=made: made.append(True) or table(spark, d, "region"))
-        seen.append((step, "made" if made else "held"))
-    return spark.createDataFrame(seen, "step int, outcome string")
+@query("""WITH r AS (SELECT * FROM (VALUES (0, 0), (1, 10), (2, 35)) AS v(run, second)), q AS (SELECT s_suppkey AS query_id, s_suppkey % 60 AS key, run FROM supplier, r WHERE run > 0 OR s_suppkey % 2 = 0),
+h AS (SELECT p_size AS key, p_partkey AS doc_id FROM part)
+SELECT run, query_id, CASE run WHEN 0 THEN true WHEN 1 THEN key % 2 = 1 ELSE key % 2 = 0 END AS fresh, h.doc_id FROM q LEFT JOIN h USING (key)""")
+def q144_remembered_results(spark, d):
+    """Answers kept in a table: the second run asks only what the first did not, the third what is over thirty seconds old."""
+    s, p, folder = table(spark, d, "supplier"), table(spark, d, "part"), scratch(spark, "results")
+    q = s.select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") % 60).alias("key"))
+    search = lambda open_: open_.join(p.select(F.col("p_size").alias("key"), F.col("p_partkey").alias("doc_id")), "key").select("query_id", "doc_id")
+    at = lambda second: F.lit(f"2025-06-01 00:00:{second:02d}").cast("timestamp")
+    runs = [A.remembered(own, search, folder, at(second)).withColumn("run", F.lit(k)) for k, (own, second) in enumerate(((q.where("query_id % 2 = 0"), 0), (q, 10), (q, 35)))]
+    return runs[0].union(runs[1]).union(runs[2]).select("run", "query_id", "fresh", "doc_id")
 
 
 @query("SELECT doc_id, 64 AS size, true AS same, length(trim(text)) = 0 AS blank FROM documents")
@@ -797,3 +799,12 @@ def q149_page_search(spark, d):
     q = pages.where("page_id % 100 = 0").select(F.col("page_id").alias("query_id"), F.array_join(F.slice(F.split("title", " "), 1, 3), " ").alias("text"))
     chunks = table(spark, d, "pages").where("false").select(F.col("page_id").alias("chunk_id"), F.col("url").alias("slug"), F.col("html").alias("chunk_text"), none.alias("chunk_source"))
     return FS.keyword_search(q, chunks, pages).select("query_id", "rank", "slug", F.round("score", 6).alias("score"), "snippet")
+
+
+@query()
+def q150_vector_index(spark, d):
+    """An index over all vectors, asked with every vector whose id is divisible by 100; a unit test holds its recall against brute force."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = VX.build_index(e, scratch(spark, "vectors"))
+    q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return VX.search_index(q, index, e, 10).withColumn("score", F.round("score", 6))

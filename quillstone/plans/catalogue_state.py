@@ -69,13 +69,13 @@ def q54_index_health(spark, d):
     return S.checks(unlabelled=t.join(l, "doc_id", "left_anti"), labels_without_document=l.join(t, "doc_id", "left_anti"), orders_without_customer=o.join(c, o.o_custkey == c.c_custkey, "left_anti"))
 
 
-@query("""WITH p AS (SELECT DISTINCT user_id AS document_id, (event_id // 40)::BIGINT AS page FROM events WHERE event_type <> 'view'),
+@query("""WITH p AS (SELECT DISTINCT user_id AS document_id, (event_id // 40)::BIGINT AS page FROM events),
 i AS (SELECT *, page - row_number() OVER (PARTITION BY document_id ORDER BY page) AS island FROM p),
 k AS (SELECT *, (row_number() OVER (PARTITION BY document_id, island ORDER BY page) - 1) // 3 AS part FROM i)
 SELECT document_id, min(page) AS first_page, max(page) AS last_page FROM k GROUP BY document_id, island, part""")
 def q55_ocr_segments(spark, d):
     """Consecutive pages in runs of three at most."""
-    p = table(spark, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("document_id"), F.floor(F.col("event_id") / 40).alias("page"))
+    p = table(spark, d, "events").select(F.col("user_id").alias("document_id"), F.floor(F.col("event_id") / 40).alias("page"))
     return S.ocr_segments(p, 3)
 
 
@@ -106,10 +106,10 @@ def q58_routing(spark, d):
     return t.select("doc_id", S.granularity(F.col("ext"), F.length("text"), F.when(k == 1, 31).otherwise(1)).alias("granularity"), S.modality(F.col("ext")).alias("modality"), S.route(F.col("ext"), F.lit("auto")).alias("route"), X.media_type("ext").alias("media"))
 
 
-@query("SELECT event_id, least(5, greatest(0, floor(value / 20)::BIGINT - 1)) AS rating FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, CASE WHEN value IS NOT NULL THEN least(5, greatest(0, floor(value / 20)::BIGINT - 1)) END AS rating FROM events")
 def q59_feedback(spark, d):
     """Ratings held within 0 and 5."""
-    e = table(spark, d, "events").where("value is not null")
+    e = table(spark, d, "events")
     return L.feedback(e.select("event_id", (F.floor(F.col("value") / 20) - 1).alias("rating")))
 
 
@@ -142,12 +142,12 @@ def q63_put_resolution(spark, d):
     return table(spark, d, "documents").select("doc_id", L.put_resolution(k % 5 != 0, k % 3 == 0, k % 2 == 0, k % 7 == 0).alias("resolution"))
 
 
-@query("""WITH c AS (SELECT user_id % 20 AS slug, event_id % 97 AS page FROM events WHERE event_type = 'click' UNION ALL SELECT user_id % 20, event_id % 89 FROM events WHERE event_type = 'view')
+@query("""WITH c AS (SELECT user_id % 20 AS slug, event_id % 97 AS page FROM events WHERE event_type <> 'view' UNION ALL SELECT user_id % 20, event_id % 89 FROM events WHERE event_type = 'view')
 SELECT slug, count(DISTINCT page) AS n, CASE WHEN count(DISTINCT page) >= 8 THEN 1 WHEN count(DISTINCT page) >= 3 THEN 2 ELSE 3 END AS tier FROM c WHERE slug <> page GROUP BY slug""")
 def q64_mentions_and_tier(spark, d):
     """Distinct pages that link to or name a page, and its tier."""
     e = table(spark, d, "events")
-    a = e.where("event_type = 'click'").select((F.col("user_id") % 20).alias("slug"), (F.col("event_id") % 97).alias("page"))
+    a = e.where("event_type <> 'view'").select((F.col("user_id") % 20).alias("slug"), (F.col("event_id") % 97).alias("page"))
     b = e.where("event_type = 'view'").select((F.col("user_id") % 20).alias("slug"), (F.col("event_id") % 89).alias("page"))
     return S.mentions(a, b).withColumn("tier", E.tier(F.col("n"), F.lit(2), F.lit("person")))
 

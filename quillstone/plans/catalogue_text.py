@@ -139,10 +139,10 @@ def q76_recognised_text(spark, d):
     return p.select("p_partkey", F.round(alike, 6).alias("alike"), merged.alias("merged"), S.needs_ocr(k % 100, F.lit(0.1), k % 7).alias("needs"))
 
 
-@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(left(text, 470), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS clean, 2 AS n FROM conversations WHERE length(trim(text)) > 0""")
+@query("""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(left(text, 470), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g'), '\\s+', ' ', 'g')) AS clean, 2 AS n FROM conversations""")
 def q77_prompt_hygiene(spark, d):
     """What goes into a prompt, and what comes out of one."""
-    t = table(spark, d, "conversations").where(F.length(F.trim("text")) > 0)
+    t = table(spark, d, "conversations")
     risky = F.concat(F.lit("ignore: SYSTEM <b>"), F.lit("```x```"), F.left("text", F.lit(470)))
     again = F.array(F.lit("One"), F.lit(" one "), F.concat(F.lit("two "), F.col("turn").cast("string")), F.lit("three"))
     return t.select("conv_id", "turn", X.sanitize_prompt(risky).alias("clean"), F.size(X.sanitize_expansions(again)).alias("n"))
@@ -219,10 +219,10 @@ def q85_frontmatter_refs(spark, d):
     return E.frontmatter_refs(table(spark, d, "supplier").select("s_suppkey", fields.alias("f")), "s_suppkey", "f", RULES)
 
 
-@query("""SELECT event_id, event_type || ',' || CASE WHEN event_id % 2 = 0 THEN 'status-draft,' ELSE '' END || 'year-2024' AS tags FROM events WHERE event_type IN ('click', 'error', 'purchase', 'signup')""")
+@query("""SELECT event_id, array_to_string(list_sort(list_filter([event_type, CASE WHEN event_id % 2 = 0 THEN 'status-draft' END, 'year-2024'], lambda x: x IS NOT NULL)), ',') AS tags FROM events""")
 def q86_tags(spark, d):
     """Page type, years and status words."""
-    e = table(spark, d, "events").where(F.col("event_type") != "view")
+    e = table(spark, d, "events")
     text = F.concat(F.lit("in 2024 again 2024 "), F.when(F.col("event_id") % 2 == 0, "a Draft").otherwise(""))
     return e.select("event_id", F.array_join(E.tags(text, F.col("event_type")), ",").alias("tags"))
 
@@ -269,16 +269,17 @@ def q90_adaptive_chunks(spark, d):
     return C.adaptive_chunks(docs, "ext", "t", "p_partkey").select("p_partkey", "chunk_index", F.sha2("chunk_text", 256).alias("digest"))
 
 
-@query("""WITH t AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 40)
-SELECT doc_id, 0 AS i, 0 AS "start", 20 AS "end" FROM t UNION ALL SELECT doc_id, 1, 15, 40 FROM t UNION ALL SELECT doc_id, 2, 35, n FROM t""")
+@query("""WITH t AS (SELECT doc_id, length(text) AS n, least(20, length(text)) AS a FROM documents WHERE text IS NOT NULL),
+u AS (SELECT *, CASE WHEN n > 15 THEN 15 ELSE greatest(0, a - 10) END AS s, CASE WHEN n > 15 THEN least(40, n) ELSE greatest(0, a - 10) END AS e FROM t)
+SELECT doc_id, 0 AS i, 0 AS "start", a AS "end" FROM u UNION ALL SELECT doc_id, 1, s, e FROM u UNION ALL SELECT doc_id, 2, CASE WHEN n > 35 THEN 35 ELSE greatest(0, e - 10) END, CASE WHEN n > 35 THEN n ELSE greatest(0, e - 10) END FROM u""")
 def q91_locate_chunks(spark, d):
-    """Places of overlapping chunks in their text, each looked for near the end of the last.
+    """Places of overlapping chunks in their text, each looked for near the end of the last; chunks beyond a short text are empty.
 
     A number in front makes every place of the text unique enough for its first match.
     """
-    t = table(spark, d, "documents").where(F.length("text") >= 40)
-    mark = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.char((F.lit(19968) + i % 256).cast("int")))
-    t = t.select("doc_id", F.expr("array_join(transform(sequence(1, length(text)), i -> decode(unhex(lpad(hex(19968 + i % 20000), 4, '0')), 'UTF-16BE')), '')").alias("full"))
+    t = table(spark, d, "documents").where("text is not null")
+    full = F.expr("if(text = '', '', array_join(transform(sequence(1, length(text)), i -> decode(unhex(lpad(hex(19968 + i % 20000), 4, '0')), 'UTF-16BE')), ''))")
+    t = t.select("doc_id", full.alias("full"))
     parts = F.array(F.substring("full", 1, 20), F.substring("full", 16, 25), F.expr("substr(full, 36)"))
     found = t.select("doc_id", F.posexplode(C.locate_chunks(10)("full", parts)).alias("i", "c"))
     return found.select("doc_id", "i", "c.start", "c.end")

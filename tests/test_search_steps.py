@@ -219,3 +219,35 @@ def test_greedy_rounds_keep_what_one_pass_keeps(spark):
     assert Counter(x.chunk_id for x in R.cross_source_dedup(df).collect()) == plain(lambda x: (x[0], x[2]), lambda x: (truth(x), low(x[5]), x[1]))
     out = R.greedy_text_dedup(df.withColumn("__p", F.lit(1)).drop("__p").limit(0))
     assert out.count() == 0 and out.columns == df.columns
+
+
+def test_remembered_results(spark, tmp_path):
+    asked = []
+
+    def search(q):
+        rows = q.collect()
+        asked.append(sorted(x.key for x in rows))
+        return spark.createDataFrame([(x.query_id, f"{x.key}{k}") for x in rows for k in range(len(x.key) - 1)], "query_id long, ref string")
+
+    at = lambda s: F.lit(f"2025-01-01 00:{s // 60:02d}:{s % 60:02d}").cast("timestamp")
+    q = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "c"), (4, "xyz")], "query_id long, key string")
+    folder, less = str(tmp_path / "kept"), str(tmp_path / "less")
+    want = [(1, "ab0"), (2, "ab0"), (3, None), (4, "xyz0"), (4, "xyz1")]
+    for second, fresh in ((0, {1, 2, 3, 4}), (20, set()), (45, {1, 2, 3, 4})):
+        got = A.remembered(q, search, folder, at(second)).collect()
+        assert sorted((x.query_id, x.ref) for x in got) == sorted(want, key=lambda x: (x[0], x[1] or "")) and {x.query_id for x in got if x.fresh} == fresh
+    assert [a for a in asked if a] == [["ab", "c", "xyz"], ["ab", "c", "xyz"]]
+    A.forget(spark, folder, less, at(50), most=2)
+    assert {(x.key) for x in spark.read.parquet(less).collect()} == {"ab", "c"}
+    assert {x.query_id for x in A.remembered(q, search, less, at(51)).collect() if x.fresh} == {4}
+
+
+def test_backup_that_lost_rows_is_refused(spark, tmp_path):
+    from quillstone.operators import lifecycle as L
+
+    t = spark.range(10)
+    L.backup({"a": t, "b": t}, str(tmp_path))
+    assert L.read_backup(spark, str(tmp_path))["b"].count() == 10
+    t.limit(9).write.mode("overwrite").parquet(f"{tmp_path}/b.parquet")
+    with pytest.raises(ValueError, match="not whole"):
+        L.read_backup(spark, str(tmp_path))
