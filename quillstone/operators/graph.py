@@ -51,7 +51,7 @@ def paths(starts: DataFrame, edges: DataFrame, depth: int = 6, direction: str =
 
 def expand_anchors(anchors: DataFrame, edges: DataFrame, hops: int = 2, most: int = 50) -> DataFrame:
     """(query_id, chunk_id, hop, score): neighbours of ranked chunks; a hop h divides the score by 1 + h."""
-    e = both_ways(edges, "both").select("src", "dst").distinct()
+    e = both_ways(edges if "link_type" in edges.columns else edges.withColumn("link_type", F.lit("")), "both").select("src", "dst").distinct()
     frontier = anchors.select("query_id", F.col("chunk_id").alias("node"), "score").withColumn("hop", F.lit(0))
     seen = frontier
     for h in range(1, hops + 1):
@@ -98,3 +98,44 @@ def resolve_symbols(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges with the chunk that defines their target, by name or by qualified name."""
     names = chunks.select("chunk_id", F.explode(F.array_distinct(F.array_compact(F.array("symbol_name", "symbol_qualified")))).alias("to_symbol"))
     return edges.join(names.withColumnRenamed("chunk_id", "to_chunk_id"), "to_symbol", "left")
+
+
+def symbol_edges(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(src, dst): calls between chunks; where the target is only named, every chunk that defines a symbol of that name.
+
+    edges: from_chunk_id, to_chunk_id (or null), to_symbol. chunks: chunk_id, symbol_name, symbol_qualified. A name
+    that nothing defines leads nowhere.
+    """
+    known = edges.where("to_chunk_id is not null").select(F.col("from_chunk_id").alias("src"), F.col("to_chunk_id").alias("dst"))
+    named = resolve_symbols(edges.where("to_chunk_id is null and to_symbol is not null").select(F.col("from_chunk_id").alias("src"), "to_symbol"), chunks)
+    return known.union(named.where("to_chunk_id is not null").select("src", F.col("to_chunk_id").alias("dst"))).where("src <> dst").distinct()
+
+
+def near_symbols(queries: DataFrame, anchors: DataFrame, chunks: DataFrame, most: int = 50) -> DataFrame:
+    """(query_id, chunk_id, score): chunks that define the symbol a query names, at most so many, with its best anchor's score, or 1.
+
+    queries: query_id, symbol.
+    """
+    top = anchors.groupBy("query_id").agg(F.max("score").alias("score"))
+    names = chunks.select("chunk_id", F.explode(F.array_distinct(F.array_compact(F.array("symbol_name", "symbol_qualified")))).alias("symbol"))
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
+    found = queries.join(names, "symbol").select("query_id", "chunk_id").distinct().withColumn("n", n).where(F.col("n") <= most)
+    return found.join(top, "query_id", "left").select("query_id", "chunk_id", F.coalesce("score", F.lit(1.0)).alias("score"))
+
+
+def two_pass(anchors: DataFrame, edges: DataFrame, chunks: DataFrame, pages: DataFrame, queries: DataFrame | None = None, hops: int = 2, most: int = 50) -> DataFrame:
+    """query_id, chunk_id, hop, score, slug, title, chunk_text: what a second pass adds to ranked chunks.
+
+    anchors: query_id, chunk_id, score. edges as of symbol_edges; chunks also slug, chunk_text; pages: slug, title,
+    deleted_at. queries, if given: query_id, symbol; chunks that define the symbol are starts as well (hop 0), and
+    part of the result where they are no anchors. Texts and titles are fetched for the new chunks alone; chunks of
+    deleted pages are walked through but not returned.
+    """
+    starts = anchors.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
+    seeds = starts if queries is None else starts.union(near_symbols(queries, anchors, chunks, most))
+    seeds = checkpointed(seeds.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score")))
+    found = expand_anchors(seeds, symbol_edges(edges, chunks), hops, most)
+    every = seeds.withColumn("hop", F.lit(0)).select("query_id", "chunk_id", "hop", "score").union(found)
+    new = every.join(starts.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    texts = chunks.select("chunk_id", "slug", "chunk_text").join(pages.where("deleted_at is null").select("slug", "title"), "slug")
+    return new.join(texts, "chunk_id").select("query_id", "chunk_id", "hop", "score", "slug", "title", "chunk_text")

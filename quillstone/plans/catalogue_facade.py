@@ -808,3 +808,26 @@ def q150_vector_index(spark, d):
     index = VX.build_index(e, scratch(spark, "vectors"))
     q = e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     return VX.search_index(q, index, e, 10).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, 'f' || p_partkey % 197 AS name, lower(replace(p_brand, '#', '-')) AS slug, p_name AS text FROM part), pg AS (SELECT DISTINCT slug, 'About ' || slug AS title FROM c WHERE slug NOT LIKE '%-5%'),
+k AS (SELECT o_custkey AS src, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 2000 + 1 END AS dst, 'f' || o_orderkey % 260 AS name FROM orders),
+e AS (SELECT src, dst FROM k WHERE dst IS NOT NULL UNION SELECT src, c.id FROM k JOIN c USING (name) WHERE dst IS NULL), b AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+a AS (SELECT s_suppkey AS query_id, s_suppkey * 7 AS id, 2.0 AS score FROM supplier),
+y AS (SELECT query_id, id FROM (SELECT s_suppkey AS query_id, c.id, row_number() OVER (PARTITION BY s_suppkey ORDER BY c.id) AS n FROM supplier JOIN c ON name = 'f' || s_suppkey WHERE s_suppkey % 3 = 0) WHERE n <= 5),
+z AS (SELECT query_id, id FROM a UNION SELECT query_id, id FROM y),
+one AS (SELECT * FROM (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node) AS n FROM (SELECT DISTINCT query_id, dst AS node FROM z JOIN b ON id = src) h WHERE (query_id, node) NOT IN (SELECT (query_id, id) FROM z)) WHERE n <= 5),
+two AS (SELECT * FROM (SELECT query_id, node, row_number() OVER (PARTITION BY query_id ORDER BY node) AS n FROM (SELECT DISTINCT query_id, dst AS node FROM one JOIN b ON node = src) h WHERE (query_id, node) NOT IN (SELECT (query_id, id) FROM z) AND (query_id, node) NOT IN (SELECT (query_id, node) FROM one)) WHERE n <= 5),
+r AS (SELECT query_id, id, 0 AS hop, 2.0 AS score FROM y WHERE (query_id, id) NOT IN (SELECT (query_id, id) FROM a) UNION ALL SELECT query_id, node, 1, 1.0 FROM one UNION ALL SELECT query_id, node, 2, 1.0 / 3 FROM two)
+SELECT query_id, id AS chunk_id, hop, round(score, 6)::DOUBLE AS score, slug, title, text AS chunk_text FROM r JOIN c USING (id) JOIN pg USING (slug)""")
+def q151_two_pass(spark, d):
+    """Chunks about ranked ones over resolved and named calls, from a symbol as well, with their texts and titles."""
+    k = F.col("p_partkey")
+    chunks = table(spark, d, "part").select(k.alias("chunk_id"), say("f", k % 197).alias("symbol_name"), F.lit(None).cast("string").alias("symbol_qualified"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))).alias("slug"), F.col("p_name").alias("chunk_text"))
+    pages = chunks.select("slug", say("About ", F.col("slug")).alias("title")).distinct().withColumn("deleted_at", F.when(F.col("slug").contains("-5"), "2024-01-01"))
+    o = F.col("o_orderkey")
+    calls = table(spark, d, "orders").select(F.col("o_custkey").alias("from_chunk_id"), F.when(o % 2 == 0, o % 2000 + 1).alias("to_chunk_id"), say("f", o % 260).alias("to_symbol"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("query_id"))
+    anchors = s.select("query_id", (F.col("query_id") * 7).alias("chunk_id"), F.lit(2.0).alias("score"))
+    asked = s.where("query_id % 3 = 0").select("query_id", say("f", F.col("query_id")).alias("symbol"))
+    return G.two_pass(anchors, calls, chunks, pages, asked, 2, 5).withColumn("score", F.round("score", 6))
