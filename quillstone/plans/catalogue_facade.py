@@ -831,3 +831,19 @@ def q151_two_pass(spark, d):
     anchors = s.select("query_id", (F.col("query_id") * 7).alias("chunk_id"), F.lit(2.0).alias("score"))
     asked = s.where("query_id % 3 = 0").select("query_id", say("f", F.col("query_id")).alias("symbol"))
     return G.two_pass(anchors, calls, chunks, pages, asked, 2, 5).withColumn("score", F.round("score", 6))
+
+
+@query("""WITH q AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'slug:' || s_suppkey % 40 WHEN 1 THEN 'documents/' || s_suppkey % 40 END AS slug FROM supplier),
+p AS (SELECT p_partkey % 100 + 1 AS query_id, 'documents/' || p_size AS slug, p_retailprice AS score FROM part),
+w AS (SELECT query_id, unnest(['documents/' || query_id % 40, (query_id % 40)::VARCHAR]) AS slug FROM q WHERE slug IS NOT NULL
+  UNION ALL SELECT query_id, slug FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS n FROM p SEMI JOIN (FROM q WHERE slug IS NULL) USING (query_id)) WHERE n = 1),
+r AS (SELECT o_orderkey AS provenance_id, CASE WHEN o_custkey % 2 = 0 THEN 'documents/' || o_custkey % 50 ELSE (o_custkey % 50)::VARCHAR END AS slug, o_orderdate FROM orders WHERE o_orderstatus <> 'P')
+SELECT query_id, provenance_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY o_orderdate DESC, provenance_id) AS rank FROM w JOIN r USING (slug)""")
+def q152_provenance_strategy(spark, d):
+    """Records of the page that a query names, or else of its best page."""
+    k, c = F.col("s_suppkey"), F.col("o_custkey")
+    q = table(spark, d, "supplier").select(k.alias("query_id"), F.when(k % 3 == 0, say("slug:", k % 40)).when(k % 3 == 1, say("documents/", k % 40)).alias("slug"))
+    pages = table(spark, d, "part").select((F.col("p_partkey") % 100 + 1).alias("query_id"), say("documents/", F.col("p_size")).alias("slug"), F.col("p_retailprice").alias("score"))
+    slug = F.when(c % 2 == 0, say("documents/", c % 50)).otherwise(say(c % 50))
+    records = table(spark, d, "orders").select(F.col("o_orderkey").alias("provenance_id"), slug.alias("slug"), F.when(F.col("o_orderstatus") == "P", "stale").otherwise("active").alias("status"), F.col("o_orderdate").alias("created_at"))
+    return P.provenance_answers(q, pages, records).select("query_id", "provenance_id", "slug", "rank")

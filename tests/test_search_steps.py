@@ -251,3 +251,17 @@ def test_backup_that_lost_rows_is_refused(spark, tmp_path):
     t.limit(9).write.mode("overwrite").parquet(f"{tmp_path}/b.parquet")
     with pytest.raises(ValueError, match="not whole"):
         L.read_backup(spark, str(tmp_path))
+
+
+def test_unified_query_by_provenance_and_reranking_with_gaps(spark):
+    from quillstone.plans import search as P
+
+    q = spark.createDataFrame([(1, "who is Ann", "provenance"), (2, "who is Ann", "brain_first"), (3, "who is Ann", "evidence_first"), (4, "when was it", None)], "query_id long, text string, strategy string")
+    ready = lambda ref: spark.createDataFrame([(i, ref, 0.5) for i in (1, 2, 3, 4)], "query_id long, ref string, score double")
+    out = P.unified_query(q, ready("p"), ready("e"), ready("t"), ready("r"))
+    first = {x.query_id: (x.ref, x.strategy) for x in out.where("rank = 1").collect()}
+    assert first == {1: ("r", "provenance"), 2: ("p", "brain_first"), 3: ("e", "evidence_first"), 4: ("t", "timeline_first")}
+    assert out.where("query_id = 1").count() == 1 and out.where("query_id > 1 and route = 'provenance'").count() == 0
+    hits = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.8), (1, 12, 0.7)], "query_id long, node_id long, score double")
+    some = lambda h: h.where("node_id <> 10").withColumn("score", F.when(F.col("node_id") == 12, 5.0))
+    assert sorted(tuple(x) for x in P.reranked(hits, some, ["query_id", "node_id"]).collect()) == [(1, 10, 0.9), (1, 11, 0.8), (1, 12, 5.0)]
