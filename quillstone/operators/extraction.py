@@ -32,14 +32,6 @@ RUBRICS: dict[str, list[tuple[str, float]]] = {
     "source": [("urls", 0.35), ("field:author", 0.20), ("field:date", 0.20), ("body", 0.25)],
     "": [("title", 0.30), ("body", 0.30), ("urls", 0.20), ("citations", 0.20)],
 }
-#: Declarations by family of languages, as (kind, pattern, group of the name).
-SYMBOLS = {
-    "rust": [("function", r"^\s*(?:pub\s+)?(?:async\s+)?fn\s+([A-Za-z_]\w*)"), ("struct", r"^\s*(?:pub\s+)?struct\s+([A-Za-z_]\w*)"), ("enum", r"^\s*(?:pub\s+)?enum\s+([A-Za-z_]\w*)"), ("trait", r"^\s*(?:pub\s+)?trait\s+([A-Za-z_]\w*)")],
-    "python": [("class", r"^\s*class\s+([A-Za-z_]\w*)"), ("function", r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)")],
-    "javascript": [("class", r"^\s*(?:export\s+)?(?:default\s+)?class\s+([A-Za-z_$][\w$]*)"), ("interface", r"^\s*(?:export\s+)?interface\s+([A-Za-z_$][\w$]*)"), ("function", r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)")],
-    "go": [("function", r"^\s*func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)"), ("struct", r"^\s*type\s+([A-Za-z_]\w*)\s+struct"), ("interface", r"^\s*type\s+([A-Za-z_]\w*)\s+interface")],
-    "java": [("class", r"^\s*(?:public\s+|private\s+|protected\s+)?class\s+([A-Za-z_]\w*)")],
-}
 
 
 def without_code(c: Column | str) -> Column:
@@ -76,9 +68,13 @@ def entity_refs(pages: DataFrame, key: str, text: str) -> DataFrame:
 
     def all_of(pattern: str, *groups: int) -> DataFrame:
         zipped = F.arrays_zip(*(F.regexp_extract_all("t", F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in (0, *groups)))
-        return clean.select(key, "t", F.explode(zipped).alias("m")).select(key, "t", "m.*")
+        # A match's place: the text is cut at the pattern, and a match lies behind the pieces and matches before it.
+        pieces = F.split("t", f"(?:{pattern})")
+        spread_out = clean.select(key, "t", zipped.alias("m"), pieces.alias("p")).select(key, "t", "p", F.posexplode("m").alias("i", "m"), F.col("m").alias("all"))
+        before = F.expr("aggregate(slice(p, 1, i + 1), 0, (n, x) -> n + length(x)) + aggregate(slice(all, 1, i), 0, (n, x) -> n + length(x.g0)) + 1")
+        return spread_out.select(key, "t", before.alias("at"), "m.*")
 
-    around = lambda df: df.withColumn("at", F.instr("t", F.col("g0"))).withColumn("context", F.expr("substring(t, greatest(1, at - 120), 240 + length(g0))"))
+    around = lambda df: df.withColumn("context", F.expr("substring(t, greatest(1, at - 120), 240 + length(g0))"))
     labelled = all_of(r"\[([a-z_]+):([^\]]+)\]\(([^)]+)\)", 1, 2, 3).where(is_slug(F.col("g3"))).select(key, F.col("g3").alias("slug"), F.col("g2").alias("name"), F.col("g1").alias("link_type"), F.lit(0).alias("p"))
     links = around(all_of(r"\[([^\]]+)\]\(([^)]+)\)", 1, 2).where(is_slug(F.col("g2")) & ~F.col("g1").contains(":")))
     links = links.select(key, F.col("g2").alias("slug"), F.col("g1").alias("name"), link_type(F.col("context"), F.col("g2")).alias("link_type"), F.lit(1).alias("p"))
@@ -149,42 +145,6 @@ def pattern_entities(c: Column | str, most: int = 5) -> Column:
     return F.concat(take(r"\d{4}[-/年]\d{1,2}[-/月]\d{1,2}[日]?", "DATE:"), take(r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "EMAIL:"))
 
 
-#: Kinds of declarations that hold others.
-CONTAINERS = ("class", "struct", "enum", "trait", "interface")
-
-
-def symbols(files: DataFrame, key: str, code: str, language: str) -> DataFrame:
-    """key, line, kind, name, end_line, parent, qualified of declarations.
-
-    end_line is the line of the next declaration; parent is the nearest container declared before with less
-    indentation, if no line in between went back to it; qualified is parent.name.
-    """
-    lines = files.select(key, language, F.posexplode(F.split(code, "\n")).alias("line", "raw"))
-    cases = [(F.col(language) == lang) & F.col("raw").rlike(p) for lang, rules in SYMBOLS.items() for _, p in rules]
-    values = [F.struct(F.lit(k).alias("kind"), F.regexp_extract("raw", p, 1).alias("name")) for rules in SYMBOLS.values() for k, p in rules]
-    found = lines.withColumn("s", F.coalesce(*(F.when(c, v) for c, v in zip(cases, values)))).where("s is not null")
-    found = found.withColumn("indent", F.length(F.regexp_extract("raw", r"^(\s*)", 1)))
-    w = Window.partitionBy(key).orderBy("line")
-    before = F.collect_list(F.struct("line", "indent", "s")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    nxt = F.lead("line").over(w)
-    found = found.withColumn("before", before).withColumn("end_line", nxt)
-    # Of the declarations with less indentation the last is the one that this stands in, if it holds others.
-    outer = F.try_element_at(F.filter("before", lambda b: b["indent"] < F.col("indent")), F.lit(-1))
-    found = found.withColumn("parent", F.when(outer["s"]["kind"].isin(*CONTAINERS), outer["s"]["name"]))
-    return found.select(key, (F.col("line") + 1).alias("line"), "s.kind", "s.name", "end_line", "parent", F.concat_ws(".", "parent", "s.name").alias("qualified"))
-
-
-def call_edges(files: DataFrame, found: DataFrame, key: str, code: str) -> DataFrame:
-    """key, from_symbol, to_symbol, confidence: calls between symbols of one file."""
-    lines = files.select(key, F.posexplode(F.split(code, "\n")).alias("i", "raw")).withColumn("line", F.col("i") + 1)
-    calls = lines.select(key, "line", F.explode(F.regexp_extract_all("raw", F.lit(r"([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?)\s*\("), F.lit(1))).alias("callee"))
-    f = found.alias("f")
-    inside = calls.alias("c").join(f, (F.col(f"c.{key}") == F.col(f"f.{key}")) & (F.col("c.line") >= F.col("f.line")) & (F.col("f.end_line").isNull() | (F.col("c.line") <= F.col("f.end_line"))))
-    named = inside.select(F.col(f"c.{key}").alias(key), F.col("f.name").alias("from_symbol"), F.regexp_extract("callee", r"([A-Za-z_]\w*)$", 1).alias("to_symbol"))
-    known = found.select(key, F.col("name").alias("to_symbol")).distinct()
-    return named.where("from_symbol <> to_symbol").join(known, [key, "to_symbol"]).distinct().withColumn("confidence", F.lit(0.85))
-
-
 def lint(pages: DataFrame, key: str, text: str, slugs: DataFrame | None = None) -> DataFrame:
     """key, rule, severity, line of six rules, found in one pass; only citations are joined with slugs."""
     issue = lambda rule, severity, line, cited=None: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), line.cast("int").alias("line"), F.lit(cited).cast("string").alias("cited") if cited is None else cited.alias("cited"))

@@ -14,6 +14,7 @@ from pyspark.sql import Window
 from quillstone.functions import text as X
 from quillstone.operators import chunking as C
 from quillstone.operators import clustering as K
+from quillstone.operators import code as CO
 from quillstone.operators import evaluation as V
 from quillstone.operators import extraction as E
 from quillstone.operators import graph as G
@@ -602,8 +603,8 @@ def q44_code_symbols(spark, d):
     size = F.col("p_size").cast("string")
     code = F.concat(F.lit(head), F.col("p_partkey").cast("string"), F.lit(a), size, F.lit(b), size, F.lit(tail))
     files = table(spark, d, "part").select(F.col("p_partkey").alias("file_id"), F.lit("python").alias("language"), code.alias("code"))
-    found = E.symbols(files, "file_id", "code", "language")
-    calls = E.call_edges(files, found, "file_id", "code")
+    found = CO.symbols(files, "file_id", "code", "language")
+    calls = CO.call_edges(files, "file_id", "code", "language")
     return found.select("file_id", "kind", F.col("qualified").alias("name"), F.lit("").alias("calls")).union(calls.select("file_id", F.lit("call"), "from_symbol", "to_symbol"))
 
 

@@ -141,13 +141,18 @@ def test_refs(spark):
     assert not any(s == "people/no" for s, _ in rows)
     bob = E.entity_refs(spark.createDataFrame([(1, "[Bob](people/bob) works at a mill")], "k int, t string"), "k", "t").first()
     assert (bob.slug, bob.name, bob.link_type) == ("people/bob", "Bob", "works_at")
+    far = "word " * 60
+    twice = E.entity_refs(spark.createDataFrame([(1, f"[Bob](people/bob) sang. {far}[Bob](people/bob) works at a mill. {far}[[people/eve]] and {far}[[people/eve]] founded it")], "k int, t string"), "k", "t").collect()
+    assert {(x.slug, x.link_type) for x in twice} >= {("people/bob", "works_at"), ("people/eve", "founded")} and len({x.link_type for x in twice if x.slug == "people/bob"}) == 2
 
 
 def test_symbols_and_calls(spark):
+    from quillstone.operators import code as C
+
     f = spark.createDataFrame([(1, "rust", "pub fn alpha() {\n  beta();\n}\nfn beta() {}")], "k int, l string, c string")
-    found = E.symbols(f, "k", "c", "l")
+    found = C.symbols(f, "k", "c", "l")
     assert {r.name for r in found.collect()} == {"alpha", "beta"}
-    assert [(r.from_symbol, r.to_symbol) for r in E.call_edges(f, found, "k", "c").collect()] == [("alpha", "beta")]
+    assert [(r.from_symbol, r.to_symbol) for r in C.call_edges(f, "k", "c", "l").collect()] == [("alpha", "beta")]
 
 
 def test_lint_and_fix(spark):
