@@ -21,6 +21,7 @@ from quillstone.operators import lifecycle as L
 from quillstone.operators import retrieval as R
 from quillstone.operators import statistics as S
 from quillstone.operators import vectors as VX
+from quillstone.operators import words as WD
 from quillstone.plans import search as P
 from quillstone.plans.catalogue import BOOST_SQL, DIR_SQL, EDGES, PLAN_SQL, QUERIES, TYPE_SQL, WEAK, edges, held, nearest, prefix_bm25, query, slugged, words
 from quillstone.session import checkpoint_folder, table
@@ -847,3 +848,19 @@ def q152_provenance_strategy(spark, d):
     slug = F.when(c % 2 == 0, say("documents/", c % 50)).otherwise(say(c % 50))
     records = table(spark, d, "orders").select(F.col("o_orderkey").alias("provenance_id"), slug.alias("slug"), F.when(F.col("o_orderstatus") == "P", "stale").otherwise("active").alias("status"), F.col("o_orderdate").alias("created_at"))
     return P.provenance_answers(q, pages, records).select("query_id", "provenance_id", "slug", "rank")
+
+
+LETTERS, CHARACTERS = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + 7 * k) for k in range(26))
+
+
+@query(f"""WITH r AS (SELECT translate(replace(lower(p_name), ' ', ''), '{LETTERS}', '{CHARACTERS}') AS run FROM part), s AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM r), z AS (SELECT run, i, unnest(range(1, 5)) AS n FROM s),
+g AS (SELECT substr(run, i, n) AS w, CASE WHEN i > 1 THEN substr(run, i - 1, 1) ELSE '' END AS b, substr(run, i + n, 1) AS a FROM z WHERE i + n - 1 <= length(run)),
+c AS (SELECT w, count(*) AS n FROM g GROUP BY 1), t AS (SELECT sum(n)::DOUBLE AS t FROM c WHERE length(w) = 1),
+p AS (SELECT w, n, unnest(range(1, length(w))) AS k FROM c WHERE length(w) > 1 AND n >= 5),
+h AS (SELECT p.w, p.n, min(ln(p.n * t / (x.n::DOUBLE * y.n))) AS cohesion FROM p JOIN c x ON x.w = left(p.w, k) JOIN c y ON y.w = substr(p.w, k + 1), t GROUP BY ALL HAVING min(ln(p.n * t / (x.n::DOUBLE * y.n))) >= 0.5),
+eb AS (SELECT w, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS e FROM (SELECT w, b, count(*)::DOUBLE AS n FROM g GROUP BY ALL) GROUP BY 1), ea AS (SELECT w, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS e FROM (SELECT w, a, count(*)::DOUBLE AS n FROM g GROUP BY ALL) GROUP BY 1)
+SELECT w AS word, n, round(cohesion, 6) AS cohesion, round(least(eb.e, ea.e), 6) AS freedom FROM h JOIN eb USING (w) JOIN ea USING (w) WHERE least(eb.e, ea.e) >= 0.2""")
+def q153_mined_words(spark, d):
+    """words of texts without spaces, by how firmly they hold together and how freely they stand: part names in other characters."""
+    t = table(spark, d, "part").select(F.translate(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), LETTERS, CHARACTERS).alias("t"))
+    return WD.mine_words(t, "t", cohesion=0.5, freedom=0.2).select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
