@@ -6,11 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quillstone.operators.vectors import VectorIndex, exact_neighbours, search_index
+from quillstone.operators.cascade import union
+from quillstone.operators.vectors import BLOCK, VectorIndex, exact_neighbours, packed, search_index
+from quillstone.session import checkpointed
 
 
 def mean_vector(vectors: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
@@ -33,45 +36,112 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 100) ->
     return model.transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-def summary_tree(nodes: DataFrame, size: int = 5, least: int = 3, levels: int = 2, seed: int = 42) -> DataFrame:
-    """document_id, level, node, parent, content: nodes clustered level by level.
+#: Vectors of a group among which first centres are looked for, if four times its clusters are fewer; least move of a centre that counts.
+SEEDS, MOVED = 512, 1e-4
+
 
-    A document's nodes are one group (a document is bounded); a parent's text joins its children's,
-    where a language model would write a summary.
+def first_centres(vectors: DataFrame, size: int, seed: int) -> DataFrame:
+    """(cell, cluster, centre) of every group: as many vectors as it is to have clusters, each the farthest from those before.
+
+    They are looked for among a sample of a group's vectors, in the order of a hash of their ids, whose size grows with the
+    square root of the group's: SEEDS, or four times the clusters.
     """
+    counts = vectors.groupBy("cell").agg(F.count("*").alias("n")).withColumn("k", cluster_count(F.col("n"), size).cast("int"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id", F.lit(seed)), "id"))
+    some = vectors.join(counts, "cell").withColumn("__p", place).where(F.col("__p") <= F.greatest(F.lit(SEEDS), 4 * F.col("k")))
+    kind = vectors.schema["cell"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        doc = pdf["document_id"].iloc[0]
-        rows = [[doc, 0, int(n), -1, t] for n, t in zip(pdf["node"], pdf["content"])]
-        now, v, spare = list(range(len(rows))), np.array([np.asarray(x, float) for x in pdf["embedding"]]), int(pdf["node"].max()) + 1
-        for level in range(1, levels + 1):
-            if len(now) < max(least, 2):
-                break
-            k = max(2, int((len(now) / size) ** 0.5))
-            r = np.random.default_rng(seed)
-            c = v[r.choice(len(v), k, replace=False)]
-            for _ in range(100):
-                at = ((v[:, None] - c[None]) ** 2).sum(-1).argmin(1)
-                moved = np.array([v[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
-                if np.abs(moved - c).max() < 1e-4:
-                    break
-                c = moved
-            made, means = [], []
-            for j in range(k):
-                own = [now[i] for i in np.flatnonzero(at == j)]
-                if not own:
+        pdf = pdf.sort_values("__p")
+        m = np.array(pdf["v"].tolist(), float)
+        picked, near = [0], ((m - m[0]) ** 2).sum(1)
+        while len(picked) < min(int(pdf["k"].iloc[0]), len(m)) and near.max() > 0:
+            picked.append(int(near.argmax()))
+            near = np.minimum(near, ((m - m[picked[-1]]) ** 2).sum(1))
+        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "cluster": range(len(picked)), "centre": [m[i] for i in picked]})
+
+    return some.groupBy("cell").applyInPandas(run, f"cell {kind}, cluster int, centre array<double>")
+
+
+def grouped_kmeans(vectors: DataFrame, size: int = 5, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(cell, id, cluster) and (cell, cluster, centre): k-means inside every group at once.
+
+    vectors: cell, id, v. Blocks of a group's vectors meet its centres, wherever they lie; what a block hands on is a sum
+    per cluster, so a large group is split over tasks. Rounds end when no centre of any group moves.
+    """
+    data = F.pandas_udf("binary")(as_bytes)
+    blocks = checkpointed(packed(vectors.select("cell", "id", data(F.col("v").cast("array<double>")).alias("data")), BLOCK))
+    now = checkpointed(first_centres(vectors, size, seed))
+    for _ in range(rounds):
+        sums = met(blocks, now, True).groupBy("cell", "cluster", "dim").agg((F.sum("total") / F.sum("n")).alias("x"))
+        means = sums.groupBy("cell", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
+        moved = checkpointed(now.join(means, ["cell", "cluster"], "left").select("cell", "cluster", F.coalesce("mean", "centre").alias("centre"), F.col("centre").alias("before")))
+        far = moved.agg(F.max(F.array_max(F.zip_with("centre", "before", lambda a, b: F.abs(a - b))))).first()[0] or 0
+        now = moved.select("cell", "cluster", "centre")
+        if far < MOVED:
+            break
+    return met(blocks, now, False), now
+
+
+def as_bytes(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: np.asarray(x, np.float64).tobytes())
+
+
+def met(blocks: DataFrame, now: DataFrame, summed: bool) -> DataFrame:
+    """Blocks with their group's centres: (cell, id, cluster), or summed (cell, cluster, dim, total, n)."""
+    centres = now.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("c"))
+    pairs = blocks.join(centres, "cell").select("cell", "ids", "data", "c.cluster", F.flatten("c.centre").alias("flat"))
+    cell, one = (pairs.schema[c].dataType for c in ("cell", "ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                group, ids, data, names, flat = (batch.column(c)[row] for c in range(5))
+                m = np.frombuffer(data.as_py(), np.float64).reshape(len(ids), -1)
+                c = flat.values.to_numpy(zero_copy_only=False).reshape(len(names), -1)
+                at = ((c * c).sum(1) / 2 - m @ c.T).argmin(1)
+                named = names.values.to_numpy(zero_copy_only=False)
+                if not summed:
+                    yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(ids), group.type), ids.values, pa.array(named[at], pa.int32())], names=["cell", "id", "cluster"])
                     continue
-                rows.append([doc, level, spare, -1, "\n\n".join(rows[i][4] for i in own)])
-                for i in own:
-                    rows[i][3] = spare
-                made.append(len(rows) - 1)
-                means.append(v[at == j].mean(0))
-                spare += 1
-            now, v = made, np.array(means)
-        return pd.DataFrame(rows, columns=["document_id", "level", "node", "parent", "content"])
-
-    return nodes.select("document_id", "node", "content", "embedding").groupBy("document_id").applyInPandas(run, "document_id long, level int, node long, parent long, content string")
+                n, width = np.bincount(at, minlength=len(c)), m.shape[1]
+                total = np.stack([np.bincount(at, m[:, d], len(c)) for d in range(width)], 1)[n > 0]
+                many, own = np.repeat(n[n > 0], width), np.repeat(named[n > 0], width)
+                columns = [pa.array([group.as_py()] * len(own), group.type), pa.array(own, pa.int32()), pa.array(np.tile(np.arange(width), len(own) // width), pa.int32()), pa.array(total.ravel()), pa.array(many, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", "cluster", "dim", "total", "n"])
+
+    shape = "cluster int, dim int, total double, n long" if summed else f"id {one.elementType.simpleString()}, cluster int"
+    return pairs.mapInArrow(run, f"cell {cell.simpleString()}, {shape}")
+
+
+def summary_tree(nodes: DataFrame, size: int = 5, least: int = 3, levels: int = 2, seed: int = 42) -> DataFrame:
+    """document_id, level, node, parent, content: nodes clustered level by level, all documents at once.
+
+    nodes: document_id, node, content, embedding, of one length in a document; nodes without one stay as they are. A
+    parent's text joins its children's in the order of their numbers, where a language model would write a summary; its
+    vector is their mean. A document with fewer than least nodes on a level goes no higher. Parents are numbered on
+    from a document's largest node; the topmost have the parent -1.
+    """
+    now = checkpointed(nodes.select("document_id", F.lit(0).alias("level"), F.col("node").cast("long").alias("node"), "content", F.col("embedding").cast("array<double>").alias("v")))
+    done = []
+    for level in range(1, levels + 1):
+        many = now.where("v is not null").groupBy("document_id").agg(F.count("*").alias("n")).where(F.col("n") >= max(least, 2)).select("document_id")
+        ready = checkpointed(now.where("v is not null").join(many, "document_id", "left_semi"))
+        if ready.isEmpty():
+            break
+        at, centres = grouped_kmeans(ready.select(F.col("document_id").alias("cell"), F.col("node").alias("id"), "v"), size, seed)
+        at = checkpointed(at.withColumnsRenamed({"cell": "document_id", "id": "node"}))
+        last = now.groupBy("document_id").agg(F.max("node").alias("last"))
+        order = F.row_number().over(Window.partitionBy("document_id").orderBy("cluster"))
+        named = at.select("document_id", "cluster").distinct().withColumn("o", order).join(last, "document_id").select("document_id", "cluster", (F.col("last") + F.col("o")).alias("parent"))
+        joined = checkpointed(now.join(at, ["document_id", "node"], "left").join(named, ["document_id", "cluster"], "left"))
+        done.append(joined.select("document_id", "level", "node", F.coalesce("parent", F.lit(-1).cast("long")).alias("parent"), "content"))
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "content"))), lambda x: x["content"]), "\n\n")
+        made = joined.where("parent is not null").groupBy("document_id", F.col("parent").alias("node"), "cluster").agg(text.alias("content"))
+        vectors = centres.select(F.col("cell").alias("document_id"), "cluster", F.col("centre").alias("v"))
+        now = checkpointed(made.join(vectors, ["document_id", "cluster"]).select("document_id", F.lit(level).alias("level"), "node", "content", "v"))
+    done.append(now.select("document_id", "level", "node", F.lit(-1).cast("long").alias("parent"), "content"))
+    return union(done)
 
 
 def similar_tokens(tokens: DataFrame, k: int = 6, least: float = 0.75, index: VectorIndex | None = None) -> DataFrame:

@@ -115,7 +115,7 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def packed(rows: DataFrame, size: int) -> DataFrame:
     """(cell, id, data) to (cell, ids, data): rows of one cell, at most size in a block; a large cell lies in many tasks."""
-    kind = rows.schema["id"].dataType.simpleString()
+    of, kind = (rows.schema[c].dataType.simpleString() for c in ("cell", "id"))
     names = ["cell", "ids", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,17 +130,17 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
                 ids.append(i.as_py())
                 data.append(d.as_py())
             if out:
-                yield block(out, batch.schema.field(1).type)
-            last = batch.schema.field(1).type
+                yield block(out, batch.schema)
+            last = batch.schema
         if ids:
             yield block([(cell, ids, b"".join(data))], last)
 
-    def block(out: list[tuple], id_type: pa.DataType) -> pa.RecordBatch:
+    def block(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         c, i, d = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(i, pa.list_(id_type)), pa.array(d, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, schema.field(0).type), pa.array(i, pa.list_(schema.field(1).type)), pa.array(d, pa.binary())], names=names)
 
     dealt = rows.hint("rebalance", F.col("cell")).sortWithinPartitions("cell")
-    return dealt.select("cell", "id", "data").mapInArrow(run, f"cell int, ids array<{kind}>, data binary")
+    return dealt.select("cell", "id", "data").mapInArrow(run, f"cell {of}, ids array<{kind}>, data binary")
 
 
 class VectorIndex(NamedTuple):

@@ -586,14 +586,16 @@ def q139_kmeans_corners(spark, d):
     return c.select("vec_id", F.min("vec_id").over(Window.partitionBy("cluster")).alias("first"))
 
 
-@query("""WITH n AS (SELECT s_nationkey AS document_id, s_suppkey AS node, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) % 2 AS side FROM (SELECT p_partkey AS s_suppkey, p_size AS s_nationkey FROM part)), k AS (SELECT document_id FROM n GROUP BY 1 HAVING count(*) BETWEEN 3 AND 44)
-SELECT document_id, 0 AS level, 'n' || node AS content FROM n WHERE document_id IN (SELECT document_id FROM k) UNION ALL SELECT document_id, 1, string_agg('n' || node, chr(10) || chr(10) ORDER BY node) FROM n WHERE document_id IN (SELECT document_id FROM k) GROUP BY document_id, side""")
+@query("""WITH p AS (SELECT p_size AS document_id, p_partkey AS node, count(*) OVER (PARTITION BY p_size) AS many, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM part),
+n AS (SELECT *, r % greatest(2, floor(sqrt(many / 5.0))::BIGINT) AS side FROM p)
+SELECT document_id, 0 AS level, 'n' || node AS content FROM n UNION ALL SELECT document_id, 1, string_agg('n' || node, chr(10) || chr(10) ORDER BY node) FROM n WHERE many >= 3 GROUP BY document_id, side""")
 def q140_summary_tree_corners(spark, d):
-    """Nodes about two corners make two parents, whose texts join their children's."""
+    """Nodes about as many corners as there are to be clusters make as many parents, whose texts join their children's."""
     p = table(spark, d, "part").select(F.col("p_size").cast("long").alias("document_id"), F.col("p_partkey").alias("node"))
     w = Window.partitionBy("document_id")
-    p = p.withColumn("side", F.row_number().over(w.orderBy("node")) % 2).withColumn("many", F.count("*").over(w)).where("many between 3 and 44")
-    t = K.summary_tree(p.select("document_id", "node", say("n", F.col("node")).alias("content"), corners(F.col("side"), 2).alias("embedding")))
+    p = p.withColumn("many", F.count("*").over(w)).withColumn("side", F.row_number().over(w.orderBy("node")) % K.cluster_count(F.col("many")))
+    vector = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.when(i == F.col("side") % 40, 1.0 + F.col("side")).otherwise(F.lit(0.0)) + F.col("node") % 7 / 1000)
+    t = K.summary_tree(p.select("document_id", "node", say("n", F.col("node")).alias("content"), vector.alias("embedding")), levels=1)
     return t.select("document_id", "level", "content")
 
 

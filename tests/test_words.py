@@ -86,3 +86,34 @@ def test_searches_use_the_words(spark):
     assert (1, 5) in hits and (1, 1) not in hits and (2, 1) in hits
     with pytest.raises(ValueError, match="more than 3"):
         W.segmenter(table, most=3)
+
+
+def test_summary_tree_is_a_fixed_point_of_every_document(spark):
+    import numpy as np
+
+    from quillstone.operators import clustering as K
+
+    g = np.random.default_rng(4)
+    vectors = {(d, i): g.normal(size=5) for d, n in ((1, 70), (2, 12), (3, 2), (4, 1300)) for i in range(n)}
+    rows = [(d, i, f"{d}.{i}", v.tolist()) for (d, i), v in vectors.items()] + [(2, 99, "bare", None), (5, 0, "alone", None), *((6, i, "same", [1.0, 2.0]) for i in range(9))]
+    df = spark.createDataFrame(rows, "document_id long, node long, content string, embedding array<float>")
+    out = K.summary_tree(df).collect()
+    by = {(x.document_id, x.node): x for x in out}
+    assert len(by) == len(out) and {k for k, x in by.items() if x.level == 0} == {(d, i) for d, i, *_ in rows}
+    assert [x.parent for x in out if x.document_id in (3, 5)] == [-1] * 3 and by[2, 99].parent == -1
+    for d, k in ((1, 3), (2, 2), (4, 16)):
+        own = [i for e, i in vectors if e == d]
+        groups = defaultdict(list)
+        for i in own:
+            groups[by[d, i].parent].append(i)
+        assert len(groups) == k and all(by[d, p].level == 1 for p in groups)
+        means = {p: np.mean([np.float32(vectors[d, i]) for i in group], 0) for p, group in groups.items()}
+        for i in own:
+            far = {p: ((np.float32(vectors[d, i]) - m) ** 2).sum() for p, m in means.items()}
+            assert far[by[d, i].parent] <= min(far.values()) + 1e-3
+        for p, group in groups.items():
+            assert by[d, p].content == "\n\n".join(by[d, i].content for i in sorted(group))
+    tops = {p.parent for p in out if p.document_id == 1 and p.level == 1}
+    assert len(tops) == 2 and all(by[1, t].level == 2 and by[1, t].parent == -1 for t in tops)
+    assert len({by[6, i].parent for i in range(9)}) == 1
+    assert K.summary_tree(df.limit(0)).count() == 0
