@@ -27,6 +27,7 @@ from quillstone.plans.catalogue import BOOST_SQL, DIR_SQL, EDGES, PLAN_SQL, QUER
 from quillstone.session import checkpoint_folder, table
 from quillstone.sources import readers as I
 from quillstone.streaming import events as Z
+from quillstone.streaming import ledger as LG
 
 __all__ = ["QUERIES"]
 
@@ -866,3 +867,13 @@ def q153_mined_words(spark, d):
     """words of texts without spaces, by how firmly they hold together and how freely they stand: part names in other characters."""
     t = table(spark, d, "part").select(F.translate(F.replace(F.lower("p_name"), F.lit(" "), F.lit("")), LETTERS, CHARACTERS).alias("t"))
     return WD.mine_words(t, "t", cohesion=0.5, freedom=0.2).select("word", "n", F.round("cohesion", 6).alias("cohesion"), F.round("freedom", 6).alias("freedom"))
+
+
+@query()
+def q154_ledger(spark, d):
+    """Reservations, commits and rollbacks of each kind of event and day under a cap; a unit test holds it, and the stream, against a plain ledger."""
+    k = F.col("event_id")
+    kind = F.when(k % 5 == 0, "commit").when(k % 5 == 1, "rollback").otherwise("reserve")
+    e = table(spark, d, "events").select(F.col("event_type").alias("scope"), F.col("ts").cast("date").alias("day"), F.col("ts").cast("timestamp").alias("at"), (k % 40).alias("id"), kind.alias("kind"), "value")
+    rows = LG.settled(e.withColumnRenamed("value", "amount"), 500.0)
+    return rows.select("scope", "day", "id", "kind", "outcome", F.round("committed", 6).alias("committed"), F.round("reserved", 6).alias("reserved"))
