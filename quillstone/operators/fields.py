@@ -64,18 +64,21 @@ def field_search(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str
     """(query_id, doc_id, score, rank) by BM25 over weighted fields, and the places of all hits.
 
     queries: query_id, text; fields: name to an array of words and a weight. The places (query_id, j, doc_id,
-    field, place) are those of the k best documents of each query. Documents without words count towards no average.
+    field, place) are those of the k best documents of each query. Documents without words count towards no average;
+    rows of one key are one document, as long as all of them.
     """
     index = placed_words(docs, key, {n: c for n, (c, _) in fields.items()})
     asked = checkpointed(asked_terms(queries))
     places = checkpointed(places_of(asked, index))
     blank = F.array().cast("array<string>")
-    sizes = docs.select(sum((F.size(F.coalesce(c, blank)) for c, _ in fields.values()), F.lit(0)).alias("dl")).where("dl > 0")
+    sizes = docs.select(F.col(key).alias("doc_id"), sum((F.size(F.coalesce(c, blank)) for c, _ in fields.values()), F.lit(0)).alias("dl")).where("dl > 0")
+    sizes = checkpointed(sizes.groupBy("doc_id").agg(F.sum("dl").alias("dl"), F.count("*").alias("rows")))
     stats = checkpointed(sizes.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl")).alias("s")))
     weight = F.lit(0.0)
     for name, (_, w) in fields.items():
         weight = F.when(F.col("field") == name, w).otherwise(weight)
-    hits = places.groupBy("q", "doc_id", "dl").agg(F.sum(weight).alias("tf"))
+    several = checkpointed(sizes.where("rows > 1").select("doc_id", F.col("dl").alias("whole")))
+    hits = places.join(several, "doc_id", "left").groupBy("q", "doc_id", F.coalesce("whole", "dl").alias("dl")).agg(F.sum(weight).alias("tf"))
     df = hits.groupBy("q").agg(F.count_if(F.col("tf") >= 0).alias("df"))
     s = hits.join(df, "q").withColumn("s", stats.scalar()).select("q", "doc_id", "tf", "dl", "df", "s.*")
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
