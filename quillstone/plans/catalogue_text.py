@@ -15,7 +15,7 @@ from quillstone.operators import extraction as E
 from quillstone.operators import lifecycle as L
 from quillstone.operators import statistics as S
 from quillstone.plans.catalogue import QUERIES, query, words
-from quillstone.session import table
+from quillstone.session import dealt, table
 from quillstone.sources import readers as I
 
 __all__ = ["QUERIES"]
@@ -197,7 +197,7 @@ UNION ALL SELECT c_custkey, 'people/bo', 'Bo', 'works_at' FROM customer UNION AL
 def q83_entity_refs(spark, d):
     """References of every page, with the kind of each link."""
     text = F.replace(F.lit(REFS), F.lit("{k}"), F.col("c_custkey").cast("string"))
-    return E.entity_refs(table(spark, d, "customer").select("c_custkey", text.alias("t")), "c_custkey", "t").select("c_custkey", "slug", "name", "link_type")
+    return E.entity_refs(dealt(table(spark, d, "customer").select("c_custkey"), "c_custkey").select("c_custkey", text.alias("t")), "c_custkey", "t").select("c_custkey", "slug", "name", "link_type")
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'invested_in' WHEN 1 THEN 'works_at' WHEN 2 THEN 'advises' WHEN 3 THEN 'invested_in' WHEN 4 THEN 'acquired' ELSE 'mentions' END AS kind FROM customer""")
