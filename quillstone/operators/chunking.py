@@ -187,9 +187,10 @@ def window_passages(nodes: DataFrame, key: str, text: str) -> DataFrame:
 def atomic_passages(nodes: DataFrame, key: str, text: str) -> DataFrame:
     """Lines of 24 to 900 cleaned characters, numbered as they are kept."""
     lines = nodes.select(key, F.posexplode(F.split(text, "[\n\\x{200B}\\x{200C}\\x{200D}\\x{FEFF}]")).alias("line", "content"))
-    before = F.coalesce(F.sum(F.length("content") + 1).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.withColumn("source_start", before).withColumn("source_end", before + F.length("content"))
-    kept = lines.where(F.length(X.clean_for_search("content")).between(ATOMIC_LEAST, ATOMIC_MOST))
+    # What the order needs is told before the shuffle, so that lines themselves are shuffled only for those who read them.
+    lines = lines.withColumn("__n", F.length("content")).withColumn("__fits", F.length(X.clean_for_search("content")).between(ATOMIC_LEAST, ATOMIC_MOST))
+    before = F.coalesce(F.sum(F.col("__n") + 1).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = lines.withColumn("source_start", before).withColumn("source_end", F.col("source_start") + F.col("__n")).where("__fits")
     order = F.row_number().over(Window.partitionBy(key).orderBy("line")) - 1
     out = kept.withColumn("passage_order", order).where(F.col("passage_order") < MOST_PASSAGES)
     return out.select(key, "passage_order", "source_start", "source_end", "content", X.text_quality(X.clean_for_search("content")).alias("quality"))
