@@ -130,10 +130,14 @@ def keywords(docs: DataFrame, key: str, text: str) -> DataFrame:
     Words keep their case and have two bytes or more; runs of CJK count as pairs of characters.
     """
     size = F.least(F.lit(15), F.lit(5) + F.floor(F.length(text) / 5000))
-    # One generated row per text holds its size and words, so the size is not computed again for each word.
-    sized = docs.select(key, F.inline_outer(F.array(F.struct(size.alias("most"), X.words(text).alias("words")))))
-    w = sized.select(key, "most", F.explode("words").alias("term")).where((F.octet_length("term") >= 2) & ~F.col("term").isin(*STOP_WORDS))
-    counted = w.groupBy(key, "most", "term").agg(F.count("*").alias("n"))
+    # One generated row per text holds its size and sorted words, so neither is computed again for each word.
+    own = F.sort_array(F.filter(X.words(text), lambda w: (F.octet_length(w) >= 2) & ~w.isin(*STOP_WORDS)))
+    sized = docs.select(key, F.inline_outer(F.array(F.struct(size.alias("most"), own.alias("words"))))).where(F.size("words") > 0)
+    begins = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i == 0) | (F.get("words", i) != F.get("words", i - 1)))
+    runs = sized.select(key, "most", "words", F.inline_outer(F.array(F.struct(begins.alias("at")))))
+    each = F.transform("at", lambda i, j: F.struct(F.get("words", i).alias("term"), (F.coalesce(F.get("at", j + 1), F.size("words")) - i).alias("n")))
+    # Words are counted where their text lies and dealt once, by text, for the sum and for the rank.
+    counted = runs.select(key, "most", F.inline(each)).repartition(key).groupBy(key, "most", "term").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "term"))
     return counted.withColumn("rank", rank).where("rank <= most").select(key, "term", "n", "rank")
 

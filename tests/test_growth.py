@@ -238,3 +238,11 @@ def test_lines_are_not_shuffled_for_their_places(spark):
     windows = [x for x in plan.splitlines() if "Window [" in x]
     below = plan.split(windows[-1])[1].splitlines()[1]
     assert windows and " content#" not in below.replace("length(content#", "").split("AS __n")[0]
+
+
+def test_keywords_are_dealt_once(spark):
+    """F32: words are counted before the shuffle, of which there is one."""
+    docs = spark.createDataFrame([(1, "beta alpha beta Gamma x the gamma beta alpha"), (2, None), (3, "x"), (4, "one one"), (4, "one two")], "k long, t string")
+    got = E.keywords(docs, "k", "t")
+    assert sorted(map(tuple, got.collect())) == [(1, "Gamma", 1, 3), (1, "alpha", 2, 2), (1, "beta", 3, 1), (1, "gamma", 1, 4), (4, "one", 3, 1), (4, "two", 1, 2)]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
