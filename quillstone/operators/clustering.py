@@ -38,6 +38,8 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 100) ->
 
 #: Vectors of a group among which first centres are looked for, if four times its clusters are fewer; least move of a centre that counts.
 SEEDS, MOVED = 512, 1e-4
+#: Numbers in the centres of all groups up to which they are sent to every task; with more of them blocks are shuffled to their centres.
+SENT = 1 << 21
 
 
 def first_centres(vectors: DataFrame, size: int, seed: int) -> DataFrame:
@@ -66,34 +68,38 @@ def first_centres(vectors: DataFrame, size: int, seed: int) -> DataFrame:
 def grouped_kmeans(vectors: DataFrame, size: int = 5, seed: int = 42, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
     """(cell, id, cluster) and (cell, cluster, centre): k-means inside every group at once.
 
-    vectors: cell, id, v. Blocks of a group's vectors meet its centres, wherever they lie; what a block hands on is a sum
-    per cluster, so a large group is split over tasks. Rounds end when no centre of any group moves.
+    vectors: cell, id, v. Blocks of a group's vectors meet its centres, wherever they lie; what a task hands on is a sum
+    per cluster, so a large group is split over tasks and a round shuffles as much as the centres take, not the vectors.
+    Rounds end when no centre of any group moves.
     """
     data = F.pandas_udf("binary")(as_bytes)
     blocks = checkpointed(packed(vectors.select("cell", "id", data(F.col("v").cast("array<double>")).alias("data")), BLOCK))
     now = checkpointed(first_centres(vectors, size, seed))
+    sent = (now.agg(F.sum(F.size("centre"))).first()[0] or 0) <= SENT
+    added = F.aggregate(F.slice("totals", 2, F.size("totals")), F.get("totals", F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
     for _ in range(rounds):
-        sums = met(blocks, now, True).groupBy("cell", "cluster", "dim").agg((F.sum("total") / F.sum("n")).alias("x"))
-        means = sums.groupBy("cell", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
+        sums = met(blocks, now, True, sent).groupBy("cell", "cluster").agg(F.collect_list("total").alias("totals"), F.sum("n").alias("n"))
+        means = sums.select("cell", "cluster", F.transform(added, lambda x: x / F.col("n")).alias("mean"))
         moved = checkpointed(now.join(means, ["cell", "cluster"], "left").select("cell", "cluster", F.coalesce("mean", "centre").alias("centre"), F.col("centre").alias("before")))
         far = moved.agg(F.max(F.array_max(F.zip_with("centre", "before", lambda a, b: F.abs(a - b))))).first()[0] or 0
         now = moved.select("cell", "cluster", "centre")
         if far < MOVED:
             break
-    return met(blocks, now, False), now
+    return met(blocks, now, False, sent), now
 
 
 def as_bytes(v: pd.Series) -> pd.Series:
     return v.map(lambda x: np.asarray(x, np.float64).tobytes())
 
 
-def met(blocks: DataFrame, now: DataFrame, summed: bool) -> DataFrame:
-    """Blocks with their group's centres: (cell, id, cluster), or summed (cell, cluster, dim, total, n)."""
+def met(blocks: DataFrame, now: DataFrame, summed: bool, sent: bool) -> DataFrame:
+    """Blocks with their group's centres: (cell, id, cluster), or summed in each task (cell, cluster, total, n); sent: the centres go to all blocks."""
     centres = now.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("cluster", "centre"))).alias("c"))
-    pairs = blocks.join(centres, "cell").select("cell", "ids", "data", "c.cluster", F.flatten("c.centre").alias("flat"))
+    pairs = blocks.join(F.broadcast(centres) if sent else centres, "cell").select("cell", "ids", "data", "c.cluster", F.flatten("c.centre").alias("flat"))
     cell, one = (pairs.schema[c].dataType for c in ("cell", "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
             for row in range(batch.num_rows):
                 group, ids, data, names, flat = (batch.column(c)[row] for c in range(5))
@@ -104,13 +110,24 @@ def met(blocks: DataFrame, now: DataFrame, summed: bool) -> DataFrame:
                 if not summed:
                     yield pa.RecordBatch.from_arrays([pa.array([group.as_py()] * len(ids), group.type), ids.values, pa.array(named[at], pa.int32())], names=["cell", "id", "cluster"])
                     continue
-                n, width = np.bincount(at, minlength=len(c)), m.shape[1]
-                total = np.stack([np.bincount(at, m[:, d], len(c)) for d in range(width)], 1)[n > 0]
-                many, own = np.repeat(n[n > 0], width), np.repeat(named[n > 0], width)
-                columns = [pa.array([group.as_py()] * len(own), group.type), pa.array(own, pa.int32()), pa.array(np.tile(np.arange(width), len(own) // width), pa.int32()), pa.array(total.ravel()), pa.array(many, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["cell", "cluster", "dim", "total", "n"])
-
-    shape = "cluster int, dim int, total double, n long" if summed else f"id {one.elementType.simpleString()}, cluster int"
+                n, total = np.bincount(at, minlength=len(c)), np.stack([np.bincount(at, m[:, d], len(c)) for d in range(m.shape[1])], 1)
+                if held and held[0].equals(group):
+                    held[2][:] += n
+                    held[3][:] += total
+                    continue
+                if held:
+                    yield handed_on(*held)
+                held = group, named, n, total
+        if held:
+            yield handed_on(*held)
+
+    def handed_on(group: pa.Scalar, named: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        own = np.flatnonzero(n)
+        sums = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * total.shape[1], pa.int32()), pa.array(total[own].ravel()))
+        columns = [pa.array([group.as_py()] * len(own), group.type), pa.array(named[own], pa.int32()), sums, pa.array(n[own], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["cell", "cluster", "total", "n"])
+
+    shape = "cluster int, total array<double>, n long" if summed else f"id {one.elementType.simpleString()}, cluster int"
     return pairs.mapInArrow(run, f"cell {cell.simpleString()}, {shape}")
 
 
