@@ -26,6 +26,8 @@ from quillstone.session import spread
 BLOCK, QUERIES, WIDTH, CODES = 1024, 512, 4, 256
 #: Vectors on which centres and codes are fitted, rounds, and the most cells.
 SAMPLE, ROUNDS, MOST_CELLS = 20_000, 12, 1024
+#: Bytes of a block of whole vectors, its most and its least rows; queries and vectors of it that are multiplied at once.
+EXACT_BYTES, EXACT_ROWS, LEAST_ROWS, TILE = 4 << 20, 4096, 256, (256, 2048)
 #: Rows on which the number of probed cells is measured, and the share of neighbours that they must find.
 TRIED, FOUND = 256, 0.97
 
@@ -191,29 +193,100 @@ def asked_cells(queries: DataFrame, model: Model, probes: int) -> DataFrame:
     return queries.select("query_id", "embedding").mapInArrow(run, f"cell int, id {kind}, data binary")
 
 
+def places(mask: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a mask that is mostly empty, eight at a time."""
+    flat = mask.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    return (some[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[some]]
+
+
+class Nearest:
+    """The k best rows of each query of a block, over all blocks of vectors that it met; of equals those of the least ids.
+
+    What is under a query's k-th best so far is dropped by one comparison, on products of single precision with a margin
+    over their error; only the rest is multiplied again in double precision and sorted.
+    """
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, k: int, exact: bool):
+        self.q_ids, self.q, self.k, self.exact = q_ids, q, k, exact
+        self.fast = q[:, :-1].astype(np.float32) if exact else q
+        self.margin = (q.shape[1] + 8) * 2.0**-22 if exact else 0.0
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(len(q), -np.inf, np.float32)
+
+    def meet(self, ids: np.ndarray, v: np.ndarray) -> None:
+        """v: whole vectors with their lengths behind them, or, if not exact, approximate ones."""
+        fast = np.ascontiguousarray((v[:, :-1] if self.exact else v).astype(np.float32).T)
+        mixed = self.exact and len(np.unique(np.concatenate([self.q[:, -1], v[:, -1]]))) > 1
+        high, wide = TILE
+        for at in range(0, len(ids), wide):
+            for top in range(0, len(self.q), high):
+                s = self.fast[top : top + high] @ fast[:, at : at + wide]
+                if mixed:
+                    s[self.q[top : top + high, -1:] != v[at : at + wide, -1]] = 0
+                least = self.least[top : top + high]
+                if s.shape[1] >= self.k and np.isneginf(least).any():
+                    least = np.maximum(least, np.partition(s, s.shape[1] - self.k, 1)[:, s.shape[1] - self.k] - 2 * self.margin)
+                # Negated, so that what is no number is looked at as well.
+                found = places(~(s < least[:, None]))
+                if not len(found):
+                    continue
+                row, col = top + found // s.shape[1], at + found % s.shape[1]
+                self.keep(row, ids[col], self.cosines(row, v, col) if self.exact else np.clip(s.ravel()[found], -1, 1).astype(float))
+
+    def cosines(self, row: np.ndarray, v: np.ndarray, col: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+        parts = []
+        for n in range(0, len(row), step):
+            a, b = self.q[row[n : n + step]], v[col[n : n + step]]
+            parts.append(np.where(a[:, -1] == b[:, -1], np.clip(np.einsum("ij,ij->i", a[:, :-1], b[:, :-1]), -1, 1), 0))
+        return np.concatenate(parts)
+
+    def keep(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Only the rows of queries that have something new are sorted."""
+        new = np.zeros(len(self.q), bool)
+        new[row] = True
+        own = new[self.row]
+        r, i, s = (np.concatenate([old[own], more]) for old, more in ((self.row, row), (self.id, ids), (self.score, score)))
+        order = np.lexsort((i, -s, r))
+        r, i, s = r[order], i[order], s[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        last = place == self.k - 1
+        self.least[r[last]] = (s[last] - self.margin).astype(np.float32) - np.float32(self.margin)
+        best = place < self.k
+        self.row, self.id, self.score = (np.concatenate([old[~own], more[best]]) for old, more in ((self.row, r), (self.id, i), (self.score, s)))
+
+    def rows(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.q_ids[self.row]), pa.array(self.id), pa.array(self.score)], names=["query_id", "vec_id", "score"])
+
+
 def best_of_blocks(pairs: DataFrame, model: Model | None, k: int) -> DataFrame:
-    """(query_id, vec_id, score): the k best of each block for each query of a block that meets it.
+    """(query_id, vec_id, score): the k best of each cell for each query of a block that meets it.
 
     pairs: cell, ids and data of queries (q_ids, q_data), ids and data of vectors: codes, or without a model vectors.
+    Pairs of one block of queries that come one after the other, as they do from a join by merging, give k rows a query
+    together; in another order there are more rows, and the same ones among them.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
     kinds = [pairs.schema[c].dataType.elementType.simpleString() for c in ("q_ids", "ids")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, now, met = shared.value, None, None
         kinds = (np.float64, np.float64) if own is None else (np.float32, np.uint8)
         for batch in batches:
             for row in range(batch.num_rows):
                 cell, q_ids, q_data, ids, data = (batch.column(c)[row] for c in range(5))
-                q, v = (np.frombuffer(x.as_py(), kind).reshape(len(i), -1) for x, i, kind in zip((q_data, data), (q_ids, ids), kinds))
-                if own is not None:
-                    s = np.clip(q @ unit(own.decode(cell.as_py(), v)).T, -1, 1)
-                else:
-                    s = np.clip(q[:, :-1] @ v[:, :-1].T, -1, 1)
-                    s[q[:, -1:] != v[:, -1]] = 0
-                n, vid = min(k, s.shape[1]), ids.values.to_numpy(zero_copy_only=False)
-                order = np.lexsort((np.broadcast_to(vid, s.shape), -s), axis=1)[:, :n]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids.values.to_numpy(zero_copy_only=False), n)), pa.array(vid[order].ravel()), pa.array(np.take_along_axis(s, order, 1).ravel().astype(float))], names=["query_id", "vec_id", "score"])
+                asked = cell.as_py(), q_ids.values.to_numpy(zero_copy_only=False), q_data.as_py()
+                if now is None or asked[0] != now[0] or not np.array_equal(asked[1], now[1]) or asked[2] != now[2]:
+                    if met is not None:
+                        yield met.rows()
+                    now = asked
+                    met = Nearest(asked[1], np.frombuffer(asked[2], kinds[0]).reshape(len(asked[1]), -1), k, own is None)
+                v = np.frombuffer(data.as_py(), kinds[1]).reshape(len(ids), -1)
+                met.meet(ids.values.to_numpy(zero_copy_only=False), v if own is None else unit(own.decode(cell.as_py(), v)))
+        if met is not None:
+            yield met.rows()
 
     return pairs.select("cell", "q_ids", "q_data", "ids", "data").mapInArrow(run, f"query_id {kinds[0]}, vec_id {kinds[1]}, score double")
 
@@ -239,18 +312,19 @@ def exact_neighbours(queries: DataFrame, vectors: DataFrame, k: int, slices: int
     """(query_id, vec_id, score, rank): the k nearest of all vectors, for any number of queries.
 
     Vectors are dealt into slices, each a number of blocks; blocks of queries go to every slice. So each
-    query meets each vector once, in one pass, whatever their numbers; k rows a query and block are shuffled.
+    query meets each vector once, in one pass, whatever their numbers; k rows a query and slice are shuffled.
     Vectors of different or no length have cosine 0, as everywhere here; null vectors of queries find nothing.
     """
     queries = queries.where("embedding is not null")
     widest = vectors.select("embedding").union(queries.select("embedding")).agg(F.max(F.size("embedding")).alias("n")).first()
     width = max(0, widest[0] or 0)
-    parts = slices or max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    parts = slices or max(1, 2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    size = max(LEAST_ROWS, min(EXACT_ROWS, EXACT_BYTES // (8 * (width + 1))))
     deal = lambda df, i, cell: units(df.select(i, "embedding"), i, width).select(cell.alias("cell"), "id", "data")
-    v = packed(deal(vectors, "vec_id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), BLOCK)
-    q = packed(deal(queries, "query_id", F.lit(0)), QUERIES).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
+    v = packed(deal(vectors, "vec_id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")), size)
+    q = packed(deal(queries, "query_id", F.lit(0)), size).withColumnsRenamed({"ids": "q_ids", "data": "q_data"})
     every = q.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return top_k(best_of_blocks(every.join(v, "cell"), None, k), k, tie="vec_id")
+    return top_k(best_of_blocks(every.hint("merge").join(v, "cell"), None, k), k, tie="vec_id")
 
 
 def units(rows: DataFrame, key: str, width: int) -> DataFrame:
