@@ -3,18 +3,23 @@
 An index row is one word at its place in a field of a document. Rows arise where documents lie; those that
 no query asks for are dropped there by a bitmap of the asked words' beginnings, so only places of asked
 words are shuffled. A term is scored over all fields at once: its weighted count saturates as one, its
-rarity counts documents, and a document's length is that of all fields.
+rarity counts documents, and a document's length is that of all fields. Up to SHARED_TERMS terms go to the
+documents, which are counted where they lie; then only words of the best documents become index rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillstone.functions import text as X
-from quillstone.operators.retrieval import B, K1, hidden, source_boost, top_k
+from quillstone.operators.retrieval import B, K1, SHARED_TERMS, Best, hidden, ranges, source_boost, top_k
 from quillstone.operators.substring import asked_for, bitmap
 from quillstone.session import checkpointed, spread
 
@@ -25,6 +30,8 @@ PAGE_FIELDS = {"slug": 1.0, "title": 10.0, "title_tokens": 10.0, "compiled_truth
 OPEN, CLOSE, CUT, SNIPPET = "<<", ">>", "...", 64
 WORD, GAP = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]"
 HEAD = 3
+#: Documents that are counted at once, words whose terms a task remembers, and ids of documents up to which they are sent to all tasks.
+COUNTED_DOCS, KNOWN_WORDS, SENT_IDS = 256, 1 << 18, 1_000_000
 
 
 def spelled(c: Column | str) -> Column:
@@ -67,9 +74,22 @@ def field_search(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str
     field, place) are those of the k best documents of each query. Documents without words count towards no average;
     rows of one key are one document, as long as all of them.
     """
-    index = placed_words(docs, key, {n: c for n, (c, _) in fields.items()})
+    words = {n: c for n, (c, _) in fields.items()}
     asked = checkpointed(asked_terms(queries))
-    places = checkpointed(places_of(asked, index))
+    if asked.count() <= SHARED_TERMS:
+        best = checkpointed(top_k(scored_in_place(asked, docs, key, fields, k), k))
+        few = best.select("doc_id").distinct()
+        few = F.broadcast(few) if best.count() <= SENT_IDS else few
+        places = checkpointed(places_of(asked, placed_words(docs.join(few, docs[key] == few["doc_id"], "left_semi"), key, words)))
+    else:
+        places = checkpointed(places_of(asked, placed_words(docs, key, words)))
+        best = checkpointed(top_k(scored_by_joins(asked, places, docs, key, fields), k))
+    seen = best.select("query_id", "doc_id").join(asked, "query_id").join(places, ["q", "doc_id"]).select("query_id", "j", "doc_id", "field", "place")
+    return best, seen
+
+
+def scored_by_joins(asked: DataFrame, places: DataFrame, docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(query_id, doc_id, score) from the places of all hits, for any number of terms."""
     blank = F.array().cast("array<string>")
     sizes = docs.select(F.col(key).alias("doc_id"), sum((F.size(F.coalesce(c, blank)) for c, _ in fields.values()), F.lit(0)).alias("dl")).where("dl > 0")
     sizes = checkpointed(sizes.groupBy("doc_id").agg(F.sum("dl").alias("dl"), F.count("*").alias("rows")))
@@ -84,9 +104,97 @@ def field_search(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = asked.join(s.select("q", "doc_id", part.alias("part")), "q").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
-    best = checkpointed(top_k(scored, k))
-    seen = best.select("query_id", "doc_id").join(asked, "query_id").join(places, ["q", "doc_id"]).select("query_id", "j", "doc_id", "field", "place")
-    return best, seen
+    return scored
+
+
+def scored_in_place(asked: DataFrame, docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], k: int) -> DataFrame:
+    """(query_id, doc_id, score) of what may be among the k best, for up to SHARED_TERMS terms: they go to the documents.
+
+    A document's words are counted where it lies; what is kept of it is its length and a weighted count for each term
+    that it holds. Places are not laid out.
+    """
+    spark = docs.sparkSession
+    ids = checkpointed(asked.select("query_id").distinct().withColumn("__k", F.monotonically_increasing_id()))
+    rows = [r for r in asked.join(ids, "query_id").select("__k", "q").collect() if r.q]
+    kind = docs.schema[key].dataType.simpleString()
+    if not rows:
+        return spark.createDataFrame([], StructType([asked.schema["query_id"], StructField("doc_id", docs.schema[key].dataType), StructField("score", DoubleType())]))
+    names, terms = np.array(sorted({r["__k"] for r in rows}), np.int64), {x: j for j, x in enumerate(sorted({r.q for r in rows}))}
+    pairs = sorted((terms[r.q], int(np.searchsorted(names, r["__k"]))) for r in rows)
+    of, who = np.array(pairs, np.int64).T
+    given = spark.sparkContext.broadcast((terms, sorted({len(x) for x in terms}), [w for _, w in fields.values()]))
+    own = spread(docs, key).select(F.col(key).alias("doc_id"), *(F.transform(c, F.lower).alias(f"__{n}") for n, (c, _) in enumerate(fields.values())))
+    hits = checkpointed(own.mapInArrow(lambda batches: weighted_counts(batches, *given.value), f"doc_id {kind}, dl double, j array<long>, tf array<double>"))
+    sizes = checkpointed(hits.where("dl > 0").groupBy("doc_id").agg(F.sum("dl").alias("whole"), F.count("*").alias("rows")))
+    several = checkpointed(sizes.where("rows > 1").select("doc_id", "whole"))
+    if not several.isEmpty():
+        each = hits.join(several, "doc_id").select("doc_id", "whole", F.inline(F.arrays_zip("j", "tf"))).groupBy("doc_id", "whole", "j").agg(F.sum("tf").alias("tf"))
+        both = each.groupBy("doc_id", F.col("whole").alias("dl")).agg(F.array_sort(F.collect_list(F.struct("j", "tf"))).alias("h")).select("doc_id", "dl", "h.j", "h.tf")
+        hits = checkpointed(hits.join(several, "doc_id", "left_anti").union(both))
+    s = sizes.agg(F.count("*").alias("n"), F.avg("whole").alias("avgdl")).first()
+    n, avgdl = float(s.n), s.avgdl or 1.0
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = np.zeros(len(given.value[0]), np.int64)
+        for batch in batches:
+            texts += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(texts))
+        found = np.flatnonzero(texts)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(texts[found])], names=["j", "n"])
+
+    df = np.zeros(len(terms))
+    for r in hits.select("j").mapInArrow(counted, "j long, n long").groupBy("j").agg(F.sum("n").alias("n")).collect():  # as many as there are terms
+        df[r.j] = r.n
+    idf = np.maximum(1e-6, np.log(np.maximum((n - df + 0.5) / (df + 0.5), 1e-300)))
+    shared = spark.sparkContext.broadcast((names, idf, np.searchsorted(of, np.arange(len(terms) + 1)), who))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, idf, at, who = shared.value
+        best = Best(len(names), k, 1e-8)
+        for batch in batches:
+            for part in (batch.slice(x, COUNTED_DOCS) for x in range(0, batch.num_rows, COUNTED_DOCS)):
+                docs, dl = part.column(0), part.column(1).to_numpy()
+                d = np.repeat(np.arange(len(dl)), pc.list_value_length(part.column(2)).to_numpy(zero_copy_only=False))
+                j, tf = (part.column(x).flatten().to_numpy() for x in (2, 3))
+                share = idf[j] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[d] / avgdl))
+                many = at[j + 1] - at[j]
+                key, where = np.unique(who[ranges(at[j], many)] * len(dl) + np.repeat(d, many), return_inverse=True)
+                total, q, d = np.bincount(where, np.repeat(share, many)), key // len(dl), key % len(dl)
+                keep = best.may_be(q, total)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q[keep]]), docs.take(pa.array(d[keep])), pa.array(total[keep])], names=["__k", "doc_id", "score"])
+
+    found = hits.where("size(j) > 0").mapInArrow(scored, f"__k long, doc_id {kind}, score double")
+    return found.join(F.broadcast(ids), "__k").select("query_id", "doc_id", F.round("score", 9).alias("score"))
+
+
+def weighted_counts(batches: Iterator[pa.RecordBatch], terms: dict[str, int], sizes: list[int], weights: list[float]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, dl, j, tf) of rows (doc_id, words of each field): the terms that begin words, and their weighted counts; sizes: of terms."""
+    known: dict[str, list[int]] = {}
+
+    def found(word: str) -> list[int]:
+        own = known.get(word)
+        if own is None:
+            if len(known) >= KNOWN_WORDS:
+                known.clear()
+            own = known[word] = [terms[h] for h in (word[:n] for n in sizes if n <= len(word)) if h in terms]
+        return own
+
+    for batch in batches:
+        for part in (batch.slice(x, COUNTED_DOCS) for x in range(0, batch.num_rows, COUNTED_DOCS)):
+            dl, keys, shares = np.zeros(part.num_rows), [np.zeros(0, np.int64)], [np.zeros(0)]
+            for column, weight in zip(part.columns[1:], weights):
+                many = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                dl += many
+                words = column.flatten().dictionary_encode()
+                own = [*map(found, words.dictionary.to_pylist()), []]
+                n, flat = np.array([len(x) for x in own], np.int64), np.array([j for x in own for j in x], np.int64)
+                at = words.indices.fill_null(len(own) - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+                each = n[at]
+                keys.append(np.repeat(np.repeat(np.arange(len(dl)), many), each) * len(terms) + flat[ranges((np.cumsum(n) - n)[at], each)])
+                shares.append(np.full(len(keys[-1]), weight))
+            key, where = np.unique(np.concatenate(keys), return_inverse=True)
+            ends = pa.array(np.searchsorted(key // len(terms), np.arange(len(dl) + 1)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (key % len(terms), np.bincount(where, np.concatenate(shares), len(key)).astype(float)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl), *lists], names=["doc_id", "dl", "j", "tf"])
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -169,7 +277,7 @@ def keyword_search(queries: DataFrame, chunks: DataFrame, pages: DataFrame, k: i
         tie = "slug"
     else:
         own = chunks.join(seen.select("slug"), "slug", "left_semi")
-        own = own if detail != "low" else own.where("chunk_source = 'compiled_truth'")
+        own = checkpointed(own if detail != "low" else own.where("chunk_source = 'compiled_truth'"))  # read five times
         made = {"chunk_text": spelled("chunk_text"), "chunk_text_tokens": X.tokens("chunk_text")} | {c: spelled(c) for c in ("language", "symbol_name", "symbol_type") if c in own.columns}
         best, places = field_search(queries, own, "chunk_id", {n: (c, CHUNK_FIELDS[n]) for n, c in made.items()}, k)
         out = with_snippets(best, places, own.select(F.col("chunk_id").alias("doc_id"), F.col("chunk_text").alias("text")), "chunk_text")
