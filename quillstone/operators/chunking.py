@@ -1,6 +1,6 @@
 """Generators that turn a text into rows: chunkers, passages, sections, timeline entries.
 
-Splitters whose next cut depends on the last are pandas UDFs over Arrow batches; the rest are
+Splitters whose next cut depends on the last are UDFs over Arrow batches; the rest are
 expressions.
 """
 
@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,8 @@ from pyspark.sql import Window
 from quillstone.functions import text as X
 
 WINDOW, OVERLAP, ATOMIC_LEAST, ATOMIC_MOST, MOST_PASSAGES = 720, 120, 24, 900, 512
+#: Texts that a splitter takes out of a batch at a time.
+TEXTS = 64
 #: Separators of the character splitter, in the order in which they are tried.
 SEPARATORS = ["\n\n", "\n", "。", "！", "？", "；", ". ", "! ", "? ", "; ", " ", ""]
 #: Smoothing weights (window 5, second order), over 35.
@@ -30,11 +33,16 @@ def exploded(docs: DataFrame, splitter: Column, *keep: str) -> DataFrame:
 
 
 def as_splitter(f: Callable[[str], list[str]]):
-    """A pandas UDF from a function of one text: the hook for splitters of one's own."""
+    """An Arrow UDF from a function of one text: the hook for splitters of one's own.
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [] if t is None else f(t))
+    Few texts of a batch and their chunks are Python's strings at a time.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def split(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(k, TEXTS).to_pylist() for k in range(0, len(texts), TEXTS))
+        done = [pa.array([[] if t is None else f(t) for t in part], pa.list_(pa.string())) for part in parts]
+        return pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.string()))
 
     return split
 
