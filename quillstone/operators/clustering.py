@@ -27,12 +27,17 @@ def cluster_count(nodes: Column, size: int = 5) -> Column:
 
 
 def kmeans(vectors: DataFrame, k: int, seed: int = 42, iterations: int = 100) -> DataFrame:
-    """vec_id, cluster by distributed k-means."""
+    """vec_id, cluster by distributed k-means.
+
+    A round hands results of every task to the driver, up to iterations times; so vectors are read by no more tasks than
+    there are cores, however many files or splits they come in.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     data = vectors.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=k, maxIter=iterations, tol=1e-4, seed=seed).fit(data)
+    few = data.coalesce(vectors.sparkSession.sparkContext.defaultParallelism)
+    model = KMeans(k=k, maxIter=iterations, tol=1e-4, seed=seed).fit(few)
     return model.transform(data).select("vec_id", F.col("prediction").alias("cluster"))
 
 
