@@ -188,7 +188,9 @@ def window_passages(nodes: DataFrame, key: str, text: str) -> DataFrame:
     start = F.col("passage_order") * F.col("step")
     w = w.withColumn("source_start", start).withColumn("source_end", F.least(F.col("n").cast("long"), start + F.col("step") + OVERLAP))
     w = w.withColumn("content", F.substring(text, (F.col("source_start") + 1).cast("int"), (F.col("source_end") - F.col("source_start")).cast("int")))
-    w = w.where(F.length(X.clean_for_search("content")) >= ATOMIC_LEAST)
+    # What the beginning has left when cleaned, the whole has as well: most windows are told by it.
+    enough = lambda c: F.length(X.clean_for_search(c)) >= ATOMIC_LEAST
+    w = w.where(enough(F.left("content", F.lit(3 * ATOMIC_LEAST))) | enough("content"))
     return w.select(key, F.col("passage_order").cast("int").alias("passage_order"), "source_start", "source_end", "content", X.text_quality(X.clean_for_search("content")).alias("quality"))
 
 
